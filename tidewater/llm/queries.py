@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.bpe import op7_byte_bpe
 from tidewater.llm.packing import op4_best_fit_packing
+from tidewater.llm.pii import op8_pii
 from tidewater.llm.quality import op5_quality_rules
 from tidewater.llm.simhash import op9_simhash_dedup
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
