@@ -11,6 +11,7 @@ from tidewater.llm.packing import op4_best_fit_packing
 from tidewater.llm.pii import op8_pii
 from tidewater.llm.quality import op5_quality_rules
 from tidewater.llm.simhash import op9_simhash_dedup
+from tidewater.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
