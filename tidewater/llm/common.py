@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -42,20 +43,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/tidewater-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again."""
+    for df in tables:
+        paths = {os.path.dirname(f) for f in df.inputFiles()}
+        for x in [x for x in _written if any(p.endswith(os.path.basename(x[1])) for p in paths)]:
+            _written.remove(x)
+            _delete(*x)
+
+
 def release() -> None:
     """Delete every table that materialize() has written. Results that still read them can't be computed afterwards."""
     while _written:
-        spark, path = _written.pop()
         try:
-            to = spark._jvm.org.apache.hadoop.fs.Path(path)
-            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+            _delete(*_written.pop())
         except Exception:  # the session or its JVM is gone
             continue
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 atexit.register(release)
 
 
