@@ -11,11 +11,13 @@ from tidewater.llm.packing import op4_best_fit_packing
 from tidewater.llm.pii import op8_pii
 from tidewater.llm.quality import op5_quality_rules
 from tidewater.llm.simhash import op9_simhash_dedup
+from tidewater.llm.substring_dedup import op2_substring_dedup
 from tidewater.llm.suffix_dedup import op1_suffix_dedup
 from tidewater.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
