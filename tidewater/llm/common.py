@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch: texts of some KB each, so that a batch stays at some MB.
 BATCH_ROWS = 1000
+BATCH_BYTES = "16m"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -81,6 +82,7 @@ atexit.register(release)
 
 def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(kernel, schema)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.bpe import op7_byte_bpe
+from tidewater.llm.embedding_dedup import op3_embedding_dedup
 from tidewater.llm.packing import op4_best_fit_packing
 from tidewater.llm.pii import op8_pii
 from tidewater.llm.quality import op5_quality_rules
@@ -18,6 +19,7 @@ from tidewater.llm.toxicity import op10_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
