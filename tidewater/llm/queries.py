@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.backoff import op6_stupid_backoff
 from tidewater.llm.bpe import op7_byte_bpe
 from tidewater.llm.embedding_dedup import op3_embedding_dedup
 from tidewater.llm.packing import op4_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_stupid_backoff": op6_stupid_backoff,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_simhash_dedup": op9_simhash_dedup,
