@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewater.plans import indicators, windows  # noqa: F401  register their queries
+from tidewater.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
