@@ -6,9 +6,9 @@ after the context without its first word; at the end stands its share of all wor
 a word that no other document has. The score is the mean base-10 logarithm over a document's words.
 
 n-grams are exploded and joined in columns instead of rows: documents are dealt into groups of about GROUP; a group's
-distinct n-gram hashes and their counts are cut into buckets by hash, one row of two arrays for each bucket. The count
-table is partitioned by bucket: each sums what all groups have sent and answers with totals in the order of their
-hashes. Answers join their groups, where they meet each document's n-grams again and are summed per document. However
+distinct n-gram hashes and their counts are cut into buckets by hash, one row of two packed arrays for each bucket. The
+count table is partitioned by bucket: each sums what all groups have sent and answers with totals in the order of their
+hashes. This is done for a few orders at a time, which bounds what is shuffled at once. Answers join their groups, where they meet each document's n-grams again and are summed per document. However
 frequent an n-gram is, a group sends it once, so no bucket holds more than one entry of it for each group.
 
 Words are runs of bytes other than \\x20 and \\x09-\\x0D with A-Z lower-cased. n-grams lie within one document; the first
@@ -18,6 +18,8 @@ of one id are documents each. Empty tables give no rows; extra columns are ignor
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +31,16 @@ from tidewater.llm.substring_dedup import word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
+#: Orders that are counted in one job.
+TOGETHER = ((1, 2), (3,), (4,), (5,))
 #: Documents of one group.
-GROUP = 500
+GROUP = 1200
 #: n-grams of one bucket, about (hashes are even).
 BUCKET = 1_500_000
 
+#: Bits of a hash that tell keys of one bucket apart.
+KEY_BITS = 48
+
 ASKED = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("n_gram", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64())])
 ASKED_SQL = "bucket long, grp long, n_gram int, keys binary, counts binary, total long"
 TOLD = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("n_gram", pa.int32()), ("totals", pa.binary()), ("total", pa.int64())])
@@ -70,17 +77,50 @@ def in_order(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
     return table.take(pa.array(order, pa.int64())), [texts[k] for k in order]
 
 
-def explode(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct numbers: the first, then differences in as few bytes as the largest needs."""
+    steps = np.diff(keys)
+    wide = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    wide = data[0]
+    steps = np.zeros(((len(data) - 9) // wide, 8), np.uint8)
+    steps[:, :wide] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, wide)
+    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], np.uint64), steps.view(np.uint64).ravel()]), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """How many there are, a byte for each (255: see the end), then those of 255 and more in full."""
+    counts = counts.astype(np.uint64)
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].tobytes()
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    counts = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[8 + n :], np.uint64).astype(np.int64)
+    return counts
+
+
+def shortened(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes without the low bits that a bucket can do without."""
+    low = np.uint64(max(0, 64 - KEY_BITS - (buckets.bit_length() - 1)))
+    return (keys >> low) << low
+
+
+def explode(docs: DataFrame, orders: tuple[int, ...], buckets: int) -> DataFrame:
     """The n-grams of each group of documents (grp, doc_id, text), a row for each bucket: distinct hashes and counts."""
 
     def run(table: pa.Table) -> pa.Table:
         table, texts = in_order(table)
-        rows, name = [], table["grp"][0].as_py()
-        for n, keys in enumerate(grams(texts, order)[1], 1):
-            own, counts = np.unique(keys, return_counts=True)
+        rows, name, hashes = [], table["grp"][0].as_py(), grams(texts, max(orders))[1]
+        for n in orders:
+            own, counts = np.unique(shortened(hashes[n - 1], buckets), return_counts=True)
             of = bucket_of(own, buckets)
             cuts = np.flatnonzero(np.diff(of)) + 1
-            rows += ((int(of[a]), name, n, own[a:b].tobytes(), counts[a:b].astype("<u4").tobytes(), int(counts[a:b].sum())) for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True) if b > a)
+            rows += ((int(of[a]), name, n, packed_keys(own[a:b]), packed_counts(counts[a:b]), int(counts[a:b].sum())) for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True) if b > a)
         return pa.Table.from_batches([batch(ASKED, *(list(zip(*rows, strict=True)) or [[]] * 6))])
 
     return docs.groupBy("grp").applyInArrow(run, ASKED_SQL)
@@ -88,13 +128,13 @@ def explode(docs: DataFrame, order: int, buckets: int) -> DataFrame:
 
 def _sum(table: pa.Table) -> pa.Table:
     """The count table of one bucket, joined to what the groups have sent."""
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    _, back = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()])
-    totals = np.bincount(back, weights=counts)[back].astype("<u4" if counts.sum() < 2**32 else "<u8")
+    keys = [unpacked_keys(k) for k in table["keys"].to_pylist()]
     ends = np.cumsum([len(k) for k in keys])
-    wide = [t.astype("<u8").tobytes() if totals.itemsize == 8 else t.tobytes() for t in np.split(totals, ends[:-1])]
-    return pa.Table.from_batches([batch(TOLD, table["bucket"].combine_chunks(), table["grp"].combine_chunks(), table["n_gram"].combine_chunks(), wide, table["total"].combine_chunks())])
+    _, back = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([unpacked_counts(c) for c in table["counts"].to_pylist()])
+    totals = np.bincount(back, weights=counts)[back]
+    told = [packed_counts(t) for t in np.split(totals, ends[:-1])]
+    return pa.Table.from_batches([batch(TOLD, table["bucket"].combine_chunks(), table["grp"].combine_chunks(), table["n_gram"].combine_chunks(), told, table["total"].combine_chunks())])
 
 
 def own_counts(text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,23 +175,22 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     groups = max(1, -(-docs.count() // GROUP))
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("grp", spread("doc_id", buckets=groups))
-    # about 500 words a document; more of them make larger buckets, not more
-    buckets = max(1, -(-groups * GROUP * 500 * order // BUCKET))
-    told = materialize(explode(of, order, buckets).groupBy("bucket").applyInArrow(_sum, TOLD_SQL), "counts")
+    # of about 500 words a document and two orders; more of them make larger buckets, not more
+    buckets = max(1, -(-groups * GROUP * 1000 // BUCKET))
+    jobs = [tuple(n for n in some if n <= order) for some in (*TOGETHER, *((n,) for n in range(6, order + 1)))]
+    # unigrams and bigrams, say, of one bucket are told apart by their hashes
+    tables = [materialize(explode(of, orders, buckets).groupBy("bucket").applyInArrow(_sum, TOLD_SQL), "counts") for orders in jobs if orders]
+    told = reduce(DataFrame.unionByName, tables)
     words = told.filter("n_gram = 1").agg(F.sum("total")).first()[0] or 0
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         table, texts = in_order(table)
         text, hashes, at = grams(texts, order)
-        sent = sorted(zip(answers["n_gram"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist(), answers["total"].to_pylist(), strict=True), key=lambda r: r[:2])
+        sent = sorted(zip(answers["n_gram"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist(), strict=True), key=lambda r: r[:2])
         counts = []
         for n in range(1, order + 1):
-            number, own = own_counts(text[at[n - 1]], hashes[n - 1])
-            distinct = int(number.max(initial=-1)) + 1
-            mine = [r[2] for r in sent if r[0] == n]
-            cut = bucket_sizes(np.unique(hashes[n - 1]), buckets)
-            totals = np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * k else "<u8").astype(np.int64) for x, k in zip(mine, cut, strict=True)] or [np.empty(0, np.int64)])
-            assert len(totals) == distinct
+            number, own = own_counts(text[at[n - 1]], shortened(hashes[n - 1], buckets))
+            totals = np.concatenate([np.empty(0, np.int64), *(unpacked_counts(r[2]) for r in sent if r[0] == n)])
             c = np.full(len(text), -1, np.int64)
             c[at[n - 1]] = totals[number] - own
             counts.append(c)
@@ -164,10 +203,5 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return of.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(run, "doc_id long, n_words long, n_top long, score double")
 
 
-def bucket_sizes(keys: np.ndarray, buckets: int) -> list[int]:
-    """How many of the sorted distinct hashes lie in each bucket that has any."""
-    return np.unique(bucket_of(keys, buckets), return_counts=True)[1].tolist()
-
-
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents"))
