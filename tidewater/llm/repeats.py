@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,10 +122,11 @@ def known_in_batch(mini: np.ndarray, content: np.ndarray, doc: np.ndarray, pos:
     return gone
 
 
-def portions(batches: Iterator, most: int = 4 << 20) -> Iterator:
-    """Arrow batches with a text column in slices of some MB of text, one row at least."""
+def portions(batches: Iterator, most: int = 1 << 20) -> Iterator:
+    """Arrow batches with a text column in slices of about a MB of text, one row at least; a kernel's arrays take some
+    hundred bytes for each byte."""
     for b in batches:
-        sizes = np.cumsum([len(x or "") for x in b["text"].to_pylist()])
+        sizes = np.cumsum(pc.binary_length(b["text"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < len(sizes):
             to = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
@@ -183,11 +185,35 @@ def covered(starts: np.ndarray, n: np.ndarray, width: int, size: int) -> tuple[n
     return a[head], reach[np.append(np.flatnonzero(head)[1:] - 1, len(a) - 1)]
 
 
-def partners(minis: list[int], anchors: list[int], strings: list, width: int, gram: int) -> np.ndarray:
-    """Which segments of whole classes share more than the minimizer with another one of their class. A window reaches
-    half of what is beside its minimizer, to the left of it or to the right; a segment that shares neither half with
-    another has no window in common with it. Anchor -1: always kept."""
-    half = (width - gram) // 2
-    keys = [[(m, True, bytes(s[a - half : a + gram])) if a >= half else None, (m, False, bytes(s[a : a + gram + half])) if a >= 0 else None] for m, a, s in zip(minis, anchors, strings, strict=True)]
-    seen = Counter(k for both in keys for k in both if k)
-    return np.array([a < 0 or any(k and seen[k] > 1 for k in both) for a, both in zip(anchors, keys, strict=True)], bool)
+def partners(minis: list[int], anchors: list[int], sizes: list[int], strings: list, width: int, gram: int, parts: int) -> list[tuple[int, int] | None]:
+    """Which windows of the segments of whole classes may be equal to others: from and to, or None. A window that has l
+    symbols to the left of its minimizer has width - gram - l to the right. For each part of the range of l, segments
+    that share with no other what all its windows have there hold no repeated window of that part. Anchor -1: all."""
+    span = width - gram
+    step = -(-(span + 1) // parts)
+    reach = [(a, min(a + step, span + 1) - 1) for a in range(0, span + 1, step)]
+
+    def keys(m: int, a: int, s) -> Iterator:
+        for low, high in reach:
+            to = a + gram + span - high
+            yield (m, low, bytes(s[a - low : to])) if low <= a and to <= len(s) else None
+
+    found = [[] if a < 0 else list(keys(m, a, s)) for m, a, s in zip(minis, anchors, strings, strict=True)]
+    seen = Counter(k for own in found for k in own if k)
+    out: list[tuple[int, int] | None] = []
+    for a, n, own in zip(anchors, sizes, found, strict=True):
+        if a < 0:
+            out.append((0, n))
+            continue
+        shared = [r for r, k in zip(reach, own, strict=True) if k and seen[k] > 1]
+        low, high = (max(0, a - shared[-1][1]), min(n, a - shared[0][0] + 1)) if shared else (0, 0)
+        out.append((low, high) if low < high else None)
+    return out
+
+
+def narrowed(rows: list[dict], strings: list, width: int, gram: int, parts: int) -> tuple[list[dict], list, np.ndarray]:
+    """The rows that partners() leaves, their strings without what it excludes, and where those begin."""
+    sizes = [len(s) - width + 1 for s in strings]
+    spans = partners([r["mini"] for r in rows], [r["anchor"] for r in rows], sizes, strings, width, gram, parts)
+    kept = [(r, s[x[0] : x[1] + width - 1], r["pos"] + x[0]) for r, s, x in zip(rows, strings, spans, strict=True) if x]
+    return [k[0] for k in kept], [k[1] for k in kept], np.array([k[2] for k in kept], np.int64)

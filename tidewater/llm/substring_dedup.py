@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import batch, byte_texts, map_batches, materialize, read_table
-from tidewater.llm.repeats import HOT, SEGMENT_SQL, Rolling, covered, fetched, keyed, known_in_batch, partners, portions, repeated_windows, segments, split_repeats
+from tidewater.llm.repeats import HOT, SEGMENT_SQL, Rolling, covered, fetched, keyed, known_in_batch, narrowed, portions, repeated_windows, segments, split_repeats
 from tidewater.llm.suffix_dedup import ROWS, RUNS, VALUES, by_class
 
 WIDTH = 13
 GRAM = 4
 #: Words of segments in one index: whole classes, so at most this and one class more.
 SHARD = 60_000
+#: Parts of a segment's windows that are looked at for partners before it is indexed.
+PARTS = 3
 
 
 def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,12 +181,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in by_class(batches, 2 * SHARD, lambda r: len(r["words"])):
-        texts = [np.array(r["words"], np.int64) for r in rows]
-        kept = np.flatnonzero(partners([r["mini"] for r in rows], [r["anchor"] for r in rows], texts, WIDTH, GRAM))
-        if not len(kept):
+        rows, texts, pos = narrowed(rows, [np.array(r["words"], np.int64) for r in rows], WIDTH, GRAM, PARTS)
+        if not rows:
             continue
-        rows, texts = [rows[k] for k in kept], [texts[k] for k in kept]
-        doc, pos = np.array([r["doc"] for r in rows]), np.array([r["pos"] for r in rows], np.int64)
+        doc = np.array([r["doc"] for r in rows])
         segment, offset = Index(texts, doc).matching(doc)
         head = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(segment) else segment
         n = np.diff(np.append(head, len(segment)))

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import batch, byte_texts, map_batches, materialize, read_table
-from tidewater.llm.repeats import HOT, SEGMENT_SQL, covered, fetched, keyed, known_in_batch, partners, portions, repeated_windows, segments, split_repeats
+from tidewater.llm.repeats import HOT, SEGMENT_SQL, covered, fetched, keyed, known_in_batch, narrowed, portions, repeated_windows, segments, split_repeats
 
 WIDTH = 100
 GRAM = 24
 #: Bytes of segments in one index: whole classes, so at most this and one class more.
 SHARD = 256 << 10
+#: Parts of a segment's windows that are looked at for partners before it is indexed.
+PARTS = 8
 DONE = 0xFF  # no byte of UTF-8
 
 #: A random value for each byte, the same in every process.
@@ -52,16 +54,20 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Column:
-    """An array in a file that is read and written from its start to its end."""
+    """An array in a file that is read and written from its start to its end. It never shrinks, so that the file is
+    overwritten in place."""
 
-    def __init__(self, folder: str, name: str, dtype) -> None:
-        self.path, self.dtype = os.path.join(folder, name), dtype
+    def __init__(self, folder: str, name: str) -> None:
+        self.file, self.size = os.open(os.path.join(folder, name), os.O_RDWR | os.O_CREAT), 0
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.dtype)
+        return np.frombuffer(os.pread(self.file, self.size, 0), np.uint8)
 
     def write(self, values: np.ndarray) -> None:
-        values.astype(self.dtype).tofile(self.path)
+        self.size = os.pwrite(self.file, values.astype(np.uint8, copy=False), 0)
+
+    def close(self) -> None:
+        os.close(self.file)
 
 
 def collection_index(strings: list[bytes], most: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +76,7 @@ def collection_index(strings: list[bytes], most: int = WIDTH) -> tuple[np.ndarra
     m, sizes = len(strings), np.fromiter(map(len, strings), np.int64, len(strings))
     text, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes)
     with tempfile.TemporaryDirectory() as folder:
-        bwt, common = Column(folder, "bwt", np.uint8), Column(folder, "lcp", np.uint8)
+        bwt, common = Column(folder, "bwt"), Column(folder, "lcp")
         # the empty suffixes, in the strings' order: nothing in common, as their ends differ
         bwt.write(np.where(sizes > 0, text[np.maximum(ends - 1, 0)] if len(text) else DONE, DONE))
         common.write(np.zeros(m))
@@ -112,6 +118,8 @@ def collection_index(strings: list[bytes], most: int = WIDTH) -> tuple[np.ndarra
             bwt.write(symbols)
             common.write(new_low)
         last, low = bwt.read(), common.read()
+        bwt.close()
+        common.close()
     # from each empty suffix back through the whole transform: the places of the longer and longer suffixes
     rank = np.empty(len(last), np.int64)
     order = ranked(last)
@@ -183,13 +191,12 @@ def by_class(batches: Iterator[pa.RecordBatch], most: int, size) -> Iterator[lis
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in by_class(batches, 2 * SHARD, lambda r: len(r["bytes"])):
-        alone = ~partners([r["mini"] for r in rows], [r["anchor"] for r in rows], [r["bytes"] for r in rows], WIDTH, GRAM)
-        rows = [r for r, x in zip(rows, alone, strict=True) if not x]
+        rows, strings, pos = narrowed(rows, [r["bytes"] for r in rows], WIDTH, GRAM, PARTS)
         if not rows:
             continue
+        doc = np.array([r["doc"] for r in rows])
         # strings of other classes can't equal, whatever their order
-        doc, pos = np.array([r["doc"] for r in rows]), np.array([r["pos"] for r in rows], np.int64)
-        name, place = later_windows([r["bytes"] for r in rows], doc, pos)
+        name, place = later_windows(strings, doc, pos)
         order = np.lexsort((place, name))
         name, place = name[order], place[order]
         head = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (place[1:] != place[:-1] + 1)])) if len(name) else name

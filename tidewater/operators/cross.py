@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def correlation(a: str, b: str, w: WindowSpec | None = None) -> Column:
+    """Pearson's correlation; null where one of both doesn't vary (the built-in aggregate raises an error there)."""
+    of = lambda c: c.over(w) if w is not None else c
+    return of(F.covar_pop(a, b)) / F.nullif(of(F.stddev_pop(a)) * of(F.stddev_pop(b)), F.lit(0.0))
+
+
 def expanding_correlation(df: DataFrame, base: str, x: str = "close") -> DataFrame:
     """asset, bar, correlation of every other asset with base over all common bars so far; null until both vary."""
     own = df.filter(F.col("asset") == base).select("bar", F.col(x).alias("b"))
     both = df.filter(F.col("asset") != base).select("asset", "bar", F.col(x).alias("a")).join(own, "bar")
     w = Window.partitionBy("asset").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
     varies = (F.count("*").over(w) >= 2) & (F.max("a").over(w) > F.min("a").over(w)) & (F.max("b").over(w) > F.min("b").over(w))
-    return both.withColumn("ok", varies).select("asset", "bar", F.when(F.col("ok"), F.corr("a", "b").over(w)).alias("correlation"))
+    return both.withColumn("ok", varies).select("asset", "bar", F.when(F.col("ok"), correlation("a", "b", w)).alias("correlation"))
 
 
 def aligned(df: DataFrame, base: str) -> DataFrame:

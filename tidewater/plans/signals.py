@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.ordered import crossed_over, crossed_under, full, over_chunks
 from tidewater.operators import indicators as ind
 from tidewater.operators import signals as sig
+from tidewater.operators.cross import correlation
 from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.plans.indicators import MACD, MFI, ORDERS, RSI_SIMPLE, STOCH, UO, WILLR, order_bars
@@ -137,9 +138,9 @@ def describe_trades(spark, d):
     return pairs(spark, d).groupBy("asset").agg(F.count("*").alias("n"), r(F.avg("profit"), "mean"), r(F.stddev_samp("profit"), "std"), r(F.min("profit"), "min"), r(q(0.25), "q1"), r(q(0.5), "median"), r(q(0.75), "q3"), r(F.max("profit"), "max"))
 
 
-@query("pair_corr", f"{b.DAILY}, {PAIRS} SELECT asset, round(corr(profit, days), 6) AS corr FROM pairs GROUP BY asset")
+@query("pair_corr", f"{b.DAILY}, {PAIRS} SELECT asset, round(CASE WHEN stddev_pop(profit) * stddev_pop(days) > 0 THEN corr(profit, days) END, 6) AS corr FROM pairs GROUP BY asset")
 def pair_corr(spark, d):
-    return pairs(spark, d).groupBy("asset").agg(F.round(F.corr("profit", "days"), 6).alias("corr"))
+    return pairs(spark, d).groupBy("asset").agg(F.round(correlation("profit", "days"), 6).alias("corr"))
 
 
 @query("day_trade_intended", f"{b.HOURLY}, x AS (SELECT asset, date_trunc('day', bar)::TIMESTAMP AS day, close - min(close) OVER (PARTITION BY asset, bar::DATE ORDER BY bar ROWS UNBOUNDED PRECEDING) AS p FROM bars) SELECT asset, day, round(max(p), 6) AS profit FROM x GROUP BY ALL")
