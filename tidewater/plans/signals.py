@@ -118,11 +118,11 @@ def best_pair(spark, d):
     return sig.best_pair(daily(spark, d)).select("asset", F.round("profit", 6).alias("profit"))
 
 
-@query("trades_by_month", f"{b.DAILY}, {PAIRS} SELECT asset, date_trunc('week', buy)::TIMESTAMP AS week, round(sum(profit), 4) AS total, round(avg(profit), 4) AS mean_profit, count(*) AS trades, round(avg(days), 4) AS mean_days FROM pairs GROUP BY ALL")
+@query("trades_by_month", f"{b.DAILY}, {PAIRS} SELECT asset, date_trunc('week', buy)::TIMESTAMP AS week, round(sum(profit), 4) AS total, round(avg(profit), 9) AS mean_profit, count(*) AS trades, round(avg(days), 4) AS mean_days FROM pairs GROUP BY ALL")
 def trades_by_month(spark, d):
     """By week of buying, as the data spans a month."""
     g = pairs(spark, d).groupBy("asset", F.date_trunc("week", "buy").cast("timestamp_ntz").alias("week"))
-    return g.agg(F.round(F.sum("profit"), 4).alias("total"), F.round(F.avg("profit"), 4).alias("mean_profit"), F.count("*").alias("trades"), F.round(F.avg("days"), 4).alias("mean_days"))
+    return g.agg(F.round(F.sum("profit"), 4).alias("total"), F.round(F.avg("profit"), 9).alias("mean_profit"), F.count("*").alias("trades"), F.round(F.avg("days"), 4).alias("mean_days"))
 
 
 @query("trades_heat", f"{b.DAILY}, {PAIRS} SELECT day(buy)::INTEGER AS buy_day, {', '.join(f'round(coalesce(avg(CASE WHEN isodow(sell) = {k + 1} THEN profit END), 0), 6) AS sell_{k}' for k in range(7))} FROM pairs GROUP BY ALL")

@@ -130,9 +130,9 @@ def ewm_adjust_false(spark, d):
     return ewm(daily(spark, d), "close", span(12), "y").select("asset", "bar", F.round("y", 4).alias("ewm_12"))
 
 
-@query("ewm_adjust_true", f"{b.DAILY}, n AS (SELECT asset, bar, close AS x, row_number() {b.W} AS k FROM bars) SELECT a.asset, a.bar, round(sum(pow(11.0/13, a.k - c.k) * c.x) / sum(pow(11.0/13, a.k - c.k)), 4) AS ewm_12 FROM n a JOIN n c ON c.asset = a.asset AND c.k <= a.k GROUP BY a.asset, a.bar")
+@query("ewm_adjust_true", f"{b.DAILY}, n AS (SELECT asset, bar, close AS x, row_number() {b.W} AS k FROM bars) SELECT a.asset, a.bar, round(sum(pow(11.0/13, a.k - c.k) * c.x) / sum(pow(11.0/13, a.k - c.k)), 6) AS ewm_12 FROM n a JOIN n c ON c.asset = a.asset AND c.k <= a.k GROUP BY a.asset, a.bar")
 def ewm_adjust_true(spark, d):
-    return ewm(daily(spark, d), "close", span(12), "y", adjust=True).select("asset", "bar", F.round("y", 4).alias("ewm_12"))
+    return ewm(daily(spark, d), "close", span(12), "y", adjust=True).select("asset", "bar", F.round("y", 6).alias("ewm_12"))
 
 
 @query("ema_seeded", f"{b.DAILY_RECURSIVE}, {b.recurrence('bars', 'close', 'e', '(2.0/15)', 14)} SELECT bars.asset, bars.bar, round(e, 4) AS ema_14 FROM bars LEFT JOIN e_r ON e_r.asset = bars.asset AND e_r.bar = bars.bar")
