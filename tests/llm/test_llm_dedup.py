@@ -58,6 +58,20 @@ def test_one_passage_in_very_many_contexts(frame):
     assert taken(substring_dedup(frame(rows)), *OP2) == sorted(brute.op2(rows), key=repr)
 
 
+def test_a_minimizer_that_comes_again_in_one_document_only(frame):
+    """The last words of a passage are repeated behind it; a second document holds the passage without that."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    rows = []
+    for k in range(60):
+        passage = words(15)
+        again, plain = [*words(9), *passage, *passage[-5:], *words(9)], [*words(9), *passage, *words(9)]
+        rows += [(2 * k, " ".join((again, plain)[k % 2])), (2 * k + 1, " ".join((plain, again)[k % 2]))]
+    assert taken(suffix_dedup(frame(rows)), *OP1) == sorted(brute.op1(rows), key=repr)
+    assert taken(substring_dedup(frame(rows)), *OP2) == sorted(brute.op2(rows), key=repr)
+
+
 def test_string_queries(spark, small):
     rows = whole(spark, small)
     assert taken(op1_suffix_dedup(spark, small), *OP1) == sorted(brute.op1(rows), key=repr)

@@ -188,7 +188,8 @@ def covered(starts: np.ndarray, n: np.ndarray, width: int, size: int) -> tuple[n
 def partners(minis: list[int], anchors: list[int], sizes: list[int], strings: list, width: int, gram: int, parts: int) -> list[tuple[int, int] | None]:
     """Which windows of the segments of whole classes may be equal to others: from and to, or None. A window that has l
     symbols to the left of its minimizer has width - gram - l to the right. For each part of the range of l, segments
-    that share with no other what all its windows have there hold no repeated window of that part. Anchor -1: all."""
+    that share with no other what all its windows have there hold no repeated window of that part. A segment of anchor
+    -1 may hold any window of its class at any of its places, so that all segments of such a class stay whole."""
     span = width - gram
     step = -(-(span + 1) // parts)
     reach = [(a, min(a + step, span + 1) - 1) for a in range(0, span + 1, step)]
@@ -198,11 +199,12 @@ def partners(minis: list[int], anchors: list[int], sizes: list[int], strings: li
             to = a + gram + span - high
             yield (m, low, bytes(s[a - low : to])) if low <= a and to <= len(s) else None
 
-    found = [[] if a < 0 else list(keys(m, a, s)) for m, a, s in zip(minis, anchors, strings, strict=True)]
+    whole = {m for m, a in zip(minis, anchors, strict=True) if a < 0}
+    found = [[] if m in whole else list(keys(m, a, s)) for m, a, s in zip(minis, anchors, strings, strict=True)]
     seen = Counter(k for own in found for k in own if k)
     out: list[tuple[int, int] | None] = []
-    for a, n, own in zip(anchors, sizes, found, strict=True):
-        if a < 0:
+    for m, a, n, own in zip(minis, anchors, sizes, found, strict=True):
+        if m in whole:
             out.append((0, n))
             continue
         shared = [r for r, k in zip(reach, own, strict=True) if k and seen[k] > 1]
