@@ -72,6 +72,15 @@ def test_a_minimizer_that_comes_again_in_one_document_only(frame):
     assert taken(substring_dedup(frame(rows)), *OP2) == sorted(brute.op2(rows), key=repr)
 
 
+def test_different_texts_whose_hashes_begin_alike(frame):
+    """Each pair has one minimizer, and hashes whose upper 32 bits are equal."""
+    start = "lpoipp pbhjeg kmjckn difoah ogcmpp oflpjo jchjel gpdkbc ihhhni fpofdd cijkop "
+    rows = [(1, start + "gconmi bhoobl"), (2, start + "ddafin dkjfga")]
+    assert taken(substring_dedup(frame(rows)), *OP2) == sorted(brute.op2(rows), key=repr)
+    rows = [(1, start + "ijbkknjmecjphldjpibnfjc"), (2, start + "ijbbllengnbndfpipannafk")]
+    assert taken(suffix_dedup(frame(rows)), *OP1) == sorted(brute.op1(rows), key=repr)
+
+
 def test_string_queries(spark, small):
     rows = whole(spark, small)
     assert taken(op1_suffix_dedup(spark, small), *OP1) == sorted(brute.op1(rows), key=repr)

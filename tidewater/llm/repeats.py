@@ -25,7 +25,7 @@ RUN = 80
 HOT = 4096
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-SEGMENT_SQL = "mini long, content int, doc long, tid long, pos int, n int, rep boolean, anchor int, gone boolean"
+SEGMENT_SQL = "mini long, content long, doc long, tid long, pos int, n int, rep boolean, anchor int, gone boolean"
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -75,9 +75,9 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
 def segments(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """The segments of texts whose symbols lie in a row: (text, start in it, windows, minimizer, content, rep,
     anchor). rep says that the minimizer stands at several places of the segment, so that windows of it may be equal to
-    each other; anchor is where it stands first."""
+    each other; anchor is where it stands first. content is a hash of 64 bits: equal ones are removed unverified."""
     empty = np.empty(0, np.int64)
-    none = empty, empty, empty, empty, empty.astype(np.int32), empty.astype(bool), empty
+    none = empty, empty, empty, empty, empty, empty.astype(bool), empty
     if len(symbols) < width:
         return none
     roll, w = Rolling(symbols), width - gram + 1
@@ -106,7 +106,7 @@ def segments(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> t
         first[some] = start[some] + grams[start[some, None] + np.arange(w)].argmin(axis=1)
         end = start[some] + n[some] - 1
         last[some] = end + w - 1 - grams[end[:, None] + np.arange(w - 1, -1, -1)].argmin(axis=1)
-    content = (roll(start, start + n + width - 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    content = roll(start, start + n + width - 1).view(np.int64)
     return text[start], start - begin[text[start]], n, least[start].view(np.int64), content, first != last, first - start
 
 

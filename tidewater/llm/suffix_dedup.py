@@ -42,7 +42,7 @@ DONE = 0xFF  # no byte of UTF-8
 #: A random value for each byte, the same in every process.
 VALUES = np.random.default_rng(20240101).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-ROWS = pa.schema([("mini", pa.int64()), ("content", pa.int32()), ("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("rep", pa.bool_()), ("anchor", pa.int32()), ("gone", pa.bool_())])
+ROWS = pa.schema([("mini", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("rep", pa.bool_()), ("anchor", pa.int32()), ("gone", pa.bool_())])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
