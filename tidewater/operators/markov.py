@@ -66,6 +66,18 @@ def absorbing_steps(moves: DataFrame, target: int) -> DataFrame:
     return moves.select("asset", F.col("from_state").cast("int"), F.col("to_state").cast("int"), "p").groupBy("asset").applyInPandas(run, "asset string, state int, steps double")
 
 
+def _paths(cum: np.ndarray, ids: pd.Series, start: int, steps: int, shocks: dict[int, float], seed: int) -> np.ndarray:
+    draws = np.array([np.random.default_rng((seed, int(k))).random(steps) for k in ids]).reshape(len(ids), steps)
+    state = np.full(len(ids), start)
+    path = [state]
+    for t in range(steps):
+        if t in shocks:
+            state = np.clip((state * shocks[t]).astype(int), 0, len(cum) - 1)
+        state = np.minimum((cum[state] < draws[:, t, None]).sum(axis=1), len(cum) - 1)
+        path.append(state)
+    return np.stack(path, axis=1).astype(np.int32)
+
+
 def markov_paths(spark: SparkSession, matrix: np.ndarray, start: int, steps: int, runs: int, sims: int, shocks: dict[int, float] | None = None, seed: int = 0) -> DataFrame:
     """path array<int>, n: how often each path occurred in runs * sims simulations. Each simulation draws from a
     generator seeded by its number, so the result doesn't depend on the partitioning. shocks: at these steps the state's
@@ -74,22 +86,33 @@ def markov_paths(spark: SparkSession, matrix: np.ndarray, start: int, steps: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            draws = np.array([np.random.default_rng((seed, int(k))).random(steps) for k in b["id"]]).reshape(len(b), steps)
-            state = np.full(len(b), start)
-            path = [state]
-            for t in range(steps):
-                if t in shocks:
-                    state = np.clip((state * shocks[t]).astype(int), 0, len(cum) - 1)
-                state = np.minimum((cum[state] < draws[:, t, None]).sum(axis=1), len(cum) - 1)
-                path.append(state)
-            yield pd.DataFrame({"path": list(np.stack(path, axis=1).astype(np.int32))})
+            yield pd.DataFrame({"path": list(_paths(cum, b["id"], start, steps, shocks, seed))})
 
     return spark.range(runs * sims).mapInPandas(run, "path array<int>").groupBy("path").agg(F.count("*").alias("n"))
 
 
+def asset_paths(moves: DataFrame, states: int, start: int, steps: int, runs: int, sims: int, shocks: dict[int, float] | None = None, seed: int = 0) -> DataFrame:
+    """asset, path array<int>, n: markov_paths() of the transitions of every asset; all assets draw the same numbers."""
+    shocks = shocks or {}
+    # one row an asset: its matrix, states squared
+    cells = moves.groupBy("asset").agg(F.collect_list(F.struct(F.col("from_state").cast("int").alias("f"), F.col("to_state").cast("int").alias("t"), F.col("p"))).alias("cells"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for asset, group in b.groupby("asset", dropna=False):
+                m = np.zeros((states, states))
+                for c in group["cells"].iloc[0]:
+                    m[c["f"], c["t"]] = c["p"]
+                paths = _paths(np.cumsum(m, axis=1), group["id"], start, steps, shocks, seed)
+                yield pd.DataFrame({"asset": asset, "path": list(paths)})
+
+    return moves.sparkSession.range(runs * sims).crossJoin(F.broadcast(cells)).select("id", "asset", "cells").mapInPandas(run, "asset string, path array<int>").groupBy("asset", "path").agg(F.count("*").alias("n"))
+
+
 def jump_paths(grid: DataFrame, sims: int, steps: int, dt: float, limit: float, seed: int = 0) -> DataFrame:
     """grid with kept, mean_final, p5, p95 of Merton jump diffusion paths: grid rows have config, s0, mu, sigma,
-    jump_rate, jump_mean, jump_std. Paths that reach limit anywhere are dropped. Simulations are spread as blocks."""
+    jump_rate, jump_mean, jump_std, and asset; config is unique within an asset, and draws the same numbers for each.
+    Paths that reach limit anywhere are dropped. Simulations are spread as blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,11 +124,11 @@ def jump_paths(grid: DataFrame, sims: int, steps: int, dt: float, limit: float,
                 drift = (r.mu - r.sigma**2 / 2) * dt + r.sigma * np.sqrt(dt) * rng.standard_normal((int(r.size), steps))
                 path = r.s0 * np.exp(np.cumsum(drift + jump, axis=1))
                 fine = path.max(axis=1) < limit
-                out += [(r.config, float(x)) for x in path[fine, -1]]
-            yield pd.DataFrame(out, columns=["config", "final"])
+                out += [(r.asset, r.config, float(x)) for x in path[fine, -1]]
+            yield pd.DataFrame(out, columns=["asset", "config", "final"])
 
     size = 500
     blocks = grid.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-sims // size) - 1)))).withColumn("size", F.least(F.lit(size), F.lit(sims) - F.col("block") * size))
-    finals = blocks.repartition("config", "block").mapInPandas(run, "config int, final double")
+    finals = blocks.repartition("asset", "config", "block").mapInPandas(run, "asset string, config int, final double")
     q = lambda p: F.percentile("final", F.lit(p))
-    return grid.join(finals.groupBy("config").agg(F.count("*").alias("kept"), F.avg("final").alias("mean_final"), q(0.05).alias("p5"), q(0.95).alias("p95")), "config", "left")
+    return grid.join(finals.groupBy("asset", "config").agg(F.count("*").alias("kept"), F.avg("final").alias("mean_final"), q(0.05).alias("p5"), q(0.95).alias("p95")), ["asset", "config"], "left")

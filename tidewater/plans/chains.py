@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -113,20 +112,19 @@ def rf_forecast(spark, d):
 
 @query("mcmc_paths")
 def mcmc_paths(spark, d):
-    m = np.zeros((5, 5))
-    for r in moves(spark, d).filter("asset = 'view'").collect():  # at most 25 rows
-        m[r["from_state"], r["to_state"]] = r["p"]
-    return markov.markov_paths(spark, m, 2, 7, 10, 1000, {3: 1.5}).orderBy(F.desc("n"), "path").limit(10)
+    """The ten paths that occur most of each asset."""
+    x = markov.asset_paths(moves(spark, d), 5, 2, 7, 10, 1000, {3: 1.5})
+    return x.withColumn("k", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("n"), "path"))).filter("k <= 10").drop("k")
 
 
 @query("jump_diffusion")
 def jump_diffusion(spark, d):
-    x = over_chunks(daily(spark, d), 1, lambda w: {"ret": F.log1p(simple_return(w))}).filter("asset = 'view'")
-    p = x.agg(F.max_by("close", "bar").alias("s0"), F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sigma"))
+    x = over_chunks(daily(spark, d), 1, lambda w: {"ret": F.log1p(simple_return(w))})
+    p = x.groupBy("asset").agg(F.max_by("close", "bar").alias("s0"), F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sigma"))
     triple = lambda c, values: p.withColumn(c, F.explode(F.array(*map(F.lit, values))))
     grid = triple("jump_rate", (0.1, 0.5, 1.0)).withColumn("jump_mean", F.explode(F.array(*map(F.lit, (-0.1, 0.0, 0.1))))).withColumn("jump_std", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.2)))))
-    grid = grid.withColumn("config", F.row_number().over(Window.orderBy("jump_rate", "jump_mean", "jump_std")))  # 27 rows
-    return markov.jump_paths(grid, 1000, 20, 1.0, 1e9).select("config", "jump_rate", "jump_mean", "jump_std", "kept", "mean_final", "p5", "p95")
+    grid = grid.withColumn("config", F.row_number().over(Window.partitionBy("asset").orderBy("jump_rate", "jump_mean", "jump_std")))  # 27 rows an asset
+    return markov.jump_paths(grid, 1000, 20, 1.0, 1e9).select("asset", "config", "jump_rate", "jump_mean", "jump_std", "kept", "mean_final", "p5", "p95")
 
 
 @query("stl_decompose")

@@ -8,7 +8,7 @@ from tidewater.functions.ordered import change, full, over_chunks, simple_return
 from tidewater.operators import indicators as ind
 from tidewater.plans import base as b
 from tidewater.plans.base import query
-from tidewater.sources.series import daily, hourly
+from tidewater.sources.series import daily, hourly, order_days
 
 
 def out(df, *cols, places=6):
@@ -102,16 +102,22 @@ ORDERS = "bars AS (SELECT o_orderpriority AS asset, date_trunc('day', o_orderdat
 
 
 def order_bars(spark, d):
-    from tidewater.sources.series import order_days
-
     return order_days(spark, d).filter(F.col("bar") < F.lit("1995-09-01").cast("timestamp_ntz"))
 
 
+# Their SQL takes the orders before 1995-09-01 alone; the queries named ..._all_orders take all and have none.
+
+
 @query("macd", f"WITH RECURSIVE {ORDERS}, {MACD} SELECT bars.asset, bars.bar, round(macd, 3) AS macd, round(sg, 3) AS macd_signal, round(macd - sg, 3) AS macd_hist FROM bars LEFT JOIN mc USING (asset, bar) LEFT JOIN sg_r USING (asset, bar)")
 def macd(spark, d):
     return out(ind.macd(order_bars(spark, d)), "macd", "macd_signal", "macd_hist", places=3)
 
 
+@query("macd_all_orders")
+def macd_all_orders(spark, d):
+    return out(ind.macd(order_days(spark, d)), "macd", "macd_signal", "macd_hist", places=3)
+
+
 ADX = f"{TR}, mv AS (SELECT *, high - lag(high) {b.W} AS up, lag(low) {b.W} - low AS dn FROM tr2), dm AS (SELECT asset, bar, tr, CASE WHEN up IS NOT NULL THEN CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END END AS p, CASE WHEN up IS NOT NULL THEN CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END END AS m FROM mv), {b.recurrence('dm', 'p', 'ps', '(1.0/14)', 14)}, {b.recurrence('dm', 'm', 'ms', '(1.0/14)', 14)}, {b.recurrence('dm', 'tr', 'ts', '(1.0/14)', 14)}, di AS (SELECT asset, bar, 100 * ps / nullif(ts, 0) AS plus_di, 100 * ms / nullif(ts, 0) AS minus_di FROM ps_r JOIN ms_r USING (asset, bar) JOIN ts_r USING (asset, bar)), dx AS (SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx FROM di), {b.recurrence('dx', 'dx', 'ax', '(1.0/14)', 14)}"
 
 
@@ -128,6 +134,11 @@ def trix(spark, d):
     return out(ind.trix(order_bars(spark, d)), "trix", "trix_signal", places=4)
 
 
+@query("trix_all_orders")
+def trix_all_orders(spark, d):
+    return out(ind.trix(order_days(spark, d)), "trix", "trix_signal", places=4)
+
+
 TSI = f"d AS (SELECT *, close - lag(close) {b.W} AS d FROM bars), da AS (SELECT asset, bar, d, abs(d) AS a FROM d), {b.recurrence('da', 'd', 'd1', '(2.0/26)', 25)}, {b.recurrence('d1_r', 'd1', 'd2', '(2.0/14)', 13)}, {b.recurrence('da', 'a', 'a1', '(2.0/26)', 25)}, {b.recurrence('a1_r', 'a1', 'a2', '(2.0/14)', 13)}"
 
 
@@ -136,6 +147,11 @@ def tsi(spark, d):
     return out(ind.tsi(order_bars(spark, d)), "tsi", places=4)
 
 
+@query("tsi_all_orders")
+def tsi_all_orders(spark, d):
+    return out(ind.tsi(order_days(spark, d)), "tsi", places=4)
+
+
 @query("keltner", f"{b.DAILY_RECURSIVE}, {TR}, {b.recurrence('tr2', 'tr', 'a', '(1.0/9)', 9)}, {b.recurrence('bars', 'close', 'e', '(2.0/10)', 9)} SELECT bars.asset, bars.bar, round(e - 0.1 * a, 4) AS kc_low, round(e, 4) AS kc_mid, round(e + 0.1 * a, 4) AS kc_high FROM bars LEFT JOIN a_r USING (asset, bar) LEFT JOIN e_r USING (asset, bar)")
 def keltner(spark, d):
     return out(ind.keltner(daily(spark, d)), "kc_low", "kc_mid", "kc_high", places=4)

@@ -11,7 +11,7 @@ from tidewater.operators.cross import correlation
 from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.plans.indicators import MACD, MFI, ORDERS, RSI_SIMPLE, STOCH, UO, WILLR, order_bars
-from tidewater.sources.series import daily, hourly
+from tidewater.sources.series import daily, hourly, order_days
 
 
 def indicated(bars):
@@ -84,7 +84,16 @@ MACD_STRATEGIES = (("narrow", -0.05, 0.14), ("finest", -0.0002, 0.001), ("wide",
 
 @query("strategy_macd", f"WITH RECURSIVE {ORDERS}, {MACD}, x AS (SELECT asset, bar, macd, sg, lag(macd) {b.W} AS lm, lag(sg) {b.W} AS ls FROM mc LEFT JOIN sg_r USING (asset, bar)) SELECT strategy, asset, bar, CASE WHEN macd < sg AND lm >= ls AND macd > hi THEN -1 ELSE 1 END::INTEGER AS signal FROM x, (VALUES {', '.join(f'({n!r}, {lo}, {hi})' for n, lo, hi in MACD_STRATEGIES)}) s(strategy, lo, hi) WHERE (macd > sg AND lm <= ls AND macd < lo) OR (macd < sg AND lm >= ls AND macd > hi)")
 def strategy_macd(spark, d):
-    x = over_chunks(ind.macd(order_bars(spark, d)), 1, lambda w: {"up": crossed_over(w, F.col("macd"), F.col("macd_signal")), "down": crossed_under(w, F.col("macd"), F.col("macd_signal"))})
+    return macd_strategies(order_bars(spark, d))
+
+
+@query("strategy_macd_all_orders")
+def strategy_macd_all_orders(spark, d):
+    return macd_strategies(order_days(spark, d))
+
+
+def macd_strategies(bars):
+    x = over_chunks(ind.macd(bars), 1, lambda w: {"up": crossed_over(w, F.col("macd"), F.col("macd_signal")), "down": crossed_under(w, F.col("macd"), F.col("macd_signal"))})
     levels = F.explode(F.array(*(F.struct(F.lit(n).alias("strategy"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in MACD_STRATEGIES)))
     s = x.withColumn("l", levels).withColumn("signal", sig.signal(F.col("up") & (F.col("macd") < F.col("l.lo")), F.col("down") & (F.col("macd") > F.col("l.hi"))))
     return s.filter("signal <> 0").select("l.strategy", "asset", "bar", "signal")
