@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -134,6 +135,22 @@ def test_redaction(frame):
     assert pii_spans(frame(rows)).count() == len(rows)
 
 
+def test_secrets_of_other_forms(frame):
+    """Keys with one digit, and digits behind many letters: the votes' sum is 0 for the former."""
+    rng = random.Random(2)
+    some = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    digits, small = "0123456789", "abcdefghijklmnop"
+    rows = []
+    for k in range(40):
+        lines = [f'x token = "{some(digits + "abcdef", 40)}" y', f"the password=correcthorse{some(digits, 4)} z", f"key: AKIA{some(small, 8).upper()}7{some(small, 7).upper()} ok"]
+        lines += [f"in {some(small, 5)} {some(digits, 11)} we", f"years {some(digits, 4)}-{some(digits, 4)} of", f"see {some(small, 3)}{some(small, 4).upper()}x and", f"model {some(small, 5)}{some(digits, 2)} of", "a plain sentence"]
+        rows.append((k, "\n".join(lines)))
+    for r in redact(frame(rows)).collect():
+        before, after = rows[r.doc_id][1].split("\n"), r.text.split("\n")
+        assert after[:3] == ['x token = "[SECRET]" y', "the password=[SECRET] z", "key: [SECRET] ok"]
+        assert after[3:] == before[3:]
+
+
 def check_packing(found: list, tokens: dict[int, list[list[int]]], slack: float) -> None:
     """Gapless sequences of at most 1024 tokens that hold each document's ids, few of them."""
     bins, docs = defaultdict(list), defaultdict(list)

@@ -1,11 +1,13 @@
 """Operator 8, personal data by weak supervision.
 
-The base kinds (email, ip, card, phone) are found by fixed patterns. Beyond them, strings with several digits are
-candidates on which labelers vote (+1 personal, -1 not, 0 no vote): patterns, a gazetteer of words before them, and
-their context. Expectation-maximisation over the counts of vote patterns of all documents estimates how reliable each
+The base kinds (email, ip, card, phone) are found by fixed patterns. Beyond them, strings of 7
+characters and more are candidates if they have a digit or capitals among small letters, or if a word of the gazetteer
+or an assignment precedes them. Labelers vote on them (+1 personal, -1 not, 0 no vote): patterns, a gazetteer of words
+before them, and their context. Expectation-maximisation over the counts of vote patterns of all documents estimates how reliable each
 labeler is when a candidate is personal and when not; its posteriors train a logistic span classifier over the
 candidates' features. Both work on the table of distinct (votes, features) patterns, which has a fixed number of
-possible rows. Candidates that the classifier accepts become spans of the kinds secret and number; base spans stay.
+possible rows. Candidates that the classifier accepts, whatever the sum of their votes, become spans of the kinds secret
+and number; base spans stay.
 
 Nulls: a null text is empty and has no spans. Empty tables give no rows (the classifier then accepts nothing).
 Repeated rows are each searched. Spans are in code points, the end exclusive; those of equal start are in the order of
@@ -32,10 +34,12 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,8}[0-9])[A-Za-z0-9_-]{7,}+")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{7,}+")
 BEFORE = re.compile(r"([^\W\d_]+)[\s\"'=:#(]*$")
 #: Words before a candidate that speak for personal data and against it.
 FOR_WORDS = frozenset("token password passwort passwd key secret ssn tel telefon phone call passport account konto cuenta compte iban".split())
+#: What ends where a string begins that is a candidate whatever its characters.
+LEAD = re.compile(rf"(?i)(?<![^\W\d_])(?:{'|'.join(sorted(FOR_WORDS))})[\s\"'=:#(]+|[=:]\s*[\"']?")
 AGAINST_WORDS = frozenset("version section article page chapter license isbn doi year volume figure table".split())
 LABELERS = 6
 FEATURES = 6
@@ -114,13 +118,14 @@ def unpack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, pattern) of strings beside the base spans that labelers vote on."""
-    out, k = [], 0
+    out, k, led = [], 0, {m.end() for m in LEAD.finditer(text)}
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        digits = sum(c.isdigit() for c in word)
-        if digits < 4:
-            continue
         a, b = m.span()
+        plain = word.islower() or word.isupper() or word.istitle() or not word.strip("_-")
+        digits = 0 if plain and word.isalpha() else sum(c.isdigit() for c in word)
+        if plain and not digits and a not in led:
+            continue
         while k < len(base) and base[k][2] <= a:
             k += 1
         if any(s < b and e > a for s, _, e in base[max(0, k - 1) : k + 4]):
@@ -189,8 +194,7 @@ def accepted(found: DataFrame) -> list[int]:
         return []
     codes, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
     p = reliabilities(codes, n.astype(float))
-    votes, _ = unpack(codes)
-    return codes[(classifier(codes, n.astype(float), p) >= 0.5) & (votes.sum(axis=1) > 0)].tolist()
+    return codes[classifier(codes, n.astype(float), p) > 0.5].tolist()
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
