@@ -21,6 +21,7 @@ from tidewater.llm.bpe import decode, digests, encode, op7_byte_bpe, vocabulary
 from tidewater.llm.packing import crossover, op4_best_fit_packing, pack, pieces
 from tidewater.llm.pii import base_spans, candidates, classifier, op8_pii, pii_spans, redact, reliabilities, unpack
 from tidewater.llm.quality import op5_quality_rules, quality_filter, quality_verdicts
+from tidewater.llm.simhash import simhash_dedup
 from tidewater.llm.toxicity import Network, op10_toxicity, toxicity, windows
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +58,16 @@ def test_quality_rules_adapt(spark):
     assert kept >= set(range(240)) and 900 not in kept
 
 
+def test_rows_without_an_id_are_judged_apart(frame):
+    """Clean rows stay beside failing ones of the same id or of none; unlike rows without id aren't duplicates."""
+    rng = random.Random(4)
+    clean = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    rows = [(None, clean()) for _ in range(20)] + [(7, clean()), (7, "too short"), (None, "short")]
+    good = sorted(r for r in map(str, rows) if "short" not in r)
+    assert sorted(str((r.doc_id, r.text)) for r in quality_filter(frame(rows)).collect()) == good
+    assert sorted(str((r.doc_id, r.text)) for r in simhash_dedup(frame(rows[:21] + rows[:3])).collect()) == good
+
+
 def test_backoff_scores(docs, rows, spark, small, whole):
     for df, want in ((lm_scores(docs), brute.op6(rows)), (op6_stupid_backoff(spark, small), brute.op6([r[:2] for r in whole]))):
         got = {r.doc_id: r.score for r in df.collect()}

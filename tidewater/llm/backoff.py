@@ -174,7 +174,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     groups = max(1, -(-docs.count() // GROUP))
-    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("grp", spread("doc_id", buckets=groups))
+    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("grp", spread("doc_id", F.xxhash64("text"), buckets=groups))
     # of about 500 words a document and two orders; more of them make larger buckets, not more
     buckets = max(1, -(-groups * GROUP * 1000 // BUCKET))
     jobs = [tuple(n for n in some if n <= order) for some in (*TOGETHER, *((n,) for n in range(6, order + 1)))]

@@ -73,19 +73,19 @@ def counts(text: bytes) -> tuple[int, ...]:
     )
 
 
-COUNTED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *((c, pa.int64()) for c in COUNTS)])
+COUNTED = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *((c, pa.int64()) for c in COUNTS)])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [counts(t) for t in byte_texts(b["text"])]
-        yield batch(COUNTED, b["doc_id"], b["lang"], b["source"], *(list(zip(*rows, strict=True)) or [[]] * len(COUNTS)))
+        yield batch(COUNTED, b["doc_id"], b["tid"], b["lang"], b["source"], *(list(zip(*rows, strict=True)) or [[]] * len(COUNTS)))
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and COUNTS of every document, with base_failed and the metrics of SPREAD."""
-    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    c = map_batches(of, _count, "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in COUNTS))
+    """doc_id, tid (hash of the text), lang, source and COUNTS of every document, with base_failed and the metrics of SPREAD."""
+    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    c = map_batches(of, _count, "doc_id long, tid long, lang string, source string, " + ", ".join(f"{x} long" for x in COUNTS))
     part = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return c.withColumns({
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
@@ -138,10 +138,11 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns. A doc_id that several rows share is kept if all its
-    rows pass."""
-    bad = quality_verdicts(docs).groupBy("doc_id").agg(F.min("kept").alias("ok")).filter("not ok").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows that the rules keep, with all their columns. Rows that share a doc_id, or have none, are judged each by
+    its own text, language and source."""
+    bad = quality_verdicts(docs).filter("not kept").select(F.col("doc_id").alias("bad_id"), F.col("tid").alias("bad_tid"), F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct()
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_tid"))
+    return docs.join(bad, own & F.col("lang").cast("string").eqNullSafe(F.col("bad_lang")) & F.col("source").cast("string").eqNullSafe(F.col("bad_source")), "left_anti")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

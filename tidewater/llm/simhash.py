@@ -46,17 +46,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-PRINTED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTED = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("fp", pa.int64())])
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield batch(PRINTED, b["doc_id"], [fingerprint(t) for t in byte_texts(b["text"])])
+        yield batch(PRINTED, b["doc_id"], b["tid"], [fingerprint(t) for t in byte_texts(b["text"])])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document."""
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _prints, "doc_id long, fp long")
+    """(doc_id, tid, fp) of every document; tid is a hash of its text."""
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text"), _prints, "doc_id long, tid long, fp long")
 
 
 def links(entries: DataFrame) -> DataFrame:
@@ -71,19 +71,27 @@ def links(entries: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every document."""
+    """doc_id, tid, fp, part (the smallest fp reachable over links) and component_id (the smallest doc_id there) of every
+    document. Fingerprints are the nodes, as ids may be shared or null."""
     prints = materialize(fingerprints(docs), "fingerprints")
     entries = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "entries")
-    parts = connected_components(links(entries))
-    table = materialize(entries.join(parts, entries.id == parts.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "id").alias("component_id")), "parts")
+    parts = connected_components(links(entries.select(F.col("fp").alias("id"), "fp")))
+    table = materialize(entries.join(parts, entries.fp == parts.node, "left").select(F.col("fp").alias("of"), "id", F.coalesce("component", "fp").alias("part")), "parts")
+    least = table.groupBy(F.col("part").alias("_part")).agg(F.min("id").alias("component_id"))
+    table = materialize(table.join(least, table.part == least._part).select("of", "part", "component_id"), "components")
     return prints.join(table, prints.fp == table.of).drop("of")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates (that with the smallest doc_id, once), with all its columns."""
+    """One document of each group of near duplicates, with all its columns: that with the smallest doc_id among those whose
+    id no other text has, or else among those of shared ids, or one without id."""
     parts = simhash_components(docs)
-    kept = parts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id").dropDuplicates(["doc_id"])
+    known = parts.filter("doc_id is not null")
+    shared = known.groupBy(F.col("doc_id").alias("_id")).agg((F.min("tid") != F.max("tid")).alias("_shared")).filter("_shared")
+    known = known.join(shared, known.doc_id == shared._id, "left").select("part", F.when(F.col("_shared"), 1).otherwise(0).alias("rank"), "doc_id", "tid")
+    ranked = known.unionByName(parts.filter("doc_id is null").select("part", F.lit(2).alias("rank"), "doc_id", "tid"))
+    kept = ranked.groupBy("part").agg(F.min(F.struct("rank", "doc_id", "tid")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tid").alias("_tid"))
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tid"))).dropDuplicates(["_id", "_tid"]).drop("_id", "_tid")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
