@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import brute
@@ -12,8 +13,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidewater.llm.backoff import lm_scores
+from tidewater.llm.bpe import digests
 from tidewater.llm.common import connected_components
 from tidewater.llm.embedding_dedup import embedding_links, op3_embedding_dedup
+from tidewater.llm.packing import pack, pieces
+from tidewater.llm.pii import pii_spans, redact
+from tidewater.llm.quality import quality_filter
 from tidewater.llm.simhash import op9_simhash_dedup, simhash_components, simhash_dedup
 from tidewater.llm.substring_dedup import Index, WaveletTree, op2_substring_dedup, substring_dedup, substring_filter
 from tidewater.llm.suffix_dedup import collection_index, op1_suffix_dedup, suffix_dedup
@@ -161,6 +167,17 @@ def test_embedding_links(spark):
     assert got == brute.op3(v)
 
 
+def test_vectors_of_one_id(spark):
+    """Rows that share an id, or have none, are vectors of their own; doubles are compared as doubles."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (5, [1.0, 0.01], 0), (6, [0.01, 1.0], 0), (7, [0.0, 1.0], 0), (None, [0.5, -0.5], 0), (None, [0.5, -0.5], 0), (8, [-1.0, 0.0], 0)]
+    far = math.sqrt(1 / 0.93**2 - 1)
+    rows += [(10, [1.0, 0.0], 1), (11, [1.0, far * (1 - 1e-12)], 1), (12, [1.0, 0.0], 2), (13, [1.0, far * (1 + 1e-12)], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, embedding_links(df).collect()), key=str)
+    want = [(1, 1, 1), (1, 2, 1), (5, 1, 1), (6, 2, 1), (7, 2, 1), (None, 1, None), (None, 1, None), (8, 0, 8), (10, 1, 10), (11, 1, 10), (12, 0, 12), (13, 0, 13)]
+    assert got == sorted(want, key=str)
+
+
 def test_embedding_query(spark, small):
     rows = [(r.vec_id, list(r.embedding) if r.embedding is not None else None, r.label) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     got = op3_embedding_dedup(spark, small).collect()
@@ -175,3 +192,30 @@ def test_empty_tables(frame, operator):
 
 def test_empty_vectors(spark):
     assert embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+#: Every name that an operator gives to a column of its own.
+OWN = "doc tid _id _tid bad_doc_id bad_tid bad_lang bad_source _runs _doc _had _spans kept_id part fp grp of l s text_ _text at key h pos rank"
+
+
+@pytest.mark.parametrize("stage", [quality_filter, simhash_dedup, substring_filter, redact, lambda d: d.sparkSession.createDataFrame(pack(pieces(d)).collect()), lm_scores, digests, pii_spans, suffix_dedup, substring_dedup])
+def test_clashing_names(spark, stage):
+    """Columns may have any name besides; filters keep them and their values."""
+    names, clean = OWN.split(), " ".join(f"word{k}x" for k in range(40))
+    rows = [(k, f"{clean} {k}", "en", "s", *names) for k in range(4)] + [(None, None, None, None, *names), (9, "", "en", "s", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = stage(df)
+    assert out.count() > 0
+    if stage in (quality_filter, simhash_dedup, substring_filter, redact):
+        assert out.columns == df.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
+
+
+def test_no_checkpoint_folder(spark, monkeypatch):
+    """Where the session has no spark.checkpoint.dir, tables go to a folder of the module's own."""
+    from tidewater.llm import common
+
+    known = spark.conf.get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: None if key == "spark.checkpoint.dir" else known(key, *a))
+    assert common.checkpoint_root(spark) == common.checkpoint_root(spark)
+    assert common.materialize(spark.range(3), "few").count() == 3

@@ -18,8 +18,8 @@ from tokenizers import Tokenizer
 
 from tidewater.llm.backoff import lm_scores, op6_stupid_backoff
 from tidewater.llm.bpe import decode, digests, encode, op7_byte_bpe, vocabulary
-from tidewater.llm.packing import crossover, op4_best_fit_packing, pack, pieces
-from tidewater.llm.pii import base_spans, candidates, classifier, op8_pii, pii_spans, redact, reliabilities, unpack
+from tidewater.llm.packing import crossover, evolve, mutate, op4_best_fit_packing, pack, pieces
+from tidewater.llm.pii import base_spans, candidates, classifier, op8_pii, pii_spans, redact, reliabilities
 from tidewater.llm.quality import op5_quality_rules, quality_filter, quality_verdicts
 from tidewater.llm.simhash import simhash_dedup
 from tidewater.llm.toxicity import Network, op10_toxicity, toxicity, windows
@@ -107,7 +107,7 @@ def accepted(texts: list[str | None]) -> set[int]:
         return set()
     weight = np.array([n[c] for c in sorted(n)], float)
     score = classifier(codes, weight, reliabilities(codes, weight))
-    return set(codes[(score >= 0.5) & (unpack(codes)[0].sum(axis=1) > 0)].tolist())
+    return set(codes[score > 0.5].tolist())
 
 
 def spans(t: str, good: set[int]) -> list[tuple]:
@@ -202,18 +202,54 @@ def test_packing(frame, rows, spark, small, whole, coded):
     check_packing(op4_best_fit_packing(spark, small).collect(), tokens, 0.02)
 
 
-def test_crossover_keeps_every_item_once():
-    import random
+def triplets(n: int, rng: random.Random) -> list[int]:
+    """Sizes that fill n bins of three items each."""
+    out = []
+    for _ in range(n):
+        a = rng.randint(257, 460)
+        b = rng.randint(256, 1024 - 256 - a)
+        out += [a, b, 1024 - a - b]
+    return out
+
 
+def test_crossover_keeps_every_item_once():
     rng = random.Random(4)
     sizes = [rng.randint(1, 600) for _ in range(200)]
     a = [[i] for i in range(200)]
     b = crossover(a, [[i] for i in reversed(range(200))], sizes, rng)
     c = crossover(b, a, sizes, rng)
-    for bins in (b, c):
+    for bins in (b, c, mutate(c, sizes, rng), evolve(sizes, [a], 3)):
         assert sorted(i for x in bins for i in x) == list(range(200)) and all(sum(sizes[i] for i in x) <= 1024 for x in bins)
 
 
+def best_fit_decreasing(sizes: list[int]) -> int:
+    rooms: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        k = min((k for k, r in enumerate(rooms) if r >= s), key=rooms.__getitem__, default=None)
+        if k is None:
+            rooms.append(1024 - s)
+        else:
+            rooms[k] -= s
+    return len(rooms)
+
+
+@pytest.mark.parametrize("n", [20, 60])
+def test_evolution_beats_best_fit(n):
+    sizes = triplets(n, random.Random(n))
+    assert len(evolve(sizes, [], 5)) < best_fit_decreasing(sizes)
+
+
+def test_packing_beats_best_fit(spark, small, whole, coded):
+    """Not more sequences than a plain best-fit decreasing packer over all pieces at once."""
+    lengths = [n for ids in coded([r[1] for r in whole]) for n in ([len(ids)] if len(ids) <= 1024 else [*[len(ids) % 1024] * (len(ids) % 1024 > 0), *[1024] * (len(ids) // 1024)])]
+    assert op4_best_fit_packing(spark, small).select("sequence_id").distinct().count() <= best_fit_decreasing(lengths)
+
+
+def test_large_ids_beside_null_ids(frame):
+    rows = [(2**53 + 1, "a"), (None, "b"), (None, None), (2**62 + 1, "c")]
+    assert sorted((r.doc_id for r in pack(pieces(frame(rows))).collect()), key=str) == sorted((d for d, _ in rows), key=str)
+
+
 @pytest.mark.parametrize("operator", [quality_verdicts, quality_filter, lm_scores, digests, pii_spans, redact, lambda d: pack(pieces(d))])
 def test_empty_tables(frame, operator):
     assert operator(frame([(1, "a")]).limit(0)).count() == 0

@@ -19,6 +19,7 @@ BATCH_ROWS = 1000
 BATCH_BYTES = "16m"
 
 _written: list[tuple[SparkSession, str]] = []
+_local_root: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,29 +30,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; where it is unset (local runs and tests) a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "tidewater-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local_root:
+        _local_root.append("file://" + os.path.join(tempfile.gettempdir(), f"tidewater-{uuid.uuid4().hex}"))
+    return _local_root[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     """Write df as Parquet to the shared checkpoint folder and read it back: lineage ends there and lost executors
-    cost a re-read only. The files go with release() or when the driver's Python ends."""
+    cost a re-read only. The files go with release() or when the driver's Python ends. clean: let Spark delete the
+    shuffle files behind it at once, where they are large."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tidewater-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    tidy(spark)
+    if clean:
+        tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects its garbage."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(spark, "_jvm", None)  # a remote session has none, and its server cleans by itself
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def discard(*tables: DataFrame) -> None:
@@ -81,7 +87,7 @@ atexit.register(release)
 
 
 def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches of bounded size."""
+    """mapInArrow with batches of bounded size. The bounds are the session's from then on: all operators here set the same."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(kernel, schema)
@@ -92,6 +98,14 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names count without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """The texts of a string column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

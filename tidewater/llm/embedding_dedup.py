@@ -9,8 +9,9 @@ A pair of blocks gives link counts and a spanning forest of its links, never the
 
 Equal vectors of a label are one entry with a multiplicity; n_links counts the copies. Vectors that are null, empty or
 zero, or hold null or non-finite components, and vectors without a label link with nothing; so do vectors of different
-lengths. Repeated rows are vectors of their own. A null vec_id counts in others' n_links and is no component's id unless
-the component has no other. Empty tables give no rows; extra columns are ignored.
+lengths. Repeated rows, and rows that share a vec_id, are vectors of their own. A null vec_id counts in others' n_links
+and is no component's id unless the component has no other. Ties: vectors at a cosine of exactly COSINE link. Empty
+tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,13 +70,14 @@ def principal_axes(entries: DataFrame, size: int) -> np.ndarray:
     return np.linalg.eigh((total + total.T) / 2)[1][:, ::-1]
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("grp", pa.string()), ("size", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())])
-BLOCK_SQL = "block long, grp string, size int, low array<double>, high array<double>, ids binary, copies binary, vectors binary"
+BLOCKS = pa.schema([("block", pa.int64()), ("grp", pa.string()), ("size", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("k1", pa.list_(pa.int64())), ("k2", pa.list_(pa.int64())), ("copies", pa.binary()), ("vectors", pa.binary())])
+BLOCK_SQL = "block long, grp string, size int, low array<double>, high array<double>, k1 array<long>, k2 array<long>, copies binary, vectors binary"
 
 
-def blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
-    """Runs of the grid order of each group (label and size), with their boxes on the leading axes."""
-    cells_of = pa.schema([("id", pa.int64()), ("grp", pa.string()), ("size", pa.int32()), ("v", pa.list_(pa.float32())), ("n", pa.int64()), ("cells", pa.list_(pa.int32()))])
+def blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float, real: type) -> DataFrame:
+    """Runs of the grid order of each group (label and size), with their boxes on the leading axes. real: the type of
+    the components. The k-th entry of a block has the id block * BLOCK + k from here on."""
+    cells_of = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("grp", pa.string()), ("size", pa.int32()), ("v", pa.list_(pa.from_numpy_dtype(real))), ("n", pa.int64()), ("cells", pa.list_(pa.int32()))])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,17 +88,17 @@ def blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataF
                 c = np.floor(unit(matrix(b["v"].take(pa.array(at)))) @ axes[size][:, :SORTED] / eps).astype(np.int32)
                 for k, row in zip(at.tolist(), c, strict=True):
                     out[k] = row
-            yield batch(cells_of, b["id"], b["grp"], b["size"], b["v"], b["n"], out)
+            yield batch(cells_of, b["k1"], b["k2"], b["grp"], b["size"], b["v"], b["n"], out)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         name = TaskContext.get().partitionId() << 32
 
         def block() -> pa.RecordBatch:
-            x = np.array([r["v"] for r in held], np.float32)
-            r = unit(x.astype(np.float64)) @ axes[held[0]["size"]][:, :BOXED]
-            ids, n = (np.array([r[c] for r in held], np.int64) for c in ("id", "n"))
-            return batch(BLOCKS, [name], [held[0]["grp"]], [held[0]["size"]], [r.min(axis=0)], [r.max(axis=0)], [ids.tobytes()], [n.tobytes()], [x.tobytes()])
+            x = np.array([r["v"] for r in held], real)
+            turned = unit(x.astype(np.float64)) @ axes[held[0]["size"]][:, :BOXED]
+            n = np.array([r["n"] for r in held], np.int64)
+            return batch(BLOCKS, [name], [held[0]["grp"]], [held[0]["size"]], [turned.min(axis=0)], [turned.max(axis=0)], *([[r[k] for r in held]] for k in ("k1", "k2")), [n.tobytes()], [x.tobytes()])
 
         for b in batches:
             for r in b.to_pylist():
@@ -107,8 +109,8 @@ def blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataF
         if held:
             yield block()
 
-    found = map_batches(entries, cells, "id long, grp string, size int, v array<float>, n long, cells array<int>")
-    ordered = found.repartitionByRange(tasks(entries.sparkSession), "grp", "cells", "id").sortWithinPartitions("grp", "cells", "id")
+    found = map_batches(entries, cells, f"k1 long, k2 long, grp string, size int, v array<{'float' if real is np.float32 else 'double'}>, n long, cells array<int>")
+    ordered = found.repartitionByRange(tasks(entries.sparkSession), "grp", "cells", "k1", "k2").sortWithinPartitions("grp", "cells", "k1", "k2")
     return map_batches(ordered.drop("cells"), pack, BLOCK_SQL)
 
 
@@ -116,11 +118,14 @@ def near_blocks(found: DataFrame, eps: float) -> DataFrame:
     """Pairs (a, b) of blocks of a group, a <= b, whose boxes lie within eps."""
     span = lambda k, more: F.sequence(F.floor(F.get("low", F.lit(k)) / eps) - more, F.floor(F.get("high", F.lit(k)) / eps) + more)
     boxes = found.select("block", "grp", "low", "high")
-    left = boxes.withColumn("c", F.explode(span(0, 0))).select(F.col("block").alias("a"), "grp", "c", F.col("low").alias("la"), F.col("high").alias("ha"))
-    right = boxes.withColumn("c", F.explode(span(0, 1))).select(F.col("block").alias("b"), "grp", "c", F.col("low").alias("lb"), F.col("high").alias("hb"))
+    # cells of the first two axes; a vector of one axis has no second one
+    second = lambda more: F.coalesce(span(1, more), F.array(F.lit(0).cast("long")))
+    spread_out = lambda more: boxes.withColumn("c", F.explode(span(0, more))).withColumn("d", F.explode(second(more)))
+    left = spread_out(0).select(F.col("block").alias("a"), "grp", "c", "d", F.col("low").alias("la"), F.col("high").alias("ha"))
+    right = spread_out(1).select(F.col("block").alias("b"), "grp", "c", "d", F.col("low").alias("lb"), F.col("high").alias("hb"))
     gap = F.zip_with(F.zip_with("la", "hb", lambda x, y: x - y), F.zip_with("lb", "ha", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     near = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps
-    return left.join(right, ["grp", "c"]).filter((F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
+    return left.join(right, ["grp", "c", "d"]).filter((F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
 
 
 def joined(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, cosine: float, eps: float) -> np.ndarray:
@@ -168,15 +173,15 @@ def forest(link: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def block_links(pairs: DataFrame, axes: dict[int, np.ndarray], cosine: float, eps: float) -> DataFrame:
+def block_links(pairs: DataFrame, axes: dict[int, np.ndarray], cosine: float, eps: float, real: type) -> DataFrame:
     """Of pairs of blocks: (id, null, links to copies in the other block) and edges (a, b, null) of a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 size, one = r["size"], r["a"] == r["b"]
-                x, y = (np.frombuffer(r[k], np.float32).reshape(-1, size).astype(np.float64) for k in ("va", "vb"))
-                (ia, ca), (ib, cb) = ((np.frombuffer(r[k], np.int64) for k in (f"i{s}", f"c{s}")) for s in "ab")
+                x, y = (np.frombuffer(r[k], real).reshape(-1, size).astype(np.float64) for k in ("va", "vb"))
+                (ia, ca), (ib, cb) = ((r[s] * BLOCK + np.arange(len(n)), n) for s in "ab" for n in [np.frombuffer(r[f"c{s}"], np.int64)])
                 turn = axes[size][:, :BOXED]
                 link = joined(x, y, unit(x) @ turn, unit(y) @ turn, cosine, eps)
                 if one:
@@ -197,26 +202,31 @@ def block_links(pairs: DataFrame, axes: dict[int, np.ndarray], cosine: float, ep
 
 
 def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id of every row of vectors(vec_id, embedding, label)."""
+    """vec_id, n_links, component_id of every row of vectors(vec_id, embedding, label). Components are those of array<float>
+    as they are stored; any other numeric type is taken in double precision."""
     eps = radius(cosine)
-    v = F.col("embedding").cast("array<float>")
+    real, kind = (np.float32, "float") if dict(vectors.dtypes)["embedding"] == "array<float>" else (np.float64, "double")
+    v = F.col("embedding").cast(f"array<{kind}>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.col("label").cast("string").alias("label"))
     fine = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    rows = materialize(rows.select("vec_id", F.when(F.col("fine"), F.col("v")).alias("v"), F.size("v").alias("size"), F.concat_ws(":", F.size("v").cast("string"), "label").alias("grp"), F.when(F.col("fine"), F.xxhash64("label", "v")).alias("k1"), F.when(F.col("fine"), F.hash("v", "label")).alias("k2")), "vectors")
+    # an entry is a label and a vector, known by 96 bits of their hashes: rows of one vec_id and different vectors stay apart
+    rows = materialize(rows.select("vec_id", F.when(F.col("fine"), F.col("v")).alias("v"), F.size("v").alias("size"), F.concat_ws(":", F.size("v").cast("string"), "label").alias("grp"), F.when(F.col("fine"), F.xxhash64("label", "v")).alias("k1"), F.when(F.col("fine"), F.hash("v", "label").cast("long")).alias("k2")), "vectors")
     good = rows.filter("k1 is not null")
-    # a group's id names it in joins; groups whose ids are all null get a negative one
-    entries = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.first("v").alias("v"), F.first("grp").alias("grp"), F.first("size").alias("size"), F.count("*").alias("n"))
-    entries = materialize(entries.withColumn("id", F.coalesce("least", F.lit(2**63 - 1) - F.abs(F.col("k1") % (1 << 40)))), "entries")
+    entries = materialize(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.first("v").alias("v"), F.first("grp").alias("grp"), F.first("size").alias("size"), F.count("*").alias("n")), "entries")
     axes = {r["size"]: principal_axes(entries, r["size"]) for r in entries.select("size").distinct().collect()}  # as many rows as there are lengths of vectors
-    found = materialize(blocks(entries.select("id", "grp", "size", "v", "n"), axes, eps), "blocks")
+    found = materialize(blocks(entries.select("k1", "k2", "grp", "size", "v", "n"), axes, eps, real), "blocks")
     pairs = materialize(near_blocks(found, eps), "pairs")
-    side = lambda s: found.select(F.col("block").alias(s), F.col("ids").alias(f"i{s}"), F.col("copies").alias(f"c{s}"), F.col("vectors").alias(f"v{s}"), *(["size"] if s == "a" else []))
-    linked = materialize(block_links(pairs.join(side("a"), "a").join(side("b"), "b"), axes, cosine, eps), "links")
+    side = lambda s: found.select(F.col("block").alias(s), F.col("copies").alias(f"c{s}"), F.col("vectors").alias(f"v{s}"), *(["size"] if s == "a" else []))
+    linked = materialize(block_links(pairs.join(side("a"), "a").join(side("b"), "b"), axes, cosine, eps, real), "links")
     counts = linked.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_other"))
     parts = connected_components(linked.filter("n is null").select("a", "b")).withColumnRenamed("node", "id")
-    table = materialize(entries.join(counts, "id", "left").join(parts, "id", "left").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), (F.coalesce("n_other", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "components")
-    out = good.join(table, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).select("vec_id", "n_links", F.when(F.col("component_id") < 2**62, F.col("component_id")).alias("component_id"))
+    ids = found.select("block", F.posexplode(F.arrays_zip("k1", "k2"))).select((F.col("block") * BLOCK + F.col("pos")).alias("id"), "col.k1", "col.k2")
+    named = ids.join(entries.select("k1", "k2", "least", "n"), ["k1", "k2"]).join(counts, "id", "left").join(parts, "id", "left")
+    named = materialize(named.select("k1", "k2", "least", F.coalesce("component", "id").alias("part"), (F.coalesce("n_other", F.lit(0)) + F.col("n") - 1).alias("n_links")), "named")
+    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    table = named.join(least, "part").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "n_links", "component_id")
+    out = good.join(table, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).select("vec_id", "n_links", "component_id")
     return out.unionByName(rows.filter("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 

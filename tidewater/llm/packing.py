@@ -4,23 +4,27 @@ Documents become token sequences (closed by the token 2); longer ones are cut in
 piece taking what is left over. Pieces are dealt by hash to shards of about SHARD pieces, which are packed by
 themselves. For each shard ISLANDS populations evolve as rows of their own in Spark. A solution is a set of bins, and
 crossover works on whole bins: well-filled bins of one parent are injected into another, bins of the other that hold
-the same pieces are dissolved, and the displaced pieces go back by best fit. After each epoch every island's elite
-moves to the next island of its shard. The best solution of a shard lays out its sequences. A shard that reaches the
-least possible number of sequences stops early.
-
-Nulls: a null text is empty, which leaves one token. Empty tables give no rows. Repeated rows are packed each for
-itself. Everything random is seeded by shard and island, so a lost task repeats its result.
+the same pieces are dissolved, and the displaced pieces go back by best fit after larger ones of them were exchanged for smaller
+items of bins that they fill better. After each epoch every island's elite moves to the next island of its shard. The
+best solution of a shard lays out its sequences; those of all shards that are not full are emptied and packed once more.
+A shard that reaches the least possible number of sequences stops early.
+
+Nulls: a null text is empty, which leaves one token; null ids stay null. Empty tables give no rows. Repeated rows are
+packed each for itself. Ties: pieces of equal length are taken by id, piece and checksum. Very long texts give many
+pieces, which go to many shards. Columns besides doc_id and text are ignored. Everything random is seeded by shard and
+island, and pieces are dealt by their place in a written table, so a lost task repeats its result.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -33,10 +37,15 @@ from tidewater.llm.common import batch, map_batches, materialize, read_table, sp
 CAPACITY = 1024
 END = 2
 SHARD = 8192
+#: Sequences below this share of the capacity are packed again, over all shards.
+REST = 0.9
 ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 5
+#: Generations of an epoch at most; with one sequence over the least possible number, CLOSE of them (the sequences of all
+#: shards that aren't full are packed once more, so that little is left to gain there).
+GENERATIONS = 40
+CLOSE = 3
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -112,8 +121,35 @@ def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, float]:
     return (-len(bins), sum((sum(sizes[i] for i in b) / CAPACITY) ** 2 for b in bins))
 
 
+def exchange(packing: Packing, displaced: list[int]) -> list[int]:
+    """Larger displaced items take the places of one or two smaller ones in bins that they fill better. The items that are
+    displaced afterwards, largest first."""
+    sizes = packing.sizes
+    free = sorted((sizes[i], i) for i in displaced)
+    for b, room in enumerate(packing.room):
+        if not room or not free or len(packing.bins[b]) > 12:
+            continue
+        own, best = packing.bins[b], (0, 0, ())
+        for some in (*((i,) for i in own), *combinations(own, 2)):
+            size = sum(sizes[i] for i in some)
+            at = bisect_right(free, (size + room, len(sizes))) - 1
+            if at >= 0 and free[at][0] - size > best[0]:
+                best = (free[at][0] - size, at, some)
+        if best[0]:
+            gain, at, some = best
+            packing._unfile(b)
+            own.append(free.pop(at)[1])
+            for i in some:
+                own.remove(i)
+                insort(free, (sizes[i], i))
+            packing.room[b] -= gain
+            packing._file(b)
+    return [i for _, i in sorted(free, key=lambda x: (-x[0], x[1]))]
+
+
 def crossover(into: list[list[int]], given: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
-    """The bins of into with well-filled bins of given injected whole; displaced items go back by best fit."""
+    """The bins of into with well-filled bins of given injected whole; displaced items are exchanged for smaller ones and
+    go back by best fit."""
     ranked = sorted(given, key=lambda b: -sum(sizes[i] for i in b))
     injected = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5] or ranked[:1]
     taken = {i for b in injected for i in b}
@@ -125,47 +161,52 @@ def crossover(into: list[list[int]], given: list[list[int]], sizes: list[int], r
             out.add_bin(b)
         else:
             displaced += [i for i in b if i not in taken]
-    displaced.sort(key=lambda i: (-sizes[i], i))
-    out.best_fit(displaced)
+    out.best_fit(exchange(out, displaced))
     return out.bins
 
 
 def mutate(bins: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
-    """The emptiest bins and a few others are dissolved and their items put back by best fit."""
+    """The emptiest bins and a few others are dissolved, their items exchanged and put back by best fit."""
     ranked = sorted(bins, key=lambda b: sum(sizes[i] for i in b))
     n = max(1, len(bins) // 50)
-    gone = ranked[:n] + rng.sample(ranked[n:], min(n, len(ranked) - n))
+    gone = ranked[:n] + rng.sample(ranked[n:], min(2 * n, len(ranked) - n))
     left = {id(b) for b in gone}
     out = Packing(sizes)
     for b in bins:
         if id(b) not in left:
             out.add_bin(b)
-    back = [i for b in gone for i in b]
-    back.sort(key=lambda i: (-sizes[i], i))
-    out.best_fit(back)
+    out.best_fit(exchange(out, [i for b in gone for i in b]))
     return out.bins
 
 
+def least_bins(sizes: list[int]) -> int:
+    return -(-sum(sizes) // CAPACITY)
+
+
+def descending(sizes: list[int], noise: random.Random | None = None) -> list[list[int]]:
+    """Best fit of the items from the largest on; with noise, of a somewhat disturbed order."""
+    p = Packing(sizes)
+    p.best_fit(sorted(range(len(sizes)), key=(lambda i: (-sizes[i], i)) if noise is None else (lambda i: (-sizes[i] * noise.uniform(0.8, 1.0), i))))
+    return p.bins
+
+
 def evolve(sizes: list[int], known: list[list[list[int]]], seed: int, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best of a population after some generations. known: solutions to begin with."""
-    rng, bound = random.Random(seed), -(-sum(sizes) // CAPACITY)
-    population = list(known)
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    """The best of a population after some generations, fewer where a solution has as few bins as can be. known:
+    solutions to begin with; best fit is among the first ones."""
+    rng, bound = random.Random(seed), least_bins(sizes)
+    population = list(known) or [descending(sizes)]
+    if min(map(len, population)) <= bound:
+        return min(population, key=len)
     while len(population) < POPULATION:
-        p = Packing(sizes)
-        if population:  # further ones start from disturbed orders
-            order = sorted(range(len(sizes)), key=lambda i: (-sizes[i] * rng.uniform(0.8, 1.0), i))
-        p.best_fit(order)
-        population.append(p.bins)
-        if len(p.bins) == bound:
-            break
+        population.append(mutate(population[0], sizes, rng) if len(population) % 2 else descending(sizes, rng))
     score = lambda b: fitness(b, sizes)
     population.sort(key=score, reverse=True)
-    for _ in range(generations):
-        if len(population[0]) <= bound:
+    for k in range(generations):
+        over = len(population[0]) - bound
+        if over <= 0 or (over == 1 and k >= CLOSE):
             break
-        a, b = rng.sample(population[: max(2, POPULATION // 2)], 2) if len(population) > 1 else population * 2
-        children = [mutate(crossover(a, b, sizes, rng), sizes, rng), crossover(b, a, sizes, rng)]
+        a, b = rng.sample(population, 2)
+        children = [mutate(crossover(a, b, sizes, rng), sizes, rng), mutate(population[0], sizes, rng)]
         population = sorted(population + children, key=score, reverse=True)[:POPULATION]
     return population[0]
 
@@ -198,36 +239,55 @@ def _epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(STATE, [r["shard"]], [r["island"]], [r["sizes"]], [genome(best, len(r["sizes"]))], [len(best)])
 
 
-def _lay_out(found: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+PACKED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())])
+PACKED_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
+
+
+def _lay_out(found: pa.Table, best: pa.Table) -> pa.Table:
     """Sequences of a shard: its pieces in the order of the solution's items, and whole pieces in sequences of their own."""
-    found = found.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    small = found["length"].to_numpy() < CAPACITY
-    bin_of = np.frombuffer(best["elite"].iloc[0], "<i4").astype(np.int64) if len(best) else np.empty(0, np.int64)
+    found = found.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+    length = found["length"].to_numpy()
+    small = length < CAPACITY
+    bin_of = np.frombuffer(best["elite"][0].as_py(), "<i4").astype(np.int64) if len(best) else np.empty(0, np.int64)
     seq = np.empty(len(found), np.int64)
     seq[small] = bin_of
     seq[~small] = bin_of.max(initial=-1) + 1 + np.arange((~small).sum())
-    found["sequence_id"] = (found["shard"].to_numpy() << 32) + seq if len(found) else seq
-    found["offset"] = found.groupby("sequence_id")["length"].cumsum() - found["length"]
-    return found.drop(columns="shard")
-
-
-def pack(found: DataFrame) -> DataFrame:
-    """pieces() with sequence_id and offset."""
-    spark = found.sparkSession
-    found = materialize(found, "pieces")
+    order = np.argsort(seq, kind="stable")
+    before = np.cumsum(length[order]) - length[order]
+    head = np.concatenate([[True], seq[order][1:] != seq[order][:-1]]) if len(seq) else np.empty(0, bool)
+    offset = np.empty(len(seq), np.int64)
+    offset[order] = before - np.maximum.accumulate(np.where(head, before, 0)) if len(seq) else before
+    fill = np.bincount(seq, weights=length).astype(np.int64)[seq] if len(seq) else seq
+    name = (found["shard"].to_numpy() << 32) + seq
+    return pa.Table.from_arrays([*(found[c].combine_chunks() for c in PIECES.names), pa.array(name), pa.array(offset), pa.array(fill)], schema=PACKED)
+
+
+def packed(found: DataFrame, first: int) -> DataFrame:
+    """Pieces in sequences, with the tokens of each (fill). Shards, and so sequence_id, are numbered from first on.
+    Rows are dealt by their place in a written table, as any number of them may be alike."""
+    found = materialize(found.select(*PIECES.names, F.monotonically_increasing_id().alias("at")), "pieces")
     shards = max(1, -(-found.count() // SHARD))
-    found = found.withColumn("shard", spread("doc_id", "piece", "ids_crc32", buckets=shards))
+    found = found.withColumn("shard", spread("at", buckets=shards) + first)
     # sizes in the order in which _lay_out() sorts the pieces; a shard holds about SHARD pieces, whatever the input
     sizes = found.filter(F.col("length") < CAPACITY).groupBy("shard").agg(F.sort_array(F.collect_list("length"), asc=False).alias("sizes"))
     islands = sizes.select("shard", F.explode(F.array(*(F.lit(k) for k in range(ISLANDS)))).alias("island"), "sizes")
     state = islands.withColumns({"elite": F.lit(None).cast("binary"), "guest": F.lit(None).cast("binary")})
     for _ in range(EPOCHS):
-        state = materialize(state.repartition("shard", "island").mapInArrow(_epoch, STATE_SQL), "islands")
+        # a row is seconds of work and a few KB: a stated number of partitions, which isn't coalesced by bytes
+        state = materialize(state.repartition(3 * ISLANDS * shards, "shard", "island").mapInArrow(_epoch, STATE_SQL), "islands")
         elites = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("guest"))
         evolved, state = state, state.join(elites, ["shard", "island"])
     best = evolved.groupBy("shard").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return found.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(_lay_out, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return found.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(_lay_out, PACKED_SQL)
+
+
+def pack(found: DataFrame) -> DataFrame:
+    """pieces() with sequence_id and offset. Every shard may end with a sequence that is not full: those of less than
+    REST of the capacity are emptied, and their pieces of all shards are packed once more."""
+    once = materialize(packed(found, 0), "packed")
+    rest = F.col("fill") < REST * CAPACITY
+    again = packed(once.filter(rest), 1 << 30)
+    return once.filter(~rest).unionByName(again).drop("fill")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def unpack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, pattern) of strings beside the base spans that labelers vote on."""
-    out, k, led = [], 0, {m.end() for m in LEAD.finditer(text)}
+    out, k, reach, led = [], 0, 0, {m.end() for m in LEAD.finditer(text)}
     for m in CANDIDATE.finditer(text):
         word = m[0]
         a, b = m.span()
@@ -126,9 +126,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         digits = 0 if plain and word.isalpha() else sum(c.isdigit() for c in word)
         if plain and not digits and a not in led:
             continue
-        while k < len(base) and base[k][2] <= a:
+        while k < len(base) and base[k][0] < b:
+            reach = max(reach, base[k][2])
             k += 1
-        if any(s < b and e > a for s, _, e in base[max(0, k - 1) : k + 4]):
+        if reach > a:  # a base span that begins before this one's end ends behind its start
             continue
         before = text[max(0, a - 40) : a]
         out.append((a, 4 if digits < len(re.sub(r"[-_]", "", word)) else 5, b, pattern(vote(word, before), features(word, before))))
@@ -205,34 +206,30 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.array_sort(F.concat("base", F.filter("extra", lambda s: F.array_contains(good, s["pattern"])))).alias("spans"), "base_sha256")
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for t, spans in zip(b["text"].to_pylist(), b["_spans"].to_pylist(), strict=True):
-            end, parts = 0, []
-            for s in spans or []:
-                if s["start"] >= end:
-                    parts += [t[end : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                end = max(end, s["end"])
-            out.append("".join(parts) + t[end:] if parts else t)
-        names = b.schema.names
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names if n != "_spans"], names=[n for n in names if n != "_spans"])
+def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """A text with its spans (start, kind number, end), in order, replaced by their kinds."""
+    end, parts = 0, []
+    for a, kind, b in spans:
+        if a >= end:
+            parts += [text[end:a], f"[{KINDS[kind].upper()}]"]
+        end = max(end, b)
+    return "".join(parts) + text[end:]
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span in text replaced by its kind in brackets; all columns stay. Of overlapping spans the first
-    gives the name and all are removed."""
+    """docs with each span in text replaced by its kind in brackets; all columns stay, whatever their names. Of
+    overlapping spans the first gives the name and all are removed. Null texts stay null."""
     found = materialize(map_batches(docs.select(F.lit(0).cast("long").alias("doc_id"), "text"), _find, f"doc_id long, base {SPAN_SQL}, extra {SPAN_SQL}, base_sha256 string").select("extra"), "candidates")
     good = set(accepted(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = []
-            for t in texts(b["text"]):
-                base = base_spans(t)
-                spans.append([dict(zip(("start", "kind", "end"), s[:3], strict=True)) for s in sorted([*base, *(c for c in candidates(t, base) if c[3] in good)])])
-            typed = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])))
-            yield from _redact([pa.RecordBatch.from_arrays([*b.columns, typed], names=[*b.schema.names, "_spans"])])
+            out = []
+            for t in b["text"].to_pylist():
+                base = base_spans(t or "")
+                out.append(t and redacted(t, sorted([*base, *(c[:3] for c in candidates(t, base) if c[3] in good)])))
+            names = b.schema.names
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
     return map_batches(docs, run, docs.schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import batch, byte_texts, map_batches, materialize, read_table
+from tidewater.llm.common import batch, byte_texts, map_batches, materialize, read_table, unused
 
 GAMMA = 1.05
 WIDTH = 6.0
@@ -140,9 +140,11 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with all their columns. Rows that share a doc_id, or have none, are judged each by
     its own text, language and source."""
-    bad = quality_verdicts(docs).filter("not kept").select(F.col("doc_id").alias("bad_id"), F.col("tid").alias("bad_tid"), F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct()
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_tid"))
-    return docs.join(bad, own & F.col("lang").cast("string").eqNullSafe(F.col("bad_lang")) & F.col("source").cast("string").eqNullSafe(F.col("bad_source")), "left_anti")
+    names = {c: unused(docs, f"bad_{c}") for c in ("doc_id", "tid", "lang", "source")}
+    bad = quality_verdicts(docs).filter("not kept").select(*(F.col(c).alias(n) for c, n in names.items())).distinct()
+    same = lambda c, kind: F.col(c).cast(kind).eqNullSafe(F.col(names[c]))
+    own = same("doc_id", "long") & (F.xxhash64("text") == F.col(names["tid"]))
+    return docs.join(bad, own & same("lang", "string") & same("source", "string"), "left_anti")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import batch, byte_texts, connected_components, map_batches, materialize, read_table
+from tidewater.llm.common import batch, byte_texts, connected_components, map_batches, materialize, read_table, unused
 
 RADIUS = 3
 SEED = 42
@@ -90,8 +90,9 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     shared = known.groupBy(F.col("doc_id").alias("_id")).agg((F.min("tid") != F.max("tid")).alias("_shared")).filter("_shared")
     known = known.join(shared, known.doc_id == shared._id, "left").select("part", F.when(F.col("_shared"), 1).otherwise(0).alias("rank"), "doc_id", "tid")
     ranked = known.unionByName(parts.filter("doc_id is null").select("part", F.lit(2).alias("rank"), "doc_id", "tid"))
-    kept = ranked.groupBy("part").agg(F.min(F.struct("rank", "doc_id", "tid")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tid").alias("_tid"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tid"))).dropDuplicates(["_id", "_tid"]).drop("_id", "_tid")
+    i, t = unused(docs, "_id"), unused(docs, "_tid")
+    kept = ranked.groupBy("part").agg(F.min(F.struct("rank", "doc_id", "tid")).alias("k")).select(F.col("k.doc_id").alias(i), F.col("k.tid").alias(t))
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t))).dropDuplicates([i, t]).drop(i, t)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

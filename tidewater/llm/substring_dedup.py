@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import batch, byte_texts, map_batches, materialize, read_table
+from tidewater.llm.common import batch, byte_texts, map_batches, materialize, read_table, unused
 from tidewater.llm.repeats import HOT, SEGMENT_SQL, Rolling, covered, fetched, keyed, known_in_batch, narrowed, portions, repeated_windows, segments, split_repeats
 from tidewater.llm.suffix_dedup import ROWS, RUNS, VALUES, by_class
 
@@ -196,11 +196,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc, tid, pos, n): the windows from word pos to pos + n - 1 of a document that a smaller one holds as well."""
     texts = keyed(docs)
     gone, open_ = split_repeats(map_batches(texts, _segments, SEGMENT_SQL), by_start=False)
-    sliced = materialize(map_batches(fetched(open_, texts), _slices, SLICE_SQL), "slices")
+    sliced = materialize(map_batches(fetched(open_, texts), _slices, SLICE_SQL), "slices", clean=True)
     indexed = sliced.filter("key is null").select("mini", "doc", "tid", "pos", "anchor", "words").repartition("mini").sortWithinPartitions("mini", "doc", "tid", "pos")
     indexed = map_batches(indexed, _index, "doc long, tid long, pos int, n int")
     hot = repeated_windows(sliced.filter("key is not null"), by_start=False)
-    return materialize(gone.unionByName(indexed).unionByName(hot), "runs")
+    return materialize(gone.unionByName(indexed).unionByName(hot), "runs", clean=True)
 
 
 def spans_of(text: bytes, runs) -> tuple[np.ndarray, np.ndarray, int]:
@@ -238,33 +238,36 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     return map_batches(_with_runs(keyed(docs), repeated_runs(docs)).select("doc", "text", "runs"), _remove, REMOVED_SQL)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, runs in zip(b["text"].to_pylist(), b["_runs"], strict=True):
-            if text is None or not runs.is_valid:
-                out.append(text)
-                continue
-            raw = text.encode()
-            a, e, _ = spans_of(raw, runs)
-            start, end, _ = word_hashes(np.frombuffer(raw, np.uint8))
-            parts, at = [], 0
-            for s, t in zip(a.tolist(), e.tolist(), strict=True):
-                parts.append(raw[at : start[s]])
-                at = int(start[t]) if t < len(start) else len(raw)
-            out.append(b"".join([*parts, raw[at:]]).decode())
-        names = [n for n in b.schema.names if n != "_runs"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
+def _cut(text: str | None, runs) -> str | None:
+    """A text without the words of its runs, and without the white space after them."""
+    if text is None or not runs.is_valid:
+        return text
+    raw = text.encode()
+    a, e, _ = spans_of(raw, runs)
+    start, end, _ = word_hashes(np.frombuffer(raw, np.uint8))
+    parts, at = [], 0
+    for s, t in zip(a.tolist(), e.tolist(), strict=True):
+        parts.append(raw[at : start[s]])
+        at = int(start[t]) if t < len(start) else len(raw)
+    return b"".join([*parts, raw[at:]]).decode()
 
 
 def substring_filter(docs: DataFrame) -> DataFrame:
     """docs with the repeated words taken out of text (with the white space after them); documents that lose all their
-    words go. All columns stay."""
-    runs = repeated_runs(docs).groupBy("doc", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("_runs")).withColumnsRenamed({"doc": "_doc", "tid": "_tid"})
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_tid"))
-    joined = docs.join(runs.hint("shuffle_hash"), own, "left").drop("_doc", "_tid")
-    had = F.col("_runs").isNotNull()
-    return map_batches(joined.withColumn("_had", had), _cut, docs.withColumn("_had", F.lit(True)).schema).filter(~F.col("_had") | (F.length(F.regexp_replace("text", r"[ \t\n\x0B\f\r]", "")) > 0)).drop("_had")
+    words go. All columns stay, whatever their names; null texts, and texts without words, stay as they are."""
+    own, tid, found, had = (unused(docs, c) for c in ("_doc", "_tid", "_runs", "_had"))
+    runs = repeated_runs(docs).groupBy("doc", "tid").agg(F.collect_list(F.struct("pos", "n")).alias(found)).withColumnsRenamed({"doc": own, "tid": tid})
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col(own)) & (F.xxhash64("text") == F.col(tid))
+    joined = docs.join(runs.hint("shuffle_hash"), same, "left").drop(own, tid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = pa.array([_cut(t, r) for t, r in zip(b["text"].to_pylist(), b[found], strict=True)], pa.string())
+            names = [n for n in b.schema.names if n != found]
+            yield pa.RecordBatch.from_arrays([out if n == "text" else b.column(n) for n in names], names=names)
+
+    cut = map_batches(joined.withColumn(had, F.col(found).isNotNull()), run, docs.withColumn(had, F.lit(True)).schema)
+    return cut.filter(~F.col(had) | (F.length(F.regexp_replace("text", r"[ \t\n\x0B\f\r]", "")) > 0)).drop(had)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

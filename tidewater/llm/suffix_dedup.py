@@ -232,11 +232,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc, tid, pos, n): the windows from pos to pos + n - 1 of a document that also start earlier."""
     texts = keyed(docs)
     gone, open_ = split_repeats(map_batches(texts, _segments, SEGMENT_SQL), by_start=True)
-    sliced = materialize(map_batches(fetched(open_, texts), _slices, "mini long, doc long, tid long, pos int, anchor int, key long, bytes binary"), "slices")
+    sliced = materialize(map_batches(fetched(open_, texts), _slices, "mini long, doc long, tid long, pos int, anchor int, key long, bytes binary"), "slices", clean=True)
     indexed = sliced.filter("key is null").select("mini", "doc", "tid", "pos", "anchor", "bytes").repartition("mini").sortWithinPartitions("mini", "doc", "tid", "pos")
     indexed = map_batches(indexed, _index, "doc long, tid long, pos int, n int")
     hot = repeated_windows(sliced.filter("key is not null"), by_start=True)
-    return materialize(gone.unionByName(indexed).unionByName(hot), "runs")
+    return materialize(gone.unionByName(indexed).unionByName(hot), "runs", clean=True)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:

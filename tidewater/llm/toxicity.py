@@ -199,6 +199,8 @@ class Network:
         """Adam over shuffled batches of 256 windows, those of both classes alike often."""
         rng, m, v = np.random.default_rng(seed), {n: 0.0 for n in self.p}, {n: 0.0 for n in self.p}
         by = [np.flatnonzero((label == c) & (cost > 0)) for c in (0, 1)]
+        if not all(map(len, by)):  # the labelled texts of a class have no words: nothing to tell apart
+            return
         for k in range(1, steps + 1):
             b = np.concatenate([rng.choice(x, 128) for x in by])
             for n, g in self.gradients(rows, at[b], label[b], cost[b]).items():
