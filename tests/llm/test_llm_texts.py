@@ -68,11 +68,27 @@ def test_rows_without_an_id_are_judged_apart(frame):
     assert sorted(str((r.doc_id, r.text)) for r in simhash_dedup(frame(rows[:21] + rows[:3])).collect()) == good
 
 
-def test_backoff_scores(docs, rows, spark, small, whole):
-    for df, want in ((lm_scores(docs), brute.op6(rows)), (op6_stupid_backoff(spark, small), brute.op6([r[:2] for r in whole]))):
-        got = {r.doc_id: r.score for r in df.collect()}
-        assert got.keys() == want.keys()
-        assert all(got[d] == pytest.approx(s, abs=1e-9) for d, s in want.items())
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_backoff_scores(docs, rows, order):
+    got, want = {r.doc_id: r.score for r in lm_scores(docs, order).collect()}, brute.op6(rows, order)
+    assert got.keys() == want.keys()
+    assert all(got[d] == pytest.approx(s, abs=1e-9) for d, s in want.items())
+
+
+def test_backoff_query(spark, small, whole):
+    got, want = {r.doc_id: r.score for r in op6_stupid_backoff(spark, small).collect()}, brute.op6([r[:2] for r in whole])
+    assert got.keys() == want.keys()
+    assert all(got[d] == pytest.approx(s, abs=1e-9) for d, s in want.items())
+
+
+def test_backoff_scores_of_rows_without_ids(frame):
+    """Rows are documents each: null ids, shared ids and equal rows."""
+    texts = ["a b c d", "a b c d", "b c d e a", "x y", None, "", "a b c d"]
+    want = brute.op6(list(enumerate(texts)))
+    for ids in ([None] * 7, [7] * 7, [1, 1, None, None, 2, 2, 3]):
+        got = sorted(((r.doc_id, r.n_words, r.score) for r in lm_scores(frame(list(zip(ids, texts, strict=True)))).collect()), key=str)
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(((d, len(brute.words(t)), want[k]) for k, (d, t) in enumerate(zip(ids, texts, strict=True))), key=str)]
+        assert sorted(g[2] for g in got if g[2] is not None) == pytest.approx(sorted(x for x in want.values() if x is not None))
 
 
 @settings(max_examples=60, deadline=None)
