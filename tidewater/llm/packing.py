@@ -42,10 +42,10 @@ REST = 0.9
 ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
-#: Generations of an epoch at most; with one sequence over the least possible number, CLOSE of them (the sequences of all
-#: shards that aren't full are packed once more, so that little is left to gain there).
+#: Generations of an epoch at most; with one sequence over the least possible number, CLOSE of them with one child each
+#: (the sequences of all shards that aren't full are packed once more, so that little is left to gain there).
 GENERATIONS = 40
-CLOSE = 3
+CLOSE = 1
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -197,7 +197,8 @@ def evolve(sizes: list[int], known: list[list[list[int]]], seed: int, generation
     population = list(known) or [descending(sizes)]
     if min(map(len, population)) <= bound:
         return min(population, key=len)
-    while len(population) < POPULATION:
+    close = min(map(len, population)) == bound + 1
+    while len(population) < (2 if close else POPULATION):
         population.append(mutate(population[0], sizes, rng) if len(population) % 2 else descending(sizes, rng))
     score = lambda b: fitness(b, sizes)
     population.sort(key=score, reverse=True)
@@ -206,7 +207,9 @@ def evolve(sizes: list[int], known: list[list[list[int]]], seed: int, generation
         if over <= 0 or (over == 1 and k >= CLOSE):
             break
         a, b = rng.sample(population, 2)
-        children = [mutate(crossover(a, b, sizes, rng), sizes, rng), mutate(population[0], sizes, rng)]
+        children = [mutate(crossover(a, b, sizes, rng), sizes, rng)]
+        if over > 1:
+            children.append(mutate(population[0], sizes, rng))
         population = sorted(population + children, key=score, reverse=True)[:POPULATION]
     return population[0]
 
