@@ -53,7 +53,7 @@ BUNDLE = 3_000_000
 #: Words of the documents whose n-grams are exploded at once, and bytes of them.
 PORTION = 4 << 20
 #: Ranges of hashes, one after the other, for the count tables and for the scores.
-COUNTED_IN, SCORED_IN = 3, 4
+COUNTED_IN, SCORED_IN = 4, 4
 
 COUNTS = pa.schema([("n", pa.int32()), ("pre", pa.int64()), ("suf", pa.int64()), ("occ", pa.int64()), ("docs", pa.int64())])
 OWN = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -190,8 +190,8 @@ def count_tables(docs: DataFrame, order: int) -> DataFrame:
     spark, raw = docs.sparkSession, []
     for which in range(COUNTED_IN):
         # partitioned before any sum: what a task hands on is summed already
-        rows = explode_counts(docs, order, which, COUNTED_IN).repartition(2 * tasks(spark), "n", "pre", "suf")
-        sums = rows.groupBy("n", "pre", "suf").agg(F.sum("occ").alias("c"), F.sum("docs").alias("docs"))
+        rows = explode_counts(docs, order, which, COUNTED_IN).repartition(2 * tasks(spark), "pre", "suf")
+        sums = rows.groupBy("pre", "suf").agg(F.max("n").alias("n"), F.sum("occ").alias("c"), F.sum("docs").alias("docs"))
         raw.append(materialize(sums.filter("docs > 1").drop("docs"), "counts", clean=True))
     every = reduce(DataFrame.unionByName, raw)
     one = F.lit(1).cast("long")

@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,11 +54,14 @@ def materialize(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects its garbage."""
-    gc.collect()
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects its garbage. The events of
+    the last job hold it for a moment, so the garbage is collected twice."""
     jvm = getattr(spark, "_jvm", None)  # a remote session has none, and its server cleans by itself
-    if jvm is not None:
+    for _ in range(2 if jvm is not None else 0):
+        time.sleep(0.25)
+        gc.collect()
         jvm.System.gc()
+    time.sleep(0.25)
 
 
 def discard(*tables: DataFrame) -> None:
