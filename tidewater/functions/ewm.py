@@ -1,12 +1,13 @@
 """Exponentially weighted means of long series as an associative scan.
 
 y[t] = (1 - a) y[t-1] + g x[t] is affine, so chunks of STEP rows are folded by themselves (a running sum of x over powers
-of 1 - a), the chunks' last values are carried over the small table of chunks, and carries are added back. The power
+of 1 - a), the chunks' last values are carried over the table of chunks, and carries are added back. The power
 within a chunk stays far from overflow.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -30,11 +31,12 @@ def ewm(df: DataFrame, x: str, alpha: float, out: str, by: str = "asset", ts: st
     run = Window.partitionBy(by, "_c").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("_b", F.pow(keep, F.col("_k")) * F.sum(gain * F.col("_x") * F.pow(keep, -F.col("_k"))).over(run))
     ends = c.groupBy(by, "_c").agg(F.max_by("_b", "_k").alias("_last"), F.count("*").alias("_n"))
-    # the carry into each chunk: a fold over the chunks before it
-    step = lambda s, e: F.struct((e["_last"] + s["y"] * F.pow(keep, e["_n"].cast("double"))).alias("y"), F.array_append(s["all"], F.struct(e["_c"].alias("_c"), s["y"].alias("_carry"))).alias("all"))
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<struct<_c:bigint,_carry:double>>").alias("all"))
-    chain = ends.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_c", "_last", "_n"))).alias("e"))
-    carries = chain.select(by, F.explode(F.aggregate("e", start, step)["all"]).alias("z")).select(F.col(by).alias("_by"), F.col("z._c").alias("_cc"), F.col("z._carry").alias("_carry"))
+    # the carry into each chunk: the ends of the chunks before it, faded; those whose share is below 1e-18 don't count
+    reach = max(1, math.ceil(42 / (STEP * max(1e-9, -math.log(1 - alpha))))) if alpha < 1 else 1
+    ends = c.groupBy(by, "_c").agg(F.max_by("_b", "_k").alias("_last"))
+    near = Window.partitionBy(by).orderBy("_c").rowsBetween(-reach, -1)
+    faded = F.aggregate("_all", F.lit(0.0), lambda s, e: s + e["_last"] * F.pow(keep, (STEP * (F.col("_c") - 1 - e["_c"])).cast("double")))
+    carries = ends.withColumn("_all", F.collect_list(F.struct("_c", "_last")).over(near)).select(F.col(by).alias("_by"), F.col("_c").alias("_cc"), faded.alias("_carry"))
     y = F.col("_b") + F.col("_carry") * F.pow(keep, F.col("_k") + 1)
     if adjust:
         y = y * alpha / (1 - F.pow(keep, F.col("_at").cast("double") + 1))
@@ -78,14 +80,17 @@ def seeded_mean(x: pd.Series, n: int, alpha: float) -> pd.Series:
 
 def smoothed(df: DataFrame, outs: dict[str, Callable[[pd.DataFrame], pd.Series]], by: str = "asset", ts: str = "bar") -> DataFrame:
     """df with columns that build on each other by recurrences, in one pass over each series of bars (which is as long
-    as its time span, not as its ticks). A chain of scans would read its input again for each link. NaN becomes null."""
+    as its time span, not as its ticks). A chain of scans would read its input again for each link. NaN becomes null;
+    columns of df that have a name of outs are replaced."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable", ignore_index=True)
         for name, f in outs.items():
             pdf[name] = f(pdf).astype(float)
-        return pdf
+        return pdf[names]
 
+    names = [*(c for c in df.columns if c not in outs), *outs]
+    df = df.select(*(c for c in df.columns if c not in outs))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{o}` double" for o in outs)])
     return df.groupBy(by).applyInPandas(run, schema)
 

@@ -18,13 +18,12 @@ CHUNK = 8192
 
 def placed(df: DataFrame, by: str = "asset", ts: str = "bar", tie: tuple[str, ...] = ()) -> DataFrame:
     """df with _at, each row's place (from 0) in its series by ts and ties."""
-    day = F.to_date(F.col(ts))
-    d = df.withColumn("_day", day)
+    d = df.withColumn("_day", F.to_date(F.col(ts)))
     sizes = d.groupBy(by, "_day").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col(by).alias("_by"), F.col("_day").alias("_d"), before.alias("_before"))
+    offsets = sizes.select(F.col(by).alias("_of_by"), F.col("_day").alias("_of_day"), before.alias("_before"))
     rank = F.row_number().over(Window.partitionBy(by, "_day").orderBy(ts, *tie))
-    return d.join(offsets, (F.col(by) == F.col("_by")) & (F.col("_day") == F.col("_d"))).withColumn("_at", F.col("_before") + rank - 1).drop("_by", "_d", "_day", "_before")
+    return d.join(offsets, (F.col(by) == F.col("_of_by")) & (F.col("_day") == F.col("_of_day"))).withColumn("_at", F.col("_before") + rank - 1).drop("_of_by", "_of_day", "_day", "_before")
 
 
 def over_chunks(df: DataFrame, halo: int, *stages: Callable[[WindowSpec], dict[str, Column]], by: str = "asset", ts: str = "bar", chunk: int = CHUNK, ahead: int = 0) -> DataFrame:
@@ -42,6 +41,32 @@ def over_chunks(df: DataFrame, halo: int, *stages: Callable[[WindowSpec], dict[s
     return x.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk", "_at")
 
 
+def running(df: DataFrame, outs: dict[str, tuple[str, Column]], by: str = "asset", ts: str = "bar", chunk: int = CHUNK, backwards: bool = False) -> DataFrame:
+    """df with running aggregates: outs name a kind (sum, min, max, or last: the last value that is not null) and a
+    column. Chunks run by themselves; what the chunks before hand on comes from a table of one row for each chunk.
+    backwards: from the series' end (last is then the next value)."""
+    x = placed(df, by, ts).withColumn("_part", F.floor(F.col("_at") / chunk))
+    x = x.withColumns({f"_val_{o}": v for o, (_, v) in outs.items()})
+    aggregates = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}
+    order = lambda c: F.desc(c) if backwards else F.asc(c)
+    own = Window.partitionBy(by, "_part").orderBy(order("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({f"_own_{o}": aggregates[kind](f"_val_{o}").over(own) for o, (kind, _) in outs.items()})
+    farthest = F.min_by if backwards else F.max_by
+    before = Window.partitionBy(by).orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = x.groupBy(by, "_part").agg(*(farthest(f"_own_{o}", "_at").alias(f"_end_{o}") for o in outs))
+    carried = ends.select(F.col(by).alias("_of_by"), F.col("_part").alias("_of_part"), *(aggregates[kind](f"_end_{o}").over(before).alias(f"_bef_{o}") for o, (kind, _) in outs.items()))
+    joined = x.join(carried, (F.col(by) == F.col("_of_by")) & (F.col("_part") == F.col("_of_part")))
+
+    def both(o: str, kind: str) -> Column:
+        a, c = F.col(f"_own_{o}"), F.col(f"_bef_{o}")
+        if kind == "sum":
+            return F.when(c.isNull(), a).otherwise(c + F.coalesce(a, F.lit(0)))
+        return F.coalesce(a, c) if kind == "last" else (F.least if kind == "min" else F.greatest)(a, c)
+
+    drop = [f"_{k}_{o}" for o in outs for k in ("val", "own", "end", "bef")]
+    return joined.withColumns({o: both(o, kind) for o, (kind, _) in outs.items()}).drop("_of_by", "_of_part", "_part", "_at", *drop)
+
+
 def trailing(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 

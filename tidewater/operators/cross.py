@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewater.functions.ordered import running
+
 
 def correlation(a: str, b: str, w: WindowSpec | None = None) -> Column:
     """Pearson's correlation; null where one of both doesn't vary (the built-in aggregate raises an error there)."""
@@ -16,9 +18,14 @@ def expanding_correlation(df: DataFrame, base: str, x: str = "close") -> DataFra
     """asset, bar, correlation of every other asset with base over all common bars so far; null until both vary."""
     own = df.filter(F.col("asset") == base).select("bar", F.col(x).alias("b"))
     both = df.filter(F.col("asset") != base).select("asset", "bar", F.col(x).alias("a")).join(own, "bar")
-    w = Window.partitionBy("asset").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    varies = (F.count("*").over(w) >= 2) & (F.max("a").over(w) > F.min("a").over(w)) & (F.max("b").over(w) > F.min("b").over(w))
-    return both.withColumn("ok", varies).select("asset", "bar", F.when(F.col("ok"), correlation("a", "b", w)).alias("correlation"))
+    # sums over deviations from a mean that is the same for all bars, so that no digits are lost
+    mean = both.groupBy(F.col("asset").alias("_a")).agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))
+    u, v = F.col("a") - F.col("ma"), F.col("b") - F.col("mb")
+    sums = {"n": ("sum", F.lit(1)), "su": ("sum", u), "sv": ("sum", v), "suu": ("sum", u * u), "svv": ("sum", v * v), "suv": ("sum", u * v), "lo_a": ("min", F.col("a")), "hi_a": ("max", F.col("a")), "lo_b": ("min", F.col("b")), "hi_b": ("max", F.col("b"))}
+    x = running(both.join(mean, F.col("asset") == F.col("_a")), sums)
+    part = lambda p, q, pq: F.col(pq) - F.col(p) * F.col(q) / F.col("n")
+    r = part("su", "sv", "suv") / F.nullif(F.sqrt(F.greatest(part("su", "su", "suu"), F.lit(0.0)) * F.greatest(part("sv", "sv", "svv"), F.lit(0.0))), F.lit(0.0))
+    return x.select("asset", "bar", F.when((F.col("n") >= 2) & (F.col("hi_a") > F.col("lo_a")) & (F.col("hi_b") > F.col("lo_b")), r).alias("correlation"))
 
 
 def aligned(df: DataFrame, base: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.ordered import running
+
 
 def filled_bars(df: DataFrame, unit: str = "hour") -> DataFrame:
     """Every bar of each asset from its first to its last; missing ones with null values."""
@@ -15,16 +17,13 @@ def filled_bars(df: DataFrame, unit: str = "hour") -> DataFrame:
 
 def forward_filled(df: DataFrame, x: str = "close") -> DataFrame:
     """ffill and bfill: the last value up to a bar and the first one from it on (which looks ahead)."""
-    w = Window.partitionBy("asset").orderBy("bar")
-    return df.withColumns({"ffill": F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "bfill": F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    return running(running(df, {"ffill": ("last", F.col(x))}), {"bfill": ("last", F.col(x))}, backwards=True)
 
 
-def interpolated(df: DataFrame, x: str = "close", places: int = 6) -> DataFrame:
+def interpolated(df: DataFrame, x: str = "close") -> DataFrame:
     """Missing values on the line between their neighbours."""
-    w = Window.partitionBy("asset").orderBy("bar")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col(x).isNotNull(), F.struct(F.unix_timestamp(F.col("bar").cast("timestamp")).cast("double").alias("t"), F.col(x).alias("c")))
-    n = df.withColumns({"_p": F.last(known, ignorenulls=True).over(back), "_f": F.first(known, ignorenulls=True).over(ahead)})
     t = F.unix_timestamp(F.col("bar").cast("timestamp")).cast("double")
+    known = F.when(F.col(x).isNotNull(), F.struct(t.alias("t"), F.col(x).alias("c")))
+    n = running(running(df, {"_p": ("last", known)}), {"_f": ("last", known)}, backwards=True)
     line = F.col("_p.c") + (F.col("_f.c") - F.col("_p.c")) * (t - F.col("_p.t")) / F.nullif(F.col("_f.t") - F.col("_p.t"), F.lit(0.0))
-    return n.select("asset", "bar", F.round(F.when(F.col("_p.t") == F.col("_f.t"), F.col("_p.c")).otherwise(line), places).alias(x))
+    return n.select("asset", "bar", F.when(F.col("_p.t") == F.col("_f.t"), F.col("_p.c")).otherwise(line).alias(x))

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewater.functions.ewm import ema_of, positive, rma_of, smoothed
-from tidewater.functions.ordered import change, full, over_chunks, ratio, simple_return, trailing
+from tidewater.functions.ewm import ema_of, ewm, positive, rma_of, smoothed, span
+from tidewater.functions.ordered import change, full, over_chunks, ratio, running, simple_return, trailing
 
 Dict = dict[str, Column]
 
@@ -27,8 +27,12 @@ def typical() -> Column:
 def rsi_simple(bars: DataFrame, n: int = 14) -> DataFrame:
     """rsi: from plain means of gains and losses; 100 where there are no losses."""
     x = lambda w: {"_d": change(w, "close")}
-    parts = lambda w: {"_g": full(w, n, F.when(F.col("_d").isNotNull(), positive(F.col("_d")))), "_l": full(w, n, F.when(F.col("_d").isNotNull(), positive(-F.col("_d"))))}
-    return over_chunks(bars, n + 1, x, parts).withColumn("rsi", strength("_g", "_l")).drop("_d", "_g", "_l")
+    return over_chunks(bars, n + 1, x, *rsi_parts(n)).withColumn("rsi", strength("_g", "_l")).drop("_d", "_g", "_l")
+
+
+def rsi_parts(n: int):
+    """A stage with plain means _g and _l of gains and losses, over the change _d."""
+    return (lambda w: {"_g": full(w, n, F.when(F.col("_d").isNotNull(), positive(F.col("_d")))), "_l": full(w, n, F.when(F.col("_d").isNotNull(), positive(-F.col("_d"))))},)
 
 
 def strength(gain: str, loss: str) -> Column:
@@ -71,17 +75,17 @@ def stochastic(n: int = 14, smooth: int = 3, signal: int = 3):
 def obv(bars: DataFrame) -> DataFrame:
     """obv: running sum of volume by the sign of the change."""
     x = over_chunks(bars, 1, lambda w: {"_v": F.coalesce(F.signum(change(w, "close")), F.lit(0.0)) * F.col("volume")})
-    return x.withColumn("obv", F.sum("_v").over(Window.partitionBy("asset").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0))).drop("_v")
+    return running(x, {"obv": ("sum", F.col("_v"))}).drop("_v")
 
 
 def cci(n: int = 14):
     """Stages with cci; the mean deviation is a fold over the window's values."""
 
     def gathered(w: WindowSpec) -> Dict:
-        return {"_tp": typical(), "_m": full(w, n, typical()), "_all": F.collect_list(typical()).over(trailing(w, n))}
+        return {"_tp": typical(), "_mean": full(w, n, typical()), "_all": F.collect_list(typical()).over(trailing(w, n))}
 
-    dev = F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.abs(x - F.col("_m"))) / n
-    return gathered, lambda w: {"cci": ratio(F.col("_tp") - F.col("_m"), 0.015 * dev)}
+    dev = F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.abs(x - F.col("_mean"))) / n
+    return gathered, lambda w: {"cci": ratio(F.col("_tp") - F.col("_mean"), 0.015 * dev)}
 
 
 def vwap(bars: DataFrame) -> DataFrame:
@@ -114,39 +118,83 @@ def ultimate(a: int = 7, b: int = 14, c: int = 28):
     return pressure, lambda w: {"uo": 100 * (4 * share(w, a) + 2 * share(w, b) + share(w, c)) / 7}
 
 
+def macd_of(fast: int = 12, slow: int = 26, signal: int = 9) -> dict:
+    """Recurrences with macd and macd_signal."""
+    return {"_f": ema_of("close", fast), "_s": ema_of("close", slow), "macd": lambda p: p["_f"] - p["_s"], "macd_signal": ema_of("macd", signal)}
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, macd_signal, macd_hist."""
-    x = smoothed(bars, {"_f": ema_of("close", fast), "_s": ema_of("close", slow), "macd": lambda p: p["_f"] - p["_s"], "macd_signal": ema_of("macd", signal)})
-    return x.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
+    return smoothed(bars, macd_of(fast, slow, signal)).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
 
 
-def adx(bars: DataFrame, n: int = 14) -> DataFrame:
-    """plus_di, minus_di, adx."""
+def macd_line(bars: DataFrame, out: str, adjust: bool, fast: int = 12, slow: int = 26) -> DataFrame:
+    """The line from plain exponential means that begin with the first value (adjust: divided by the sum of weights)."""
+    x = ewm(ewm(bars, "close", span(fast), "_f", adjust=adjust), "close", span(slow), "_s", adjust=adjust)
+    return x.withColumn(out, F.col("_f") - F.col("_s")).drop("_f", "_s")
 
-    def movement(w: WindowSpec) -> Dict:
-        up, down = change(w, "high"), -change(w, "low")
-        return {"_p": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_m": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)), "_tr": F.when(up.isNotNull(), true_range(w))}
 
+def movement(w: WindowSpec) -> Dict:
+    """Directional movement _p and _m, and true ranges _tr, from the second bar on."""
+    up, down = change(w, "high"), -change(w, "low")
+    return {"_p": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_m": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)), "_tr": F.when(up.isNotNull(), true_range(w))}
+
+
+def adx_of(n: int = 14) -> dict:
+    """Recurrences with plus_di, minus_di and adx, over movement()."""
     per_cent = lambda a, b: 100 * a / b.where(b != 0)
-    x = smoothed(over_chunks(bars, 1, movement), {
+    return {
         "_ps": rma_of("_p", n), "_ms": rma_of("_m", n), "_trs": rma_of("_tr", n), "plus_di": lambda p: per_cent(p["_ps"], p["_trs"]), "minus_di": lambda p: per_cent(p["_ms"], p["_trs"]),
         "_dx": lambda p: per_cent((p["plus_di"] - p["minus_di"]).abs(), p["plus_di"] + p["minus_di"]), "adx": rma_of("_dx", n),
-    })
-    return x.drop("_p", "_m", "_tr", "_ps", "_ms", "_trs", "_dx")
+    }
+
+
+def adx(bars: DataFrame, n: int = 14) -> DataFrame:
+    """plus_di, minus_di, adx."""
+    return smoothed(over_chunks(bars, 1, movement), adx_of(n)).drop("_p", "_m", "_tr", "_ps", "_ms", "_trs", "_dx")
+
+
+def trix_of(n: int = 14) -> dict:
+    """Recurrences with _3, a triple exponential mean."""
+    return {"_1": ema_of("close", n), "_2": ema_of("_1", n), "_3": ema_of("_2", n)}
+
+
+def trix_stages(signal: int = 9):
+    """Stages with trix and trix_signal, over trix_of()."""
+    return lambda w: {"trix": 100 * simple_return(w, "_3")}, lambda w: {"trix_signal": full(w, signal, "trix")}
 
 
 def trix(bars: DataFrame, n: int = 14, signal: int = 9) -> DataFrame:
     """trix (per cent change of a triple exponential mean) and trix_signal (plain mean)."""
-    x = smoothed(bars, {"_1": ema_of("close", n), "_2": ema_of("_1", n), "_3": ema_of("_2", n)})
-    x = over_chunks(x, 1, lambda w: {"trix": 100 * simple_return(w, "_3")}).drop("_1", "_2", "_3")
-    return over_chunks(x, signal, lambda w: {"trix_signal": full(w, signal, "trix")})
+    return over_chunks(smoothed(bars, trix_of(n)), signal + 1, *trix_stages(signal)).drop("_1", "_2", "_3")
+
+
+def tsi_of(fast: int = 13, slow: int = 25, signal: int = 13) -> dict:
+    """Recurrences with tsi and tsi_signal, over the change _cd and its absolute value _ca."""
+    means = {c + k: ema_of(c + of, m) for c in ("_cd", "_ca") for k, of, m in (("1", "", slow), ("2", "1", fast))}
+    return means | {"tsi": lambda p: 100 * p["_cd2"] / p["_ca2"].where(p["_ca2"] != 0), "tsi_signal": ema_of("tsi", signal)}
+
+
+def price_change(w: WindowSpec) -> Dict:
+    return {"_cd": change(w, "close"), "_ca": F.abs(change(w, "close"))}
+
+
+def tsi(bars: DataFrame, fast: int = 13, slow: int = 25, signal: int = 13) -> DataFrame:
+    """tsi (doubly smoothed change over doubly smoothed absolute change) and tsi_signal (its exponential mean)."""
+    return smoothed(over_chunks(bars, 1, price_change), tsi_of(fast, slow, signal)).drop("_cd", "_ca", "_cd1", "_ca1", "_cd2", "_ca2")
 
 
-def tsi(bars: DataFrame, fast: int = 13, slow: int = 25) -> DataFrame:
-    """tsi: doubly smoothed change over doubly smoothed absolute change."""
-    x = over_chunks(bars, 1, lambda w: {"_d": change(w, "close")}, lambda w: {"_a": F.abs("_d")})
-    x = smoothed(x, {c + k: ema_of(c + of, m) for c in ("_d", "_a") for k, of, m in (("1", "", slow), ("2", "1", fast))})
-    return x.withColumn("tsi", 100 * ratio("_d2", "_a2")).drop("_d", "_a", "_d1", "_a1", "_d2", "_a2")
+def all_indicators(bars: DataFrame) -> DataFrame:
+    """Bars with every indicator that the rules of signals.RULES and the exported document need: windows over chunks,
+    then the recurrences of a series in one pass, then the windows over those."""
+    k, d, e = stochastic()
+    plain = lambda w: {"sma": full(w, 14, "close"), "adr": full(w, 14, F.col("high") - F.col("low")), "sma_50": full(w, 50, "close"), "sma_200": full(w, 200, "close")}
+    x = over_chunks(bars, 200, movement, price_change, *mfi(), williams(), lambda w: {"_mtr": F.col("_tr")}, *ultimate(), k, d, e, bollinger(), *cci(), plain)
+    x = x.withColumn("_tr", F.col("_mtr"))
+    x = smoothed(x.drop("_all"), {"ema": ema_of("close", 14), "atr": rma_of("_tr", 14)} | macd_of() | adx_of() | trix_of() | tsi_of())
+    x = over_chunks(x, 16, *trix_stages(), lambda w: {"_d": change(w, "close")}, *rsi_parts(14))
+    x = vwap(obv(x.withColumn("rsi", strength("_g", "_l")).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))))
+    return x.drop(*(c for c in x.columns if c.startswith("_")))
 
 
 def keltner(bars: DataFrame, n: int = 9, k: float = 0.1) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.ordered import over_chunks, running
+
 #: Name, buy condition, sell condition: each over indicator columns of equal names.
 RULES = {
     "rsi": ("rsi < 30", "rsi > 70"),
     "bands": ("close < bb_low", "close > bb_high"),
     "cci": ("cci < -100", "cci > 100"),
     "vwap": ("close > vwap", "close < vwap"),
+    "ema": ("ema > close", "ema < close"),
+    "adr": ("adr < close", "adr > close"),
     "adx": ("adx > 20", "adx < 20"),
     "mfi": ("mfi < 20.5", "mfi > 79.5"),
     "macd": ("macd > macd_signal", "macd < macd_signal"),
@@ -44,8 +48,8 @@ def combined() -> tuple[Column, Column]:
 
 def run_starts(df: DataFrame, x: str = "signal", by: str = "asset", ts: str = "bar") -> DataFrame:
     """The rows whose value differs from the one before."""
-    before = F.lag(x).over(Window.partitionBy(by).orderBy(ts))
-    return df.withColumn("_b", before).filter(~F.col("_b").eqNullSafe(F.col(x))).drop("_b")
+    y = over_chunks(df, 1, lambda w: {"_b": F.lag(x).over(w)}, by=by, ts=ts)
+    return y.filter(~F.col("_b").eqNullSafe(F.col(x))).drop("_b")
 
 
 def alternating_backtest(df: DataFrame, capital: float = 50_000.0) -> DataFrame:
@@ -67,6 +71,33 @@ def alternating_backtest(df: DataFrame, capital: float = 50_000.0) -> DataFrame:
     return last.join(done, "asset", "left").select("asset", F.coalesce("s.trades", F.lit(0).cast("long")).alias("trades"), F.coalesce(F.col("s.cash") + F.col("s.shares") * F.col("last_close"), F.lit(capital)).alias("final_capital"))
 
 
+def long_only(df: DataFrame) -> DataFrame:
+    """The signals that act where a position is opened once and closed as a whole: a buy while nothing is held, and a
+    sell of what is held. The first of each run of equal signals, from the first buy on."""
+    acts = run_starts(df.filter("signal <> 0"))
+    first = acts.filter("signal = 1").groupBy(F.col("asset").alias("_a")).agg(F.min("bar").alias("_first"))
+    return acts.join(first, F.col("asset") == F.col("_a")).filter(F.col("bar") >= F.col("_first")).drop("_a", "_first")
+
+
+def traded_with_costs(buys: DataFrame, sells: DataFrame, capital: float = 10_000.0, cost: float = 0.001) -> DataFrame:
+    """asset, trades, final_capital, profit: the k-th buy is paired with the k-th sell, all capital is put in, and a
+    share of both prices is paid for each pair. buys and sells: asset, bar, price."""
+    place = Window.partitionBy("asset").orderBy("bar")
+    a = buys.select("asset", F.row_number().over(place).alias("k"), F.col("price").alias("bought"))
+    b = sells.select("asset", F.row_number().over(place).alias("k"), F.col("price").alias("sold"))
+    pairs = a.join(b, ["asset", "k"]).groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("k", "bought", "sold"))).alias("p"))
+    end = F.aggregate("p", F.lit(capital), lambda c, t: c / t["bought"] * t["sold"] - cost * (t["bought"] + t["sold"]))
+    return pairs.select("asset", F.size("p").cast("long").alias("trades"), end.alias("final_capital")).withColumn("profit", F.col("final_capital") - capital)
+
+
+def order_size(cash: Column, price: Column, fee: float, keep: float = 0.99) -> dict[str, Column]:
+    """What a limit order of all cash would be; nothing is placed. The buying fee lowers the price and, once more, the
+    size; a part of the size is kept back."""
+    limit = price * (1 - fee)
+    size = cash / F.nullif(limit, F.lit(0.0)) * keep
+    return {"limit_price": limit, "size": size, "fee_adjusted_size": size * (1 - fee), "whole_shares": F.floor(cash / F.nullif(price, F.lit(0.0)))}
+
+
 def latest(df: DataFrame) -> DataFrame:
     """The newest signal of each asset; of equal times a sell. df: asset, bar, signal, close."""
     return df.filter("signal <> 0").groupBy("asset").agg(F.max_by(F.struct("bar", "signal", "close"), F.struct(F.col("bar"), -F.col("signal"))).alias("s")).select("asset", "s.bar", "s.signal", "s.close")
@@ -80,10 +111,25 @@ def pair_profits(df: DataFrame) -> DataFrame:
     return a.join(b, "asset").filter("buy < sell and sold > bought").select("asset", "buy", "sell", (F.col("sold") - F.col("bought")).alias("profit"), F.date_diff("sell", "buy").alias("days"))
 
 
+def monthly_trades(pairs: DataFrame) -> DataFrame:
+    """asset, month, profit, mean_profit, mean_days, trades of pairs by the month of buying; months without any are there
+    with no profit."""
+    month = F.date_trunc("month", "buy").cast("timestamp_ntz")
+    g = pairs.groupBy("asset", month.alias("month")).agg(F.sum("profit").alias("profit"), F.avg("profit").alias("mean_profit"), F.avg("days").alias("mean_days"), F.count("*").alias("trades"))
+    ends = g.groupBy("asset").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    grid = ends.select("asset", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
+    return grid.join(g, ["asset", "month"], "left").na.fill({"profit": 0.0, "trades": 0})
+
+
+def buy_sell_matrix(pairs: DataFrame, sells: list[str]) -> DataFrame:
+    """buy, and for each date of sells (yyyy-MM-dd) the mean profit of the pairs sold then, 0 where there are none."""
+    x = pairs.select("buy", F.date_format("sell", "yyyy-MM-dd").alias("s"), "profit")
+    return x.groupBy("buy").pivot("s", sells).agg(F.avg("profit")).fillna(0.0)
+
+
 def best_pair(df: DataFrame) -> DataFrame:
-    """The most profitable pair of each asset from one window: the least price before each sale."""
-    w = Window.partitionBy("asset").orderBy("bar").rowsBetween(Window.unboundedPreceding, -1)
-    x = df.withColumn("low", F.min(F.struct("close", "bar")).over(w)).withColumn("profit", F.col("close") - F.col("low.close")).filter("profit > 0")
+    """The most profitable pair of each asset from the least price up to each sale."""
+    x = running(df, {"low": ("min", F.struct("close", "bar"))}).withColumn("profit", F.col("close") - F.col("low.close")).filter("profit > 0")
     best = x.groupBy("asset").agg(F.max_by(F.struct("low.bar", F.col("bar").alias("sell"), "profit"), F.struct(F.col("profit"), -F.unix_timestamp(F.col("bar").cast("timestamp")))).alias("z"))
     return best.select("asset", F.col("z.bar").alias("buy"), "z.sell", "z.profit")
 

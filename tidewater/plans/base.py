@@ -43,7 +43,8 @@ def full(n: int, x: str, agg: str = "avg") -> str:
 
 
 def recurrence(source: str, x: str, out: str, alpha: str, n: int) -> str:
-    """CTEs <out>_r: (asset, bar, out) from the n-th value of x of source on, seeded by the mean of the first n."""
+    """CTEs <out>_r: (asset, bar, out) from the n-th value of x of source on, seeded by the mean of the first n: the
+    recurrence as a closed sum over powers of 1 - alpha."""
     return f"""{out}_n AS (SELECT asset, bar, {x} AS x, row_number() OVER (PARTITION BY asset ORDER BY bar) AS k FROM {source} WHERE {x} IS NOT NULL),
-{out}_r AS (SELECT a.asset, a.bar, a.k, s.seed AS {out} FROM {out}_n a JOIN (SELECT asset, avg(x) AS seed FROM {out}_n WHERE k <= {n} GROUP BY asset) s USING (asset) WHERE a.k = {n}
- UNION ALL SELECT b.asset, b.bar, b.k, (1 - {alpha}) * r.{out} + {alpha} * b.x FROM {out}_r r JOIN {out}_n b ON b.asset = r.asset AND b.k = r.k + 1)"""
+{out}_r AS (SELECT asset, bar, k, pow(1 - {alpha}, k - {n}) * sum(CASE WHEN k = {n} THEN seed ELSE {alpha} * x * pow(1 - {alpha}, {n} - k) END) OVER (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING) AS {out}
+ FROM {out}_n JOIN (SELECT asset, avg(x) AS seed FROM {out}_n WHERE k <= {n} GROUP BY asset) USING (asset) WHERE k >= {n})"""

@@ -8,7 +8,7 @@ from tidewater.functions.ordered import change, full, over_chunks, simple_return
 from tidewater.operators import indicators as ind
 from tidewater.plans import base as b
 from tidewater.plans.base import query
-from tidewater.sources.series import daily, hourly, order_days
+from tidewater.sources.series import bars, daily, hourly, order_days, ticks
 
 
 def out(df, *cols, places=6):
@@ -98,22 +98,18 @@ def ultimate(spark, d):
 
 
 MACD = f"{b.recurrence('bars', 'close', 'fa', '(2.0/13)', 12)}, {b.recurrence('bars', 'close', 'sl', '(2.0/27)', 26)}, mc AS (SELECT asset, bar, fa - sl AS macd FROM fa_r JOIN sl_r USING (asset, bar)), {b.recurrence('mc', 'macd', 'sg', '(2.0/10)', 9)}"
-ORDERS = "bars AS (SELECT o_orderpriority AS asset, date_trunc('day', o_orderdate)::TIMESTAMP AS bar, avg(o_totalprice) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_orderdate < TIMESTAMP '1995-09-01' GROUP BY ALL)"
+ORDERS = "bars AS (SELECT o_orderpriority AS asset, date_trunc('day', o_orderdate)::TIMESTAMP AS bar, avg(o_totalprice) AS close, count(*)::DOUBLE AS volume FROM orders GROUP BY ALL)"
 
 
-def order_bars(spark, d):
-    return order_days(spark, d).filter(F.col("bar") < F.lit("1995-09-01").cast("timestamp_ntz"))
+MACD_SQL = f"WITH RECURSIVE {ORDERS}, {MACD} SELECT bars.asset, bars.bar, round(macd, 3) AS macd, round(sg, 3) AS macd_signal, round(macd - sg, 3) AS macd_hist FROM bars LEFT JOIN mc USING (asset, bar) LEFT JOIN sg_r USING (asset, bar)"
 
 
-# Their SQL takes the orders before 1995-09-01 alone; the queries named ..._all_orders take all and have none.
-
-
-@query("macd", f"WITH RECURSIVE {ORDERS}, {MACD} SELECT bars.asset, bars.bar, round(macd, 3) AS macd, round(sg, 3) AS macd_signal, round(macd - sg, 3) AS macd_hist FROM bars LEFT JOIN mc USING (asset, bar) LEFT JOIN sg_r USING (asset, bar)")
+@query("macd", MACD_SQL)
 def macd(spark, d):
-    return out(ind.macd(order_bars(spark, d)), "macd", "macd_signal", "macd_hist", places=3)
+    return out(ind.macd(order_days(spark, d)), "macd", "macd_signal", "macd_hist", places=3)
 
 
-@query("macd_all_orders")
+@query("macd_all_orders", MACD_SQL)
 def macd_all_orders(spark, d):
     return out(ind.macd(order_days(spark, d)), "macd", "macd_signal", "macd_hist", places=3)
 
@@ -129,27 +125,33 @@ def adx(spark, d):
 TRIX = f"{b.recurrence('bars', 'close', 'e1', '(2.0/15)', 14)}, {b.recurrence('e1_r', 'e1', 'e2', '(2.0/15)', 14)}, {b.recurrence('e2_r', 'e2', 'e3', '(2.0/15)', 14)}, tx AS (SELECT bars.asset, bars.bar, 100 * (e3 / nullif(lag(e3) OVER (PARTITION BY bars.asset ORDER BY bars.bar), 0) - 1) AS trix FROM bars LEFT JOIN e3_r ON e3_r.asset = bars.asset AND e3_r.bar = bars.bar)"
 
 
-@query("trix", f"WITH RECURSIVE {ORDERS}, {TRIX} SELECT asset, bar, round(trix, 4) AS trix, round({b.full(9, 'trix')}, 4) AS trix_signal FROM tx")
+TRIX_SQL = f"WITH RECURSIVE {ORDERS}, {TRIX} SELECT asset, bar, round(trix, 4) AS trix, round({b.full(9, 'trix')}, 4) AS trix_signal FROM tx"
+
+
+@query("trix", TRIX_SQL)
 def trix(spark, d):
-    return out(ind.trix(order_bars(spark, d)), "trix", "trix_signal", places=4)
+    return out(ind.trix(order_days(spark, d)), "trix", "trix_signal", places=4)
 
 
-@query("trix_all_orders")
+@query("trix_all_orders", TRIX_SQL)
 def trix_all_orders(spark, d):
     return out(ind.trix(order_days(spark, d)), "trix", "trix_signal", places=4)
 
 
-TSI = f"d AS (SELECT *, close - lag(close) {b.W} AS d FROM bars), da AS (SELECT asset, bar, d, abs(d) AS a FROM d), {b.recurrence('da', 'd', 'd1', '(2.0/26)', 25)}, {b.recurrence('d1_r', 'd1', 'd2', '(2.0/14)', 13)}, {b.recurrence('da', 'a', 'a1', '(2.0/26)', 25)}, {b.recurrence('a1_r', 'a1', 'a2', '(2.0/14)', 13)}"
+TSI = f"d AS (SELECT *, close - lag(close) {b.W} AS d FROM bars), da AS (SELECT asset, bar, d, abs(d) AS a FROM d), {b.recurrence('da', 'd', 'd1', '(2.0/26)', 25)}, {b.recurrence('d1_r', 'd1', 'd2', '(2.0/14)', 13)}, {b.recurrence('da', 'a', 'a1', '(2.0/26)', 25)}, {b.recurrence('a1_r', 'a1', 'a2', '(2.0/14)', 13)}, tv AS (SELECT asset, bar, 100 * d2 / nullif(a2, 0) AS tsi FROM d2_r JOIN a2_r USING (asset, bar)), {b.recurrence('tv', 'tsi', 'tg', '(2.0/14)', 13)}"
+
 
+TSI_SQL = f"WITH RECURSIVE {ORDERS}, {TSI} SELECT bars.asset, bars.bar, round(tsi, 4) AS tsi, round(tg, 4) AS tsi_signal FROM bars LEFT JOIN tv USING (asset, bar) LEFT JOIN tg_r USING (asset, bar)"
 
-@query("tsi", f"WITH RECURSIVE {ORDERS}, {TSI} SELECT bars.asset, bars.bar, round(100 * d2 / nullif(a2, 0), 4) AS tsi FROM bars LEFT JOIN d2_r USING (asset, bar) LEFT JOIN a2_r USING (asset, bar)")
+
+@query("tsi", TSI_SQL)
 def tsi(spark, d):
-    return out(ind.tsi(order_bars(spark, d)), "tsi", places=4)
+    return out(ind.tsi(order_days(spark, d)), "tsi", "tsi_signal", places=4)
 
 
-@query("tsi_all_orders")
+@query("tsi_all_orders", TSI_SQL)
 def tsi_all_orders(spark, d):
-    return out(ind.tsi(order_days(spark, d)), "tsi", places=4)
+    return out(ind.tsi(order_days(spark, d)), "tsi", "tsi_signal", places=4)
 
 
 @query("keltner", f"{b.DAILY_RECURSIVE}, {TR}, {b.recurrence('tr2', 'tr', 'a', '(1.0/9)', 9)}, {b.recurrence('bars', 'close', 'e', '(2.0/10)', 9)} SELECT bars.asset, bars.bar, round(e - 0.1 * a, 4) AS kc_low, round(e, 4) AS kc_mid, round(e + 0.1 * a, 4) AS kc_high FROM bars LEFT JOIN a_r USING (asset, bar) LEFT JOIN e_r USING (asset, bar)")
@@ -167,3 +169,56 @@ SELECT asset, bar, round(ret, 6) AS ret, round({b.full(5, 'close')}, 6) AS sma_5
 def feature_table(spark, d):
     x = ind.features(hourly(spark, d))
     return x.select("asset", "bar", *(F.round(c, 6).alias(c) for c in ("ret", "sma_5", "sma_10", "volatility", "atr_simple", "bb_low", "stoch_k", "stoch_d")), "hour", "weekday", "lag_3")
+
+
+def _adjusted(span: int) -> str:
+    """The weighted mean with all weights of a span, over their sum, of row k from 0."""
+    return f"sum(close * pow(1 - 2.0/{span + 1}, -k)) OVER v / sum(pow(1 - 2.0/{span + 1}, -k)) OVER v"
+
+
+def _plain(span: int) -> str:
+    """The same where the first value has weight one and all others 2 / (span + 1)."""
+    return f"pow(1 - 2.0/{span + 1}, k) * sum(CASE WHEN k = 0 THEN close ELSE 2.0/{span + 1} * close * pow(1 - 2.0/{span + 1}, -k) END) OVER v"
+
+
+@query("macd_lines", f"{b.HOURLY}, n AS (SELECT *, row_number() {b.W} - 1 AS k FROM bars) SELECT asset, bar, round({_adjusted(12)} - {_adjusted(26)}, 4) AS adjusted, round({_plain(12)} - {_plain(26)}, 4) AS plain FROM n WINDOW v AS (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING)")
+def macd_lines(spark, d):
+    """The line of two more definitions of exponential means."""
+    return out(ind.macd_line(ind.macd_line(hourly(spark, d), "adjusted", True), "plain", False), "adjusted", "plain", places=4)
+
+
+_hlc3 = f"{b._bars('hour').replace('bars AS', 'raw AS')}, bars AS (SELECT asset, bar, h AS open, h AS high, h AS low, h AS close, volume FROM (SELECT *, (high + low + close) / 3 AS h FROM raw))"
+
+
+@query("oscillators_hlc3", f"WITH {b.TICKS}, {_hlc3}, {RSI_SIMPLE}, {MFI}, {STOCH} SELECT bars.asset, bars.bar, round(rsi, 5) AS rsi, round(mfi, 5) AS mfi, round(stoch_k, 5) AS stoch_k FROM bars JOIN rs USING (asset, bar) JOIN mf USING (asset, bar) JOIN k3 USING (asset, bar)")
+def oscillators_hlc3(spark, d):
+    """Oscillators over the mean of high, low and close instead of the close."""
+    x = ind.single_price(hourly(spark, d).withColumn("close", ind.typical()))
+    k, smooth, _ = ind.stochastic()
+    return out(ind.rsi_simple(over_chunks(x, 20, *ind.mfi(), k, smooth).drop("_d")), "rsi", "mfi", "stoch_k", places=5)
+
+
+_quarters = "bars AS (SELECT asset, time_bucket(INTERVAL 15 MINUTE, ts)::TIMESTAMP AS bar, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close, sum(volume) AS volume FROM ticks GROUP BY ALL)"
+
+
+@query("features_15min", f"WITH {b.TICKS}, {_quarters}, r AS (SELECT *, close / nullif(lag(close) {b.W}, 0) - 1 AS ret FROM bars) SELECT asset, bar, round(ret, 6) AS ret, round({b.full(20, 'close')}, 6) AS sma_5, round({b.full(40, 'close')}, 6) AS sma_10, round({b.full(20, 'ret', 'stddev_samp')}, 6) AS volatility FROM r")
+def features_15min(spark, d):
+    """The feature table over quarters of an hour, whose windows are four times as many bars."""
+    at = F.window(F.col("ts").cast("timestamp"), "15 minutes").start.cast("timestamp_ntz")
+    return out(ind.features(bars(ticks(spark, d), at), "15min"), "ret", "sma_5", "sma_10", "volatility")
+
+
+#: Every indicator of indicators.all_indicators() over bars, as ai.
+ALL_INDICATORS = f"""{RSI_SIMPLE}, {MFI}, {UO}, {STOCH}, {MACD}, {TRIX}, {TSI[TSI.index("da AS"):]}, {ADX}, {b.recurrence('tr2', 'tr', 'tra', '(1.0/14)', 14)}, {b.recurrence('bars', 'close', 'em', '(2.0/15)', 14)},
+x1 AS (SELECT *, (high + low + close) / 3 AS tp, {WILLR} AS willr, {b.full(20, 'close')} AS bb_mid, {b.full(20, 'close', 'stddev_pop')} AS sd, {b.full(14, 'high - low')} AS adr, {b.full(50, 'close')} AS sma_50, {b.full(200, 'close')} AS sma_200, sum((high + low + close) / 3 * volume) OVER v / nullif(sum(volume) OVER v, 0) AS vwap, coalesce(sign(close - lag(close) {b.W}), 0) * volume AS ov FROM bars WINDOW v AS (PARTITION BY asset, bar::DATE ORDER BY bar ROWS UNBOUNDED PRECEDING)),
+x2 AS (SELECT *, {b.full(14, 'tp')} AS tm, list(tp) {b.rows(14)} AS tl, sum(ov) OVER (PARTITION BY asset ORDER BY bar ROWS UNBOUNDED PRECEDING) AS obv FROM x1),
+x3 AS (SELECT asset, bar, trix, {b.full(9, 'trix')} AS trix_signal FROM tx),
+ai AS (SELECT x2.asset, x2.bar, x2.close, rs.rsi, bb_mid - 2 * sd AS bb_low, bb_mid + 2 * sd AS bb_high, (x2.tp - tm) / nullif(0.015 * (list_sum(list_transform(tl, lambda x: abs(x - tm))) / 14), 0) AS cci, vwap, em AS ema, adr, tra AS atr, obv, macd, sg AS macd_signal, ax AS adx, mfi, trix, trix_signal, tsi, tg AS tsi_signal, willr, uo, stoch_k, stoch_d, sma_50, sma_200
+ FROM x2 JOIN rs USING (asset, bar) JOIN mf USING (asset, bar) JOIN u USING (asset, bar) JOIN k4 USING (asset, bar) LEFT JOIN mc USING (asset, bar) LEFT JOIN sg_r USING (asset, bar) LEFT JOIN x3 USING (asset, bar) LEFT JOIN tv USING (asset, bar) LEFT JOIN tg_r USING (asset, bar) LEFT JOIN ax_r USING (asset, bar) LEFT JOIN tra_r USING (asset, bar) LEFT JOIN em_r USING (asset, bar))"""
+SHOWN = "rsi bb_low bb_high vwap ema adr atr macd macd_signal adx mfi trix trix_signal tsi tsi_signal willr uo stoch_k stoch_d".split()
+
+
+@query("indicator_table", f"{b.HOURLY}, {ALL_INDICATORS} SELECT asset, bar, {', '.join(f'round({c}, 4) AS {c}' for c in SHOWN)}, round(cci, 3) AS cci, obv FROM ai")
+def indicator_table(spark, d):
+    """Every indicator of the exported document."""
+    return ind.all_indicators(hourly(spark, d)).select("asset", "bar", *(F.round(c, 4).alias(c) for c in SHOWN), F.round("cci", 3).alias("cci"), "obv")

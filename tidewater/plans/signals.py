@@ -10,7 +10,7 @@ from tidewater.operators import signals as sig
 from tidewater.operators.cross import correlation
 from tidewater.plans import base as b
 from tidewater.plans.base import query
-from tidewater.plans.indicators import MACD, MFI, ORDERS, RSI_SIMPLE, STOCH, UO, WILLR, order_bars
+from tidewater.plans.indicators import ALL_INDICATORS, MACD, MFI, ORDERS, RSI_SIMPLE, STOCH, UO, WILLR
 from tidewater.sources.series import daily, hourly, order_days
 
 
@@ -66,10 +66,10 @@ def backtest_alternating(spark, d):
     return sig.alternating_backtest(signalled(spark, d)).select("asset", "trades", F.round("final_capital", 2).alias("final_capital"))
 
 
-@query("pullback", f"{b.HOURLY}, {RSI_SIMPLE}, p AS (SELECT asset, bar, close, {b.full(20, 'close')} + 2 * {b.full(20, 'close', 'stddev_pop')} AS hi, {b.full(50, 'close')} AS s50, {b.full(200, 'close')} AS s200 FROM bars) SELECT p.asset, p.bar, coalesce(rsi > 70, false) OR coalesce(p.close > hi, false) OR coalesce(p.close > s50 AND p.close > s200, false) AS pullback FROM p JOIN rs USING (asset, bar)")
+@query("pullback", f"{b.HOURLY}, {ALL_INDICATORS}, l AS (SELECT *, lag(macd) {b.W} AS lm, lag(macd_signal) {b.W} AS ls FROM ai) SELECT asset, bar, coalesce(rsi > 70, false) OR coalesce(close > bb_high, false) OR coalesce(macd < macd_signal AND lm >= ls, false) OR coalesce(close > sma_50 AND close > sma_200, false) AS pullback FROM l")
 def pullback(spark, d):
-    x = over_chunks(hourly(spark, d), 200, ind.bollinger(), lambda w: {"s50": full(w, 50, "close"), "s200": full(w, 200, "close")})
-    return ind.rsi_simple(x).select("asset", "bar", (sig.flag("rsi > 70") | sig.flag("close > bb_high") | sig.flag("close > s50 and close > s200")).alias("pullback"))
+    x = over_chunks(ind.all_indicators(hourly(spark, d)), 1, lambda w: {"bearish": crossed_under(w, F.col("macd"), F.col("macd_signal"))})
+    return x.select("asset", "bar", (sig.flag("rsi > 70") | sig.flag("close > bb_high") | F.col("bearish") | sig.flag("close > sma_50 and close > sma_200")).alias("pullback"))
 
 
 @query("crossover_sma", f"{b.HOURLY}, m AS (SELECT asset, bar, {b.full(5, 'close')} AS a, {b.full(20, 'close')} AS c FROM bars), l AS (SELECT *, lag(a) {b.W} AS la, lag(c) {b.W} AS lc FROM m) SELECT asset, bar, coalesce(a > c AND la <= lc, false) AS crossed_over, coalesce(a < c AND la >= lc, false) AS crossed_under FROM l")
@@ -82,12 +82,15 @@ def crossover_sma(spark, d):
 MACD_STRATEGIES = (("narrow", -0.05, 0.14), ("finest", -0.0002, 0.001), ("wide", -2.0, 1.5), ("middle", -0.2, 1.0))
 
 
-@query("strategy_macd", f"WITH RECURSIVE {ORDERS}, {MACD}, x AS (SELECT asset, bar, macd, sg, lag(macd) {b.W} AS lm, lag(sg) {b.W} AS ls FROM mc LEFT JOIN sg_r USING (asset, bar)) SELECT strategy, asset, bar, CASE WHEN macd < sg AND lm >= ls AND macd > hi THEN -1 ELSE 1 END::INTEGER AS signal FROM x, (VALUES {', '.join(f'({n!r}, {lo}, {hi})' for n, lo, hi in MACD_STRATEGIES)}) s(strategy, lo, hi) WHERE (macd > sg AND lm <= ls AND macd < lo) OR (macd < sg AND lm >= ls AND macd > hi)")
+MACD_SIGNALS = f"WITH RECURSIVE {ORDERS}, {MACD}, x AS (SELECT asset, bar, macd, sg, lag(macd) {b.W} AS lm, lag(sg) {b.W} AS ls FROM mc LEFT JOIN sg_r USING (asset, bar)) SELECT strategy, asset, bar, CASE WHEN macd < sg AND lm >= ls AND macd > hi THEN -1 ELSE 1 END::INTEGER AS signal FROM x, (VALUES {', '.join(f'({n!r}, {lo}, {hi})' for n, lo, hi in MACD_STRATEGIES)}) s(strategy, lo, hi) WHERE (macd > sg AND lm <= ls AND macd < lo) OR (macd < sg AND lm >= ls AND macd > hi)"
+
+
+@query("strategy_macd", MACD_SIGNALS)
 def strategy_macd(spark, d):
-    return macd_strategies(order_bars(spark, d))
+    return macd_strategies(order_days(spark, d))
 
 
-@query("strategy_macd_all_orders")
+@query("strategy_macd_all_orders", MACD_SIGNALS)
 def strategy_macd_all_orders(spark, d):
     return macd_strategies(order_days(spark, d))
 
@@ -117,9 +120,9 @@ def profit_pairs(spark, d):
     return pairs(spark, d).withColumn("profit", F.round("profit", 6))
 
 
-@query("top_trades", f"{b.DAILY}, {PAIRS} SELECT asset, buy, sell, round(profit, 6) AS profit FROM pairs ORDER BY round(profit, 6) DESC, asset, buy, sell LIMIT 500")
+@query("top_trades", f"{b.DAILY}, {PAIRS} SELECT asset, buy, sell, round(profit, 6) AS profit FROM pairs ORDER BY round(profit, 6) DESC, asset, buy, sell LIMIT 5000")
 def top_trades(spark, d):
-    return pairs(spark, d).select("asset", "buy", "sell", F.round("profit", 6).alias("profit")).orderBy(F.desc("profit"), "asset", "buy", "sell").limit(500)
+    return pairs(spark, d).select("asset", "buy", "sell", F.round("profit", 6).alias("profit")).orderBy(F.desc("profit"), "asset", "buy", "sell").limit(5000)
 
 
 @query("best_pair", f"{b.DAILY}, {PAIRS} SELECT asset, round(max(profit), 6) AS profit FROM pairs GROUP BY asset")

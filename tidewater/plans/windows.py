@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ewm import ema, ewm, rma, span
-from tidewater.functions.ordered import change, full, over_chunks, placed, ratio, simple_return, trailing
+from tidewater.functions.ordered import change, full, over_chunks, placed, ratio, running, simple_return, trailing
 from tidewater.operators.gaps import filled_bars, forward_filled, interpolated
 from tidewater.plans import base as b
 from tidewater.plans.base import query
@@ -41,7 +40,7 @@ def ffill_bfill(spark, d):
 @query("interp_linear", f"""{b.HOURLY}, {GRID}, n AS (SELECT *, last_value(CASE WHEN close IS NOT NULL THEN bar END IGNORE NULLS) OVER p AS t0, last_value(close IGNORE NULLS) OVER p AS c0, first_value(CASE WHEN close IS NOT NULL THEN bar END IGNORE NULLS) OVER f AS t1, first_value(close IGNORE NULLS) OVER f AS c1 FROM filled WINDOW p AS (PARTITION BY asset ORDER BY bar ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY asset ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT asset, bar, round(CASE WHEN t0 = t1 THEN c0 ELSE c0 + (c1 - c0) * (epoch(bar) - epoch(t0)) / (epoch(t1) - epoch(t0)) END, 6) AS close FROM n""")
 def interp_linear(spark, d):
-    return interpolated(filled_bars(hourly(spark, d).select("asset", "bar", "close"), "hour"))
+    return interpolated(filled_bars(hourly(spark, d).select("asset", "bar", "close"), "hour")).withColumn("close", r6("close"))
 
 
 @query("ret_simple", f"{b.HOURLY} SELECT asset, bar, round(close / nullif(lag(close) {b.W}, 0) - 1, 6) AS ret FROM bars")
@@ -117,8 +116,8 @@ def dedupe_first(spark, d):
 
 @query("cumulative", f"{b.DAILY} SELECT asset, bar, round(sum(close) OVER (PARTITION BY asset ORDER BY bar ROWS UNBOUNDED PRECEDING), 4) AS cum_sum, round(exp(sum(ln(close)) OVER (PARTITION BY asset ORDER BY bar ROWS UNBOUNDED PRECEDING) / row_number() {b.W}), 4) AS geo_mean FROM bars")
 def cumulative(spark, d):
-    w = Window.partitionBy("asset").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    return daily(spark, d).select("asset", "bar", F.round(F.sum("close").over(w), 4).alias("cum_sum"), F.round(F.exp(F.avg(F.log("close")).over(w)), 4).alias("geo_mean"))
+    x = running(daily(spark, d), {"s": ("sum", F.col("close")), "l": ("sum", F.log("close")), "k": ("sum", F.lit(1))})
+    return x.select("asset", "bar", F.round("s", 4).alias("cum_sum"), F.round(F.exp(F.col("l") / F.col("k")), 4).alias("geo_mean"))
 
 
 def _direct(alpha: str, where: str = "bars") -> str:

@@ -20,10 +20,11 @@ def truncated(unit: str, ts: str | Column) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
-def bars(t: DataFrame, unit: str = "hour") -> DataFrame:
-    """asset, bar, open, high, low, close, volume of ticks; one pass, partial aggregates before the shuffle."""
+def bars(t: DataFrame, unit: str | Column = "hour") -> DataFrame:
+    """asset, bar, open, high, low, close, volume of ticks; one pass, partial aggregates before the shuffle. unit: one
+    of date_trunc(), or a column with each tick's bar."""
     at = F.struct("ts", "event_id")
-    return t.groupBy("asset", truncated(unit, "ts").alias("bar")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
+    return t.groupBy("asset", (truncated(unit, "ts") if isinstance(unit, str) else unit).alias("bar")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
 
 
 def minute_bars(t: DataFrame, minutes: int) -> DataFrame:
@@ -50,3 +51,9 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """holder, ts, amount: the ledger of what holders hold."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("holder"), "ts", "event_id", F.col("value").alias("amount"))
+
+
+def order_periods(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
+    """asset (order priority), bar (week, or month), close (mean order total)."""
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("asset"), truncated(unit, "o_orderdate").alias("bar")).agg(F.avg("o_totalprice").alias("close"))
