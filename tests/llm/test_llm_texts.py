@@ -22,7 +22,7 @@ from tidewater.llm.packing import crossover, evolve, mutate, op4_best_fit_packin
 from tidewater.llm.pii import base_spans, candidates, classifier, op8_pii, pii_spans, redact, reliabilities
 from tidewater.llm.quality import op5_quality_rules, quality_filter, quality_verdicts
 from tidewater.llm.simhash import simhash_dedup
-from tidewater.llm.toxicity import Network, op10_toxicity, toxicity, windows
+from tidewater.llm.toxicity import DIM, INPUTS, Network, Words, op10_toxicity, toxicity, windows
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 OP5 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -274,20 +274,31 @@ def test_empty_tables(frame, operator):
 def test_gradients():
     net, rng = Network(), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    rows = np.concatenate([np.zeros((1, 6)), rng.normal(size=(40, 6))])
+    rows = np.concatenate([np.zeros((1, INPUTS)), rng.normal(size=(40, INPUTS))])
     at, label, cost = rng.integers(0, 41, (5, 24)), np.array([0, 1, 1, 0, 1.0]), np.array([1, 0.5, 1, 1, 1.0])
     loss = lambda: float((cost * np.logaddexp(0, -(2 * label - 1) * net.logits(rows, at))).sum() / cost.sum())
     for k, g in net.gradients(rows, at, label, cost).items():
-        i = np.unravel_index(np.abs(g).argmax(), g.shape)
-        old = net.p[k][i]
-        net.p[k][i] = old + 1e-3
+        of = rows if k == "x" else net.p[k]
+        i = np.unravel_index(np.abs(g[1:] if k == "x" else g).argmax(), g.shape)
+        i = (i[0] + 1, *i[1:]) if k == "x" else i
+        old = of[i]
+        of[i] = old + 1e-3
         up = loss()
-        net.p[k][i] = old - 1e-3
+        of[i] = old - 1e-3
         down = loss()
-        net.p[k][i] = old
+        of[i] = old
         assert (up - down) / 2e-3 == pytest.approx(float(g[i]), rel=0.03, abs=1e-4)
 
 
+def test_inputs_of_some_words():
+    rng = np.random.default_rng(1)
+    tables = [rng.normal(size=(1 << 16, DIM)).astype(np.float32) for _ in range(2)]
+    words = Words([b"a", b"Shout!", b"", "Ähnlich".encode(), b"stupid", b"x?"])
+    which = np.array([4, 1, 1, 3])
+    np.testing.assert_allclose(words.some(which).embedded(*tables), words.embedded(*tables)[which], rtol=1e-6)
+    assert words.letters[1].tolist() == [0.5, 0, 0, 1] and Words([b"LOUD"]).letters[0, 2] == 1
+
+
 def test_windows_cover_all_words():
     for n in range(200):
         assert {w for s in windows(n) for w in range(s, s + 24) if w < n} == set(range(n))
@@ -309,6 +320,13 @@ def test_toxicity_without_labels(frame, spark):
     assert {r.score for r in toxicity(frame([(1, "a"), (2, None)]), none).collect()} == {0.0}
 
 
+def test_toxicity_of_texts_without_words(frame, spark):
+    """Labelled texts of a class that have no words teach nothing."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity(frame([(k, "" if k % 2 else "plain words here") for k in range(40)]), labels).collect()} == {0.0}
+    assert toxicity(frame([(1, "a")]).limit(0), labels).count() == 0
+
+
 def test_pipeline(spark, small, coded):
     import corpus_pipeline
 

@@ -39,12 +39,12 @@ END = 2
 SHARD = 8192
 #: Sequences below this share of the capacity are packed again, over all shards.
 REST = 0.9
-ISLANDS = 3
+ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 #: Generations of an epoch at most; with one sequence over the least possible number, CLOSE of them with one child each
 #: (the sequences of all shards that aren't full are packed once more, so that little is left to gain there).
-GENERATIONS = 40
+GENERATIONS = 8
 CLOSE = 1
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -98,7 +98,7 @@ class Packing:
 
     def add_bin(self, items: list[int]) -> None:
         self.bins.append(list(items))
-        self.room.append(CAPACITY - sum(self.sizes[i] for i in items))
+        self.room.append(CAPACITY - sum(map(self.sizes.__getitem__, items)))
         self._file(len(self.bins) - 1)
 
     def best_fit(self, items: list[int]) -> None:
@@ -118,7 +118,7 @@ class Packing:
 
 def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, float]:
     """Fewer bins are better, then fuller ones (squared fill)."""
-    return (-len(bins), sum((sum(sizes[i] for i in b) / CAPACITY) ** 2 for b in bins))
+    return (-len(bins), sum(sum(map(sizes.__getitem__, b)) ** 2 for b in bins) / CAPACITY**2)
 
 
 def exchange(packing: Packing, displaced: list[int]) -> list[int]:
@@ -150,7 +150,7 @@ def exchange(packing: Packing, displaced: list[int]) -> list[int]:
 def crossover(into: list[list[int]], given: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
     """The bins of into with well-filled bins of given injected whole; displaced items are exchanged for smaller ones and
     go back by best fit."""
-    ranked = sorted(given, key=lambda b: -sum(sizes[i] for i in b))
+    ranked = sorted(given, key=lambda b: -sum(map(sizes.__getitem__, b)))
     injected = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5] or ranked[:1]
     taken = {i for b in injected for i in b}
     out, displaced = Packing(sizes), []
@@ -167,7 +167,7 @@ def crossover(into: list[list[int]], given: list[list[int]], sizes: list[int], r
 
 def mutate(bins: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
     """The emptiest bins and a few others are dissolved, their items exchanged and put back by best fit."""
-    ranked = sorted(bins, key=lambda b: sum(sizes[i] for i in b))
+    ranked = sorted(bins, key=lambda b: sum(map(sizes.__getitem__, b)))
     n = max(1, len(bins) // 50)
     gone = ranked[:n] + rng.sample(ranked[n:], min(2 * n, len(ranked) - n))
     left = {id(b) for b in gone}
@@ -194,24 +194,24 @@ def evolve(sizes: list[int], known: list[list[list[int]]], seed: int, generation
     """The best of a population after some generations, fewer where a solution has as few bins as can be. known:
     solutions to begin with; best fit is among the first ones."""
     rng, bound = random.Random(seed), least_bins(sizes)
-    population = list(known) or [descending(sizes)]
-    if min(map(len, population)) <= bound:
-        return min(population, key=len)
-    close = min(map(len, population)) == bound + 1
-    while len(population) < (2 if close else POPULATION):
-        population.append(mutate(population[0], sizes, rng) if len(population) % 2 else descending(sizes, rng))
-    score = lambda b: fitness(b, sizes)
-    population.sort(key=score, reverse=True)
+    scored = lambda bins: (fitness(bins, sizes), bins)
+    population = [scored(b) for b in known or [descending(sizes)]]
+    best = lambda: max(population, key=lambda p: p[0])
+    over = len(best()[1]) - bound
+    if over <= 0:
+        return best()[1]
+    while len(population) < (2 if over == 1 else POPULATION):
+        population.append(scored(mutate(best()[1], sizes, rng) if len(population) % 2 else descending(sizes, rng)))
     for k in range(generations):
-        over = len(population[0]) - bound
+        over = len(best()[1]) - bound
         if over <= 0 or (over == 1 and k >= CLOSE):
             break
-        a, b = rng.sample(population, 2)
-        children = [mutate(crossover(a, b, sizes, rng), sizes, rng)]
+        (_, a), (_, b) = rng.sample(population, 2)
+        children = [scored(mutate(crossover(a, b, sizes, rng), sizes, rng))]
         if over > 1:
-            children.append(mutate(population[0], sizes, rng))
-        population = sorted(population + children, key=score, reverse=True)[:POPULATION]
-    return population[0]
+            children.append(scored(mutate(best()[1], sizes, rng)))
+        population = sorted(population + children, key=lambda p: p[0], reverse=True)[:POPULATION]
+    return best()[1]
 
 
 def genome(bins: list[list[int]], n: int) -> bytes:

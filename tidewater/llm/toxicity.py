@@ -1,18 +1,24 @@
 """Operator 10, toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is what its hashed word and its hashed character n-grams are worth (smoothed log-odds of toxic
-documents), and a few features of its letters; a network of two gated recurrent layers (one each way) reads windows of
-WIDTH words that start every STRIDE words, attention pools the states of a window, and a logistic unit scores it. A
-document's score is that of its highest window, calibrated on the training documents; all windows of whole texts count.
+The network reads characters and words: a word's input is a learned embedding of the word, the mean of learned embeddings
+of its character n-grams (both by hash), what word and n-grams are worth by themselves (smoothed log-odds of toxic
+documents), and what its letters look like (length, foreign letters, shouted, marks behind it). Two gated recurrent
+layers, one each way, read windows of WIDTH words that start every STRIDE words, attention pools the states of a window,
+and a logistic unit scores it; embeddings are trained with the network. A document's score is that of its highest window;
+all windows of whole texts count.
 
 Training: at most DOCS labelled documents of each class, those of smallest hash of their id, and of each the WINDOWS
 windows whose words weigh most. The log-odds that a training document sees are counted on the other half of the
-sample (cross-fitting), so that the network learns what log-odds of unseen documents look like. Tasks extract counts and
-windows; only the count tables (of fixed size) and the bounded sample of windows reach the driver. Every step is
-seeded. Labels, language, source and id are never inputs of a score.
+sample (cross-fitting), so that the network learns what log-odds of unseen documents look like, and embeddings are left
+out at random (DROPPED), so that it doesn't rest on words that it has seen. Tasks extract counts and windows; only the
+count tables (of fixed size) and the bounded sample of windows reach the driver: at most 2 * DOCS * WINDOWS windows of
+WIDTH words, some 5 MB, whatever the input. Every step is seeded. Labels, language, source and id are never inputs of a
+score.
 
 Nulls: a null text is empty; a text without words scores 0. Rows of labels with null ids or labels are not used. With
-no training documents of both classes all scores are 0. Empty tables give no rows; repeated rows equal scores.
+no training documents of both classes that have words all scores are 0. Empty tables give no rows; repeated rows have
+equal scores. Ties: of windows that score alike any is the highest; a score of exactly 0.5 counts as toxic. Very long
+texts are scored SCORED windows at a time. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +40,28 @@ WIDTH, STRIDE = 24, 12
 HIDDEN = 8
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5, 6)
-INPUTS = 6
+#: Numbers of an embedding; those of a word, in order: log-odds, letters, embeddings of the word and of its n-grams.
+DIM = 6
+ODDS, LETTERS = 4, 4
+INPUTS = ODDS + LETTERS + 2 * DIM
+#: Share of words whose embeddings are left out in a training step.
+DROPPED = 0.4
 STEPS = 500
 #: Words kept with their inputs in a task's memory, and windows scored at once.
 WORDS_KEPT = 100_000
 SCORED = 8192
-WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: Words with the marks behind them.
+WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+[!?*]*")
 
 
 def words_of(text: str) -> list[bytes]:
-    return WORD.findall(text.lower().encode())
+    return WORD.findall(text.encode())
+
+
+def plain(word: bytes) -> bytes:
+    """A word without marks, in lower case."""
+    word = word.rstrip(b"!?*")
+    return word.lower() if word.isascii() else word.decode(errors="replace").lower().encode()
 
 
 def word_bucket(word: bytes) -> int:
@@ -73,23 +91,63 @@ def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return names[order], buckets[order]
 
 
-def inputs(words: list[bytes], word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
-    """The inputs of each word: its own log-odds; the largest, mean and least of its n-grams; its length; foreign letters."""
-    out = np.zeros((len(words), INPUTS), np.float32)
-    if not words:
+class Words:
+    """Distinct words as the network meets them: buckets of the words, (word number, bucket) of their n-grams sorted by
+    word, and what their letters look like."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        low = [plain(w) for w in words]
+        self.n = len(words)
+        self.bucket = np.fromiter(map(word_bucket, low), np.int64, self.n)
+        self.name, self.grams = gram_buckets(low)
+        self.starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(self.name)), bool), self.name[1:] != self.name[:-1]]))
+        self.of = self.name[self.starts]
+        self.count = np.diff(np.append(self.starts, len(self.name)))
+        self.letters = np.zeros((self.n, LETTERS), np.float32)
+        if self.n:
+            self.letters[:, 0] = np.fromiter(map(len, low), np.float32, self.n) / 10
+            self.letters[:, 1] = [not w.isascii() for w in low]
+            self.letters[:, 2] = [len(w) > 1 and w.isupper() for w in words]
+            self.letters[:, 3] = [w[-1:] in b"!?*" for w in words]
+
+    def fixed(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
+        """Each word's log-odds, the largest, mean and least of its n-grams, and its letters."""
+        out = np.zeros((self.n, ODDS + LETTERS), np.float32)
+        out[:, 0] = word_odds[self.bucket]
+        odds = gram_odds[self.grams]
+        if len(self.starts):
+            out[self.of, 1] = np.maximum.reduceat(odds, self.starts)
+            out[self.of, 2] = np.add.reduceat(odds, self.starts) / self.count
+            out[self.of, 3] = np.minimum.reduceat(odds, self.starts)
+        out[:, ODDS:] = self.letters
         return out
-    out[:, 0] = word_odds[[word_bucket(w) for w in words]]
-    name, bucket = gram_buckets(words)
-    odds = gram_odds[bucket]
-    starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
-    if len(starts):
-        of, n = name[starts], np.diff(np.append(starts, len(name)))
-        out[of, 1] = np.maximum.reduceat(odds, starts)
-        out[of, 2] = np.add.reduceat(odds, starts) / n
-        out[of, 3] = np.minimum.reduceat(odds, starts)
-    out[:, 4] = np.fromiter(map(len, words), np.float32, len(words)) / 10
-    out[:, 5] = [any(c >= 0x80 for c in w) for w in words]
-    return out
+
+    def embedded(self, word_table: np.ndarray, gram_table: np.ndarray) -> np.ndarray:
+        """The embedding of each word, and the mean of its n-grams'."""
+        out = np.zeros((self.n, 2 * DIM), np.float32)
+        out[:, :DIM] = word_table[self.bucket]
+        if len(self.starts):
+            out[self.of, DIM:] = np.add.reduceat(gram_table[self.grams], self.starts, axis=0) / self.count[:, None]
+        return out
+
+    def some(self, which: np.ndarray) -> Words:
+        """These words (numbers in order)."""
+        out = Words([])
+        out.n, out.bucket, out.letters = len(which), self.bucket[which], self.letters[which]
+        first, count = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        first[self.of], count[self.of] = self.starts, self.count
+        have = np.flatnonzero(count[which])
+        out.of, out.count = have, count[which][have]
+        out.starts = np.cumsum(out.count) - out.count
+        out.name = np.repeat(have, out.count)
+        out.grams = self.grams[np.repeat(first[which][have] - out.starts, out.count) + np.arange(len(out.name))]
+        return out
+
+
+def inputs(words: list[bytes], word_odds: np.ndarray, gram_odds: np.ndarray, word_table: np.ndarray, gram_table: np.ndarray) -> np.ndarray:
+    """The inputs of each word."""
+    w = Words(words)
+    return np.concatenate([w.fixed(word_odds, gram_odds), w.embedded(word_table, gram_table)], axis=1)
 
 
 def windows(n: int) -> np.ndarray:
@@ -103,15 +161,15 @@ def windows(n: int) -> np.ndarray:
 class Vocabulary:
     """Numbers of words met so far and their inputs; number 0 is padding."""
 
-    def __init__(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> None:
-        self.odds, self.number, self.rows = (word_odds, gram_odds), {}, np.zeros((1, INPUTS), np.float32)
+    def __init__(self, *tables: np.ndarray) -> None:
+        self.tables, self.number, self.rows = tables, {}, np.zeros((1, INPUTS), np.float32)
 
     def numbers(self, some: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.number) > WORDS_KEPT:
             self.number, self.rows = {}, self.rows[:1]
         new = list({w for s in some for w in s if w not in self.number})
         self.number |= zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True)
-        self.rows = np.concatenate([self.rows, inputs(new, *self.odds)])
+        self.rows = np.concatenate([self.rows, inputs(new, *self.tables)])
         return [np.fromiter(map(self.number.__getitem__, s), np.int64, len(s)) for s in some]
 
 
@@ -126,13 +184,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters: for each way w (input weights), u (recurrent weights), b; attention a, c; output o, d."""
+    """Parameters: for each way w (input weights), u (recurrent weights), b; attention a, c; output o, d. Tables: the
+    embeddings of words and of n-grams."""
 
     def __init__(self, seed: int = 7) -> None:
         rng, h = np.random.default_rng(seed), HIDDEN
         draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
         self.p = {f"{k}{way}": v for way in "fb" for k, v in (("w", draw(INPUTS, 3 * h)), ("u", draw(h, 3 * h)), ("b", np.zeros(3 * h, np.float32)))}
         self.p |= {"a": draw(2 * h, h), "c": draw(h, 1)[:, 0], "o": draw(2 * h, 1)[:, 0], "d": np.zeros(1, np.float32)}
+        self.tables = [rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) for _ in range(2)]
 
     def _way(self, way: str, x: np.ndarray, mask: np.ndarray, keep: bool):
         """States (time, windows, HIDDEN) from projected inputs x (time, windows, 3 HIDDEN)."""
@@ -167,7 +227,7 @@ class Network:
         return (out, (times, mask, kept, s, e, weight, pooled)) if keep else out
 
     def gradients(self, rows: np.ndarray, at: np.ndarray, label: np.ndarray, cost: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted mean log loss, by propagation back through time."""
+        """Of the weighted mean log loss, by propagation back through time; x is that of the input rows."""
         h, g = HIDDEN, {}
         out, (times, mask, kept, s, e, weight, pooled) = self.logits(rows, at, keep=True)
         d_out = (sigmoid(out) - label) * cost / cost.sum()
@@ -179,6 +239,7 @@ class Network:
         d_e = d_score[:, :, None] * self.p["c"] * (1 - e * e)
         g["a"] = np.tensordot(s, d_e, ([0, 1], [0, 1]))
         d_s = weight[:, :, None] * d_pooled + d_e @ self.p["a"].T
+        g["x"] = np.zeros(rows.shape, d_s.dtype)
         for k, way in enumerate("fb"):
             u, d_u, d_x = self.p["u" + way], np.zeros_like(self.p["u" + way]), np.zeros((*times.shape, 3 * h), np.float32)
             carry = np.zeros((at.shape[0], h), np.float32)
@@ -192,20 +253,38 @@ class Network:
                 d_u += state.T @ d_pre
                 carry = np.where(on, d * z, d) + d_pre @ u.T
             x = rows[times]
+            np.add.at(g["x"], times, d_x @ self.p["w" + way].T)
             g["u" + way], g["w" + way], g["b" + way] = d_u, np.tensordot(x, d_x, ([0, 1], [0, 1])), d_x.sum(axis=(0, 1))
         return g
 
-    def fit(self, rows: np.ndarray, at: np.ndarray, label: np.ndarray, cost: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
-        """Adam over shuffled batches of 256 windows, those of both classes alike often."""
+    def fit(self, words: Words, fixed: np.ndarray, of: np.ndarray, at: np.ndarray, label: np.ndarray, cost: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
+        """Adam over shuffled batches of 256 windows, those of both classes alike often. at: windows of input rows, 0
+        where there is none; row r has the inputs fixed[r] and the embeddings of word of[r]."""
         rng, m, v = np.random.default_rng(seed), {n: 0.0 for n in self.p}, {n: 0.0 for n in self.p}
+        seen = [np.full(t.shape, 1e-6, np.float32) for t in self.tables]
         by = [np.flatnonzero((label == c) & (cost > 0)) for c in (0, 1)]
-        if not all(map(len, by)):  # the labelled texts of a class have no words: nothing to tell apart
-            return
         for k in range(1, steps + 1):
             b = np.concatenate([rng.choice(x, 128) for x in by])
-            for n, g in self.gradients(rows, at[b], label[b], cost[b]).items():
+            used, local = np.unique(np.append(0, at[b]), return_inverse=True)
+            local = local[1:].reshape(len(b), WIDTH)
+            own = words.some(of[used[1:]])
+            kept = (rng.random(own.n) >= DROPPED)[:, None] / np.float32(1 - DROPPED)
+            rows = np.zeros((len(used), INPUTS), np.float32)
+            rows[:, : ODDS + LETTERS] = fixed[used]
+            rows[1:, ODDS + LETTERS :] = own.embedded(*self.tables) * kept
+            grads = self.gradients(rows, local, label[b], cost[b])
+            d = grads.pop("x")[1:, ODDS + LETTERS :] * kept
+            rate = 1 - 0.9 * k / steps
+            for n, g in grads.items():
                 m[n], v[n] = 0.9 * m[n] + 0.1 * g, 0.99 * v[n] + 0.01 * g * g
-                self.p[n] = (self.p[n] - 0.03 * (1 - 0.9 * k / steps) * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
+                self.p[n] = (self.p[n] - 0.03 * rate * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
+            parts = ((own.bucket, d[:, :DIM]), (own.grams, np.repeat(d[own.of, DIM:] / own.count[:, None], own.count, axis=0)))
+            for table, sums, (bucket, g) in zip(self.tables, seen, parts, strict=True):
+                which, back = np.unique(bucket, return_inverse=True)
+                total = np.zeros((len(which), DIM), np.float32)
+                np.add.at(total, back, g)
+                sums[which] += total * total
+                table[which] -= 0.05 * rate * total / np.sqrt(sums[which])
 
 
 def log_odds(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -221,14 +300,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = {(half, toxic): [0, np.zeros(BUCKETS, "<i4"), np.zeros(BUCKETS, "<i4")] for half in (0, 1) for toxic in (0, 1)}
     for b in batches:
         for half, toxic, text in zip(b["half"].to_pylist(), b["toxic"].to_pylist(), texts(b["text"]), strict=True):
-            found, own = sums[half, toxic], list(set(words_of(text)))
+            found, own = sums[half, toxic], list({plain(w) for w in words_of(text)})
             found[0] += 1
             found[1][np.unique(np.array([word_bucket(w) for w in own], np.int64))] += 1
             found[2][np.unique(gram_buckets(own)[1])] += 1
     yield batch(COUNTED, *zip(*((h, t, n, w.tobytes(), g.tobytes()) for (h, t), (n, w, g) in sums.items()), strict=True))
 
 
-PICKED = pa.schema([("doc_id", pa.int64()), ("half", pa.int32()), ("toxic", pa.int32()), ("inputs", pa.binary()), ("length", pa.int32())])
+PICKED = pa.schema([("doc_id", pa.int64()), ("half", pa.int32()), ("toxic", pa.int32()), ("words", pa.binary())])
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = DOCS) -> DataFrame:
@@ -244,7 +323,7 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model: odds tables, network, calibration. None without documents of both classes."""
+    """The model: tables of log-odds and embeddings, network, middle. None without documents of both classes."""
     chosen = materialize(sample(docs, labels), "labelled").repartition(8, "doc_id")
     counts, n = np.zeros((2, 2, 2, BUCKETS)), np.zeros((2, 2))
     for r in map_batches(chosen.select("half", "toxic", "text"), _count, "half int, toxic int, docs long, words binary, grams binary").toLocalIterator():  # four rows of fixed size a task, of 8 tasks
@@ -263,44 +342,57 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
                 words = words_of(text)
                 if not words:
                     continue
-                x = inputs(words, *other[half])
+                x = Words(words).fixed(*other[half])
                 at = windows(len(words))[:, None] + np.arange(WIDTH)
                 weight = np.append(np.maximum(x[:, 0], 0) + np.maximum(x[:, 1], 0), 0)[np.minimum(at, len(words))]
                 for k in np.argsort(-weight.max(axis=1) - 0.05 * weight.sum(axis=1), kind="stable")[:WINDOWS]:
-                    own = x[at[k][at[k] < len(words)]]
-                    rows.append((doc, half, toxic, own.tobytes(), len(own)))
-            yield batch(PICKED, *(list(zip(*rows, strict=True)) or [[]] * 5))
+                    rows.append((doc, half, toxic, b" ".join(words[at[k][0] : at[k][-1] + 1])))
+            yield batch(PICKED, *(list(zip(*rows, strict=True)) or [[]] * 4))
 
-    found = map_batches(chosen.select("doc_id", "half", "toxic", "text"), pick, "doc_id long, half int, toxic int, inputs binary, length int").orderBy("doc_id", "inputs").collect()  # at most 2 * DOCS * WINDOWS windows
+    found = map_batches(chosen.select("doc_id", "half", "toxic", "text"), pick, "doc_id long, half int, toxic int, words binary").orderBy("doc_id", "words").collect()  # at most 2 * DOCS * WINDOWS windows
     doc, label = np.array([r.doc_id for r in found]), np.array([r.toxic for r in found], np.float32)
-    rows = np.concatenate([np.zeros((1, INPUTS), np.float32), *(np.frombuffer(r.inputs, np.float32).reshape(-1, INPUTS) for r in found)])
-    length = np.array([r.length for r in found])
-    at = (np.cumsum(length) - length + 1)[:, None] + np.arange(WIDTH)
-    at = np.where(np.arange(WIDTH) < length[:, None], at, 0)
+    if len(np.unique(label)) < 2:  # the labelled texts of a class have no words
+        return None
+    texts_ = [bytes(r.words).split(b" ") for r in found]
+    number: dict[bytes, int] = {}
+    for t in texts_:
+        for w in t:
+            number.setdefault(w, len(number))
+    words = Words(list(number))
+    # two rows for each word, one as either half sees it; row 0 is padding
+    fixed = np.zeros((2 * words.n + 1, ODDS + LETTERS), np.float32)
+    for half in (0, 1):
+        fixed[1 + half :: 2] = words.fixed(*other[half])
+    of = (np.arange(2 * words.n + 1) - 1) // 2
+    at = np.zeros((len(found), WIDTH), np.int64)
+    for k, (r, t) in enumerate(zip(found, texts_, strict=True)):
+        at[k, : len(t)] = [2 * number[w] + 1 + r.half for w in t]
     _, first, own = np.unique(doc, return_index=True, return_inverse=True)
     truth = label[first]
     # a clean document's windows are all clean; of a toxic one those count that the network itself finds highest
     cost = np.ones(len(at), np.float32)
     net = Network()
     for k in range(2):
-        net.fit(rows, at, label, cost, steps=STEPS if k else STEPS // 2, seed=11 + k)
+        net.fit(words, fixed, of, at, label, cost, steps=STEPS if k else STEPS // 2, seed=11 + k)
+        rows = np.zeros((len(fixed), INPUTS), np.float32)
+        rows[:, : ODDS + LETTERS] = fixed
+        rows[1:, ODDS + LETTERS :] = np.repeat(words.embedded(*net.tables), 2, axis=0)
         out = net.logits(rows, at)
         top = np.full(len(first), -np.inf)
         np.maximum.at(top, own, out)
         cost = np.where(label == 1, out >= top[own] - 1.0, True).astype(np.float32)
-    return {"odds": tables([0, 1]), "net": net, "calibration": calibrate(top, truth, n.sum(axis=0))}
+    return {"tables": (*tables([0, 1]), *net.tables), "net": net, "middle": calibrate(top, truth)}
 
 
-def calibrate(top: np.ndarray, truth: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over the highest window's logit, both classes weighted alike; its middle
-    then moves to the cut with the best F1 at the classes' shares."""
+def calibrate(top: np.ndarray, truth: np.ndarray) -> float:
+    """The cut of the highest window's logit with the best F1 on the training documents; it becomes the score 0.5."""
     order = np.argsort(-top, kind="stable")
     hit, false = np.cumsum(truth[order]), np.cumsum(1 - truth[order])
     # several cuts may do equally well: take the middle between the first and the last
     f1 = 2 * hit / (hit + false + truth.sum())
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     low = top[order][min(best[-1] + 1, len(order) - 1)]
-    return 1.0, float((top[order][best[0]] + low) / 2)
+    return float((top[order][best[0]] + low) / 2)
 
 
 SCORED_ROWS = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -310,7 +402,7 @@ def scores(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, score) of every document, from all its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(*model["odds"]) if model else None
+        words = Vocabulary(*model["tables"]) if model else None
         for b in batches:
             best = np.full(b.num_rows, -np.inf)
             if model:
@@ -324,8 +416,7 @@ def scores(docs: DataFrame, model: dict | None) -> DataFrame:
                     if used[0] != 0:  # row 0 stays the padding
                         used, local = np.append(0, used), local + 1
                     np.maximum.at(best, of[s : s + SCORED], model["net"].logits(words.rows[used], local))
-                slope, middle = model["calibration"]
-                best = np.where(np.isfinite(best), sigmoid(slope * (best - middle)), 0.0)
+                best = np.where(np.isfinite(best), sigmoid(best - model["middle"]), 0.0)
             yield batch(SCORED_ROWS, b["doc_id"], best if model else np.zeros(b.num_rows))
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
