@@ -131,13 +131,16 @@ def test_wavelet_rank(values):
 @given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.integers(5, 7), min_size=3, max_size=20)), min_size=1, max_size=6))
 def test_full_text_index(rows):
     doc = np.array([d for d, _ in rows])
-    s, o = Index([np.array(t) for _, t in rows], doc, 3).matching(doc, 3)
+    index = Index([np.array(t) for _, t in rows], doc, 3)
     held = {}
     for d, t in rows:
         for p in range(len(t) - 2):
             held.setdefault(tuple(t[p : p + 3]), []).append(d)
     want = {(k, p) for k, (d, t) in enumerate(rows) for p in range(len(t) - 2) if min(held[tuple(t[p : p + 3])]) < d}
-    assert set(zip(s.tolist(), o.tolist(), strict=True)) == want
+    assert {(k, p + j) for k, p, n in zip(*(x.tolist() for x in index.intervals(doc, 3)), strict=True) for j in range(n)} == want
+    held = {(d, tuple(t[p : p + n])) for d, t in rows for n in (1, 2, 3) for p in range(len(t) - n + 1)}
+    longest = [max((n for n in (1, 2, 3) if n <= e + 1 and any((x, tuple(t[e + 1 - n : e + 1])) in held for x in range(d))), default=0) for d, t in rows for e in range(len(t))]
+    assert index.statistics(doc, 3).tolist() == longest
 
 
 def test_simhash(frame, rows, spark, small):

@@ -36,6 +36,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ BUNDLE = 3_000_000
 #: Words of the documents whose n-grams are exploded at once, and bytes of them.
 PORTION = 4 << 20
 #: Ranges of hashes, one after the other, for the count tables and for the scores.
-COUNTED_IN, SCORED_IN = 4, 4
+COUNTED_IN, SCORED_IN = 4, 6
 
 COUNTS = pa.schema([("n", pa.int32()), ("pre", pa.int64()), ("suf", pa.int64()), ("occ", pa.int64()), ("docs", pa.int64())])
 OWN = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -89,7 +90,7 @@ def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' words in a row, and the number of each text's words."""
     words = [t.lower().split() for t in texts]  # of bytes: only A-Z change, only \x20 and \x09-\x0D split
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    one = np.fromiter((h for w in words for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, int(sizes.sum()))
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
     return one, sizes
 
 

@@ -167,11 +167,12 @@ def fetched(open_: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def repeated_windows(windows: DataFrame, by_start: bool) -> DataFrame:
-    """Of single windows (mini, key, doc, tid, pos) those with an earlier equal one: doc, tid, pos, n = 1."""
-    same = Window.partitionBy("mini", "key")
-    early = F.min(F.struct("doc", "pos")).over(same) if by_start else F.min("doc").over(same)
+    """Of single windows (mini, key, doc, tid, pos) those with an earlier equal one: doc, tid, pos, n = 1. The earliest of
+    each is found by partial minima before the shuffle, and joined back, so that a frequent window is split."""
     own = F.struct("doc", "pos") if by_start else F.col("doc")
-    return windows.withColumn("gone", own > early).filter("gone").select("doc", "tid", "pos", F.lit(1).alias("n"))
+    early = windows.groupBy(F.col("mini").alias("m"), F.col("key").alias("k")).agg(F.min(own).alias("early"), F.max(own).alias("late")).filter("early <> late").drop("late")
+    joined = windows.join(early, (F.col("mini") == F.col("m")) & (F.col("key") == F.col("k")))
+    return joined.filter(own > F.col("early")).select("doc", "tid", "pos", F.lit(1).alias("n"))
 
 
 def covered(starts: np.ndarray, n: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,8 @@ Words are runs of bytes other than \\x20 and \\x09-\\x0D, unchanged; windows lie
 input. Texts are cut into segments by minimizers (see repeats.py), so that windows that may be equal meet in one class.
 Whole classes form shards, each with a compressed index: the Burrows-Wheeler transform of its segments' words in a
 wavelet tree of packed bits with counts. All segments of the shard are then streamed against it: backward search from
-every position gives its matching statistics up to WIDTH, and the rows of the interval found tell the smallest document
-that holds the match. Windows whose statistics reach WIDTH in a smaller document go.
+every word gives its matching statistics (how many words up to it are in a smaller document), and the rows of the
+interval found tell the smallest document that holds the match. Intervals where the statistics reach WIDTH go.
 
 Segments that one of a smaller document equals as a whole are found by their hashes before that. A class of more than
 HOT segments is compared by hashes of its single windows.
@@ -140,21 +140,33 @@ class Index:
             out[at] = np.minimum(self.least[k][low[at]], self.least[k][high[at] - 2**k])
         return out
 
-    def matching(self, doc: np.ndarray, depth: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, offset) of each window of depth words that a smaller document than its segment's holds. Backward
-        search from each window's last word; a search ends when no smaller document matches any longer."""
-        n = self.sizes - depth + 1
-        segment = np.repeat(np.arange(len(n)), n)
-        offset = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-        begin = (self.ends - self.sizes)[segment] + offset
-        low, high = np.zeros(len(begin), np.int64), np.full(len(begin), len(self.symbols), np.int64)
-        for step in range(depth - 1, -1, -1):
-            word = self.symbols[begin + step]
+    def statistics(self, doc: np.ndarray, depth: int = WIDTH) -> np.ndarray:
+        """Matching statistics of all segments' words in a row: how many words that end at each are in a smaller document
+        than the segment's, up to depth. Backward search from every word; a search ends when no smaller document matches
+        any longer, or with the segment."""
+        out = np.zeros(int(self.sizes.sum()), np.int64)
+        segment = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        at = np.arange(len(out)) + segment  # ends lie between the segments
+        name, first = np.arange(len(out)), (self.ends - self.sizes)[segment]
+        low, high = np.zeros(len(out), np.int64), np.full(len(out), len(self.symbols), np.int64)
+        for _ in range(depth):
+            word = self.symbols[at]
             to, start = self.tree.rank(word, high, low)
             low, high = self.less[word] + start, self.less[word] + to
             held = self.smallest(low, high) < doc[segment]
-            segment, begin, low, high, offset = segment[held], begin[held], low[held], high[held], offset[held]
-        return segment, offset
+            out[name[held]] += 1
+            held &= at > first  # the segment goes on to the left
+            name, segment, at, first, low, high = name[held], segment[held], at[held] - 1, first[held], low[held], high[held]
+        return out
+
+    def intervals(self, doc: np.ndarray, depth: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, offset, n): the runs of n windows of depth words from offset on whose statistics reach depth."""
+        segment = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        hit = np.flatnonzero(self.statistics(doc, depth) >= depth)
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(hit)), bool), (hit[1:] != hit[:-1] + 1) | (segment[hit[1:]] != segment[hit[:-1]])]))
+        n = np.diff(np.append(head, len(hit)))
+        begin = (np.cumsum(self.sizes) - self.sizes)[segment[hit[head]]]
+        return segment[hit[head]], hit[head] - begin - depth + 1, n
 
 
 SLICES = pa.schema([("mini", pa.int64()), ("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("anchor", pa.int32()), ("key", pa.int64()), ("words", pa.list_(pa.int64()))])
@@ -185,10 +197,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not rows:
             continue
         doc = np.array([r["doc"] for r in rows])
-        segment, offset = Index(texts, doc).matching(doc)
-        head = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(segment) else segment
-        n = np.diff(np.append(head, len(segment)))
-        segment, offset = segment[head], offset[head]
+        segment, offset, n = Index(texts, doc).intervals(doc)
         yield batch(RUNS, doc[segment], np.array([r["tid"] for r in rows], np.int64)[segment], (pos[segment] + offset).astype(np.int32), n.astype(np.int32))
 
 

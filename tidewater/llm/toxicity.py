@@ -183,6 +183,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indexes, and the sum of the values of each."""
+    order = np.argsort(index, kind="stable")
+    k = index[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
+    return k[starts], np.add.reduceat(values[order], starts, axis=0) if len(k) else values
+
+
 class Network:
     """Parameters: for each way w (input weights), u (recurrent weights), b; attention a, c; output o, d. Tables: the
     embeddings of words and of n-grams."""
@@ -253,7 +261,8 @@ class Network:
                 d_u += state.T @ d_pre
                 carry = np.where(on, d * z, d) + d_pre @ u.T
             x = rows[times]
-            np.add.at(g["x"], times, d_x @ self.p["w" + way].T)
+            which, sums = summed(times.ravel(), (d_x @ self.p["w" + way].T).reshape(times.size, -1))
+            g["x"][which] += sums
             g["u" + way], g["w" + way], g["b" + way] = d_u, np.tensordot(x, d_x, ([0, 1], [0, 1])), d_x.sum(axis=(0, 1))
         return g
 
@@ -280,9 +289,7 @@ class Network:
                 self.p[n] = (self.p[n] - 0.03 * rate * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
             parts = ((own.bucket, d[:, :DIM]), (own.grams, np.repeat(d[own.of, DIM:] / own.count[:, None], own.count, axis=0)))
             for table, sums, (bucket, g) in zip(self.tables, seen, parts, strict=True):
-                which, back = np.unique(bucket, return_inverse=True)
-                total = np.zeros((len(which), DIM), np.float32)
-                np.add.at(total, back, g)
+                which, total = summed(bucket, g)
                 sums[which] += total * total
                 table[which] -= 0.05 * rate * total / np.sqrt(sums[which])
 
