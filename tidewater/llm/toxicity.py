@@ -45,7 +45,7 @@ DIM = 6
 ODDS, LETTERS = 4, 4
 INPUTS = ODDS + LETTERS + 2 * DIM
 #: Share of words whose embeddings are left out in a training step.
-DROPPED = 0.4
+DROPPED = 0.5
 STEPS = 500
 #: Words kept with their inputs in a task's memory, and windows scored at once.
 WORDS_KEPT = 100_000
@@ -291,7 +291,7 @@ class Network:
             for table, sums, (bucket, g) in zip(self.tables, seen, parts, strict=True):
                 which, total = summed(bucket, g)
                 sums[which] += total * total
-                table[which] -= 0.05 * rate * total / np.sqrt(sums[which])
+                table[which] -= 0.02 * rate * total / np.sqrt(sums[which])
 
 
 def log_odds(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
