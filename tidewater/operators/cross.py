@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewater.functions.ordered import running
+from tidewater.functions.ordered import over_chunks, running
 
 
 def correlation(a: str, b: str, w: WindowSpec | None = None) -> Column:
@@ -34,6 +34,38 @@ def aligned(df: DataFrame, base: str) -> DataFrame:
     return df.join(F.broadcast(start), F.col("bar") >= F.col("start")).drop("start")
 
 
+def since_earliest(df: DataFrame) -> DataFrame:
+    """Rows from the earliest bar of all assets on."""
+    start = df.agg(F.min("bar").alias("_start"))  # one row
+    return df.join(F.broadcast(start), F.col("bar") >= F.col("_start")).drop("_start")
+
+
+def looked_up(df: DataFrame, values: DataFrame) -> DataFrame:
+    """df with the columns of values (one row an asset); null for assets that it doesn't have. Whether the table is small
+    enough to be sent to all tasks is left to its measured size."""
+    v = values.withColumnRenamed("asset", "_a")
+    return df.join(v, F.col("asset") == F.col("_a"), "left").drop("_a")
+
+
+def document_series(documents: DataFrame, field: str) -> DataFrame:
+    """Documents with a map in field, as rows of its keys and values."""
+    return documents.select(*(c for c in documents.columns if c != field), F.explode(field).alias("key", "value"))
+
+
+def investment(fraction: Column, capital: float, invested: float) -> Column:
+    """What to put in: a share (at most all) of the capital that is left, never below 0."""
+    return F.greatest(F.lit(0.0), F.least(fraction, F.lit(1.0)) * (capital - invested))
+
+
+def cost_averaged(df: DataFrame, window: int, parts: int) -> DataFrame:
+    """asset, part, price: each series in parts of equal length (the rest is left out), with the mean of the prior means
+    of window bars there, 0 where there are none."""
+    x = over_chunks(df, window, lambda w: {"_i": F.col("_at"), "_ma": F.when(F.col("_at") >= window, F.avg("close").over(w.rowsBetween(-window, -1)))})
+    n = df.groupBy(F.col("asset").alias("_a")).agg(F.floor(F.count("*") / parts).alias("_n"))
+    y = x.join(n, F.col("asset") == F.col("_a")).filter((F.col("_n") > 0) & (F.col("_i") < parts * F.col("_n")))
+    return y.groupBy("asset", F.floor(F.col("_i") / F.col("_n")).cast("int").alias("part")).agg(F.coalesce(F.avg("_ma"), F.lit(0.0)).alias("price"))
+
+
 def allocation(expected: DataFrame, budget: float, least: float = 0.0) -> DataFrame:
     """asset, amount: the allocation of a budget with the largest expected return, at least a share of least to each.
     The optimum gives every asset its floor and the rest to the best one, if that gains. No rows if floors don't fit."""

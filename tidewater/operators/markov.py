@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,14 @@ def equal_bins(df: DataFrame, k: int, x: str = "close") -> DataFrame:
     return df.join(ends, F.col("asset") == F.col("_a")).withColumn("state", F.coalesce(F.least(F.floor((F.col(x) - F.col("lo")) / width), F.lit(k - 1)), F.lit(0)).cast("int")).drop("_a", "lo", "hi")
 
 
+def kmeans_bins(df: DataFrame, k: int, x: str = "close", seed: int = 1) -> DataFrame:
+    """df with state, 0 to k: bins that the centres of k clusters of x cut, each with its upper edge; the least value is in
+    the first."""
+    v = VectorAssembler(inputCols=[x], outputCol="_v").transform(df.select(x).dropna())
+    centres = sorted(float(c[0]) for c in KMeans(k=k, seed=seed, featuresCol="_v").fit(v).clusterCenters())
+    return df.withColumn("state", sum((F.when(F.col(x) > c, 1).otherwise(0) for c in centres), F.lit(0)))
+
+
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     states = np.unique(np.concatenate([pdf["from_state"], pdf["to_state"]]))
     m = np.zeros((len(states), len(states)))

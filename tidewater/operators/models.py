@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -32,6 +34,66 @@ def quadratic_trend(df: DataFrame, by: str, t: str, y: str) -> DataFrame:
     return df.groupBy(by).agg(*(e.alias(n) for n, e in s.items())).groupBy(by).applyInPandas(solve, f"{by} {kind}, c0 double, c1 double, c2 double, band double")
 
 
+def polynomial_trend(df: DataFrame, by: str, t: str, y: str, degree: int) -> DataFrame:
+    """by, n, coefficients (of rising powers of t): least squares from one pass of sums over t scaled to -1 .. 1."""
+    ends = df.groupBy(F.col(by).alias("_b")).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    half = F.greatest((F.col("_hi") - F.col("_lo")) / 2, F.lit(0.5))
+    x = df.join(ends, F.col(by) == F.col("_b")).withColumn("_u", (F.col(t) - (F.col("_hi") + F.col("_lo")) / 2) / half)
+    power = lambda k: F.pow("_u", F.lit(float(k)))
+    sums = x.groupBy(by, "_lo", "_hi").agg(F.count("*").alias("n"), F.array(*(F.sum(power(k)) for k in range(2 * degree + 1))).alias("s"), F.array(*(F.sum(F.col(y) * power(k)) for k in range(degree + 1))).alias("v"))
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                m = np.array([[r.s[i + j] for j in range(degree + 1)] for i in range(degree + 1)])
+                c = np.linalg.lstsq(m, np.array(r.v), rcond=None)[0]
+                mid, scale = (r.hi + r.lo) / 2, max((r.hi - r.lo) / 2, 0.5)
+                poly = sum((c[k] * np.polynomial.Polynomial([-mid / scale, 1 / scale]) ** k for k in range(degree + 1)), np.polynomial.Polynomial([0.0]))
+                out.append((r.name, r.n, [float(a) for a in np.pad(poly.coef, (0, degree + 1 - len(poly.coef)))]))
+            yield pd.DataFrame(out, columns=[by, "n", "coefficients"])
+
+    kind = dict(df.dtypes)[by]
+    return sums.select(F.col(by).alias("name"), F.col("_lo").cast("double").alias("lo"), F.col("_hi").cast("double").alias("hi"), "n", "s", "v").mapInPandas(solve, f"{by} {kind}, n long, coefficients array<double>")
+
+
+def student_p(t: float, df: float) -> float:
+    """The two-sided p-value of a t statistic, from the continued fraction of the incomplete beta function."""
+    if df <= 0 or math.isnan(t):
+        return float("nan")
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    return _beta(x, a, b)
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, for x below its mean."""
+    if x <= 0:
+        return 0.0
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    f = d
+    for k in range(1, 300):
+        for n in (k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)), -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))):
+            d = 1 / (1 + n * d)
+            c = 1 + n / c
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * f
+
+
+def with_p_value(stats: DataFrame) -> DataFrame:
+    """regime_stats() with p_value, of the slope being 0."""
+
+    @F.pandas_udf("double")
+    def p(slope: pd.Series, err: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([student_p(a / e, k - 2) if e and e > 0 else float("nan") for a, e, k in zip(slope, err, n, strict=True)])
+
+    return stats.withColumn("p_value", F.nanvl(p("slope", "stderr", F.col("n").cast("double")), F.lit(None).cast("double")))
+
+
 def regime_stats(df: DataFrame, regime: str, x: str = "close") -> DataFrame:
     """asset, regime, n, mean, std (population), slope, intercept, r, stderr of x over positions within the regime."""
     p = placed(df.withColumn("_g", F.concat_ws(":", "asset", F.col(regime).cast("string"))), by="_g")
@@ -168,3 +230,31 @@ def multi_trades(df: DataFrame, most: int = 10) -> DataFrame:
         return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "trades": [int(np.argmax(free))], "profit": [float(free.max())]})
 
     return df.select("asset", "bar", "close").groupBy("asset").applyInPandas(run, "asset string, trades int, profit double")
+
+
+def selected_pairs(df: DataFrame, most: int = 10) -> DataFrame:
+    """asset, buys, sells, profit: at most most buying days (at the open) and as many selling days (at the close), where
+    every selected later sale counts with every selected earlier purchase. With n of each, a day's share doesn't
+    depend on the others once it is known how many of the other kind come after it, so that the best choice is a dynamic
+    programme over the days, the purchases and the sales so far."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("bar")
+        best, count = 0.0, 0
+        for n in range(1, most + 1):
+            # worth[i, j]: i purchases and j sales so far, n of each in the end
+            worth = np.full((n + 1, n + 1), -np.inf)
+            worth[0, 0] = 0.0
+            for o, c in zip(p["open"].to_numpy(float), p["close"].to_numpy(float), strict=True):
+                sold = np.full_like(worth, -np.inf)
+                i = np.arange(n + 1)
+                sold[:, 1:] = worth[:, :-1] + c * i[:, None]  # a sale counts with the purchases of earlier days
+                worth = np.maximum(worth, sold)
+                bought = np.full_like(worth, -np.inf)
+                bought[1:] = worth[:-1] - o * (n - np.arange(n + 1))[None, :]  # a purchase with the sales to come
+                worth = np.maximum(worth, bought)
+            if worth[n, n] > best:
+                best, count = float(worth[n, n]), n
+        return pd.DataFrame({"asset": [p["asset"].iloc[0]], "days": [count], "profit": [best]})
+
+    return df.select("asset", "bar", "open", "close").groupBy("asset").applyInPandas(run, "asset string, days int, profit double")

@@ -31,6 +31,25 @@ def top_cycles(spec: DataFrame, n: int = 5) -> DataFrame:
     return spec.filter("k > 0").withColumn("rank", rank).filter(F.col("rank") <= n).select("asset", "rank", "k", (1 / F.col("frequency")).alias("period"), "magnitude")
 
 
+def schedule(spec: DataFrame) -> DataFrame:
+    """asset, k, turn, at: when each cycle stronger than the mean of all has gone round once, twice, up to k times."""
+    x = spec.filter("k > 0")
+    level = x.groupBy(F.col("asset").alias("_a")).agg(F.avg("magnitude").alias("_level"))
+    strong = x.join(level, F.col("asset") == F.col("_a")).filter(F.col("magnitude") > F.col("_level"))
+    return strong.select("asset", "k", (1 / F.col("frequency")).alias("_p"), F.explode(F.sequence(F.lit(1), F.col("k"))).alias("turn")).select("asset", "k", "turn", (F.col("turn") * F.col("_p")).alias("at"))
+
+
+def resampled(df: DataFrame, n: int, x: str = "close") -> DataFrame:
+    """asset, i, x: each series at n equally spaced places, on the line between its neighbours there."""
+    p = placed(df).select("asset", F.col("_at").alias("at"), F.col(x).alias("v"))
+    size = p.groupBy("asset").agg(F.count("*").alias("n"))
+    grid = size.select("asset", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), (F.col("n") - 1).alias("last")).withColumn("p", F.col("i") * F.col("last") / (n - 1.0))
+    a, c = p.select("asset", F.col("at").alias("low"), F.col("v").alias("a")), p.select("asset", F.col("at").alias("high"), F.col("v").alias("c"))
+    both = grid.withColumn("low", F.floor("p")).withColumn("high", F.ceil("p")).join(a, ["asset", "low"]).join(c, ["asset", "high"])
+    share = F.col("p") - F.col("low")
+    return both.select("asset", "i", (F.col("a") * (1 - share) + F.col("c") * share).alias(x))
+
+
 def haar_level(df: DataFrame, x: str) -> DataFrame:
     """(asset, i, approx, detail) from (asset, i, x): neighbouring pairs; an odd end is paired with itself."""
     pair = df.groupBy("asset", F.floor(F.col("i") / 2).alias("i2")).agg(F.min_by(x, "i").alias("a"), F.max_by(x, "i").alias("b"))

@@ -54,11 +54,6 @@ def steady_state(spark, d):
     return markov.steady_state(moves(spark, d)).select("asset", "state", F.round("share", 5).alias("share"))
 
 
-@query("absorbing_steps")
-def absorbing_steps(spark, d):
-    return markov.absorbing_steps(moves(spark, d), 4)
-
-
 @query("haar_dwt", f"{b.DAILY}, n0 AS (SELECT asset, row_number() {b.W} - 1 AS i, close AS a FROM bars), " + ", ".join(f"n{k} AS (SELECT asset, i // 2 AS i, (first(a ORDER BY i) + last(a ORDER BY i)) / sqrt(2) AS a, (first(a ORDER BY i) - last(a ORDER BY i)) / sqrt(2) AS d FROM n{k - 1} GROUP BY asset, i // 2)" for k in range(1, 5)) + " SELECT asset, level::INTEGER AS level, i, round(coef, 6) AS coef FROM (" + " UNION ALL ".join(f"SELECT asset, {k} AS level, i, d AS coef FROM n{k}" for k in range(1, 5)) + " UNION ALL SELECT asset, 0, i, a FROM n4)")
 def haar_dwt(spark, d):
     return spectral.haar(daily(spark, d)).withColumn("coef", r6("coef"))
@@ -69,11 +64,6 @@ def price_entropy(spark, d):
     return spectral.entropy(hourly(spark, d), ["asset"], "close").withColumn("entropy", r6("entropy"))
 
 
-@query("wavelet_entropy")
-def wavelet_entropy(spark, d):
-    return spectral.entropy(spectral.haar(hourly(spark, d)), ["asset", "level"], "coef")
-
-
 DFT = f"t AS (SELECT asset, row_number() {b.W} - 1 AS i, close, count(*) OVER (PARTITION BY asset) AS n FROM bars), f AS (SELECT asset, k, any_value(n) AS n, sum(close * cos(-2 * pi() * ((k * i) % n) / n)) AS re, sum(close * sin(-2 * pi() * ((k * i) % n) / n)) AS im FROM t, LATERAL (SELECT unnest(generate_series(0, n // 2 - 1)) AS k) GROUP BY asset, k), sp AS (SELECT asset, k, k / n AS frequency, sqrt(re * re + im * im) AS magnitude FROM f)"
 
 
@@ -93,13 +83,6 @@ def regime_stats(spark, d):
     return x.select("asset", "state", "n", *(r6(c).alias(c) for c in ("mean", "std", "slope")), F.round("intercept", 5).alias("intercept"))
 
 
-@query("poly_trend")
-def poly_trend(spark, d):
-    """A quadratic trend over the hours of the day, with its band."""
-    x = hourly(spark, d).select("asset", F.hour("bar").alias("hour"), "close")
-    return models.quadratic_trend(x, "asset", "hour", "close")
-
-
 @query("kmeans_regimes")
 def kmeans_regimes(spark, d):
     return models.kmeans_states(hourly(spark, d), 3)[0].groupBy("state").agg(F.count("*").alias("n"), F.min("close").alias("low"), F.max("close").alias("high"))
@@ -143,11 +126,6 @@ def prophet_like(spark, d):
     return models.additive_forecast(daily(spark, d), grid, 7)
 
 
-@query("multi_trades")
-def multi_trades(spark, d):
-    return models.multi_trades(daily(spark, d))
-
-
 # ---- streams, run over what is there and compared with the batch result
 
 
@@ -186,6 +164,6 @@ def stream_ema(spark, d):
     return x.groupBy("asset").agg(F.max("n").alias("n"), F.round(F.max_by("ema", "n"), 4).alias("ema"))
 
 
-@query("stream_session_profit")
+@query("stream_session_profit", "WITH n AS (SELECT event_type AS asset, row_number() OVER w AS k, sum(value - 100) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), f AS (SELECT asset, min(k) AS k FROM n WHERE total >= 1000 GROUP BY asset), e AS (SELECT n.asset, coalesce(f.k, max(n.k) OVER (PARTITION BY n.asset)) AS last, n.k, total FROM n LEFT JOIN f ON f.asset = n.asset) SELECT asset, round(total, 4) AS profit, total >= 1000 AS done FROM e WHERE k = last")
 def stream_session_profit(spark, d):
-    return st.finished(st.session_profit(st.tick_stream(spark, d).withColumn("amount", F.col("price") - 100)), "update")
+    return st.finished(st.session_profit(st.tick_stream(spark, d).withColumn("amount", F.col("price") - 100)), "update").withColumn("profit", F.round("profit", 4))

@@ -32,9 +32,10 @@ def zipped_series(documents: DataFrame) -> DataFrame:
     return z.select("asset", "at", F.timestamp_millis(F.get("z.p", F.lit(0)).cast("bigint")).cast("timestamp_ntz").alias("ts"), F.get("z.p", F.lit(1)).alias("price"), F.get("z.v", F.lit(1)).alias("volume"))
 
 
-def flat_series(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """asset, ts, value of files that hold an array of [ms, value]; the asset is the file's name."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^/.]*$", 1).alias("asset"), F.explode(F.from_json("value", PAIRS)).alias("p"))
+def flat_series(spark: SparkSession, path: str | list[str], name: str = r"([^/]+?)\.[^/.]*$") -> DataFrame:
+    """asset, ts, value of files that hold an array of [ms, value]; name is a pattern whose group is the asset in a path:
+    the file's name, unless told otherwise."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), name, 1).alias("asset"), F.explode(F.from_json("value", PAIRS)).alias("p"))
     return text.select("asset", F.timestamp_millis(F.get("p", F.lit(0)).cast("bigint")).cast("timestamp_ntz").alias("ts"), F.get("p", F.lit(1)).alias("value"))
 
 
