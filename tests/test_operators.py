@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import json
 import math
 
@@ -14,8 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewater.functions.ewm import ema, ewm, rma, seeded_mean
-from tidewater.functions.ordered import full, over_chunks, placed, simple_return
-from tidewater.operators import calendar, cross, gaps, indicators, markov, models, signals, spectral
+from tidewater.functions.ordered import full, over_chunks, placed, running, simple_return
+from tidewater.operators import calendar, cross, gaps, indicators, markov, models, signals, spectral, text
 from tidewater.sources import documents, sinks
 
 DAY = dt.datetime(2024, 3, 1)
@@ -183,3 +184,93 @@ def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([("h", {DAY: 1.0}), ("gone", {DAY: 9.0})], "holder string, history map<timestamp_ntz, double>")
     new = spark.createDataFrame([("h", DAY + dt.timedelta(days=1), 2.0), ("n", DAY, 3.0)], "holder string, ts timestamp_ntz, amount double")
     assert {r.holder: len(r.history) for r in sinks.upsert_histories(old, new).collect()} == {"h": 2, "n": 1}
+
+
+def test_running_aggregates_over_chunks(spark):
+    y = [math.sin(k) * 10 if k % 5 else None for k in range(57)]
+    x, s = bars(spark, y), pd.Series(y)
+    outs = {"total": ("sum", F.col("close")), "low": ("min", F.col("close")), "top": ("max", F.col("close")), "known": ("last", F.col("close"))}
+    got = running(x.drop("low"), outs, chunk=8)
+    close = lambda name, want: np.testing.assert_allclose(pd.Series(column(got, name), dtype=float), want, rtol=1e-12)
+    close("total", s.fillna(0).cumsum().where(s.notna().cumsum() > 0))
+    close("low", s.ffill().cummin())
+    close("top", s.ffill().cummax())
+    close("known", s.ffill())
+    back = running(x, {"next": ("last", F.col("close"))}, chunk=8, backwards=True)
+    np.testing.assert_allclose(pd.Series(column(back, "next"), dtype=float), s.bfill())
+
+
+def test_polynomials_and_p_values(spark):
+    rng = np.random.default_rng(4)
+    y = [5 + 0.3 * k - 0.01 * k * k + 0.0002 * k**3 + rng.normal() for k in range(60)]
+    x = bars(spark, y).withColumn("i", F.unix_timestamp(F.col("bar").cast("timestamp")).cast("double") / 3600 - 474_096)
+    at = [r[0] for r in x.orderBy("bar").select("i").collect()]
+    got = models.polynomial_trend(x, "asset", "i", "close", 3).first()
+    np.testing.assert_allclose(got.coefficients, np.polyfit(at, y, 3)[::-1], rtol=1e-5, atol=1e-4)
+    # fixed values of the t distribution
+    for t, n, p in ((2.228, 10, 0.05), (12.706, 1, 0.05), (1.0, 1, 0.5), (0.0, 7, 1.0), (3.169, 10, 0.01), (-1.96, 1e6, 0.05)):
+        assert models.student_p(t, n) == pytest.approx(p, abs=2e-4)
+
+
+def test_selected_pairs(spark):
+    """Against all choices of days."""
+    rng = np.random.default_rng(6)
+    opened, closed = rng.integers(1, 50, (2, 6)).astype(float)
+    x = bars(spark, closed).withColumn("open", F.element_at(F.array(*map(F.lit, opened.tolist())), F.hour("bar") + 1))
+    best = 0.0
+    for n in (1, 2, 3):
+        for buys in itertools.combinations(range(6), n):
+            for sells in itertools.combinations(range(6), n):
+                best = max(best, sum(closed[s] - opened[b] for b in buys for s in sells if s > b))
+    assert models.selected_pairs(x, 3).first()["profit"] == pytest.approx(best)
+
+
+def test_cluster_bins(spark):
+    x = markov.kmeans_bins(bars(spark, [1, 2, 3, 11, 12, 13, 21, 22, 23]), 3)
+    assert column(x, "state") == [0, 0, 1, 1, 1, 2, 2, 2, 3]  # right-closed at the centres 2, 12, 22
+
+
+def test_halves(spark):
+    for n in (1, 2, 5, 8):
+        rows = [(k, float(k // 3)) for k in range(n)]
+        got = {r.h: r.half for r in cross.halves(spark.createDataFrame(rows, "h int, v double"), "v", "h").collect()}
+        ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+        assert got == {h: 1 if k < -(-n // 2) else 2 for k, (h, _) in enumerate(ranked)}
+
+
+def test_trades_with_costs_and_orders(spark):
+    t = lambda rows: spark.createDataFrame([("a", DAY + dt.timedelta(hours=h), p) for h, p in rows], "asset string, bar timestamp_ntz, price double")
+    r = signals.traded_with_costs(t([(0, 10.0), (2, 20.0)]), t([(1, 20.0), (3, 10.0), (9, 5.0)]), 100.0, 0.01).first()
+    assert r.trades == 2 and r.final_capital == pytest.approx((100 / 10 * 20 - 0.3) / 20 * 10 - 0.3)
+    x = bars(spark, [1, 2, 3, 4, 5, 6]).withColumn("signal", F.element_at(F.array(*map(F.lit, (-1, 1, 1, 0, -1, 1))), F.hour("bar") + 1))
+    assert column(signals.long_only(x), "signal") == [1, -1, 1]
+    size = signals.order_size(F.lit(100.0), F.lit(10.0), 0.1)
+    assert spark.range(1).select(*(c.alias(n) for n, c in size.items())).first()[:] == pytest.approx((9.0, 11.0, 9.9, 10))
+
+
+def test_text(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(text.clean_symbol(F.lit(s))) for s in ("X:BTCUSD", "eth-usd", "sol")] == ["btc", "eth", "sol"]
+    assert [one(text.time_unit(F.lit(s))) for s in ("a-1-MINUTE.json", "b-hourly.json", "c-90-day.json", "d")] == ["Minutes", "Hours", "Days", "Time Units"]
+    assert one(text.number(F.lit("1,234.50"))) == 1234.5 and one(text.number(F.lit("x"))) is None and one(text.with_commas(F.lit(1234.5))) == "1,234.50"
+
+
+def test_resampled_and_schedule(spark):
+    assert column(spectral.resampled(bars(spark, [0, 10, 20]), 5).withColumnRenamed("i", "bar"), "close") == [0, 5, 10, 15, 20]
+    y = [math.sin(2 * math.pi * 4 * k / 64) for k in range(64)]
+    assert [r["at"] for r in spectral.schedule(spectral.spectrum(bars(spark, y))).orderBy("turn").collect()] == [16, 32, 48, 64]
+
+
+def test_robust_decomposition(spark):
+    """More of an outlier stays in the remainder, and its neighbours' share is smaller, than without the weights."""
+    y = [10 + k * 0.1 + (3, 0, 0, -1, 0, -2, 0)[k % 7] + (50 if k == 40 else 0) for k in range(84)]
+    left = [models.decompose(bars(spark, y), robust=k).toPandas().sort_values("bar", ignore_index=True).remainder for k in (2, 0)]
+    assert left[0][40] > max(left[1][40], 45)
+    assert left[0].drop(40).abs().mean() < left[1].drop(40).abs().mean()
+
+
+def test_forecast_scores(spark):
+    y = [20 + 5 * math.sin(2 * math.pi * k / 7) + 0.2 * k for k in range(60)]
+    grid = spark.createDataFrame([(0, 3, 0.1, 0.01, False), (1, 3, 0.1, 1e6, False)], "config int, changepoints int, trend_ridge double, season_ridge double, multiplicative boolean")
+    got = {r.config: (r["rank"], r.rmse) for r in models.forecast_scores(bars(spark, y, step=dt.timedelta(days=1)), grid, 7).collect()}
+    assert got[0][0] == 1 and got[0][1] < 0.5 < got[1][1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, running
@@ -52,6 +52,19 @@ def document_series(documents: DataFrame, field: str) -> DataFrame:
     return documents.select(*(c for c in documents.columns if c != field), F.explode(field).alias("key", "value"))
 
 
+def halves(df: DataFrame, x: str, tie: str) -> DataFrame:
+    """df with half: 1 for the larger half of the rows by x (the odd one counts to it), 2 for the rest; equal values go by
+    tie. The cut is one percentile and one count, so that no task sorts all rows; only those equal to it are ranked."""
+    cut = df.agg(F.count("*").alias("_n"), F.percentile(x, F.lit(0.5)).alias("_p"))  # one row
+    at = df.join(F.broadcast(cut)).filter(F.col(x) <= F.col("_p")).agg(F.max(x).alias("_cut"), F.first("_n").alias("_n"))
+    y = df.join(F.broadcast(at))
+    above = y.agg(F.count(F.when(F.col(x) > F.col("_cut"), 1)).alias("_above"))
+    y = y.join(F.broadcast(above))
+    equal = y.filter(F.col(x) == F.col("_cut")).withColumn("half", F.when(F.row_number().over(Window.partitionBy(x).orderBy(tie)) <= F.ceil(F.col("_n") / 2) - F.col("_above"), 1).otherwise(2))
+    rest = y.filter(F.col(x) != F.col("_cut")).withColumn("half", F.when(F.col(x) > F.col("_cut"), 1).otherwise(2))
+    return equal.unionByName(rest).drop("_n", "_cut", "_above")
+
+
 def investment(fraction: Column, capital: float, invested: float) -> Column:
     """What to put in: a share (at most all) of the capital that is left, never below 0."""
     return F.greatest(F.lit(0.0), F.least(fraction, F.lit(1.0)) * (capital - invested))

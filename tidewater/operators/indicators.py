@@ -218,3 +218,11 @@ def features(bars: DataFrame, interval: str = "hour") -> DataFrame:
 
     x = over_chunks(bars, 20 * s + 10, first, lambda w: {"volatility": full(w, 5 * s, "ret", F.stddev_samp), "atr_simple": full(w, 14 * s, F.abs(change(w, "close")))}, bollinger(20 * s, 2.0, F.stddev_samp), k, d, e)
     return x.drop("_k")
+
+
+def full_features(bars: DataFrame, interval: str = "hour") -> DataFrame:
+    """features() with exponential means, strength and the MACD line (its spans don't scale with the interval), the
+    recurrences in one pass."""
+    s = SCALE[interval]
+    line = lambda p: p["close"].ewm(span=12).mean() - p["close"].ewm(span=26).mean()
+    return smoothed(rsi_simple(features(bars, interval), 14 * s), {"ema_5": ema_of("close", 5 * s), "ema_10": ema_of("close", 10 * s), "macd_line": line})

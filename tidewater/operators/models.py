@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.ordered import placed
-from tidewater.operators.indicators import features
+from tidewater.functions.ordered import over_chunks, placed
+from tidewater.operators.calendar import last_rows
+from tidewater.operators.indicators import full_features
+from tidewater.session import stored
 
 
 def quadratic_trend(df: DataFrame, by: str, t: str, y: str) -> DataFrame:
@@ -111,23 +114,71 @@ def kmeans_states(df: DataFrame, k: int, x: str = "close", seed: int = 1) -> tup
     return model.transform(v).withColumn("state", F.get(rank, F.col("_c"))).drop("_v", "_c"), sorted(centres)
 
 
-def forest_forecast(df: DataFrame, trees: int = 20, seed: int = 1) -> DataFrame:
-    """asset, bar, close, predicted: the last fifth of each series forecast one bar ahead by a forest over the feature
-    table, fitted to the first four fifths of all series."""
-    x = features(df)
-    names = [c for c in x.columns if c not in ("asset", "bar", "open", "high", "low", "close", "volume")]
-    x = placed(x.dropna(subset=names))
+NOT_FEATURES = ("asset", "bar", "open", "high", "low", "close", "volume")
+
+
+def next_close(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The feature table with _at, _n (place, and number of rows of the asset), _f (the features as a vector) and _next (the
+    close of the next bar, null for the last), and the features' names."""
+    x = full_features(df)
+    names = [c for c in x.columns if c not in NOT_FEATURES]
+    x = over_chunks(x.dropna(subset=names), 0, lambda w: {"_place": F.col("_at"), "_next": F.lead("close").over(w)}, ahead=1)
     n = x.groupBy(F.col("asset").alias("_a")).agg(F.count("*").alias("_n"))
-    x = x.join(n, F.col("asset") == F.col("_a"))
+    x = stored(x.join(n, F.col("asset") == F.col("_a")).drop("_a"), "features")
+    return VectorAssembler(inputCols=names, outputCol="_f").transform(x), names
+
 
-    x = VectorAssembler(inputCols=names, outputCol="_f").transform(x.withColumn("_next", F.lead("close").over(Window.partitionBy("asset").orderBy("bar"))).dropna(subset=["_next"]))
-    train = F.col("_at") < F.floor(0.8 * F.col("_n"))
-    model = RandomForestRegressor(featuresCol="_f", labelCol="_next", predictionCol="predicted", numTrees=trees, maxDepth=6, seed=seed).fit(x.filter(train))
-    return model.transform(x.filter(~train)).select("asset", "bar", F.col("_next").alias("close"), "predicted")
+def forest(x: DataFrame, trees: int, depth: int, seed: int):
+    return RandomForestRegressor(featuresCol="_f", labelCol="_next", predictionCol="predicted", numTrees=trees, maxDepth=depth, seed=seed).fit(x)
 
 
-def loess(y: np.ndarray, width: int) -> np.ndarray:
-    """Local linear fits with tricube weights over the width nearest points (all are equally spaced)."""
+def forest_forecast(df: DataFrame, trees: int = 20, depth: int = 6, seed: int = 1) -> DataFrame:
+    """asset, bar, close, predicted: the last fifth of each series forecast one bar ahead by a forest over the feature
+    table, fitted to the first four fifths of all series."""
+    x, _ = next_close(df)
+    x = x.dropna(subset=["_next"])
+    train = F.col("_place") < F.floor(0.8 * F.col("_n"))
+    return forest(x.filter(train), trees, depth, seed).transform(x.filter(~train)).select("asset", "bar", F.col("_next").alias("close"), "predicted")
+
+
+def forest_search(df: DataFrame, trees: tuple[int, ...] = (5, 10), depths: tuple[int, ...] = (3, 5), splits: int = 3, seed: int = 1) -> DataFrame:
+    """trees, depth, mse, rank: every setting's mean squared error over rolling origins. Each split trains on the bars up
+    to its origin and is tested on the part of the series behind it."""
+    x, _ = next_close(df)
+    x = x.dropna(subset=["_next"]).select("_place", "_n", "_f", "_next")
+    out = []
+    for t in trees:
+        for depth in depths:
+            errors = []
+            for k in range(1, splits + 1):
+                low, high = F.col("_n") * k / (splits + 1), F.col("_n") * (k + 1) / (splits + 1)
+                model = forest(x.filter(F.col("_place") < low), t, depth, seed)
+                tested = model.transform(x.filter((F.col("_place") >= low) & (F.col("_place") < high)))
+                errors.append(tested.agg(F.avg((F.col("predicted") - F.col("_next")) ** 2)).first()[0])
+            out.append((t, depth, float(np.mean(errors))))
+    rows = [(*r, k) for k, r in enumerate(sorted(out, key=lambda r: r[2]), 1)]
+    return df.sparkSession.createDataFrame(rows, "trees int, depth int, mse double, rank int")
+
+
+def recursive_forecast(df: DataFrame, steps: int, trees: int = 10, depth: int = 5, seed: int = 1, history: int = 120) -> DataFrame:
+    """asset, step, bar, close: the next bars of each series, an hour apart, each forecast from the ones before it. The
+    forest is fitted once; a step needs the last history bars of each series only."""
+    x, _ = next_close(df)
+    model = forest(x.dropna(subset=["_next"]), trees, depth, seed)
+    spark, schema = df.sparkSession, df.schema
+    now = stored(last_rows(df, history), "history")
+    out = []
+    for step in range(1, steps + 1):
+        last = model.transform(next_close(now)[0].filter("_next is null")).select("asset", "bar", F.col("predicted").alias("close"), "volume").collect()  # one row an asset
+        new = [(r.asset, r.bar + dt.timedelta(hours=1), r.close, r.close, r.close, r.close, r.volume) for r in last]
+        out += [(r[0], step, r[1], r[5]) for r in new]
+        rows = spark.createDataFrame(new, "asset string, bar timestamp_ntz, open double, high double, low double, close double, volume double")
+        now = stored(now.unionByName(rows.select(*(F.col(f.name).cast(f.dataType) for f in schema))), "history")
+    return spark.createDataFrame(out, "asset string, step int, bar timestamp_ntz, close double")
+
+
+def loess(y: np.ndarray, width: int, trust: np.ndarray | None = None) -> np.ndarray:
+    """Local linear fits with tricube weights over the width nearest points (all are equally spaced), times trust."""
     n = len(y)
     if n < 3:
         return y.copy()
@@ -135,24 +186,30 @@ def loess(y: np.ndarray, width: int) -> np.ndarray:
     at = np.clip(np.arange(n) - width // 2, 0, n - width)[:, None] + np.arange(width)
     d = at - np.arange(n)[:, None]
     w = (1 - np.minimum(np.abs(d) / (np.abs(d).max(axis=1, keepdims=True) + 1e-9), 1) ** 3) ** 3
+    if trust is not None:
+        w = w * np.maximum(trust[at], 1e-6)
     v = y[at]
     s0, s1, s2, t0, t1 = w.sum(1), (w * d).sum(1), (w * d * d).sum(1), (w * v).sum(1), (w * d * v).sum(1)
     det = s0 * s2 - s1 * s1
     return np.where(np.abs(det) > 1e-12, (t0 * s2 - t1 * s1) / np.where(np.abs(det) > 1e-12, det, 1), t0 / s0)
 
 
-def decompose(df: DataFrame, period: int = 7, rounds: int = 3) -> DataFrame:
-    """asset, bar, close, trend, seasonal, remainder: seasonal-trend decomposition by local regression, per series."""
+def decompose(df: DataFrame, period: int = 7, rounds: int = 3, robust: int = 2) -> DataFrame:
+    """asset, bar, close, trend, seasonal, remainder: seasonal-trend decomposition by local regression, per series. After
+    each of robust passes, points with large remainders weigh less (bisquare weights of six median deviations)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar", ignore_index=True)
         y = pdf["close"].interpolate(limit_direction="both").to_numpy(float)
-        trend, season = np.zeros(len(y)), np.zeros(len(y))
-        for _ in range(rounds):
-            for k in range(min(period, len(y))):
-                season[k::period] = loess((y - trend)[k::period], 7)
+        trend, season, trust = np.zeros(len(y)), np.zeros(len(y)), np.ones(len(y))
+        for k in range((robust + 1) * rounds):
+            for j in range(min(period, len(y))):
+                season[j::period] = loess((y - trend)[j::period], 7, trust[j::period])
             season -= pd.Series(season).rolling(period, center=True, min_periods=1).mean().to_numpy()
-            trend = loess(y - season, max(3, int(1.5 * period) | 1))
+            trend = loess(y - season, max(3, int(1.5 * period) | 1), trust)
+            if k % rounds == rounds - 1:
+                left = np.abs(y - trend - season)
+                trust = (1 - np.minimum(left / max(6 * np.median(left), 1e-12), 1) ** 2) ** 2
         return pd.DataFrame({"asset": pdf["asset"], "bar": pdf["bar"], "close": y, "trend": trend, "seasonal": season, "remainder": y - trend - season})
 
     return df.select("asset", "bar", "close").groupBy("asset").applyInPandas(run, "asset string, bar timestamp_ntz, close double, trend double, seasonal double, remainder double")
@@ -172,17 +229,15 @@ def garch_forecast(df: DataFrame, horizon: int = 5) -> DataFrame:
         c = r[1:].mean() - phi * r[:-1].mean()
         e = r[1:] - c - phi * r[:-1]
         var = max(e.var(), 1e-9)
-        best = (np.inf, 0.0, 0.0, var)
-        for alpha in np.linspace(0, 0.4, 9):
-            for beta in np.linspace(0, 0.95, 20):
-                if alpha + beta >= 0.999:
-                    continue
-                h, loss = var, 0.0
-                for x in e:
-                    loss += np.log(h) + x * x / h
-                    h = var * (1 - alpha - beta) + alpha * x * x + beta * h
-                best = min(best, (loss, alpha, beta, h))
-        _, alpha, beta, h = best
+        alpha, beta = (g.ravel() for g in np.meshgrid(np.linspace(0, 0.4, 9), np.linspace(0, 0.95, 20), indexing="ij"))
+        fine = alpha + beta < 0.999
+        alpha, beta = alpha[fine], beta[fine]
+        h, loss = np.full(len(alpha), var), np.zeros(len(alpha))
+        for x in e:  # all points of the grid at once
+            loss += np.log(h) + x * x / h
+            h = var * (1 - alpha - beta) + alpha * x * x + beta * h
+        k = int(np.argmin(loss))
+        alpha, beta, h = float(alpha[k]), float(beta[k]), float(h[k])
         out, last = [], r[-1]
         for k in range(1, horizon + 1):
             last = c + phi * last
@@ -218,6 +273,17 @@ def additive_forecast(df: DataFrame, grid: DataFrame, steps: int) -> DataFrame:
     return pairs.repartition("asset", "config").mapInPandas(lambda it: (run(p) for p in it), "asset string, config int, step int, forecast double")
 
 
+def forecast_scores(df: DataFrame, grid: DataFrame, steps: int) -> DataFrame:
+    """asset, config, rmse, rank: each configuration's error over the last steps bars, forecast from those before."""
+    p = placed(df.select("asset", "bar", "close"))
+    n = p.groupBy(F.col("asset").alias("_a")).agg((F.count("*") - steps).alias("_n"))
+    p = p.join(n, F.col("asset") == F.col("_a"))
+    told = additive_forecast(p.filter(F.col("_at") < F.col("_n")).select("asset", "bar", "close"), grid, steps)
+    truth = p.filter(F.col("_at") >= F.col("_n")).select("asset", (F.col("_at") - F.col("_n") + 1).cast("int").alias("step"), "close")
+    scores = told.join(truth, ["asset", "step"]).groupBy("asset", "config").agg(F.sqrt(F.avg((F.col("forecast") - F.col("close")) ** 2)).alias("rmse"))
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy("rmse", "config")))  # a row for each configuration
+
+
 def multi_trades(df: DataFrame, most: int = 10) -> DataFrame:
     """asset, trades, profit: the best at most most trades of one share, one after the other, by dynamic programming."""
 

@@ -239,7 +239,7 @@ def holders_zero_filled(spark, d):
 @query("holders_halves", f"WITH {HDAY}, t AS (SELECT holder, sum(amount) AS total FROM hd GROUP BY holder) SELECT holder, round(total, 4) AS total, ntile(2) OVER (ORDER BY round(total, 4) DESC, holder)::INTEGER AS half FROM t")
 def holders_halves(spark, d):
     t = holder_days(spark, d).groupBy("holder").agg(F.round(F.sum("amount"), 4).alias("total"))
-    return t.withColumn("half", F.ntile(2).over(Window.orderBy(F.desc("total"), "holder")))
+    return cross.halves(t, "total", "holder")
 
 
 @query("holders_upsert", f"WITH {HDAY}, o AS (SELECT * FROM hd WHERE day < TIMESTAMP '2024-01-15'), n AS (SELECT * FROM hd WHERE day = TIMESTAMP '2024-01-15') SELECT n.holder, count(o.day) + 1 AS points, round(any_value(n.amount), 6) AS last FROM n LEFT JOIN o USING (holder) GROUP BY n.holder")

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, simple_return
-from tidewater.operators import markov, models, spectral
+from tidewater.operators import cross, markov, models, spectral
 from tidewater.plans import base as b
 from tidewater.plans.base import query
-from tidewater.sources.series import daily, hourly
+from tidewater.sources.series import daily, hourly, ticks
 from tidewater.streaming import operators as st
 
 r6 = lambda x: F.round(x, 6)
@@ -167,3 +167,59 @@ def stream_ema(spark, d):
 @query("stream_session_profit", "WITH n AS (SELECT event_type AS asset, row_number() OVER w AS k, sum(value - 100) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), f AS (SELECT asset, min(k) AS k FROM n WHERE total >= 1000 GROUP BY asset), e AS (SELECT n.asset, coalesce(f.k, max(n.k) OVER (PARTITION BY n.asset)) AS last, n.k, total FROM n LEFT JOIN f ON f.asset = n.asset) SELECT asset, round(total, 4) AS profit, total >= 1000 AS done FROM e WHERE k = last")
 def stream_session_profit(spark, d):
     return st.finished(st.session_profit(st.tick_stream(spark, d).withColumn("amount", F.col("price") - 100)), "update").withColumn("profit", F.round("profit", 4))
+
+
+@query("stream_orders", "WITH o AS (SELECT event_type AS asset, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, event_id, ts FROM events) SELECT asset, side, count(*) AS placed, count(*) - 1 AS cancelled, last(event_id ORDER BY ts, event_id) AS open, least(count(*), 100)::INTEGER AS known FROM o GROUP BY ALL")
+def stream_orders(spark, d):
+    s = st.tick_stream(spark, d).withColumn("side", F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell"))
+    return st.finished(st.replaced_orders(s), "update").groupBy("asset", "side").agg(*(F.max_by(c, "placed").alias(c) for c in ("cancelled", "open", "known")), F.max("placed").alias("placed"))
+
+
+@query("stream_indicators", "WITH n AS (SELECT event_type AS asset, value AS p, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k, value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS d FROM events) SELECT asset, max(c) AS n, round(avg(p), 6) AS sma, round(CASE WHEN sum(greatest(-d, 0)) = 0 THEN 100 ELSE 100 - 100 / (1 + sum(greatest(d, 0)) / sum(greatest(-d, 0))) END, 6) AS rsi, max(p) AS high, min(p) AS low FROM n JOIN (SELECT event_type AS asset, count(*) AS c FROM events GROUP BY ALL) USING (asset) WHERE k <= 14 GROUP BY asset")
+def stream_indicators(spark, d):
+    x = st.finished(st.running_indicators(st.tick_stream(spark, d)), "update")
+    return x.groupBy("asset").agg(F.max("n").alias("n"), r6(F.max_by("sma", "n")).alias("sma"), r6(F.max_by("rsi", "n")).alias("rsi"), F.max_by("high", "n").alias("high"), F.max_by("low", "n").alias("low"))
+
+
+@query("stream_periodic", "SELECT event_type AS asset, count(*) AS n, max(value) AS high FROM events GROUP BY ALL")
+def stream_periodic(spark, d):
+    """A batch each second until all is taken; then the stream is stopped."""
+    return st.periodic(st.tick_stream(spark, d).groupBy("asset").agg(F.count("*").alias("n"), F.max("price").alias("high")))
+
+
+@query("appended_batch", "SELECT event_type AS asset, count(*) AS n FROM events GROUP BY ALL")
+def appended_batch(spark, d):
+    """A later batch behind an earlier one."""
+    x = ticks(spark, d)
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    return st.appended(x.filter(F.col("ts") < cut), x.filter(F.col("ts") >= cut)).groupBy("asset").agg(F.count("*").alias("n"))
+
+
+@query("forecast_scores")
+def forecast_scores(spark, d):
+    """120 configurations of the additive forecast of each asset, by their errors over the last week."""
+    of = [(c, t, s, m) for c in (3, 8, 12) for t in (0.01, 0.1, 1.0, 10.0) for s in (0.01, 0.1, 1.0, 10.0, 100.0) for m in (False, True)]
+    grid = spark.createDataFrame([(k, *g) for k, g in enumerate(of)], "config int, changepoints int, trend_ridge double, season_ridge double, multiplicative boolean")
+    return models.forecast_scores(daily(spark, d), grid, 7)
+
+
+@query("forecast_series")
+def forecast_series(spark, d):
+    """The best configuration's forecasts as series of each asset's document."""
+    grid = spark.createDataFrame([(0, 3, 0.1, 0.1, False), (1, 3, 10.0, 10.0, True)], "config int, changepoints int, trend_ridge double, season_ridge double, multiplicative boolean")
+    f = models.additive_forecast(daily(spark, d), grid, 7)
+    series = f.groupBy("asset", "config").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "forecast"))), lambda v: v["forecast"]).alias("s"))
+    documents = series.groupBy("asset").agg(F.map_from_entries(F.collect_list(F.struct("config", "s"))).alias("configs"))
+    return cross.document_series(documents, "configs").select("asset", F.col("key").alias("config"), F.posexplode("value").alias("step", "forecast"))
+
+
+@query("forest_search")
+def forest_search(spark, d):
+    """Settings of the forest by their errors over rolling origins."""
+    return models.forest_search(hourly(spark, d), (5,), (3, 5), 2)
+
+
+@query("forest_recursive")
+def forest_recursive(spark, d):
+    """Two bars ahead, the second from the forecast of the first."""
+    return models.recursive_forecast(hourly(spark, d), 2, 5, 4)

@@ -222,3 +222,9 @@ SHOWN = "rsi bb_low bb_high vwap ema adr atr macd macd_signal adx mfi trix trix_
 def indicator_table(spark, d):
     """Every indicator of the exported document."""
     return ind.all_indicators(hourly(spark, d)).select("asset", "bar", *(F.round(c, 4).alias(c) for c in SHOWN), F.round("cci", 3).alias("cci"), "obv")
+
+
+@query("feature_table_full", f"{b.HOURLY}, {RSI_SIMPLE}, {b.recurrence('bars', 'close', 'q5', '(2.0/6)', 5)}, {b.recurrence('bars', 'close', 'q10', '(2.0/11)', 10)}, n AS (SELECT *, row_number() {b.W} - 1 AS k FROM bars), ml AS (SELECT asset, bar, {_adjusted(12)} - {_adjusted(26)} AS macd_line FROM n WINDOW v AS (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING)) SELECT rs.asset, rs.bar, round(rsi, 5) AS rsi, round(q5, 5) AS ema_5, round(q10, 5) AS ema_10, round(macd_line, 5) AS macd_line FROM rs LEFT JOIN q5_r USING (asset, bar) LEFT JOIN q10_r USING (asset, bar) LEFT JOIN ml USING (asset, bar)")
+def feature_table_full(spark, d):
+    """What the full feature table has beside the windows of feature_table."""
+    return out(ind.full_features(hourly(spark, d)), "rsi", "ema_5", "ema_10", "macd_line", places=5)

@@ -73,6 +73,55 @@ def session_profit(fills: DataFrame, start: float = 50_000.0, target: float = 0.
     return fills.groupBy("asset").applyInPandasWithState(step, "asset string, profit double, done boolean", "profit double", "update", GroupStateTimeout.NoTimeout)
 
 
+def replaced_orders(orders: DataFrame, keep: int = 100) -> DataFrame:
+    """asset, side, placed, cancelled, open, known: a new order of an asset's side cancels the one that is open; the ids of
+    the last keep orders are the state. orders: asset, side, ts, event_id. A simulation: nothing is placed."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        placed, ids = state.get if state.exists else (0, [])
+        new = pd.concat(batches).sort_values(["ts", "event_id"])["event_id"].tolist()
+        placed, ids = placed + len(new), (list(ids) + new)[-keep:]
+        state.update((placed, ids))
+        yield pd.DataFrame({"asset": [key[0]], "side": [key[1]], "placed": [placed], "cancelled": [placed - 1], "open": [ids[-1]], "known": [len(ids)]})
+
+    out = "asset string, side string, placed long, cancelled long, open long, known int"
+    return orders.groupBy("asset", "side").applyInPandasWithState(step, out, "placed long, ids array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def running_indicators(ticks: DataFrame, n: int = 14) -> DataFrame:
+    """asset, n, sma, rsi, high, low of the last n prices of each asset after each batch (rsi over n changes). The state is
+    a ring of n + 1 prices and a count, so that a batch costs its own rows and not the whole series."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, ring = state.get if state.exists else (0, [])
+        new = pd.concat(batches).sort_values(["ts", "event_id"])["price"].tolist()
+        count, ring = count + len(new), (list(ring) + new)[-n - 1 :]
+        state.update((count, ring))
+        last, changes = ring[-n:], [b - a for a, b in zip(ring, ring[1:], strict=False)]
+        gain, loss = sum(max(c, 0) for c in changes), sum(max(-c, 0) for c in changes)
+        rsi = None if len(changes) < n else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+        yield pd.DataFrame({"asset": [key[0]], "n": [count], "sma": [sum(last) / n if len(last) == n else None], "rsi": [rsi], "high": [max(last)], "low": [min(last)]}).astype({"sma": float, "rsi": float})
+
+    return ticks.groupBy("asset").applyInPandasWithState(step, "asset string, n long, sma double, rsi double, high double, low double", "n long, ring array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def appended(old: DataFrame, batch: DataFrame) -> DataFrame:
+    """A batch behind what there is, by column names."""
+    return old.unionByName(batch, allowMissingColumns=True)
+
+
+def periodic(stream: DataFrame, interval: str = "1 second", mode: str = "complete") -> DataFrame:
+    """Runs a stream with a batch each interval until it has taken what is there, then stops it after its last batch, and
+    gives its table."""
+    name = f"stream_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(processingTime=interval).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return stream.sparkSession.table(name)
+
+
 def finished(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs a stream over all that is there now and gives its table. In append mode the windows that the watermark has
     not closed are missing; complete and update keep all."""
