@@ -7,7 +7,10 @@ each two neighbours are the encoding of theirs, so it is enough to look at the t
 of a batch are merged at once in numpy, one merge per leaf and round. Pieces (matches of the pattern) are encoded
 separately, so the encoding of a text joins theirs by concatenation; a bounded cache keeps those met before.
 
-Nulls: a null text is empty; an empty text has no tokens. Empty tables give no rows, repeated rows repeated results.
+Nulls: a null text is empty; an empty text has no tokens. Very long texts are encoded whole, in slices of some MB of rows
+but one text at least; a long match of the pattern is a deeper tree. Ties don't occur: the lowest rank and, of equal
+ones, the leftmost pair merges. Empty tables give no rows, repeated rows repeated results; columns besides doc_id and text
+are ignored.
 """
 
 from __future__ import annotations

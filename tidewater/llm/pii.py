@@ -9,9 +9,10 @@ candidates' features. Both work on the table of distinct (votes, features) patte
 possible rows. Candidates that the classifier accepts, whatever the sum of their votes, become spans of the kinds secret
 and number; base spans stay.
 
-Nulls: a null text is empty and has no spans. Empty tables give no rows (the classifier then accepts nothing).
-Repeated rows are each searched. Spans are in code points, the end exclusive; those of equal start are in the order of
-the kinds. redact() keeps all other columns.
+A candidate has 7 characters of letters, digits, _ and - at least; its context is the CONTEXT = 40 characters before it.
+Very long texts are searched whole. Ties: a score of exactly one half isn't accepted; spans of equal start are in the
+order of the kinds. Nulls: a null text is empty and has no spans. Empty tables give no rows (the classifier then accepts nothing).
+Repeated rows are each searched. Spans are in code points, the end exclusive. redact() keeps all other columns.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ FOR_WORDS = frozenset("token password passwort passwd key secret ssn tel telefon
 #: What ends where a string begins that is a candidate whatever its characters.
 LEAD = re.compile(rf"(?i)(?<![^\W\d_])(?:{'|'.join(sorted(FOR_WORDS))})[\s\"'=:#(]+|[=:]\s*[\"']?")
 AGAINST_WORDS = frozenset("version section article page chapter license isbn doi year volume figure table".split())
+#: Characters before a candidate that labelers see.
+CONTEXT = 40
 LABELERS = 6
 FEATURES = 6
 
@@ -131,7 +134,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             k += 1
         if reach > a:  # a base span that begins before this one's end ends behind its start
             continue
-        before = text[max(0, a - 40) : a]
+        before = text[max(0, a - CONTEXT) : a]
         out.append((a, 4 if digits < len(re.sub(r"[-_]", "", word)) else 5, b, pattern(vote(word, before), features(word, before))))
     return out
 

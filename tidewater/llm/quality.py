@@ -7,7 +7,8 @@ A document fails where a metric lies beyond the upper quartile by more than WIDT
 (at least SPREAD), read from the sketch of its language and source; groups of fewer than LEAST documents use the
 sketch of their language, then that of all documents. Documents that fail the base rules don't enter the sketches.
 
-Nulls: a null text has no words; null languages and sources are groups of their own. Empty tables give no rows.
+Very long texts are counted whole, in a task that holds one. Ties: a metric that equals its limit is kept. Nulls: a null
+text has no words; null languages and sources are groups of their own. Empty tables give no rows.
 Repeated rows are judged one by one. Columns besides doc_id, text, lang and source are ignored by quality_verdicts and
 kept by quality_filter.
 """

@@ -5,7 +5,8 @@ most one bit of one segment at least, so every segment looks up the 33 values of
 its own in the table of that segment, and whole distances decide among what is found. Documents of one fingerprint
 are one entry there, so that copies cost nothing; links between fingerprints are contracted to components.
 
-Nulls: a null text has no words, and so fingerprint zero, which links like any other. A null doc_id stays in the
+Very long texts are fingerprinted whole, CHUNK shingles at a time. Ties: a bit that is set in exactly half the shingles is
+0. Nulls: a null text has no words, and so fingerprint zero, which links like any other. A null doc_id stays in the
 result and is never a component's smallest id unless the component has no other. Empty tables give no rows; repeated
 rows get the same component. Extra columns are ignored by fingerprints and kept by simhash_dedup.
 """
