@@ -68,7 +68,7 @@ def test_rows_without_an_id_are_judged_apart(frame):
     assert sorted(str((r.doc_id, r.text)) for r in simhash_dedup(frame(rows[:21] + rows[:3])).collect()) == good
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 5])
+@pytest.mark.parametrize("order", [1, 3, 5])
 def test_backoff_scores(docs, rows, order):
     got, want = {r.doc_id: r.score for r in lm_scores(docs, order).collect()}, brute.op6(rows, order)
     assert got.keys() == want.keys()

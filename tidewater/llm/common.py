@@ -55,9 +55,12 @@ def materialize(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects its garbage. The events of
-    the last job hold it for a moment, so the garbage is collected twice."""
+    the last job hold it for a moment, so the garbage is collected twice. A session within this process (tests,
+    benchmarks) leaves it to Java."""
     jvm = getattr(spark, "_jvm", None)  # a remote session has none, and its server cleans by itself
-    for _ in range(2 if jvm is not None else 0):
+    if jvm is None or spark.sparkContext.master.startswith("local["):
+        return
+    for _ in range(2):
         time.sleep(0.25)
         gc.collect()
         jvm.System.gc()
