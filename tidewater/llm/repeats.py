@@ -148,13 +148,16 @@ def split_repeats(found: DataFrame, by_start: bool) -> tuple[DataFrame, DataFram
     same = Window.partitionBy("mini", "content")
     early = F.min(F.struct("doc", "pos")).over(same) if by_start else F.min("doc").over(same)
     own = F.struct("doc", "pos") if by_start else F.col("doc")
-    seen = materialize(found.filter("not gone").withColumn("gone", own > early), "firsts", clean=True)
+    # equal rows are one: their results are joined to each of them
+    seen = found.filter("not gone").withColumn("gone", own > early).dropDuplicates(["mini", "content", "doc", "tid", "pos"])
+    seen = materialize(seen.drop("content"), "firsts", clean=True)
     gone = found.filter("gone").select("doc", "tid", "pos", "n").unionByName(seen.filter("gone").select("doc", "tid", "pos", "n"))
     gone = materialize(gone, "gone", clean=True)
     discard(found)
     first = seen.filter("not gone")
-    classes = first.groupBy("mini").agg(F.count("*").alias("size"), F.min("content").alias("low"), F.max("content").alias("high"), F.max("rep").alias("rep"))
-    classes = materialize(classes.filter((F.col("low") != F.col("high")) | (F.col("rep") if by_start else F.lit(False))).select("mini", "size"), "classes", clean=True)
+    # first occurrences in a class differ, but for repeats within a document where those don't count as earlier
+    classes = first.groupBy("mini").agg(F.count("*").alias("size"), F.max("rep").alias("rep"))
+    classes = materialize(classes.filter((F.col("size") > 1) | (F.col("rep") if by_start else F.lit(False))).select("mini", "size"), "classes", clean=True)
     open_ = materialize(first.join(classes, "mini").select("mini", "doc", "tid", "pos", "n", F.when(F.col("rep"), -1).otherwise(F.col("anchor")).alias("anchor"), "size"), "open", clean=True)
     discard(seen, classes)
     return gone, open_
