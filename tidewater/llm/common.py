@@ -53,6 +53,22 @@ def materialize(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The full address of a folder of its own in the shared checkpoint folder, for files that tasks write themselves. It goes
+    with discard_folder(), release() or the driver's Python."""
+    path = f"{checkpoint_root(spark)}/tidewater-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def discard_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of new_folder() that nothing will read again."""
+    for x in [x for x in _written if folder.endswith(os.path.basename(x[1]))]:
+        _written.remove(x)
+        _delete(*x)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects its garbage. The events of
     the last job hold it for a moment, so the garbage is collected twice. A session within this process (tests,
