@@ -8,10 +8,7 @@ within a chunk stays far from overflow.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,41 +64,5 @@ def span(n: int) -> float:
     return 2 / (n + 1)
 
 
-def seeded_mean(x: pd.Series, n: int, alpha: float) -> pd.Series:
-    """seeded() of one series in order."""
-    have = x.dropna()
-    out = np.full(len(x), np.nan)
-    if len(have) >= n:
-        y, values = float(have.iloc[:n].mean()), have.to_numpy()[n:]
-        series = [y, *(y := (1 - alpha) * y + alpha * v for v in values)]
-        out[np.flatnonzero(x.notna())[n - 1 :]] = series
-    return pd.Series(out, x.index)
-
-
-def smoothed(df: DataFrame, outs: dict[str, Callable[[pd.DataFrame], pd.Series]], by: str = "asset", ts: str = "bar") -> DataFrame:
-    """df with columns that build on each other by recurrences, in one pass over each series of bars (which is as long
-    as its time span, not as its ticks). A chain of scans would read its input again for each link. NaN becomes null;
-    columns of df that have a name of outs are replaced."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable", ignore_index=True)
-        for name, f in outs.items():
-            pdf[name] = f(pdf).astype(float)
-        return pdf[names]
-
-    names = [*(c for c in df.columns if c not in outs), *outs]
-    df = df.select(*(c for c in df.columns if c not in outs))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{o}` double" for o in outs)])
-    return df.groupBy(by).applyInPandas(run, schema)
-
-
-def ema_of(x: str, n: int) -> Callable[[pd.DataFrame], pd.Series]:
-    return lambda p: seeded_mean(p[x], n, 2 / (n + 1))
-
-
-def rma_of(x: str, n: int) -> Callable[[pd.DataFrame], pd.Series]:
-    return lambda p: seeded_mean(p[x], n, 1 / n)
-
-
 def positive(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))

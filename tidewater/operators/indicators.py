@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewater.functions.ewm import ema_of, ewm, positive, rma_of, smoothed, span
+from tidewater.functions.ewm import ewm, positive, span
 from tidewater.functions.ordered import change, full, over_chunks, ratio, running, simple_return, trailing
+from tidewater.functions.scan import Steps, Sum, ema, recurrences, rma, weighted
 
 Dict = dict[str, Column]
 
@@ -42,7 +43,7 @@ def strength(gain: str, loss: str) -> Column:
 def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     """rsi: from Wilder's means of gains and losses."""
     x = over_chunks(bars, 1, lambda w: {"_d": change(w, "close")}, lambda w: {"_u": F.when(F.col("_d").isNotNull(), positive(F.col("_d"))), "_v": F.when(F.col("_d").isNotNull(), positive(-F.col("_d")))})
-    return smoothed(x, {"_g": rma_of("_u", n), "_l": rma_of("_v", n)}).withColumn("rsi", strength("_g", "_l")).drop("_d", "_u", "_v", "_g", "_l")
+    return recurrences(x, {"_g": rma("_u", n), "_l": rma("_v", n)}).withColumn("rsi", strength("_g", "_l")).drop("_d", "_u", "_v", "_g", "_l")
 
 
 def bollinger(n: int = 20, k: float = 2.0, deviation=F.stddev_pop):
@@ -63,7 +64,7 @@ def true_range(w: WindowSpec) -> Column:
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """atr: Wilder's mean of true ranges, from the second bar on."""
     x = over_chunks(bars, 1, lambda w: {"_tr": F.when(F.lag("close").over(w).isNotNull(), true_range(w))})
-    return smoothed(x, {"atr": rma_of("_tr", n)}).drop("_tr")
+    return recurrences(x, {"atr": rma("_tr", n)}).drop("_tr")
 
 
 def stochastic(n: int = 14, smooth: int = 3, signal: int = 3):
@@ -118,14 +119,14 @@ def ultimate(a: int = 7, b: int = 14, c: int = 28):
     return pressure, lambda w: {"uo": 100 * (4 * share(w, a) + 2 * share(w, b) + share(w, c)) / 7}
 
 
-def macd_of(fast: int = 12, slow: int = 26, signal: int = 9) -> dict:
+def macd_of(fast: int = 12, slow: int = 26, signal: int = 9) -> Steps:
     """Recurrences with macd and macd_signal."""
-    return {"_f": ema_of("close", fast), "_s": ema_of("close", slow), "macd": lambda p: p["_f"] - p["_s"], "macd_signal": ema_of("macd", signal)}
+    return {"_f": ema("close", fast), "_s": ema("close", slow), "macd": Sum({"_f": 1.0, "_s": -1.0}), "macd_signal": ema("macd", signal)}
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, macd_signal, macd_hist."""
-    return smoothed(bars, macd_of(fast, slow, signal)).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
+    return recurrences(bars, macd_of(fast, slow, signal)).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
 
 
 def macd_line(bars: DataFrame, out: str, adjust: bool, fast: int = 12, slow: int = 26) -> DataFrame:
@@ -140,23 +141,26 @@ def movement(w: WindowSpec) -> Dict:
     return {"_p": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_m": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)), "_tr": F.when(up.isNotNull(), true_range(w))}
 
 
-def adx_of(n: int = 14) -> dict:
-    """Recurrences with plus_di, minus_di and adx, over movement()."""
-    per_cent = lambda a, b: 100 * a / b.where(b != 0)
-    return {
-        "_ps": rma_of("_p", n), "_ms": rma_of("_m", n), "_trs": rma_of("_tr", n), "plus_di": lambda p: per_cent(p["_ps"], p["_trs"]), "minus_di": lambda p: per_cent(p["_ms"], p["_trs"]),
-        "_dx": lambda p: per_cent((p["plus_di"] - p["minus_di"]).abs(), p["plus_di"] + p["minus_di"]), "adx": rma_of("_dx", n),
-    }
+def adx_of(n: int = 14) -> Steps:
+    """Recurrences with Wilder's means of movement()."""
+    return {"_ps": rma("_p", n), "_ms": rma("_m", n), "_trs": rma("_tr", n)}
+
+
+def directions(df: DataFrame) -> DataFrame:
+    """plus_di, minus_di and _dx over adx_of()."""
+    df = df.withColumns({"plus_di": 100 * ratio("_ps", "_trs"), "minus_di": 100 * ratio("_ms", "_trs")})
+    return df.withColumn("_dx", 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     """plus_di, minus_di, adx."""
-    return smoothed(over_chunks(bars, 1, movement), adx_of(n)).drop("_p", "_m", "_tr", "_ps", "_ms", "_trs", "_dx")
+    x = directions(recurrences(over_chunks(bars, 1, movement), adx_of(n)))
+    return recurrences(x, {"adx": rma("_dx", n)}).drop("_p", "_m", "_tr", "_ps", "_ms", "_trs", "_dx")
 
 
-def trix_of(n: int = 14) -> dict:
+def trix_of(n: int = 14) -> Steps:
     """Recurrences with _3, a triple exponential mean."""
-    return {"_1": ema_of("close", n), "_2": ema_of("_1", n), "_3": ema_of("_2", n)}
+    return {"_1": ema("close", n), "_2": ema("_1", n), "_3": ema("_2", n)}
 
 
 def trix_stages(signal: int = 9):
@@ -166,13 +170,12 @@ def trix_stages(signal: int = 9):
 
 def trix(bars: DataFrame, n: int = 14, signal: int = 9) -> DataFrame:
     """trix (per cent change of a triple exponential mean) and trix_signal (plain mean)."""
-    return over_chunks(smoothed(bars, trix_of(n)), signal + 1, *trix_stages(signal)).drop("_1", "_2", "_3")
+    return over_chunks(recurrences(bars, trix_of(n)), signal + 1, *trix_stages(signal)).drop("_1", "_2", "_3")
 
 
-def tsi_of(fast: int = 13, slow: int = 25, signal: int = 13) -> dict:
-    """Recurrences with tsi and tsi_signal, over the change _cd and its absolute value _ca."""
-    means = {c + k: ema_of(c + of, m) for c in ("_cd", "_ca") for k, of, m in (("1", "", slow), ("2", "1", fast))}
-    return means | {"tsi": lambda p: 100 * p["_cd2"] / p["_ca2"].where(p["_ca2"] != 0), "tsi_signal": ema_of("tsi", signal)}
+def tsi_of(fast: int = 13, slow: int = 25) -> Steps:
+    """Recurrences with means of means of the change _cd and its absolute value _ca."""
+    return {c + k: ema(c + of, m) for c in ("_cd", "_ca") for k, of, m in (("1", "", slow), ("2", "1", fast))}
 
 
 def price_change(w: WindowSpec) -> Dict:
@@ -181,17 +184,19 @@ def price_change(w: WindowSpec) -> Dict:
 
 def tsi(bars: DataFrame, fast: int = 13, slow: int = 25, signal: int = 13) -> DataFrame:
     """tsi (doubly smoothed change over doubly smoothed absolute change) and tsi_signal (its exponential mean)."""
-    return smoothed(over_chunks(bars, 1, price_change), tsi_of(fast, slow, signal)).drop("_cd", "_ca", "_cd1", "_ca1", "_cd2", "_ca2")
+    x = recurrences(over_chunks(bars, 1, price_change), tsi_of(fast, slow)).withColumn("tsi", 100 * ratio("_cd2", "_ca2"))
+    return recurrences(x, {"tsi_signal": ema("tsi", signal)}).drop("_cd", "_ca", "_cd1", "_ca1", "_cd2", "_ca2")
 
 
 def all_indicators(bars: DataFrame) -> DataFrame:
     """Bars with every indicator that the rules of signals.RULES and the exported document need: windows over chunks,
-    then the recurrences of a series in one pass, then the windows over those."""
+    then the recurrences in two scans (the second has means of what isn't linear in the first), then windows over those."""
     k, d, e = stochastic()
     plain = lambda w: {"sma": full(w, 14, "close"), "adr": full(w, 14, F.col("high") - F.col("low")), "sma_50": full(w, 50, "close"), "sma_200": full(w, 200, "close")}
     x = over_chunks(bars, 200, movement, price_change, *mfi(), williams(), lambda w: {"_mtr": F.col("_tr")}, *ultimate(), k, d, e, bollinger(), *cci(), plain)
     x = x.withColumn("_tr", F.col("_mtr"))
-    x = smoothed(x.drop("_all"), {"ema": ema_of("close", 14), "atr": rma_of("_tr", 14)} | macd_of() | adx_of() | trix_of() | tsi_of())
+    x = recurrences(x.drop("_all"), {"ema": ema("close", 14), "atr": rma("_tr", 14)} | macd_of() | adx_of() | trix_of() | tsi_of())
+    x = recurrences(directions(x).withColumn("tsi", 100 * ratio("_cd2", "_ca2")), {"adx": rma("_dx", 14), "tsi_signal": ema("tsi", 13)})
     x = over_chunks(x, 16, *trix_stages(), lambda w: {"_d": change(w, "close")}, *rsi_parts(14))
     x = vwap(obv(x.withColumn("rsi", strength("_g", "_l")).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))))
     return x.drop(*(c for c in x.columns if c.startswith("_")))
@@ -199,7 +204,8 @@ def all_indicators(bars: DataFrame) -> DataFrame:
 
 def keltner(bars: DataFrame, n: int = 9, k: float = 0.1) -> DataFrame:
     """kc_low, kc_mid, kc_high."""
-    x = atr(smoothed(bars, {"kc_mid": ema_of("close", n)}), n)
+    x = over_chunks(bars, 1, lambda w: {"_tr": F.when(F.lag("close").over(w).isNotNull(), true_range(w))})
+    x = recurrences(x, {"kc_mid": ema("close", n), "atr": rma("_tr", n)}).drop("_tr")
     return x.withColumns({"kc_low": F.col("kc_mid") - k * F.col("atr"), "kc_high": F.col("kc_mid") + k * F.col("atr")}).drop("atr")
 
 
@@ -224,5 +230,5 @@ def full_features(bars: DataFrame, interval: str = "hour") -> DataFrame:
     """features() with exponential means, strength and the MACD line (its spans don't scale with the interval), the
     recurrences in one pass."""
     s = SCALE[interval]
-    line = lambda p: p["close"].ewm(span=12).mean() - p["close"].ewm(span=26).mean()
-    return smoothed(rsi_simple(features(bars, interval), 14 * s), {"ema_5": ema_of("close", 5 * s), "ema_10": ema_of("close", 10 * s), "macd_line": line})
+    line = {"_f": weighted("close", 12), "_s": weighted("close", 26), "macd_line": Sum({"_f": 1.0, "_s": -1.0})}
+    return recurrences(rsi_simple(features(bars, interval), 14 * s), {"ema_5": ema("close", 5 * s), "ema_10": ema("close", 10 * s)} | line).drop("_f", "_s")

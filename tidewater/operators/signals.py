@@ -118,13 +118,15 @@ def monthly_trades(pairs: DataFrame) -> DataFrame:
     g = pairs.groupBy("asset", month.alias("month")).agg(F.sum("profit").alias("profit"), F.avg("profit").alias("mean_profit"), F.avg("days").alias("mean_days"), F.count("*").alias("trades"))
     ends = g.groupBy("asset").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
     grid = ends.select("asset", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
-    return grid.join(g, ["asset", "month"], "left").na.fill({"profit": 0.0, "trades": 0})
+    return grid.join(g, ["asset", "month"], "left").na.fill({"profit": 0, "trades": 0})
 
 
-def buy_sell_matrix(pairs: DataFrame, sells: list[str]) -> DataFrame:
-    """buy, and for each date of sells (yyyy-MM-dd) the mean profit of the pairs sold then, 0 where there are none."""
-    x = pairs.select("buy", F.date_format("sell", "yyyy-MM-dd").alias("s"), "profit")
-    return x.groupBy("buy").pivot("s", sells).agg(F.avg("profit")).fillna(0.0)
+def buy_sell_cells(pairs: DataFrame) -> DataFrame:
+    """buy, sell, profit: the mean profit of the pairs of each date of buying and each date of selling that there is, 0 where
+    there are none. Cells are rows, so that dates come from the data; dates are far fewer than pairs."""
+    of = pairs.groupBy("buy", "sell").agg(F.avg("profit").alias("profit"))
+    grid = pairs.select("buy").distinct().crossJoin(pairs.select("sell").distinct())  # one row a cell of the result
+    return grid.join(of, ["buy", "sell"], "left").fillna(0.0, ["profit"])
 
 
 def best_pair(df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidewater.operators import indicators as ind
@@ -12,18 +10,14 @@ from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.plans.indicators import ALL_INDICATORS
 from tidewater.plans.signals import SIGNAL
-from tidewater.session import shared_folder
+from tidewater.session import own_folder
 from tidewater.sources import documents, sinks
 from tidewater.sources.series import daily, hourly, table
 
 
-def folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written_charts(spark, d) -> str:
     """Market charts of all assets as gzipped JSON documents, one an asset, beside a file that isn't JSON."""
-    path = folder(spark, "charts")
+    path = own_folder(spark, "charts")
     sinks.write_charts(hourly(spark, d).select("asset", F.col("bar").alias("ts"), F.col("close").alias("price"), "volume"), path, 1_700_000_000_000)
     spark.createDataFrame([("{ no document",)], "value string").coalesce(1).write.mode("append").text(path)
     return path
@@ -62,7 +56,7 @@ def charts_are_fresh(spark, d):
 @query("split_metrics", f"{b.HOURLY} SELECT asset, 'prices' AS metric, count(*) AS n, round(sum(close), 4) AS total FROM bars GROUP BY asset UNION ALL SELECT asset, 'volumes', count(*), round(sum(volume), 4) FROM bars GROUP BY asset")
 def split_metrics(spark, d):
     """A folder for each asset and metric."""
-    path = folder(spark, "split")
+    path = own_folder(spark, "split")
     sinks.write_metrics(hourly(spark, d), path, {"prices": "close", "volumes": "volume"})
     x = spark.read.schema("ms long, value double, asset string, metric string").json(path)
     return x.groupBy("asset", "metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -71,7 +65,7 @@ def split_metrics(spark, d):
 @query("flat_files", f"{b.DAILY} SELECT asset, bar AS ts, close AS value FROM bars")
 def flat_files(spark, d):
     """Arrays of [ms, value], a file for each asset."""
-    path = folder(spark, "flat")
+    path = own_folder(spark, "flat")
     sinks.write_flat(daily(spark, d), path)
     return documents.flat_series(spark, f"{path}/*/*", r"asset=([^/]+)/")
 
@@ -79,7 +73,7 @@ def flat_files(spark, d):
 @query("ohlcv_files", f"{b.DAILY} SELECT bar AS day, open, high, low, close, volume FROM bars WHERE asset = 'view' AND bar >= TIMESTAMP '2024-01-10'")
 def ohlcv_files(spark, d):
     """Daily prices as CSV, read from a date on."""
-    path = folder(spark, "ohlcv")
+    path = own_folder(spark, "ohlcv")
     x = daily(spark, d).filter("asset = 'view'")
     sinks.write_csv(x.select(F.to_date("bar").alias("Date"), *(F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume"))), path)
     o = documents.ohlcv(spark, path, "2024-01-10")
@@ -89,7 +83,7 @@ def ohlcv_files(spark, d):
 @query("column_pairs", f"{b.DAILY} SELECT 'VIEW' AS symbol, count(*) AS n, round(sum(close), 4) AS total, epoch_ms(min(bar)) AS first_ms FROM bars WHERE asset = 'view'")
 def column_pairs(spark, d):
     """One column of a CSV file as a series of [ms, value]."""
-    path = folder(spark, "pairs")
+    path = own_folder(spark, "pairs")
     x = daily(spark, d).filter("asset = 'view'")
     sinks.write_csv(x.select(F.to_date("bar").alias("Date"), *(F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume"))), path)
     p = documents.column_pairs(documents.ohlcv(spark, path), "VIEW", "Close")
@@ -99,7 +93,7 @@ def column_pairs(spark, d):
 @query("holder_files", "SELECT user_id AS holder, date_trunc('day', ts)::TIMESTAMP AS ts, round(sum(value), 2) AS amount FROM events GROUP BY ALL")
 def holder_files(spark, d):
     """Ledgers as documents {holder: {time: amount with commas}}."""
-    path = folder(spark, "holders")
+    path = own_folder(spark, "holders")
     x = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("holder"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.round(F.sum("value"), 2).alias("amount"))
     sinks.write_ledger(x, path)
     return documents.holder_ledger(spark, path).select(F.col("holder").cast("long").alias("holder"), "ts", "amount")
@@ -108,7 +102,7 @@ def holder_files(spark, d):
 @query("codec_sizes", f"{b.DAILY}, c AS (SELECT * FROM (VALUES ('none'), ('gzip'), ('bzip2'), ('deflate'), ('snappy'), ('lz4')) c(codec)) SELECT codec, count(*) AS n, true AS smaller_or_none FROM bars, c GROUP BY codec")
 def codec_sizes(spark, d):
     """The same rows with each codec: all are read again, and compressed files are smaller."""
-    found = sinks.compared_codecs(daily(spark, d), folder(spark, "codecs"))
+    found = sinks.compared_codecs(daily(spark, d), own_folder(spark, "codecs"))
     plain = found.filter("codec = 'none'").select(F.col("bytes").alias("plain"))  # one row
     return found.join(F.broadcast(plain)).select("codec", "n", ((F.col("codec") == "none") | (F.col("bytes") < F.col("plain"))).alias("smaller_or_none"))
 
@@ -124,7 +118,7 @@ def markdown_table(spark, d):
 @query("indicator_document", f"{b.HOURLY}, {ALL_INDICATORS}, s AS (SELECT *, {SIGNAL}::INTEGER AS signal FROM ai) SELECT asset AS symbol, count(*) AS n, count(CASE WHEN signal = 1 THEN 1 END) AS buys, count(CASE WHEN signal = -1 THEN 1 END) AS sells, round(sum(rsi), 3) AS rsi, round(sum(macd), 3) AS macd, round(sum(tsi_signal), 3) AS tsi_signal, strftime(max(bar), '%Y-%m-%d %H:%M:%S') AS last FROM s GROUP BY asset")
 def indicator_document(spark, d):
     """The columnar document of each asset (every indicator as a list, and the signals), written with gzip and read."""
-    path = folder(spark, "document")
+    path = own_folder(spark, "document")
     sinks.write_json(sinks.indicator_documents(ind.all_indicators(hourly(spark, d)).withColumn("signal", sig.signal(*sig.combined()))), path)
     x = spark.read.json(path)
     total = lambda c: F.round(F.aggregate(F.filter(c, lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v), 3).alias(c)

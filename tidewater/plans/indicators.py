@@ -181,10 +181,10 @@ def _plain(span: int) -> str:
     return f"pow(1 - 2.0/{span + 1}, k) * sum(CASE WHEN k = 0 THEN close ELSE 2.0/{span + 1} * close * pow(1 - 2.0/{span + 1}, -k) END) OVER v"
 
 
-@query("macd_lines", f"{b.HOURLY}, n AS (SELECT *, row_number() {b.W} - 1 AS k FROM bars) SELECT asset, bar, round({_adjusted(12)} - {_adjusted(26)}, 4) AS adjusted, round({_plain(12)} - {_plain(26)}, 4) AS plain FROM n WINDOW v AS (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING)")
+@query("macd_lines", f"{b.HOURLY}, n AS (SELECT *, row_number() {b.W} - 1 AS k FROM bars) SELECT asset, bar, round({_adjusted(12)} - {_adjusted(26)}, 6) AS adjusted, round({_plain(12)} - {_plain(26)}, 6) AS plain FROM n WINDOW v AS (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING)")
 def macd_lines(spark, d):
     """The line of two more definitions of exponential means."""
-    return out(ind.macd_line(ind.macd_line(hourly(spark, d), "adjusted", True), "plain", False), "adjusted", "plain", places=4)
+    return out(ind.macd_line(ind.macd_line(hourly(spark, d), "adjusted", True), "plain", False), "adjusted", "plain", places=6)
 
 
 _hlc3 = f"{b._bars('hour').replace('bars AS', 'raw AS')}, bars AS (SELECT asset, bar, h AS open, h AS high, h AS low, h AS close, volume FROM (SELECT *, (high + low + close) / 3 AS h FROM raw))"

@@ -126,21 +126,16 @@ def order_sizes(spark, d):
 
 
 def _orders(unit: str) -> str:
-    return f"WITH bars AS (SELECT o_orderpriority AS asset, date_trunc('{unit}', o_orderdate)::TIMESTAMP AS bar, avg(o_totalprice) AS close FROM orders GROUP BY ALL), pairs AS (SELECT a.asset, a.bar AS buy, b.bar AS sell, b.close - a.close AS profit, date_diff('day', a.bar, b.bar) AS days FROM bars a JOIN bars b ON a.asset = b.asset AND a.bar < b.bar AND b.close > a.close)"
+    return f"WITH bars AS (SELECT o_orderpriority AS asset, date_trunc('{unit}', o_orderdate)::TIMESTAMP AS bar, sum(round(o_totalprice * 100)::BIGINT) AS close FROM orders GROUP BY ALL), pairs AS (SELECT a.asset, a.bar AS buy, b.bar AS sell, b.close - a.close AS profit, date_diff('day', a.bar, b.bar) AS days FROM bars a JOIN bars b ON a.asset = b.asset AND a.bar < b.bar AND b.close > a.close)"
 
 
-@query("monthly_trades", f"{_orders('week')}, g AS (SELECT asset, date_trunc('month', buy)::TIMESTAMP AS month, sum(profit) AS profit, avg(profit) AS mp, avg(days) AS md, count(*) AS n FROM pairs GROUP BY ALL), e AS (SELECT asset, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM g GROUP BY asset) SELECT asset, month, round(coalesce(profit, 0), 2) AS profit, round(mp, 4) AS mean_profit, round(md, 4) AS mean_days, coalesce(n, 0) AS trades FROM e LEFT JOIN g USING (asset, month)")
+@query("monthly_trades", f"{_orders('week')}, g AS (SELECT asset, date_trunc('month', buy)::TIMESTAMP AS month, sum(profit) AS profit, avg(profit) AS mp, avg(days) AS md, count(*) AS n FROM pairs GROUP BY ALL), e AS (SELECT asset, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM g GROUP BY asset) SELECT asset, month, coalesce(profit, 0)::BIGINT AS profit, mp AS mean_profit, md AS mean_days, coalesce(n, 0) AS trades FROM e LEFT JOIN g USING (asset, month)")
 def monthly_trades(spark, d):
-    x = sig.monthly_trades(sig.pair_profits(order_periods(spark, d, "week")))
-    return x.select("asset", "month", F.round("profit", 2).alias("profit"), F.round("mean_profit", 4).alias("mean_profit"), F.round("mean_days", 4).alias("mean_days"), "trades")
+    """Profits in cents: sums are whole numbers, and means divide once, so that nothing is rounded."""
+    return sig.monthly_trades(sig.pair_profits(order_periods(spark, d, "week")))
 
 
-#: The months that orders span, and names for columns of them.
-MONTHS = [f"{y}-{m:02d}-01" for y in range(1995, 2002) for m in range(1, 13)]
-_cells = ", ".join(f"round(coalesce(avg(CASE WHEN sell = TIMESTAMP '{m}' THEN profit END), 0), 4) AS sell_{m[:7].replace('-', '_')}" for m in MONTHS)
-
-
-@query("buy_sell_matrix", f"{_orders('month')} SELECT buy, {_cells} FROM pairs GROUP BY buy")
+@query("buy_sell_matrix", f"{_orders('month')}, dates AS (SELECT DISTINCT buy FROM pairs), sells AS (SELECT DISTINCT sell FROM pairs) SELECT buy, sell, coalesce(avg(profit), 0) AS profit FROM dates CROSS JOIN sells LEFT JOIN pairs USING (buy, sell) GROUP BY ALL")
 def buy_sell_matrix(spark, d):
-    x = sig.buy_sell_matrix(sig.pair_profits(order_periods(spark, d, "month")), MONTHS)
-    return x.select("buy", *(F.round(F.col(f"`{m}`"), 4).alias(f"sell_{m[:7].replace('-', '_')}") for m in MONTHS))
+    """The mean profit of every date of buying and every date of selling, as rows."""
+    return sig.buy_sell_cells(sig.pair_profits(order_periods(spark, d, "month")))

@@ -54,6 +54,8 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_periods(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
-    """asset (order priority), bar (week, or month), close (mean order total)."""
+    """asset (order priority), bar (week, or month), close: the orders' total in cents, a whole number, so that sums of
+    profits are exact in any order."""
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("asset"), truncated(unit, "o_orderdate").alias("bar")).agg(F.avg("o_totalprice").alias("close"))
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    return o.groupBy(F.col("o_orderpriority").alias("asset"), truncated(unit, "o_orderdate").alias("bar")).agg(cents.alias("close"))
