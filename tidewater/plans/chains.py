@@ -11,6 +11,7 @@ from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.sources.series import daily, hourly, ticks
 from tidewater.streaming import operators as st
+from tidewater.streaming.delivery import delivered, periodic
 
 r6 = lambda x: F.round(x, 6)
 CUTS = "q AS (SELECT asset, quantile_cont(close, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM bars GROUP BY asset), s AS (SELECT asset, bar, close, len(list_filter(cuts, lambda c: c < close))::INTEGER AS state FROM bars JOIN q USING (asset))"
@@ -131,60 +132,60 @@ def prophet_like(spark, d):
 
 @query("stream_tumbling", "SELECT event_type AS asset, date_trunc('hour', ts)::TIMESTAMP AS bar, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS high, min(value) AS low FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
-    return st.finished(st.tumbling(st.tick_stream(spark, d)), "complete").withColumn("mean", r6("mean"))
+    return delivered(st.tumbling(st.tick_stream(spark, d)), "complete").withColumn("mean", r6("mean"))
 
 
 @query("stream_sliding", "SELECT event_type AS asset, (date_trunc('hour', ts) - to_hours(k.k))::TIMESTAMP AS bar, count(*) AS n, max(value) AS high FROM events, (VALUES (0), (1)) k(k) GROUP BY ALL")
 def stream_sliding(spark, d):
-    return st.finished(st.tumbling(st.tick_stream(spark, d), "2 hours", "1 hour"), "complete").select("asset", "bar", "n", "high")
+    return delivered(st.tumbling(st.tick_stream(spark, d), "2 hours", "1 hour"), "complete").select("asset", "bar", "n", "high")
 
 
 @query("stream_session", "WITH l AS (SELECT event_type AS asset, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), g AS (SELECT *, sum(new) OVER (PARTITION BY asset ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l) SELECT asset, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS until, count(*) AS n FROM g GROUP BY asset, s")
 def stream_session(spark, d):
-    return st.finished(st.sessions(st.tick_stream(spark, d)), "complete")
+    return delivered(st.sessions(st.tick_stream(spark, d)), "complete")
 
 
 @query("stream_dedupe", "SELECT event_type AS asset, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
 def stream_dedupe(spark, d):
     s = st.tick_stream(spark, d)
     twice = s.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    return st.finished(st.deduplicated(twice), "append").groupBy("asset").agg(F.count("*").alias("n"))
+    return delivered(st.deduplicated(twice)).groupBy("asset").agg(F.count("*").alias("n"))
 
 
 @query("stream_stale_filter", "SELECT event_type AS asset, count(*) AS n FROM events WHERE (event_id % 300) <= 120 GROUP BY ALL")
 def stream_stale_filter(spark, d):
     """Signals that arrive up to five minutes late; those of over two minutes are dropped."""
     s = st.tick_stream(spark, d).withColumn("now", (F.col("ts") + F.make_interval(secs=(F.col("event_id") % 300).cast("decimal(18,6)"))).cast("timestamp"))
-    return st.finished(st.fresh(s), "append").groupBy("asset").agg(F.count("*").alias("n"))
+    return delivered(st.fresh(s)).groupBy("asset").agg(F.count("*").alias("n"))
 
 
 @query("stream_ema", "WITH RECURSIVE n AS (SELECT event_type AS asset, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events), y AS (SELECT asset, k, x AS v FROM n WHERE k = 1 UNION ALL SELECT n.asset, n.k, 0.9 * y.v + 0.1 * n.x FROM y JOIN n ON n.asset = y.asset AND n.k = y.k + 1) SELECT asset, max(k) AS n, round(last(v ORDER BY k), 4) AS ema FROM y GROUP BY asset")
 def stream_ema(spark, d):
-    x = st.finished(st.running_ema(st.tick_stream(spark, d), 0.1), "update")
+    x = delivered(st.running_ema(st.tick_stream(spark, d), 0.1), "update")
     return x.groupBy("asset").agg(F.max("n").alias("n"), F.round(F.max_by("ema", "n"), 4).alias("ema"))
 
 
 @query("stream_session_profit", "WITH n AS (SELECT event_type AS asset, row_number() OVER w AS k, sum(value - 100) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), f AS (SELECT asset, min(k) AS k FROM n WHERE total >= 1000 GROUP BY asset), e AS (SELECT n.asset, coalesce(f.k, max(n.k) OVER (PARTITION BY n.asset)) AS last, n.k, total FROM n LEFT JOIN f ON f.asset = n.asset) SELECT asset, round(total, 4) AS profit, total >= 1000 AS done FROM e WHERE k = last")
 def stream_session_profit(spark, d):
-    return st.finished(st.session_profit(st.tick_stream(spark, d).withColumn("amount", F.col("price") - 100)), "update").withColumn("profit", F.round("profit", 4))
+    return delivered(st.session_profit(st.tick_stream(spark, d).withColumn("amount", F.col("price") - 100)), "update").withColumn("profit", F.round("profit", 4))
 
 
 @query("stream_orders", "WITH o AS (SELECT event_type AS asset, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, event_id, ts FROM events) SELECT asset, side, count(*) AS placed, count(*) - 1 AS cancelled, last(event_id ORDER BY ts, event_id) AS open, least(count(*), 100)::INTEGER AS known FROM o GROUP BY ALL")
 def stream_orders(spark, d):
     s = st.tick_stream(spark, d).withColumn("side", F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell"))
-    return st.finished(st.replaced_orders(s), "update").groupBy("asset", "side").agg(*(F.max_by(c, "placed").alias(c) for c in ("cancelled", "open", "known")), F.max("placed").alias("placed"))
+    return delivered(st.replaced_orders(s), "update").groupBy("asset", "side").agg(*(F.max_by(c, "placed").alias(c) for c in ("cancelled", "open", "known")), F.max("placed").alias("placed"))
 
 
 @query("stream_indicators", "WITH n AS (SELECT event_type AS asset, value AS p, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k, value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS d FROM events) SELECT asset, max(c) AS n, round(avg(p), 6) AS sma, round(CASE WHEN sum(greatest(-d, 0)) = 0 THEN 100 ELSE 100 - 100 / (1 + sum(greatest(d, 0)) / sum(greatest(-d, 0))) END, 6) AS rsi, max(p) AS high, min(p) AS low FROM n JOIN (SELECT event_type AS asset, count(*) AS c FROM events GROUP BY ALL) USING (asset) WHERE k <= 14 GROUP BY asset")
 def stream_indicators(spark, d):
-    x = st.finished(st.running_indicators(st.tick_stream(spark, d)), "update")
+    x = delivered(st.running_indicators(st.tick_stream(spark, d)), "update")
     return x.groupBy("asset").agg(F.max("n").alias("n"), r6(F.max_by("sma", "n")).alias("sma"), r6(F.max_by("rsi", "n")).alias("rsi"), F.max_by("high", "n").alias("high"), F.max_by("low", "n").alias("low"))
 
 
 @query("stream_periodic", "SELECT event_type AS asset, count(*) AS n, max(value) AS high FROM events GROUP BY ALL")
 def stream_periodic(spark, d):
     """A batch each second until all is taken; then the stream is stopped."""
-    return st.periodic(st.tick_stream(spark, d).groupBy("asset").agg(F.count("*").alias("n"), F.max("price").alias("high")))
+    return periodic(st.tick_stream(spark, d).groupBy("asset").agg(F.count("*").alias("n"), F.max("price").alias("high")))
 
 
 @query("appended_batch", "SELECT event_type AS asset, count(*) AS n FROM events GROUP BY ALL")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +13,10 @@ DELAY = "2 hours"
 
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files: asset, ts (timestamp), event_id, price."""
+    """The events as a stream of files: asset, ts (timestamp), event_id, user_id, price, volume."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{{events.parquet,events.parquet/*}}")
-    return stream.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id", F.col("value").alias("price"))
+    return stream.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id", F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
 
 
 def tumbling(ticks: DataFrame, length: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -108,27 +107,3 @@ def running_indicators(ticks: DataFrame, n: int = 14) -> DataFrame:
 def appended(old: DataFrame, batch: DataFrame) -> DataFrame:
     """A batch behind what there is, by column names."""
     return old.unionByName(batch, allowMissingColumns=True)
-
-
-def periodic(stream: DataFrame, interval: str = "1 second", mode: str = "complete") -> DataFrame:
-    """Runs a stream with a batch each interval until it has taken what is there, then stops it after its last batch, and
-    gives its table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(processingTime=interval).start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    return stream.sparkSession.table(name)
-
-
-def finished(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Runs a stream over all that is there now and gives its table. In append mode the windows that the watermark has
-    not closed are missing; complete and update keep all."""
-    spark = stream.sparkSession
-    if sink:
-        stream.writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-        return spark.createDataFrame([], stream.schema)
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
