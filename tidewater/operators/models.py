@@ -215,39 +215,6 @@ def decompose(df: DataFrame, period: int = 7, rounds: int = 3, robust: int = 2)
     return df.select("asset", "bar", "close").groupBy("asset").applyInPandas(run, "asset string, bar timestamp_ntz, close double, trend double, seasonal double, remainder double")
 
 
-def garch_forecast(df: DataFrame, horizon: int = 5) -> DataFrame:
-    """asset, step, mean, sigma, low, high: AR(1)-GARCH(1,1) of percentage log returns, fitted by a search over its two
-    variance parameters (the rest by moments), forecast with 1.96 sigma bands."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("bar")["close"].to_numpy(float)
-        r = 100 * np.diff(np.log(p[p > 0]))
-        if len(r) < 10:
-            return pd.DataFrame({"asset": [], "step": [], "mean": [], "sigma": [], "low": [], "high": []})
-        a, b = r[:-1] - r[:-1].mean(), r[1:] - r[1:].mean()
-        phi = float(a @ b / max(a @ a, 1e-12))
-        c = r[1:].mean() - phi * r[:-1].mean()
-        e = r[1:] - c - phi * r[:-1]
-        var = max(e.var(), 1e-9)
-        alpha, beta = (g.ravel() for g in np.meshgrid(np.linspace(0, 0.4, 9), np.linspace(0, 0.95, 20), indexing="ij"))
-        fine = alpha + beta < 0.999
-        alpha, beta = alpha[fine], beta[fine]
-        h, loss = np.full(len(alpha), var), np.zeros(len(alpha))
-        for x in e:  # all points of the grid at once
-            loss += np.log(h) + x * x / h
-            h = var * (1 - alpha - beta) + alpha * x * x + beta * h
-        k = int(np.argmin(loss))
-        alpha, beta, h = float(alpha[k]), float(beta[k]), float(h[k])
-        out, last = [], r[-1]
-        for k in range(1, horizon + 1):
-            last = c + phi * last
-            out.append((pdf["asset"].iloc[0], k, last, np.sqrt(h), last - 1.96 * np.sqrt(h), last + 1.96 * np.sqrt(h)))
-            h = var * (1 - alpha - beta) + (alpha + beta) * h
-        return pd.DataFrame(out, columns=["asset", "step", "mean", "sigma", "low", "high"])
-
-    return df.select("asset", "bar", "close").groupBy("asset").applyInPandas(run, "asset string, step int, mean double, sigma double, low double, high double")
-
-
 def additive_forecast(df: DataFrame, grid: DataFrame, steps: int) -> DataFrame:
     """asset, config, step, forecast: piecewise linear trend and weekly Fourier terms by ridge regression, for every
     asset and row of grid(config, changepoints, trend_ridge, season_ridge, multiplicative); forecasts are at least 0."""
@@ -282,45 +249,3 @@ def forecast_scores(df: DataFrame, grid: DataFrame, steps: int) -> DataFrame:
     truth = p.filter(F.col("_at") >= F.col("_n")).select("asset", (F.col("_at") - F.col("_n") + 1).cast("int").alias("step"), "close")
     scores = told.join(truth, ["asset", "step"]).groupBy("asset", "config").agg(F.sqrt(F.avg((F.col("forecast") - F.col("close")) ** 2)).alias("rmse"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy("rmse", "config")))  # a row for each configuration
-
-
-def multi_trades(df: DataFrame, most: int = 10) -> DataFrame:
-    """asset, trades, profit: the best at most most trades of one share, one after the other, by dynamic programming."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("bar")["close"].to_numpy(float)
-        free, held = np.zeros(most + 1), np.full(most + 1, -np.inf)
-        for x in p:
-            held[1:] = np.maximum(held[1:], free[:-1] - x)
-            free[1:] = np.maximum(free[1:], held[1:] + x)
-        return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "trades": [int(np.argmax(free))], "profit": [float(free.max())]})
-
-    return df.select("asset", "bar", "close").groupBy("asset").applyInPandas(run, "asset string, trades int, profit double")
-
-
-def selected_pairs(df: DataFrame, most: int = 10) -> DataFrame:
-    """asset, buys, sells, profit: at most most buying days (at the open) and as many selling days (at the close), where
-    every selected later sale counts with every selected earlier purchase. With n of each, a day's share doesn't
-    depend on the others once it is known how many of the other kind come after it, so that the best choice is a dynamic
-    programme over the days, the purchases and the sales so far."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("bar")
-        best, count = 0.0, 0
-        for n in range(1, most + 1):
-            # worth[i, j]: i purchases and j sales so far, n of each in the end
-            worth = np.full((n + 1, n + 1), -np.inf)
-            worth[0, 0] = 0.0
-            for o, c in zip(p["open"].to_numpy(float), p["close"].to_numpy(float), strict=True):
-                sold = np.full_like(worth, -np.inf)
-                i = np.arange(n + 1)
-                sold[:, 1:] = worth[:, :-1] + c * i[:, None]  # a sale counts with the purchases of earlier days
-                worth = np.maximum(worth, sold)
-                bought = np.full_like(worth, -np.inf)
-                bought[1:] = worth[:-1] - o * (n - np.arange(n + 1))[None, :]  # a purchase with the sales to come
-                worth = np.maximum(worth, bought)
-            if worth[n, n] > best:
-                best, count = float(worth[n, n]), n
-        return pd.DataFrame({"asset": [p["asset"].iloc[0]], "days": [count], "profit": [best]})
-
-    return df.select("asset", "bar", "open", "close").groupBy("asset").applyInPandas(run, "asset string, days int, profit double")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, simple_return
-from tidewater.operators import cross, markov, models, spectral
+from tidewater.operators import cross, markov, models, spectral, volatility
 from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.sources.series import daily, hourly, ticks
@@ -118,7 +118,14 @@ def stl_decompose(spark, d):
 
 @query("garch")
 def garch(spark, d):
-    return models.garch_forecast(daily(spark, d))
+    """The next five hours of each asset: means, bands and price paths."""
+    return volatility.volatility_forecast(hourly(spark, d))
+
+
+@query("garch_paths")
+def garch_paths(spark, d):
+    """Quantiles of simulated prices of the next five hours."""
+    return volatility.simulated_prices(hourly(spark, d))
 
 
 @query("prophet_like")

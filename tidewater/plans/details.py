@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, ratio, simple_return
 from tidewater.operators import calendar as cal
-from tidewater.operators import cross, markov, models, spectral
+from tidewater.operators import cross, markov, models, spectral, trades
 from tidewater.operators import text as names
 from tidewater.plans import base as b
 from tidewater.plans.base import query
@@ -245,19 +245,19 @@ _DP = """st AS (SELECT asset, 0::BIGINT AS k, list_transform(range(11), lambda j
 @query("multi_trades", f"{b.DAILY_RECURSIVE}, o AS (SELECT asset, close, row_number() {b.W} AS k FROM bars), {_DP} SELECT asset, (list_position(f, list_max(f)) - 1)::INTEGER AS trades, round(list_max(f), 4) AS profit FROM (SELECT asset, last(free ORDER BY k) AS f FROM st GROUP BY asset)")
 def multi_trades(spark, d):
     """The best at most ten trades, one after the other."""
-    return models.multi_trades(daily(spark, d)).withColumn("profit", F.round("profit", 4))
+    return trades.multi_trades(daily(spark, d)).withColumn("profit", F.round("profit", 4))
 
 
 @query("best_selected_days", f"{b.DAILY}, o AS (SELECT asset, open, close, row_number() {b.W} AS k FROM bars) SELECT a.asset, round(greatest(0, max(s.close - a.open)), 4) AS profit FROM o a JOIN o s ON a.asset = s.asset AND s.k > a.k GROUP BY a.asset")
 def best_selected_days(spark, d):
     """The best buying and selling day, as the choice of days with one of each."""
-    return models.selected_pairs(daily(spark, d), 1).select("asset", F.round("profit", 4).alias("profit"))
+    return trades.selected_pairs(daily(spark, d), 1).select("asset", F.round("profit", 4).alias("profit"))
 
 
 @query("selected_days")
 def selected_days(spark, d):
     """At most ten days of each kind, where every pair of them counts."""
-    return models.selected_pairs(daily(spark, d), 10)
+    return trades.selected_pairs(daily(spark, d), 10)
 
 
 @query("expected_by_return", f"{b.DAILY}, {RET} SELECT asset, round(max(ret), 6) AS best, round(min(ret), 6) AS worst, bool_and(ret > -1) AS never_lost_all FROM r WHERE ret IS NOT NULL GROUP BY asset")
