@@ -161,13 +161,14 @@ def test_documents(spark, tmp_path):
     rows = documents.chart_series(docs).orderBy("ts").collect()
     assert [(r.asset, r.price, r.volume) for r in rows] == [("x", 1.5, 10.0), ("x", 2.5, None)]
     assert documents.zipped_series(docs).count() == 2
-    assert documents.is_fresh(docs, 2000) and not documents.is_fresh(docs, 10**9)
+    fresh = lambda now: documents.freshness(docs, spark.createDataFrame([(now,)], "now long")).collect()
+    assert [r[:] for r in fresh(2000)] == [("x", 1000, True)] and not fresh(10**9)[0].fresh
     (tmp_path / "flat").mkdir()
     (tmp_path / "flat" / "eth.json").write_text("[[0, 1.0], [1000, 2.0]]")
     assert [(r.asset, r.value) for r in documents.flat_series(spark, str(tmp_path / "flat")).orderBy("ts").collect()] == [("eth", 1.0), ("eth", 2.0)]
     (tmp_path / "p.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-01,1,2,0.5,1.5,10\n2024-01-03,2,3,1,2.5,20\n")
     o = documents.ohlcv(spark, str(tmp_path / "p.csv"), "2024-01-02")
-    assert o.count() == 1 and documents.column_pairs(o, "P", "Close").first()["close"] == [[1704240000000.0, 2.5]]
+    assert o.count() == 1 and documents.column_pairs(o, F.lit("P"), "Close").first()["close"] == [[1704240000000.0, 2.5]]
     (tmp_path / "h.json").write_text(json.dumps({"h1": {"2024-01-01T00:00:00": "1,234.50"}}))
     assert documents.holder_ledger(spark, str(tmp_path / "h.json")).first()["amount"] == 1234.5
 

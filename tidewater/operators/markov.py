@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,9 +79,14 @@ def absorbing_steps(moves: DataFrame, target: int) -> DataFrame:
 
 def _paths(cum: np.ndarray, ids: pd.Series, start: int, steps: int, shocks: dict[int, float], seed: int) -> np.ndarray:
     draws = np.array([np.random.default_rng((seed, int(k))).random(steps) for k in ids]).reshape(len(ids), steps)
-    state = np.full(len(ids), start)
+    return _walked(cum, draws, start, shocks)
+
+
+def _walked(cum: np.ndarray, draws: np.ndarray, start: int, shocks: dict[int, float]) -> np.ndarray:
+    """The states of walks (rows of draws) through a matrix of cumulative shares."""
+    state = np.full(len(draws), start)
     path = [state]
-    for t in range(steps):
+    for t in range(draws.shape[1]):
         if t in shocks:
             state = np.clip((state * shocks[t]).astype(int), 0, len(cum) - 1)
         state = np.minimum((cum[state] < draws[:, t, None]).sum(axis=1), len(cum) - 1)
@@ -101,28 +107,62 @@ def markov_paths(spark: SparkSession, matrix: np.ndarray, start: int, steps: int
     return spark.range(runs * sims).mapInPandas(run, "path array<int>").groupBy("path").agg(F.count("*").alias("n"))
 
 
+def whole_table(moves: DataFrame) -> DataFrame:
+    """asset, from_state, to_state, p for every pair of an asset's states: 0 for moves that never happened, and the same
+    share for all where a state was never left. states squared rows an asset."""
+    known = moves.select("asset", F.col("from_state").alias("s")).unionByName(moves.select("asset", F.col("to_state").alias("s"))).distinct()
+    sizes = known.groupBy("asset").agg(F.count("*").alias("_k"))
+    pairs = known.withColumnRenamed("s", "from_state").join(known.withColumnRenamed("s", "to_state"), "asset").join(sizes, "asset")
+    left = moves.select("asset", "from_state").distinct().withColumn("_left", F.lit(True))
+    x = pairs.join(left, ["asset", "from_state"], "left").join(moves.select("asset", "from_state", "to_state", "p"), ["asset", "from_state", "to_state"], "left")
+    return x.select("asset", "from_state", "to_state", F.when(F.col("_left"), F.coalesce("p", F.lit(0.0))).otherwise(1 / F.col("_k")).alias("p"))
+
+
 def asset_paths(moves: DataFrame, states: int, start: int, steps: int, runs: int, sims: int, shocks: dict[int, float] | None = None, seed: int = 0) -> DataFrame:
-    """asset, path array<int>, n: markov_paths() of the transitions of every asset; all assets draw the same numbers."""
+    """asset, path array<int>, n: how often each path occurred in runs times sims simulations of the transitions of every
+    asset. A run has a seed of its own, the same for all assets."""
     shocks = shocks or {}
     # one row an asset: its matrix, states squared
     cells = moves.groupBy("asset").agg(F.collect_list(F.struct(F.col("from_state").cast("int").alias("f"), F.col("to_state").cast("int").alias("t"), F.col("p"))).alias("cells"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for asset, group in b.groupby("asset", dropna=False):
+            for r in b.itertuples(index=False):
                 m = np.zeros((states, states))
-                for c in group["cells"].iloc[0]:
+                for c in r.cells:
                     m[c["f"], c["t"]] = c["p"]
-                paths = _paths(np.cumsum(m, axis=1), group["id"], start, steps, shocks, seed)
-                yield pd.DataFrame({"asset": asset, "path": list(paths)})
+                draws = np.random.default_rng((seed, int(r.run))).random((sims, steps))
+                yield pd.DataFrame({"asset": r.asset, "path": list(_walked(np.cumsum(m, axis=1), draws, start, shocks))})
+
+    each = cells.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).repartition("asset", "run")
+    return each.mapInPandas(run, "asset string, path array<int>").groupBy("asset", "path").agg(F.count("*").alias("n"))
+
+
+# Rates, means and deviations of jumps in each state of the market.
+MARKETS = {
+    "bullish": ((0.1, 0.15, 0.2), (0.05, 0.1, 0.15), (0.1, 0.15, 0.2)),
+    "bearish": ((0.1, 0.2, 0.3), (-0.2, -0.15, -0.1), (0.2, 0.3, 0.4)),
+    "neutral": ((0.1, 0.2, 0.3), (-0.05, 0.0, 0.05), (0.15, 0.2, 0.25)),
+}
+
+
+def market_grid(series: DataFrame) -> DataFrame:
+    """A row for each of series and each combination of jumps in each market: market, config, jump_rate, jump_mean, jump_std."""
+    rows = [(m, *c) for m, values in MARKETS.items() for c in itertools.product(*values)]
+    grid = F.array(*(F.struct(F.lit(m).alias("market"), F.lit(k).alias("config"), F.lit(a).alias("jump_rate"), F.lit(b).alias("jump_mean"), F.lit(c).alias("jump_std")) for k, (m, a, b, c) in enumerate(rows)))
+    return series.withColumn("_g", F.explode(grid)).select("*", "_g.*").drop("_g")
+
 
-    return moves.sparkSession.range(runs * sims).crossJoin(F.broadcast(cells)).select("id", "asset", "cells").mapInPandas(run, "asset string, path array<int>").groupBy("asset", "path").agg(F.count("*").alias("n"))
+def price_limit(df: DataFrame, x: str = "close") -> DataFrame:
+    """asset, limit: the 99th percentile of the prices, or the highest price if that is more, as it always is: so the highest
+    price decides, and no percentile has to be found."""
+    return df.groupBy("asset").agg(F.max(x).alias("limit"))
 
 
-def jump_paths(grid: DataFrame, sims: int, steps: int, dt: float, limit: float, seed: int = 0) -> DataFrame:
+def jump_paths(grid: DataFrame, sims: int, steps: int, dt: float, seed: int = 0) -> DataFrame:
     """grid with kept, mean_final, p5, p95 of Merton jump diffusion paths: grid rows have config, s0, mu, sigma,
-    jump_rate, jump_mean, jump_std, and asset; config is unique within an asset, and draws the same numbers for each.
-    Paths that reach limit anywhere are dropped. Simulations are spread as blocks."""
+    jump_rate, jump_mean, jump_std, limit, and asset; config is unique within an asset, and draws the same numbers for each.
+    Paths that reach the row's limit anywhere, their start included, are dropped. Simulations are spread as blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -133,7 +173,7 @@ def jump_paths(grid: DataFrame, sims: int, steps: int, dt: float, limit: float,
                 jump = n * r.jump_mean + np.sqrt(n) * r.jump_std * rng.standard_normal((int(r.size), steps))
                 drift = (r.mu - r.sigma**2 / 2) * dt + r.sigma * np.sqrt(dt) * rng.standard_normal((int(r.size), steps))
                 path = r.s0 * np.exp(np.cumsum(drift + jump, axis=1))
-                fine = path.max(axis=1) < limit
+                fine = np.maximum(path.max(axis=1), r.s0) < r.limit
                 out += [(r.asset, r.config, float(x)) for x in path[fine, -1]]
             yield pd.DataFrame(out, columns=["asset", "config", "final"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, running
+from tidewater.operators.pairs import profits_by
 
 #: Name, buy condition, sell condition: each over indicator columns of equal names.
 RULES = {
@@ -111,11 +112,11 @@ def pair_profits(df: DataFrame) -> DataFrame:
     return a.join(b, "asset").filter("buy < sell and sold > bought").select("asset", "buy", "sell", (F.col("sold") - F.col("bought")).alias("profit"), F.date_diff("sell", "buy").alias("days"))
 
 
-def monthly_trades(pairs: DataFrame) -> DataFrame:
-    """asset, month, profit, mean_profit, mean_days, trades of pairs by the month of buying; months without any are there
-    with no profit."""
-    month = F.date_trunc("month", "buy").cast("timestamp_ntz")
-    g = pairs.groupBy("asset", month.alias("month")).agg(F.sum("profit").alias("profit"), F.avg("profit").alias("mean_profit"), F.avg("days").alias("mean_days"), F.count("*").alias("trades"))
+def monthly_trades(sums: DataFrame) -> DataFrame:
+    """asset, month, profit, mean_profit, mean_days, trades of pairs.pair_sums() by the month of buying; months without any are
+    there with no profit."""
+    g = profits_by(sums, "month", "month")
+    g = g.select("asset", "month", "profit", (F.col("profit") / F.col("trades")).alias("mean_profit"), (F.col("days") / F.col("trades")).alias("mean_days"), "trades")
     ends = g.groupBy("asset").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
     grid = ends.select("asset", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
     return grid.join(g, ["asset", "month"], "left").na.fill({"profit": 0, "trades": 0})

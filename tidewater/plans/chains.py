@@ -32,6 +32,12 @@ def markov_exact(spark, d):
     return markov.transitions(hourly(spark, d).withColumn("state", F.round(F.col("close") / 50).cast("int")), "state").withColumn("p", r6("p"))
 
 
+@query("markov_whole", f"{b.HOURLY}, s AS (SELECT asset, bar, round(close / 10)::INTEGER AS state FROM bars), {MOVES}, k AS (SELECT DISTINCT asset, unnest([from_state, to_state]) AS s FROM mp), z AS (SELECT asset, count(*) AS n FROM k GROUP BY asset) SELECT f.asset, f.s AS from_state, t.s AS to_state, round(CASE WHEN EXISTS (SELECT 1 FROM mp q WHERE q.asset = f.asset AND q.from_state = f.s) THEN coalesce(p, 0) ELSE 1.0 / z.n END, 6) AS p FROM k f JOIN k t ON f.asset = t.asset JOIN z ON z.asset = f.asset LEFT JOIN mp ON mp.asset = f.asset AND mp.from_state = f.s AND mp.to_state = t.s")
+def markov_whole(spark, d):
+    """Every pair of states, with the uniform row of a state that was never left."""
+    return markov.whole_table(markov.transitions(hourly(spark, d).withColumn("state", F.round(F.col("close") / 10).cast("int")), "state")).withColumn("p", r6("p"))
+
+
 @query("equal_bins", f"{b.HOURLY}, e AS (SELECT asset, min(close) AS lo, max(close) AS hi FROM bars GROUP BY asset) SELECT asset, least(floor((close - lo) / ((hi - lo) / 5)), 4)::INTEGER AS state, count(*) AS n FROM bars JOIN e USING (asset) GROUP BY ALL")
 def equal_bins(spark, d):
     return markov.equal_bins(hourly(spark, d), 5).groupBy("asset", "state").agg(F.count("*").alias("n"))
@@ -97,18 +103,17 @@ def rf_forecast(spark, d):
 @query("mcmc_paths")
 def mcmc_paths(spark, d):
     """The ten paths that occur most of each asset."""
-    x = markov.asset_paths(moves(spark, d), 5, 2, 7, 10, 1000, {3: 1.5})
+    x = markov.asset_paths(moves(spark, d), 5, 2, 7, 100, 1000, {3: 1.5})
     return x.withColumn("k", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("n"), "path"))).filter("k <= 10").drop("k")
 
 
 @query("jump_diffusion")
 def jump_diffusion(spark, d):
+    """27 combinations of jumps in each of three markets, 5000 paths of 200 days each; those that pass the highest price that
+    there was are dropped."""
     x = over_chunks(daily(spark, d), 1, lambda w: {"ret": F.log1p(simple_return(w))})
-    p = x.groupBy("asset").agg(F.max_by("close", "bar").alias("s0"), F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sigma"))
-    triple = lambda c, values: p.withColumn(c, F.explode(F.array(*map(F.lit, values))))
-    grid = triple("jump_rate", (0.1, 0.5, 1.0)).withColumn("jump_mean", F.explode(F.array(*map(F.lit, (-0.1, 0.0, 0.1))))).withColumn("jump_std", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.2)))))
-    grid = grid.withColumn("config", F.row_number().over(Window.partitionBy("asset").orderBy("jump_rate", "jump_mean", "jump_std")))  # 27 rows an asset
-    return markov.jump_paths(grid, 1000, 20, 1.0, 1e9).select("asset", "config", "jump_rate", "jump_mean", "jump_std", "kept", "mean_final", "p5", "p95")
+    p = x.groupBy("asset").agg(F.max_by("close", "bar").alias("s0"), F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sigma")).join(markov.price_limit(daily(spark, d)), "asset")
+    return markov.jump_paths(markov.market_grid(p), 5000, 200, 1.0).select("asset", "market", "config", "jump_rate", "jump_mean", "jump_std", "limit", "kept", "mean_final", "p5", "p95")
 
 
 @query("stl_decompose")

@@ -104,14 +104,14 @@ def index_resampled(spark, d):
     return spectral.resampled(daily(spark, d), 100).select("asset", "i", r6("close").alias("close"))
 
 
-@query("correlation_series", f"{b.DAILY}, p AS (SELECT a.asset AS coin, b.asset AS other, a.bar, a.close AS x, b.close AS y FROM bars a JOIN bars b ON a.bar = b.bar AND a.asset <> b.asset WHERE a.asset = 'view') SELECT coin, other, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS value FROM p GROUP BY ALL")
+@query("correlation_series", f"{b.DAILY}, p AS (SELECT a.asset AS coin, b.asset AS other, a.bar, a.close AS x, b.close AS y FROM bars a JOIN bars b ON a.bar = b.bar AND a.asset <> b.asset) SELECT coin, other, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS value FROM p GROUP BY ALL")
 def correlation_series(spark, d):
-    """From documents of correlations with all others (a map for each asset) back to rows, for one asset."""
+    """From documents of correlations with all others (a map for each asset) back to rows."""
     x = daily(spark, d)
     a, c = x.select(F.col("asset").alias("coin"), "bar", F.col("close").alias("x")), x.select(F.col("asset").alias("other"), "bar", F.col("close").alias("y"))
     pairs = a.join(c, "bar").filter("coin <> other").groupBy("coin", "other").agg(cross.correlation("x", "y").alias("v"))
     documents = pairs.groupBy("coin").agg(F.map_from_entries(F.collect_list(F.struct("other", "v"))).alias("correlations"))
-    return cross.document_series(documents, "correlations").filter("coin = 'view'").select("coin", F.col("key").alias("other"), r6("value").alias("value"))
+    return cross.document_series(documents, "correlations").select("coin", F.col("key").alias("other"), r6("value").alias("value"))
 
 
 @query("swing_rows", f"{b.DAILY}, {RET} SELECT asset, (row_number() {b.W} - 1)::INTEGER AS x, 0 AS y, round(100 * ret, 6) AS change, round(min(100 * ret) OVER (PARTITION BY asset), 6) AS low, round(max(100 * ret) OVER (PARTITION BY asset), 6) AS high FROM r WHERE ret IS NOT NULL")

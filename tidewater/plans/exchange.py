@@ -12,7 +12,7 @@ from tidewater.plans.indicators import ALL_INDICATORS
 from tidewater.plans.signals import SIGNAL
 from tidewater.session import own_folder
 from tidewater.sources import documents, sinks
-from tidewater.sources.series import daily, hourly, table
+from tidewater.sources.series import daily, hourly, table, ticks
 
 
 def written_charts(spark, d) -> str:
@@ -45,12 +45,15 @@ def chart_of_assets(spark, d):
     return documents.chart_series(documents.chart_documents(spark, written_charts(spark, d)), chosen)
 
 
-@query("charts_are_fresh", "SELECT 'after an hour' AS at, true AS fresh UNION ALL SELECT 'after a day', false")
+@query("charts_are_fresh", f"WITH {b.TICKS}, l AS (SELECT asset, epoch_us(max(ts)) // 1000 AS fetched_at FROM ticks GROUP BY asset), n AS (SELECT max(fetched_at) + 13800000 AS now FROM l) SELECT asset, fetched_at, now - fetched_at < 14400000 AS fresh FROM l, n")
 def charts_are_fresh(spark, d):
-    """Whether documents are young enough to skip another fetch."""
-    docs = documents.chart_documents(spark, written_charts(spark, d))
-    hour = 3_600_000
-    return spark.createDataFrame([(n, documents.is_fresh(docs, 1_700_000_000_000 + k * hour)) for n, k in (("after an hour", 1), ("after a day", 24))], "at string, fresh boolean")
+    """Whether each asset's document is young enough to skip another fetch, ten minutes before the newest one is four hours
+    old. A document is as old as its last event."""
+    path, x = own_folder(spark, "charts"), ticks(spark, d)
+    sinks.write_charts(x, path)
+    docs = documents.chart_documents(spark, path)
+    now = docs.agg((F.max("fetched_at") + 13_800_000).alias("now"))  # one row
+    return documents.freshness(docs, now)
 
 
 @query("split_metrics", f"{b.HOURLY} SELECT asset, 'prices' AS metric, count(*) AS n, round(sum(close), 4) AS total FROM bars GROUP BY asset UNION ALL SELECT asset, 'volumes', count(*), round(sum(volume), 4) FROM bars GROUP BY asset")
@@ -70,23 +73,24 @@ def flat_files(spark, d):
     return documents.flat_series(spark, f"{path}/*/*", r"asset=([^/]+)/")
 
 
-@query("ohlcv_files", f"{b.DAILY} SELECT bar AS day, open, high, low, close, volume FROM bars WHERE asset = 'view' AND bar >= TIMESTAMP '2024-01-10'")
+def written_ohlcv(spark, d) -> str:
+    """Daily prices as CSV, a folder for each asset."""
+    path = own_folder(spark, "ohlcv")
+    sinks.write_csv(daily(spark, d).select("asset", F.to_date("bar").alias("Date"), *(F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume"))), path, ("asset",))
+    return path
+
+
+@query("ohlcv_files", f"{b.DAILY} SELECT asset, bar AS day, open, high, low, close, volume FROM bars WHERE bar >= TIMESTAMP '2024-01-10'")
 def ohlcv_files(spark, d):
     """Daily prices as CSV, read from a date on."""
-    path = own_folder(spark, "ohlcv")
-    x = daily(spark, d).filter("asset = 'view'")
-    sinks.write_csv(x.select(F.to_date("bar").alias("Date"), *(F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume"))), path)
-    o = documents.ohlcv(spark, path, "2024-01-10")
-    return o.select(F.col("Date").cast("timestamp_ntz").alias("day"), *(F.col(c.title()).alias(c) for c in ("open", "high", "low", "close", "volume")))
+    o = documents.ohlcv(spark, written_ohlcv(spark, d), "2024-01-10")
+    return o.select("asset", F.col("Date").cast("timestamp_ntz").alias("day"), *(F.col(c.title()).alias(c) for c in ("open", "high", "low", "close", "volume")))
 
 
-@query("column_pairs", f"{b.DAILY} SELECT 'VIEW' AS symbol, count(*) AS n, round(sum(close), 4) AS total, epoch_ms(min(bar)) AS first_ms FROM bars WHERE asset = 'view'")
+@query("column_pairs", f"{b.DAILY} SELECT upper(asset) AS symbol, count(*) AS n, round(sum(close), 4) AS total, epoch_ms(min(bar)) AS first_ms FROM bars GROUP BY asset")
 def column_pairs(spark, d):
-    """One column of a CSV file as a series of [ms, value]."""
-    path = own_folder(spark, "pairs")
-    x = daily(spark, d).filter("asset = 'view'")
-    sinks.write_csv(x.select(F.to_date("bar").alias("Date"), *(F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume"))), path)
-    p = documents.column_pairs(documents.ohlcv(spark, path), "VIEW", "Close")
+    """One column of CSV files as series of [ms, value]."""
+    p = documents.column_pairs(documents.ohlcv(spark, written_ohlcv(spark, d)), F.upper("asset"), "Close")
     return p.select("symbol", F.size("close").cast("long").alias("n"), F.round(F.aggregate("close", F.lit(0.0), lambda s, v: s + v[1]), 4).alias("total"), F.get(F.get("close", F.lit(0)), F.lit(0)).cast("long").alias("first_ms"))
 
 
@@ -115,12 +119,12 @@ def markdown_table(spark, d):
     return spark.createDataFrame(list(enumerate(lines, 1)), "line long, text string")
 
 
-@query("indicator_document", f"{b.HOURLY}, {ALL_INDICATORS}, s AS (SELECT *, {SIGNAL}::INTEGER AS signal FROM ai) SELECT asset AS symbol, count(*) AS n, count(CASE WHEN signal = 1 THEN 1 END) AS buys, count(CASE WHEN signal = -1 THEN 1 END) AS sells, round(sum(rsi), 3) AS rsi, round(sum(macd), 3) AS macd, round(sum(tsi_signal), 3) AS tsi_signal, strftime(max(bar), '%Y-%m-%d %H:%M:%S') AS last FROM s GROUP BY asset")
+@query("indicator_document", f"{b.HOURLY}, {ALL_INDICATORS}, s AS (SELECT *, {SIGNAL}::INTEGER AS signal FROM ai) SELECT asset AS symbol, strftime(bar, '%Y-%m-%d') AS since, count(*) AS n, count(CASE WHEN signal = 1 THEN 1 END) AS buys, count(CASE WHEN signal = -1 THEN 1 END) AS sells, round(coalesce(sum(rsi), 0), 3) AS rsi, round(coalesce(sum(macd), 0), 3) AS macd, round(coalesce(sum(tsi_signal), 0), 3) AS tsi_signal, strftime(max(bar), '%Y-%m-%d %H:%M:%S') AS last FROM s GROUP BY ALL")
 def indicator_document(spark, d):
-    """The columnar document of each asset (every indicator as a list, and the signals), written with gzip and read."""
+    """The columnar document of each asset and day (every indicator as a list, and the signals), written with gzip and read."""
     path = own_folder(spark, "document")
     sinks.write_json(sinks.indicator_documents(ind.all_indicators(hourly(spark, d)).withColumn("signal", sig.signal(*sig.combined()))), path)
     x = spark.read.json(path)
     total = lambda c: F.round(F.aggregate(F.filter(c, lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v), 3).alias(c)
     size = lambda c: F.size(c).cast("long")
-    return x.select("symbol", size("timestamp").alias("n"), size("buy_signals").alias("buys"), size("sell_signals").alias("sells"), total("rsi"), total("macd"), total("tsi_signal"), F.element_at("timestamp", -1).alias("last"))
+    return x.select("symbol", "since", size("timestamp").alias("n"), size("buy_signals").alias("buys"), size("sell_signals").alias("sells"), total("rsi"), total("macd"), total("tsi_signal"), F.element_at("timestamp", -1).alias("last"))

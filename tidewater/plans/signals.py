@@ -8,6 +8,7 @@ from tidewater.functions.ordered import crossed_over, crossed_under, full, over_
 from tidewater.operators import indicators as ind
 from tidewater.operators import signals as sig
 from tidewater.operators.cross import correlation
+from tidewater.operators.pairs import best_pairs
 from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.plans.indicators import ALL_INDICATORS, MACD, MFI, ORDERS, RSI_SIMPLE, STOCH, UO, WILLR
@@ -122,7 +123,8 @@ def profit_pairs(spark, d):
 
 @query("top_trades", f"{b.DAILY}, {PAIRS} SELECT asset, buy, sell, round(profit, 6) AS profit FROM pairs ORDER BY round(profit, 6) DESC, asset, buy, sell LIMIT 5000")
 def top_trades(spark, d):
-    return pairs(spark, d).select("asset", "buy", "sell", F.round("profit", 6).alias("profit")).orderBy(F.desc("profit"), "asset", "buy", "sell").limit(5000)
+    """The 5000 most profitable pairs; only chunks that can hold one of them meet."""
+    return best_pairs(daily(spark, d), 5000).withColumn("profit", F.round("profit", 6)).orderBy(F.desc("profit"), "asset", "buy", "sell").limit(5000)
 
 
 @query("best_pair", f"{b.DAILY}, {PAIRS} SELECT asset, round(max(profit), 6) AS profit FROM pairs GROUP BY asset")

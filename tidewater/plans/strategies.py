@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.ordered import crossed_over, crossed_under, over_chunks
 from tidewater.operators import indicators as ind
 from tidewater.operators import signals as sig
+from tidewater.operators.pairs import pair_sums
 from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.plans.indicators import ALL_INDICATORS, MACD, MFI, TR, WILLR
@@ -80,13 +81,21 @@ def strategy_macd_mfi(spark, d):
 
 
 SINCE = "2024-01-10"
-MFI_SIGNALS = f"{MFI}, ms AS (SELECT asset, bar, open, close, mfi, lag(mfi) {b.W} AS lm FROM mf), sx AS (SELECT asset, bar, open, close, CASE WHEN mfi < 80 AND lm >= 80 THEN -1 ELSE 1 END::INTEGER AS signal FROM ms WHERE ((mfi > 20 AND lm <= 20) OR (mfi < 80 AND lm >= 80)) AND bar >= TIMESTAMP '{SINCE}')"
-LONG = f"{MFI_SIGNALS}, lr AS (SELECT *, lag(signal) {b.W} AS p FROM sx), lo AS (SELECT asset, bar, open, close, signal FROM lr WHERE p IS DISTINCT FROM signal AND bar >= (SELECT min(bar) FROM sx f WHERE f.asset = lr.asset AND f.signal = 1))"
 
 
-def flow_signals(spark, d):
+def _flow(since: str | None) -> str:
+    return f"{MFI}, ms AS (SELECT asset, bar, open, close, mfi, lag(mfi) {b.W} AS lm FROM mf), sx AS (SELECT asset, bar, open, close, CASE WHEN mfi < 80 AND lm >= 80 THEN -1 ELSE 1 END::INTEGER AS signal FROM ms WHERE ((mfi > 20 AND lm <= 20) OR (mfi < 80 AND lm >= 80)){f" AND bar >= TIMESTAMP '{since}'" if since else ''})"
+
+
+MFI_SIGNALS = _flow(SINCE)
+_LONG = "lr AS (SELECT *, lag(signal) OVER (PARTITION BY asset ORDER BY bar) AS p FROM sx), lo AS (SELECT asset, bar, open, close, signal FROM lr WHERE p IS DISTINCT FROM signal AND bar >= (SELECT min(bar) FROM sx f WHERE f.asset = lr.asset AND f.signal = 1))"
+LONG, LONG_ALL = f"{MFI_SIGNALS}, {_LONG}", f"{_flow(None)}, {_LONG}"
+
+
+def flow_signals(spark, d, since: str | None = SINCE):
     x = over_chunks(hourly(spark, d), 16, *ind.mfi(), lambda w: {"up": crossing("mfi", 20.0, True)(w), "down": crossing("mfi", 80.0, False)(w)})
-    return x.withColumn("signal", sig.signal(F.col("up"), F.col("down"))).filter((F.col("signal") != 0) & (F.col("bar") >= F.lit(SINCE).cast("timestamp_ntz")))
+    x = x.withColumn("signal", sig.signal(F.col("up"), F.col("down"))).filter(F.col("signal") != 0)
+    return x.filter(F.col("bar") >= F.lit(since).cast("timestamp_ntz")) if since else x
 
 
 @query("strategy_long_only", f"{b.HOURLY}, {LONG} SELECT asset, bar, close, signal FROM lo")
@@ -101,15 +110,15 @@ def strategy_one_day(spark, d):
     return flow_signals(spark, d).filter(F.to_date("bar") == F.lit("2024-01-15").cast("date")).select("asset", "bar", "close", "signal")
 
 
-@query("buys_and_sells", f"{b.HOURLY}, {LONG} SELECT asset, bar, 'buy' AS side, open AS price FROM lo WHERE signal = 1 UNION ALL SELECT asset, bar, 'sell', close FROM lo WHERE signal = -1")
+@query("buys_and_sells", f"{b.HOURLY}, {LONG_ALL} SELECT asset, bar, 'buy' AS side, open AS price FROM lo WHERE signal = 1 UNION ALL SELECT asset, bar, 'sell', close FROM lo WHERE signal = -1")
 def buys_and_sells(spark, d):
     """Buys at the open and sells at the close, in one list."""
-    x = sig.long_only(flow_signals(spark, d))
+    x = sig.long_only(flow_signals(spark, d, None))
     side = lambda s, name, c: x.filter(F.col("signal") == s).select("asset", "bar", F.lit(name).alias("side"), F.col(c).alias("price"))
     return side(1, "buy", "open").unionByName(side(-1, "sell", "close")).orderBy("asset", "bar")
 
 
-@query("trades_with_costs", f"""{b.HOURLY.replace("WITH", "WITH RECURSIVE", 1)}, {LONG}, tb AS (SELECT asset, open AS bought, row_number() {b.W} AS k FROM lo WHERE signal = 1), tsl AS (SELECT asset, close AS sold, row_number() {b.W} AS k FROM lo WHERE signal = -1), tp AS (SELECT * FROM tb JOIN tsl USING (asset, k)),
+@query("trades_with_costs", f"""{b.HOURLY.replace("WITH", "WITH RECURSIVE", 1)}, {LONG_ALL}, tb AS (SELECT asset, open AS bought, row_number() {b.W} AS k FROM lo WHERE signal = 1), tsl AS (SELECT asset, close AS sold, row_number() {b.W} AS k FROM lo WHERE signal = -1), tp AS (SELECT * FROM tb JOIN tsl USING (asset, k)),
 fo AS (SELECT DISTINCT asset, 0::BIGINT AS k, 10000.0::DOUBLE AS c FROM tp UNION ALL SELECT tp.asset, tp.k, c / bought * sold - 0.001 * (bought + sold) FROM fo JOIN tp ON tp.asset = fo.asset AND tp.k = fo.k + 1)
 SELECT asset, max(k) AS trades, round(last(c ORDER BY k), 2) AS final_capital, round(last(c ORDER BY k) - 10000, 2) AS profit FROM fo GROUP BY asset""")
 def trades_with_costs(spark, d):
@@ -132,7 +141,7 @@ def _orders(unit: str) -> str:
 @query("monthly_trades", f"{_orders('week')}, g AS (SELECT asset, date_trunc('month', buy)::TIMESTAMP AS month, sum(profit) AS profit, avg(profit) AS mp, avg(days) AS md, count(*) AS n FROM pairs GROUP BY ALL), e AS (SELECT asset, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM g GROUP BY asset) SELECT asset, month, coalesce(profit, 0)::BIGINT AS profit, mp AS mean_profit, md AS mean_days, coalesce(n, 0) AS trades FROM e LEFT JOIN g USING (asset, month)")
 def monthly_trades(spark, d):
     """Profits in cents: sums are whole numbers, and means divide once, so that nothing is rounded."""
-    return sig.monthly_trades(sig.pair_profits(order_periods(spark, d, "week")))
+    return sig.monthly_trades(pair_sums(order_periods(spark, d, "week")))
 
 
 @query("buy_sell_matrix", f"{_orders('month')}, dates AS (SELECT DISTINCT buy FROM pairs), sells AS (SELECT DISTINCT sell FROM pairs) SELECT buy, sell, coalesce(avg(profit), 0) AS profit FROM dates CROSS JOIN sells LEFT JOIN pairs USING (buy, sell) GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAIRS = "array<array<double>>"
@@ -45,10 +45,10 @@ def ohlcv(spark: SparkSession, path: str | list[str], since: str | None = None,
     return df.filter(F.col("Date") >= F.lit(since).cast("date")) if since else df
 
 
-def column_pairs(df: DataFrame, symbol: str, category: str) -> DataFrame:
-    """symbol and its series [[ms, value], ...] of one OHLCV column, in order."""
+def column_pairs(df: DataFrame, symbol: Column, category: str) -> DataFrame:
+    """Each symbol and its series [[ms, value], ...] of one OHLCV column, in order."""
     point = F.struct(F.unix_millis(F.col("Date").cast("timestamp")).cast("double").alias("t"), F.col(category).alias("v"))
-    return df.groupBy(F.lit(symbol).alias("symbol")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.array(p["t"], p["v"])).alias(category.lower()))
+    return df.groupBy(symbol.alias("symbol")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.array(p["t"], p["v"])).alias(category.lower()))
 
 
 def holder_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +58,9 @@ def holder_ledger(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("holder", F.to_timestamp_ntz("time").alias("ts"), F.regexp_replace("amount", ",", "").cast("double").alias("amount"))
 
 
-def is_fresh(documents: DataFrame, now_ms: int, hours: float = 4) -> bool:
-    """Whether the newest document was fetched within some hours, so that another fetch can be skipped."""
-    newest = documents.agg(F.max("fetched_at")).first()[0]
-    return newest is not None and now_ms - newest < hours * 3_600_000
+def freshness(documents: DataFrame, now: DataFrame, hours: float = 4) -> DataFrame:
+    """asset, fetched_at, fresh, with the time in ms as now's one row (now): whether each asset's newest document was fetched within some hours, so that another fetch can
+    be skipped."""
+    newest = documents.select("fetched_at", F.explode(F.map_keys("data")).alias("asset")).groupBy("asset").agg(F.max("fetched_at").alias("fetched_at"))
+    x = newest.crossJoin(F.broadcast(now.select("now")))
+    return x.select("asset", "fetched_at", (F.col("now") - F.col("fetched_at") < int(hours * 3_600_000)).alias("fresh"))

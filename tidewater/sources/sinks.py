@@ -23,10 +23,12 @@ def points(ts: str, value: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(p)), lambda x: F.array(x["t"], x["v"]))
 
 
-def write_charts(series: DataFrame, path: str, fetched_at: int) -> None:
-    """Market charts of series(asset, ts, price, volume): a document for each asset, compressed by gzip."""
-    one = series.groupBy("asset").agg(F.struct(points("ts", "price").alias("prices"), points("ts", "volume").alias("total_volumes")).alias("s"))
-    doc = one.select(F.lit(fetched_at).alias("fetched_at"), F.array("asset").alias("coin_ids"), F.create_map("asset", "s").alias("data"), "asset")
+def write_charts(series: DataFrame, path: str, fetched_at: int | None = None) -> None:
+    """Market charts of series(asset, ts, price, volume): a document for each asset, compressed by gzip. fetched_at: in ms;
+    None: the time of the asset's last point."""
+    at = F.max(F.unix_millis(F.col("ts").cast("timestamp"))) if fetched_at is None else F.max(F.lit(fetched_at))
+    one = series.groupBy("asset").agg(at.alias("at"), F.struct(points("ts", "price").alias("prices"), points("ts", "volume").alias("total_volumes")).alias("s"))
+    doc = one.select(F.col("at").alias("fetched_at"), F.array("asset").alias("coin_ids"), F.create_map("asset", "s").alias("data"), "asset")
     doc.repartition("asset").drop("asset").write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 1).json(path)
 
 
@@ -58,7 +60,7 @@ def compared_codecs(df: DataFrame, path: str, codecs: tuple[str, ...] = CODECS)
     """codec, n, bytes: df written as JSON with each codec, its rows when read again, and the size of its files."""
     out = None
     for c in codecs:
-        write_json(df.coalesce(1), f"{path}/{c}", c)
+        write_json(df, f"{path}/{c}", c)
         n = df.sparkSession.read.schema(df.schema).json(f"{path}/{c}").agg(F.count("*").alias("n"))
         size = df.sparkSession.read.format("binaryFile").load(f"{path}/{c}/part-*").agg(F.sum("length").alias("bytes"))
         one = n.join(F.broadcast(size)).select(F.lit(c).alias("codec"), "n", "bytes")  # one row each
@@ -66,21 +68,22 @@ def compared_codecs(df: DataFrame, path: str, codecs: tuple[str, ...] = CODECS)
     return out
 
 
-def indicator_documents(df: DataFrame) -> DataFrame:
-    """One row an asset: symbol, timestamp, price and every indicator as lists in order, and the times and prices of buy
+def indicator_documents(df: DataFrame, every: str = "day") -> DataFrame:
+    """One row for each asset and day (or month), so that rows are bounded: symbol, since, timestamp, price and every indicator as lists in order, and the times and prices of buy
     and sell signals. df: asset, bar, signal and indicators."""
     names = [c for c in df.columns if c not in ("asset", "bar", "signal", "open", "high", "low", "close", "volume")]
     row = F.struct("bar", F.col("close").alias("price"), "signal", *names)
-    x = df.groupBy(F.col("asset").alias("symbol")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    x = df.groupBy(F.col("asset").alias("symbol"), F.date_format(F.date_trunc(every, "bar"), "yyyy-MM-dd").alias("since")).agg(F.array_sort(F.collect_list(row)).alias("r"))
     at = lambda a: F.transform(a, lambda s: F.date_format(s["bar"], "yyyy-MM-dd HH:mm:ss"))
     of = lambda k: F.filter("r", lambda s: s["signal"] == k)
     lists = [F.col(f"r.{n}").alias(n) for n in ("price", *names)]
     sides = [c for k, side in ((1, "buy"), (-1, "sell")) for c in (at(of(k)).alias(f"{side}_signals"), F.transform(of(k), lambda s: s["price"]).alias(f"{side}_prices"))]
-    return x.select("symbol", at(F.col("r")).alias("timestamp"), *lists, *sides)
+    return x.select("symbol", "since", at(F.col("r")).alias("timestamp"), *lists, *sides)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, keys: tuple[str, ...] = ()) -> None:
+    """CSV with a header, in a folder for each value of the keys."""
+    df.write.mode("overwrite").partitionBy(*keys).option("header", True).csv(path)
 
 
 def markdown_ranks(df: DataFrame, value: str, name: str = "asset", limit: int = 1000) -> str:
