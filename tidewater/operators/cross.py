@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, running
+from tidewater.functions.selection import percentiles
 
 
 def correlation(a: str, b: str, w: WindowSpec | None = None) -> Column:
@@ -55,7 +56,8 @@ def document_series(documents: DataFrame, field: str) -> DataFrame:
 def halves(df: DataFrame, x: str, tie: str) -> DataFrame:
     """df with half: 1 for the larger half of the rows by x (the odd one counts to it), 2 for the rest; equal values go by
     tie. The cut is one percentile and one count, so that no task sorts all rows; only those equal to it are ranked."""
-    cut = df.agg(F.count("*").alias("_n"), F.percentile(x, F.lit(0.5)).alias("_p"))  # one row
+    middle = percentiles(df, [], x, [0.5], "_p").select(F.get("_p", F.lit(0)).alias("_p"))
+    cut = df.agg(F.count("*").alias("_n")).crossJoin(F.broadcast(middle))  # one row
     at = df.join(F.broadcast(cut)).filter(F.col(x) <= F.col("_p")).agg(F.max(x).alias("_cut"), F.first("_n").alias("_n"))
     y = df.join(F.broadcast(at))
     above = y.agg(F.count(F.when(F.col(x) > F.col("_cut"), 1)).alias("_above"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks
+from tidewater.functions.selection import percentiles
 
 
 def transitions(df: DataFrame, state: str) -> DataFrame:
@@ -24,7 +25,7 @@ def transitions(df: DataFrame, state: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, k: int, x: str = "close") -> DataFrame:
     """df with state, 0 to k - 1: bins of equal shares by exact percentiles of each asset."""
-    cuts = df.groupBy(F.col("asset").alias("_a")).agg(F.percentile(x, F.array(*(F.lit(j / k) for j in range(1, k)))).alias("cuts"))
+    cuts = percentiles(df, ["asset"], x, [j / k for j in range(1, k)], "cuts").withColumnRenamed("asset", "_a")
     return df.join(cuts, F.col("asset") == F.col("_a")).withColumn("state", F.size(F.filter("cuts", lambda c: c < F.col(x)))).drop("_a", "cuts")
 
 

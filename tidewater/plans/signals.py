@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import crossed_over, crossed_under, full, over_chunks
+from tidewater.functions.selection import percentiles
 from tidewater.operators import indicators as ind
 from tidewater.operators import signals as sig
 from tidewater.operators.cross import correlation
@@ -148,8 +149,10 @@ def trades_heat(spark, d):
 @query("describe_trades", f"{b.DAILY}, {PAIRS} SELECT asset, count(*) AS n, round(avg(profit), 4) AS mean, round(stddev_samp(profit), 4) AS std, round(min(profit), 4) AS min, round(quantile_cont(profit, 0.25), 4) AS q1, round(quantile_cont(profit, 0.5), 4) AS median, round(quantile_cont(profit, 0.75), 4) AS q3, round(max(profit), 4) AS max FROM pairs GROUP BY asset")
 def describe_trades(spark, d):
     r = lambda c, n: F.round(c, 4).alias(n)
-    q = lambda p: F.percentile("profit", F.lit(p))
-    return pairs(spark, d).groupBy("asset").agg(F.count("*").alias("n"), r(F.avg("profit"), "mean"), r(F.stddev_samp("profit"), "std"), r(F.min("profit"), "min"), r(q(0.25), "q1"), r(q(0.5), "median"), r(q(0.75), "q3"), r(F.max("profit"), "max"))
+    x = pairs(spark, d)
+    q = percentiles(x, ["asset"], "profit", [0.25, 0.5, 0.75])
+    g = x.groupBy("asset").agg(F.count("*").alias("n"), r(F.avg("profit"), "mean"), r(F.stddev_samp("profit"), "std"), r(F.min("profit"), "min"), r(F.max("profit"), "max"))
+    return g.join(q, "asset").select("asset", "n", "mean", "std", "min", *(r(F.get("percentiles", F.lit(k)), c) for k, c in enumerate(("q1", "median", "q3"))), "max")
 
 
 @query("pair_corr", f"{b.DAILY}, {PAIRS} SELECT asset, round(CASE WHEN stddev_pop(profit) * stddev_pop(days) > 0 THEN corr(profit, days) END, 6) AS corr FROM pairs GROUP BY asset")
