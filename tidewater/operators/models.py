@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, placed
+from tidewater.functions.scan import ema, recurrences, weighted
 from tidewater.operators.calendar import last_rows
 from tidewater.operators.indicators import full_features
 from tidewater.session import stored
@@ -160,21 +160,112 @@ def forest_search(df: DataFrame, trees: tuple[int, ...] = (5, 10), depths: tuple
     return df.sparkSession.createDataFrame(rows, "trees int, depth int, mse double, rank int")
 
 
-def recursive_forecast(df: DataFrame, steps: int, trees: int = 10, depth: int = 5, seed: int = 1, history: int = 120) -> DataFrame:
-    """asset, step, bar, close: the next bars of each series, an hour apart, each forecast from the ones before it. The
-    forest is fitted once; a step needs the last history bars of each series only."""
-    x, _ = next_close(df)
-    model = forest(x.dropna(subset=["_next"]), trees, depth, seed)
-    spark, schema = df.sparkSession, df.schema
-    now = stored(last_rows(df, history), "history")
-    out = []
-    for step in range(1, steps + 1):
-        last = model.transform(next_close(now)[0].filter("_next is null")).select("asset", "bar", F.col("predicted").alias("close"), "volume").collect()  # one row an asset
-        new = [(r.asset, r.bar + dt.timedelta(hours=1), r.close, r.close, r.close, r.close, r.volume) for r in last]
-        out += [(r[0], step, r[1], r[5]) for r in new]
-        rows = spark.createDataFrame(new, "asset string, bar timestamp_ntz, open double, high double, low double, close double, volume double")
-        now = stored(now.unionByName(rows.select(*(F.col(f.name).cast(f.dataType) for f in schema))), "history")
-    return spark.createDataFrame(out, "asset string, step int, bar timestamp_ntz, close double")
+#: Bars that the windows of a feature table reach back, at most.
+REACH = 40
+#: The feature table's exponential means: span, and whether their weights are divided by their sum.
+EXPONENTIAL = {"ema_5": (5, False), "ema_10": (10, False), "_fast": (12, True), "_slow": (26, True)}
+
+
+class Ahead:
+    """The end of a series that grows bar by bar: the bars that windows need, and the numbers of the recurrences over all
+    bars so far. features() are those that full_features() has for the whole series' last bar."""
+
+    def __init__(self, bars: pd.DataFrame, n: int, means: dict[str, float]):
+        self.bars, self.n, self.kept = bars[["bar", "open", "high", "low", "close", "volume"]].to_dict("list"), n, dict(means)
+
+    def add(self, bar, close: float, volume: float) -> None:
+        """A bar with one price."""
+        for c, v in {"bar": bar, "open": close, "high": close, "low": close, "close": close, "volume": volume}.items():
+            self.bars[c] = [*self.bars[c], v][-REACH:]
+        self.n += 1
+        for name, (span, divided) in EXPONENTIAL.items():
+            a = 2 / (span + 1)
+            if divided:  # the mean of k values is their weighted sum over (1 - keep ** k) / a
+                keep = 1 - a
+                total = self.kept[name] * (1 - keep ** (self.n - 1)) / a * keep + close
+                self.kept[name] = total * a / (1 - keep**self.n)
+            else:
+                self.kept[name] += a * (close - self.kept[name])
+
+    def features(self) -> dict[str, float]:
+        c, h, lo, v = (np.array(self.bars[k], float) for k in ("close", "high", "low", "volume"))
+        ret, d = c[1:] / c[:-1] - 1, np.diff(c)
+        k = lambda j: 100 * (c[len(c) - 1 - j] - lo[len(c) - 14 - j : len(c) - j].min()) / np.ptp(np.concatenate([lo[len(c) - 14 - j : len(c) - j], h[len(c) - 14 - j : len(c) - j]]))
+        gain, loss = np.maximum(d, 0)[-14:].mean(), np.maximum(-d, 0)[-14:].mean()
+        mid, dev = c[-20:].mean(), c[-20:].std(ddof=1)
+        at = pd.Timestamp(self.bars["bar"][-1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = {
+                "ret": ret[-1], "sma_5": c[-5:].mean(), "sma_10": c[-10:].mean(), "momentum": c[-1] - c[-11], "volume_change": v[-1] / v[-2] - 1, "volume_sma_5": v[-5:].mean(), "volume_sma_10": v[-10:].mean(),
+                "hour": at.hour, "weekday": at.weekday(), "volatility": ret[-5:].std(ddof=1), "atr_simple": np.abs(d)[-14:].mean(), "bb_mid": mid, "bb_low": mid - 2 * dev, "bb_high": mid + 2 * dev,
+                "stoch_k": k(0), "stoch_d": (k(0) + k(1) + k(2)) / 3, "rsi": 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss), "ema_5": self.kept["ema_5"], "ema_10": self.kept["ema_10"], "macd_line": self.kept["_fast"] - self.kept["_slow"],
+            }
+        return out | {f"lag_{j}": c[-1 - j] for j in range(1, 11)}
+
+
+def series_ends(df: DataFrame) -> DataFrame:
+    """asset, n (bars), means (EXPONENTIAL after the last bar), bars (the last REACH of each series, in order)."""
+    means = {name: weighted("close", s) if divided else ema("close", s) for name, (s, divided) in EXPONENTIAL.items()}
+    x = recurrences(df.select("asset", "bar", "close"), means)
+    ends = x.groupBy(F.col("asset").alias("_a")).agg(F.count("*").alias("n"), F.max_by(F.struct(*EXPONENTIAL), "bar").alias("means"))
+    last = last_rows(df, REACH).groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("bar", "open", "high", "low", "close", "volume"))).alias("bars"))
+    return last.join(ends, F.col("asset") == F.col("_a")).select("asset", "n", "means", "bars")
+
+
+def exported(model) -> list[list[tuple]]:
+    """A forest as plain lists, a node each: feature, threshold, place of the children; or None and the value."""
+
+    def walk(node, out: list) -> int:
+        at = len(out)
+        out.append(None)
+        if node.subtreeDepth() == 0:
+            out[at] = (None, float(node.prediction()), 0, 0)
+        else:
+            split = node.split()
+            out[at] = (split.featureIndex(), float(split.threshold()), walk(node.leftChild(), out), walk(node.rightChild(), out))
+        return at
+
+    trees = []
+    for t in model.trees:
+        trees.append([])
+        walk(t._java_obj.rootNode(), trees[-1])
+    return trees
+
+
+def predicted(trees: list[list[tuple]], x: list[float]) -> float:
+    """The mean of the trees' values for one row of features."""
+    total = 0.0
+    for t in trees:
+        f, v, left, right = t[0]
+        while f is not None:
+            f, v, left, right = t[left if x[f] <= v else right]
+        total += v
+    return total / len(trees)
+
+
+def recursive_forecast(df: DataFrame, steps: int, trees: int = 10, depth: int = 5, seed: int = 1, model=None) -> DataFrame:
+    """asset, step, bar, close: the next bars of each series, an hour apart, each forecast from the ones before it. The forest is
+    fitted once, unless a model of next_close()'s features is given. A series goes on from its last bars and the numbers of its recurrences, so that each step's features are
+    those of the whole series with the forecasts behind it; all steps of a series are one task's, and no step is a job."""
+    x, names = next_close(df)
+    grown = exported(model or forest(x.dropna(subset=["_next"]), trees, depth, seed))
+
+    def run(batches):
+        for p in batches:
+            out = []
+            for r in p.itertuples(index=False):
+                bars = pd.DataFrame([dict(b) if isinstance(b, dict) else b.asDict() for b in r.bars])
+                ahead = Ahead(bars, r.n, dict(r.means) if isinstance(r.means, dict) else r.means.asDict())
+                at, volume = pd.Timestamp(bars["bar"].iloc[-1]), float(bars["volume"].iloc[-1])
+                for step in range(1, steps + 1):
+                    f = ahead.features()
+                    close = predicted(grown, [float(f[n]) for n in names])
+                    at += pd.Timedelta(hours=1)
+                    out.append((r.asset, step, at, close))
+                    ahead.add(at, close, volume)
+            yield pd.DataFrame(out, columns=["asset", "step", "bar", "close"])
+
+    return series_ends(df).filter(f"n >= {REACH}").mapInPandas(run, "asset string, step int, bar timestamp_ntz, close double")
 
 
 def loess(y: np.ndarray, width: int, trust: np.ndarray | None = None) -> np.ndarray:

@@ -234,5 +234,5 @@ def forest_search(spark, d):
 
 @query("forest_recursive")
 def forest_recursive(spark, d):
-    """Two bars ahead, the second from the forecast of the first."""
-    return models.recursive_forecast(hourly(spark, d), 2, 5, 4)
+    """A day of bars ahead, each from the forecasts before it."""
+    return models.recursive_forecast(hourly(spark, d), 24, 10, 5)
