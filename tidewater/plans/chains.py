@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, simple_return
-from tidewater.operators import cross, markov, models, spectral, volatility
+from tidewater.operators import cross, markov, models, posterior, spectral, volatility
 from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.sources.series import daily, hourly, ticks
@@ -139,6 +139,12 @@ def prophet_like(spark, d):
     return models.additive_forecast(daily(spark, d), grid, 7)
 
 
+@query("posterior_bands")
+def posterior_bands(spark, d):
+    """The next week of each asset from posterior samples, with the agreement of the chains."""
+    return posterior.posterior_forecast(daily(spark, d))
+
+
 # ---- streams, run over what is there and compared with the batch result
 
 
