@@ -4,25 +4,17 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import placed
+from tidewater.functions.transform import transformed
 
 
 def spectrum(df: DataFrame, x: str = "close") -> DataFrame:
-    """asset, k, frequency, magnitude, phase of the first n // 2 frequencies of each series, by a fast Fourier transform
-    of each series of bars (n log n steps)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("bar", kind="stable")[x].to_numpy(float)
-        z = np.fft.fft(y)[: len(y) // 2]
-        k = np.arange(len(z))
-        return pd.DataFrame({"asset": pdf["asset"].iloc[0], "k": k, "frequency": k / len(y), "magnitude": np.abs(z), "phase": np.angle(z)})
-
-    return df.select("asset", "bar", x).groupBy("asset").applyInPandas(run, "asset string, k int, frequency double, magnitude double, phase double")
+    """asset, k, frequency, magnitude, phase of the first n // 2 frequencies of each series, by a transform in steps."""
+    z = transformed(df, x).filter("k < n div 2")
+    return z.select("asset", F.col("k").cast("int").alias("k"), (F.col("k") / F.col("n")).alias("frequency"), F.hypot("re", "im").alias("magnitude"), F.atan2("im", "re").alias("phase"))
 
 
 def top_cycles(spec: DataFrame, n: int = 5) -> DataFrame:
@@ -31,6 +23,17 @@ def top_cycles(spec: DataFrame, n: int = 5) -> DataFrame:
     return spec.filter("k > 0").withColumn("rank", rank).filter(F.col("rank") <= n).select("asset", "rank", "k", (1 / F.col("frequency")).alias("period"), "magnitude")
 
 
+def cycle_dates(spec: DataFrame, n: int = 5) -> DataFrame:
+    """asset, rank, k, period, turn, at: when each of the n strongest cycles begins within its series, in bars from the first:
+    at its phase as time, and every period from there on. Each cycle counts once among the n."""
+    turns = spec.groupBy(F.col("asset").alias("_a")).agg(F.max(F.col("k") / F.nullif(F.col("frequency"), F.lit(0.0))).alias("_n"))
+    x = top_cycles(spec, n).join(spec.select(F.col("asset").alias("_s"), F.col("k").alias("_k"), "phase"), (F.col("asset") == F.col("_s")) & (F.col("k") == F.col("_k"))).join(turns, F.col("asset") == F.col("_a"))
+    first = F.pmod(F.col("phase") / (2 * F.lit(math.pi)) * F.col("period"), F.col("period"))
+    last = F.floor((F.round("_n") - 1 - F.col("_first")) / F.col("period"))
+    x = x.withColumn("_first", first).withColumn("turn", F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))))
+    return x.select("asset", "rank", "k", "period", "turn", (F.col("_first") + F.col("turn") * F.col("period")).alias("at"))
+
+
 def schedule(spec: DataFrame) -> DataFrame:
     """asset, k, turn, at: when each cycle stronger than the mean of all has gone round once, twice, up to k times."""
     x = spec.filter("k > 0")

@@ -215,6 +215,12 @@ def cycle_schedule(spark, d):
     return spectral.schedule(spectral.spectrum(daily(spark, d))).select("asset", "k", "turn", r6("at").alias("at"))
 
 
+@query("cycle_dates", f"{b.DAILY}, t AS (SELECT asset, row_number() {b.W} - 1 AS i, close, count(*) OVER (PARTITION BY asset) AS n FROM bars), f AS (SELECT asset, k, any_value(n) AS n, sum(close * cos(-2 * pi() * ((k * i) % n) / n)) AS re, sum(close * sin(-2 * pi() * ((k * i) % n) / n)) AS im FROM t, LATERAL (SELECT unnest(generate_series(1, n // 2 - 1)) AS k) GROUP BY ALL), c AS (SELECT asset, k, n, n / k AS period, atan2(im, re) / (2 * pi()) * n / k AS p0, row_number() OVER (PARTITION BY asset ORDER BY round(sqrt(re * re + im * im), 6) DESC, k) AS rank FROM f), z AS (SELECT *, p0 - floor(p0 / period) * period AS first FROM c WHERE rank <= 5) SELECT asset, rank::INTEGER AS rank, k::INTEGER AS k, turn, round(first + turn * period, 4) AS at FROM (SELECT *, unnest(generate_series(0, floor((n - 1 - first) / period)::BIGINT)) AS turn FROM z)")
+def cycle_dates(spark, d):
+    """When the five strongest cycles of each asset begin, by their phases."""
+    return spectral.cycle_dates(spectral.spectrum(daily(spark, d))).select("asset", "rank", "k", "turn", F.round("at", 4).alias("at"))
+
+
 ABSORBING_STEPS = f"WITH RECURSIVE {b.TICKS}, {b._bars('hour')}, {CUTS}, {MOVES}, it AS (SELECT DISTINCT asset, from_state AS state, 0 AS k, 1.0::DOUBLE AS steps FROM mp UNION ALL SELECT asset, state, k, steps FROM (SELECT mp.asset, mp.from_state AS state, it.k + 1 AS k, CASE WHEN mp.from_state = 4 THEN 1.0 ELSE 1.0 + sum(CASE WHEN mp.to_state = 4 THEN 0.0 ELSE mp.p * it.steps END) END AS steps FROM mp JOIN it ON it.asset = mp.asset AND it.state = mp.to_state WHERE it.k < 600 GROUP BY mp.asset, mp.from_state, it.k)) SELECT asset, state::INTEGER AS state, round(steps, 4) AS steps FROM it WHERE k = 600"
 
 
