@@ -21,8 +21,9 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode())
 
 
-def of(doc: int | None) -> int:
-    return LAST if doc is None else doc
+def of(doc: int | None, text: str | None) -> tuple:
+    """Where a document stands: those without an id behind all others, by a hash of their text."""
+    return (1, xxhash.xxh64_intdigest((text or "").encode(), seed=42) & LAST) if doc is None else (0, doc)
 
 
 def runs(marks: list[bool]) -> int:
@@ -35,32 +36,32 @@ def op1(rows: list[tuple], width: int = 100) -> list[tuple]:
     for d, t in rows:
         b = (t or "").encode()
         for p in range(len(b) - width + 1):
-            k, at = b[p : p + width], (of(d), p)
+            k, at = b[p : p + width], (of(d, t), p)
             first[k] = min(first.get(k, at), at)
     out = []
     for d, t in rows:
         b = (t or "").encode()
         gone = [False] * len(b)
         for p in range(len(b) - width + 1):
-            if (of(d), p) > first[b[p : p + width]]:
+            if (of(d, t), p) > first[b[p : p + width]]:
                 gone[p : p + width] = [True] * width
         out.append((d, len(b), sum(gone), runs(gone), sha(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
     return out
 
 
 def op2_gone(rows: list[tuple], width: int = 13) -> list[list[bool]]:
-    first: dict[tuple, int] = {}
+    first: dict[tuple, tuple] = {}
     for d, t in rows:
         w = words(t)
         for p in range(len(w) - width + 1):
             k = tuple(w[p : p + width])
-            first[k] = min(first.get(k, of(d)), of(d))
+            first[k] = min(first.get(k, of(d, t)), of(d, t))
     out = []
     for d, t in rows:
         w = words(t)
         gone = [False] * len(w)
         for p in range(len(w) - width + 1):
-            if of(d) > first[tuple(w[p : p + width])]:
+            if of(d, t) > first[tuple(w[p : p + width])]:
                 gone[p : p + width] = [True] * width
         out.append(gone)
     return out

@@ -53,6 +53,30 @@ def test_repeated_rows_and_null_ids(frame):
     assert simhash_dedup(frame(rows)).groupBy("doc_id").count().filter("count > 1").count() == 0
 
 
+def passages(ids: list) -> list[tuple]:
+    """One text for each id; all share a passage of 60 words, behind words of their own."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    shared = " ".join(word() for _ in range(60))
+    return [(d, " ".join([*(word() for _ in range(20)), shared, *(word() for _ in range(5 + k))])) for k, d in enumerate(ids)]
+
+
+@pytest.mark.parametrize("ids", [[2**63 - 1, None, None], [None, None, None], [-(2**63), 5, 2**63 - 1, 2**63 - 2]])
+def test_ends_of_the_ids_and_none(frame, ids):
+    """A passage stays once, in the first document; rows without an id come last and are documents each."""
+    rows = passages(ids)
+    for found, names, plain in ((suffix_dedup(frame(rows)), OP1, brute.op1(rows)), (substring_dedup(frame(rows)), OP2, brute.op2(rows))):
+        found = taken(found, *names)
+        assert found == sorted(plain, key=repr)
+        assert sum(r[2] == 0 for r in found) == 1
+        assert sorted((r[0] for r in found), key=repr) == sorted(ids, key=repr)
+
+
+def test_substring_filter_without_ids(frame):
+    kept = [r.text.split() for r in substring_filter(frame(passages([None, None, 7, None]))).collect()]
+    assert sorted(map(len, kept)) == [20 + 5, 20 + 6, 20 + 8, 20 + 60 + 7]
+
+
 def test_one_passage_in_very_many_contexts(frame):
     """A class of more segments than one index takes."""
     rng = random.Random(1)

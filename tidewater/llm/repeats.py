@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import discard, materialize
@@ -23,6 +23,8 @@ from tidewater.llm.common import discard, materialize
 RUN = 80
 #: Classes of more distinct segments than this are compared window by window instead of in one index.
 HOT = 4096
+#: The largest and the least number of 64 bits.
+LAST, FIRST = 2**63 - 1, -(2**63)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SEGMENT_SQL = "mini long, content long, doc long, tid long, pos int, n int, rep boolean, anchor int, gone boolean"
@@ -110,8 +112,19 @@ def segments(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> t
     return text[start], start - begin[text[start]], n, least[start].view(np.int64), content, first != last, first - start
 
 
-def known_in_batch(mini: np.ndarray, content: np.ndarray, doc: np.ndarray, pos: np.ndarray, by_start: bool) -> np.ndarray:
+def places(doc: np.ndarray, tid: np.ndarray) -> np.ndarray:
+    """Numbers of documents in their order, for the rows of one batch; see keyed()."""
+    own = np.where((doc == LAST) & (tid >= 0), tid, -1)
+    order = np.lexsort((own, doc))
+    d, o = doc[order], own[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([np.zeros(min(1, len(order)), bool), (d[1:] != d[:-1]) | (o[1:] != o[:-1])]))
+    return out
+
+
+def known_in_batch(mini: np.ndarray, content: np.ndarray, doc: np.ndarray, tid: np.ndarray, pos: np.ndarray, by_start: bool) -> np.ndarray:
     """Which segments have an earlier occurrence in the same batch; these needn't be shuffled by minimizer."""
+    doc = places(doc, tid)
     order = np.lexsort((pos, doc, content, mini))
     same = np.zeros(len(order), bool)
     m, c, d = mini[order], content[order], doc[order]
@@ -135,8 +148,27 @@ def portions(batches: Iterator, most: int = 1 << 20) -> Iterator:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tid, text: rows by id and content, so that rows of one id stay apart. A null id counts as the largest."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc, tid, text: rows by id and content, so that rows of one id stay apart."""
+    doc, tid = keys()
+    return docs.select(doc.alias("doc"), tid.alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def keys() -> tuple[Column, Column]:
+    """doc and tid of a row with doc_id and text. A null id stands behind all others, as LAST with a tid that isn't negative;
+    the id LAST has negative ones. Each text without an id is a document of its own, in the order of tid."""
+    given, tid = F.col("doc_id").cast("long"), F.xxhash64("text")
+    own = F.when(given.isNull(), tid.bitwiseAND(F.lit(LAST))).when(given == LAST, tid.bitwiseOR(F.lit(FIRST))).otherwise(tid)
+    return F.coalesce(given, F.lit(LAST)), own
+
+
+def id_of(doc: int, tid: int) -> int | None:
+    """The doc_id behind doc and tid."""
+    return None if doc == LAST and tid >= 0 else doc
+
+
+def place(*more: str) -> Column:
+    """What orders the documents of rows with doc and tid (see keys()), and the columns more after that."""
+    return F.struct("doc", F.when((F.col("doc") == LAST) & (F.col("tid") >= 0), F.col("tid")).otherwise(-1).alias("own"), *more)
 
 
 def split_repeats(found: DataFrame, by_start: bool) -> tuple[DataFrame, DataFrame]:
@@ -146,8 +178,8 @@ def split_repeats(found: DataFrame, by_start: bool) -> tuple[DataFrame, DataFram
     by_start: an earlier start in the same document counts as earlier as well."""
     found = materialize(found, "segments", clean=True)
     same = Window.partitionBy("mini", "content")
-    early = F.min(F.struct("doc", "pos")).over(same) if by_start else F.min("doc").over(same)
-    own = F.struct("doc", "pos") if by_start else F.col("doc")
+    own = place("pos") if by_start else place()
+    early = F.min(own).over(same)
     # equal rows are one: their results are joined to each of them
     seen = found.filter("not gone").withColumn("gone", own > early).dropDuplicates(["mini", "content", "doc", "tid", "pos"])
     seen = materialize(seen.drop("content"), "firsts", clean=True)
@@ -172,7 +204,7 @@ def fetched(open_: DataFrame, texts: DataFrame) -> DataFrame:
 def repeated_windows(windows: DataFrame, by_start: bool) -> DataFrame:
     """Of single windows (mini, key, doc, tid, pos) those with an earlier equal one: doc, tid, pos, n = 1. The earliest of
     each is found by partial minima before the shuffle, and joined back, so that a frequent window is split."""
-    own = F.struct("doc", "pos") if by_start else F.col("doc")
+    own = place("pos") if by_start else place()
     early = windows.groupBy(F.col("mini").alias("m"), F.col("key").alias("k")).agg(F.min(own).alias("early"), F.max(own).alias("late")).filter("early <> late").drop("late")
     joined = windows.join(early, (F.col("mini") == F.col("m")) & (F.col("key") == F.col("k")))
     return joined.filter(own > F.col("early")).select("doc", "tid", "pos", F.lit(1).alias("n"))

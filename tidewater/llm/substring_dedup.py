@@ -11,8 +11,8 @@ interval found tell the smallest document that holds the match. Intervals where
 Segments that one of a smaller document equals as a whole are found by their hashes before that. A class of more than
 HOT segments is compared by hashes of its single windows.
 
-Nulls: a null text has no words; a null doc_id counts as larger than all others. Rows of one doc_id never remove each
-other's words. Empty tables give no rows; extra columns are ignored by substring_dedup and kept by substring_filter.
+Nulls: a null text has no words; a row without doc_id is a document of its own behind all others, in the order of a hash
+of its text (equal ones repeat their result). Rows of one doc_id never remove each other's words. Empty tables give no rows; extra columns are ignored by substring_dedup and kept by substring_filter.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import batch, byte_texts, map_batches, materialize, read_table, unused
-from tidewater.llm.repeats import HOT, SEGMENT_SQL, Rolling, covered, fetched, keyed, known_in_batch, narrowed, portions, repeated_windows, segments, split_repeats
+from tidewater.llm.repeats import HOT, SEGMENT_SQL, Rolling, covered, fetched, id_of, keyed, keys, known_in_batch, narrowed, places, portions, repeated_windows, segments, split_repeats
 from tidewater.llm.suffix_dedup import ROWS, RUNS, VALUES, by_class
 
 WIDTH = 13
@@ -53,7 +53,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])), len(start)))
         text, pos, n, mini, content, rep, anchor = segments(h, sizes, WIDTH, GRAM)
         doc, tid = (b[c].to_numpy()[text] for c in ("doc", "tid"))
-        yield batch(ROWS, mini, content, doc, tid, pos.astype(np.int32), n.astype(np.int32), rep, anchor.astype(np.int32), known_in_batch(mini, content, doc, pos, by_start=False))
+        yield batch(ROWS, mini, content, doc, tid, pos.astype(np.int32), n.astype(np.int32), rep, anchor.astype(np.int32), known_in_batch(mini, content, doc, tid, pos, by_start=False))
 
 
 class Bits:
@@ -196,9 +196,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, texts, pos = narrowed(rows, [np.array(r["words"], np.int64) for r in rows], WIDTH, GRAM, PARTS)
         if not rows:
             continue
-        doc = np.array([r["doc"] for r in rows])
-        segment, offset, n = Index(texts, doc).intervals(doc)
-        yield batch(RUNS, doc[segment], np.array([r["tid"] for r in rows], np.int64)[segment], (pos[segment] + offset).astype(np.int32), n.astype(np.int32))
+        doc, tid = (np.array([r[c] for r in rows], np.int64) for c in ("doc", "tid"))
+        at = places(doc, tid)
+        segment, offset, n = Index(texts, at).intervals(at)
+        yield batch(RUNS, doc[segment], tid[segment], (pos[segment] + offset).astype(np.int32), n.astype(np.int32))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -228,12 +229,12 @@ REMOVED_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, sp
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for doc, text, runs in zip(b["doc"].to_pylist(), byte_texts(b["text"]), b["runs"], strict=True):
+        for doc, tid, text, runs in zip(b["doc"].to_pylist(), b["tid"].to_pylist(), byte_texts(b["text"]), b["runs"], strict=True):
             a, e, total = spans_of(text, runs)
             words = text.split()
             for s, t in zip(a[::-1].tolist(), e[::-1].tolist(), strict=True):
                 del words[s:t]
-            rows.append((None if doc == 2**63 - 1 else doc, total, total - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), [{"start": s, "end": t} for s, t in zip(a.tolist(), e.tolist(), strict=True)]))
+            rows.append((id_of(doc, tid), total, total - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), [{"start": s, "end": t} for s, t in zip(a.tolist(), e.tolist(), strict=True)]))
         yield batch(REMOVED, *(list(zip(*rows, strict=True)) or [[]] * 5))
 
 
@@ -244,7 +245,7 @@ def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed spans of words of every document."""
-    return map_batches(_with_runs(keyed(docs), repeated_runs(docs)).select("doc", "text", "runs"), _remove, REMOVED_SQL)
+    return map_batches(_with_runs(keyed(docs), repeated_runs(docs)).select("doc", "tid", "text", "runs"), _remove, REMOVED_SQL)
 
 
 def _cut(text: str | None, runs) -> str | None:
@@ -266,7 +267,7 @@ def substring_filter(docs: DataFrame) -> DataFrame:
     words go. All columns stay, whatever their names; null texts, and texts without words, stay as they are."""
     own, tid, found, had = (unused(docs, c) for c in ("_doc", "_tid", "_runs", "_had"))
     runs = repeated_runs(docs).groupBy("doc", "tid").agg(F.collect_list(F.struct("pos", "n")).alias(found)).withColumnsRenamed({"doc": own, "tid": tid})
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col(own)) & (F.xxhash64("text") == F.col(tid))
+    same = (keys()[0] == F.col(own)) & (keys()[1] == F.col(tid))
     joined = docs.join(runs.hint("shuffle_hash"), same, "left").drop(own, tid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,9 @@ sequential files. Neighbours with a common prefix of WIDTH bytes are equal strin
 Segments that an earlier one equals as a whole are found by their hashes before that, so that copies aren't indexed. A
 class of more than HOT segments is compared by hashes of its single windows, which spreads it over all tasks.
 
-Nulls: a null text is empty; a null doc_id counts as larger than all others. Rows of one doc_id and equal text repeat
-their result; rows of one doc_id and different texts are one document's in the order of starts. Texts shorter than WIDTH
+Nulls: a null text is empty; a row without doc_id is a document of its own behind all others, in the order of a hash of
+its text. Rows of one doc_id (or none) and equal text repeat their result; rows of one doc_id and different texts are one
+document's in the order of starts. Texts shorter than WIDTH
 stay whole; empty tables give no rows. Extra columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import batch, byte_texts, map_batches, materialize, read_table
-from tidewater.llm.repeats import HOT, SEGMENT_SQL, covered, fetched, keyed, known_in_batch, narrowed, portions, repeated_windows, segments, split_repeats
+from tidewater.llm.repeats import HOT, SEGMENT_SQL, covered, fetched, id_of, keyed, known_in_batch, narrowed, places, portions, repeated_windows, segments, split_repeats
 
 WIDTH = 100
 GRAM = 24
@@ -50,7 +51,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = byte_texts(b["text"])
         text, pos, n, mini, content, rep, anchor = segments(VALUES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts]), WIDTH, GRAM)
         doc, tid = (b[c].to_numpy()[text] for c in ("doc", "tid"))
-        yield batch(ROWS, mini, content, doc, tid, pos.astype(np.int32), n.astype(np.int32), rep, anchor.astype(np.int32), known_in_batch(mini, content, doc, pos, by_start=True))
+        yield batch(ROWS, mini, content, doc, tid, pos.astype(np.int32), n.astype(np.int32), rep, anchor.astype(np.int32), known_in_batch(mini, content, doc, tid, pos, by_start=True))
 
 
 class Column:
@@ -194,15 +195,15 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, strings, pos = narrowed(rows, [r["bytes"] for r in rows], WIDTH, GRAM, PARTS)
         if not rows:
             continue
-        doc = np.array([r["doc"] for r in rows])
+        doc, tid = (np.array([r[c] for r in rows], np.int64) for c in ("doc", "tid"))
         # strings of other classes can't equal, whatever their order
-        name, place = later_windows(strings, doc, pos)
+        name, place = later_windows(strings, places(doc, tid), pos)
         order = np.lexsort((place, name))
         name, place = name[order], place[order]
         head = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (place[1:] != place[:-1] + 1)])) if len(name) else name
         n = np.diff(np.append(head, len(name)))
         name, place = name[head], place[head]
-        yield batch(RUNS, doc[name], np.array([r["tid"] for r in rows], np.int64)[name], (pos[name] + place).astype(np.int32), n.astype(np.int32))
+        yield batch(RUNS, doc[name], tid[name], (pos[name] + place).astype(np.int32), n.astype(np.int32))
 
 
 REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -212,7 +213,7 @@ REMOVED_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for doc, text, runs in zip(b["doc"].to_pylist(), byte_texts(b["text"]), b["runs"], strict=True):
+        for doc, tid, text, runs in zip(b["doc"].to_pylist(), b["tid"].to_pylist(), byte_texts(b["text"]), b["runs"], strict=True):
             if runs.is_valid and len(runs.values):
                 starts, n = (runs.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
                 a, e = covered(starts, n, WIDTH, len(text))
@@ -224,7 +225,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(text[end:s])
                 end = t
             kept.append(text[end:])
-            rows.append((None if doc == 2**63 - 1 else doc, len(text), int((e - a).sum()), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "end": t} for s, t in spans]))
+            rows.append((id_of(doc, tid), len(text), int((e - a).sum()), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "end": t} for s, t in spans]))
         yield batch(REMOVED, *(list(zip(*rows, strict=True)) or [[]] * 6))
 
 
@@ -242,7 +243,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every document."""
     runs = repeated_runs(docs).groupBy("doc", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    return map_batches(keyed(docs).join(runs.hint("shuffle_hash"), ["doc", "tid"], "left").select("doc", "text", "runs"), _remove, REMOVED_SQL)
+    return map_batches(keyed(docs).join(runs.hint("shuffle_hash"), ["doc", "tid"], "left").select("doc", "tid", "text", "runs"), _remove, REMOVED_SQL)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
