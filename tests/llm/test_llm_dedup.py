@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 
 import brute
 import numpy as np
+import public_tokenizers
 import pytest
 from conftest import made
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidewater.llm.backoff import lm_scores
 from tidewater.llm.bpe import digests
@@ -77,6 +80,25 @@ def test_substring_filter_without_ids(frame):
     assert sorted(map(len, kept)) == [20 + 5, 20 + 6, 20 + 8, 20 + 60 + 7]
 
 
+def test_pipeline_without_ids(spark, frame, tmp_path):
+    """run() over documents of which most have no id, with columns named as the operators' own."""
+    import corpus_pipeline
+
+    rows = passages([None, None, 7, None])
+    frame([*rows, (None, None), (None, ""), (9, "few words")]).write.parquet(f"{tmp_path}/documents.parquet")
+    left = [(d, t if d else " ".join([*t.split()[:20], *t.split()[80:]])) for d, t in rows]
+    coded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch([t for _, t in left], add_special_tokens=False)
+    want = [(d, 0, 0, len(e.ids) + 1, zlib.crc32(np.array([*e.ids, 2], "<u4").tobytes())) for (d, _), e in zip(left, coded, strict=True)]
+    assert taken(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "piece", "start", "length", "ids_crc32") == sorted(want, key=repr)
+
+
+def test_pipeline_of_nothing(spark, frame, tmp_path):
+    import corpus_pipeline
+
+    frame([(1, "a")]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_one_passage_in_very_many_contexts(frame):
     """A class of more segments than one index takes."""
     rng = random.Random(1)
