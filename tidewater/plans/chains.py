@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import over_chunks, simple_return
-from tidewater.operators import cross, markov, models, posterior, spectral, volatility
+from tidewater.operators import cross, markov, models, posterior, search, spectral, volatility
 from tidewater.plans import base as b
 from tidewater.plans.base import query
 from tidewater.sources.series import daily, hourly, ticks
@@ -238,6 +238,13 @@ def forest_search(spark, d):
     return models.forest_search(hourly(spark, d), (5,), (3, 5), 2)
 
 
+@query("forest_surrogate_search")
+def forest_surrogate_search(spark, d):
+    """Settings of the forest by a surrogate: 12 trials over three rolling origins."""
+    space = {"trees": search.Whole(5, 20), "features": ("sqrt", "log2"), "depth": (3, 5, 8), "least": search.Whole(1, 4), "bootstrap": (True, False)}
+    return search.forest_surrogate_search(hourly(spark, d), 12, 3, 6, 3, space)
+
+
 @query("forest_recursive")
 def forest_recursive(spark, d):
     """A day of bars ahead, each from the forecasts before it."""
