@@ -72,7 +72,7 @@ def test_trials_of_a_forest(spark):
     assert [r.mse for r in sorted(got, key=lambda r: r["rank"])] == sorted(r.mse for r in got)
     best = min(got, key=lambda r: r["rank"])
     x, _ = next_close(df)
-    x = x.dropna(subset=["_next"]).select("_place", "_n", "_f", "_next")
+    x = x.dropna(subset=["_next"]).select("asset", "_place", "_n", "_f", "_next")
     assert sr.forest_loss(x, {c: best[c] for c in space}, 2, 1) == pytest.approx(best.mse, rel=1e-6)
     variance = x.agg(F.var_pop("_next")).first()[0]
     assert best.mse < 3 * variance

@@ -135,7 +135,9 @@ def forest_loss(x: DataFrame, setting: dict, splits: int, seed: int) -> float:
     model = RandomForestRegressor(
         featuresCol="_f", labelCol="_next", predictionCol="predicted", numTrees=setting["trees"], maxDepth=setting["depth"], minInstancesPerNode=setting["least"], featureSubsetStrategy=setting["features"], bootstrap=setting["bootstrap"], seed=seed
     )
-    errors = []
+    # trees draw rows by partition and place, so these are fixed, and a trial repeats its result
+    parts, errors = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), []
+    x = x.repartition(parts, "asset", "_place").sortWithinPartitions("asset", "_place")
     for k in range(1, splits + 1):
         low, high = F.col("_n") * k / (splits + 1), F.col("_n") * (k + 1) / (splits + 1)
         tested = model.fit(x.filter(F.col("_place") < low)).transform(x.filter((F.col("_place") >= low) & (F.col("_place") < high)))
@@ -147,7 +149,7 @@ def forest_surrogate_search(df: DataFrame, trials: int = 50, splits: int = 5, in
     """trial, the settings, mse and rank of all trials of a search of the forest that forecasts the next close. Series too
     short for the splits have no part in those that they don't reach."""
     x, _ = next_close(df)
-    x = x.dropna(subset=["_next"]).select("_place", "_n", "_f", "_next")
+    x = x.dropna(subset=["_next"]).select("asset", "_place", "_n", "_f", "_next")
 
     def losses(settings: list[dict]) -> list[float]:
         with ThreadPoolExecutor(at_once) as pool:
