@@ -37,6 +37,12 @@ def test_query(spark, small, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
+def test_indicator_document_is_whole(spark, small, duck):
+    """One document for each asset, with all its bars, not one for each day."""
+    want = duck.execute("SELECT event_type, count(DISTINCT date_trunc('hour', ts)), strftime(max(date_trunc('hour', ts)), '%Y-%m-%d %H:%M:%S') FROM events GROUP BY ALL").fetchall()
+    assert sorted((r.symbol, r.n, r.last) for r in QUERIES["indicator_document"](spark, small).collect()) == sorted(want)
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
