@@ -255,6 +255,15 @@ def test_evolution_beats_best_fit(n):
     assert len(evolve(sizes, [], 5)) < best_fit_decreasing(sizes)
 
 
+@pytest.mark.parametrize("seed", [53, 116, 147])
+def test_search_goes_on_one_from_the_least(seed):
+    """One sequence over the least number, where best fit ends, is no reason to stop."""
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 700) for _ in range(40)]
+    assert best_fit_decreasing(sizes) == -(-sum(sizes) // 1024) + 1
+    assert all(len(evolve(sizes, [], k)) == -(-sum(sizes) // 1024) for k in range(4))
+
+
 def test_packing_beats_best_fit(spark, small, whole, coded):
     """Not more sequences than a plain best-fit decreasing packer over all pieces at once."""
     lengths = [n for ids in coded([r[1] for r in whole]) for n in ([len(ids)] if len(ids) <= 1024 else [*[len(ids) % 1024] * (len(ids) % 1024 > 0), *[1024] * (len(ids) // 1024)])]

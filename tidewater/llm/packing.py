@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_right, insort
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations, compress
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -36,16 +38,15 @@ from tidewater.llm.common import batch, map_batches, materialize, read_table, sp
 
 CAPACITY = 1024
 END = 2
+ROOM = attrgetter("room")
 SHARD = 8192
 #: Sequences below this share of the capacity are packed again, over all shards.
 REST = 0.9
-ISLANDS = 2
+ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
-#: Generations of an epoch at most; with one sequence over the least possible number, CLOSE of them with one child each
-#: (the sequences of all shards that aren't full are packed once more, so that little is left to gain there).
-GENERATIONS = 8
-CLOSE = 1
+#: Generations of an epoch, fewer only where a solution has as few sequences as can be.
+GENERATIONS = 40
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -79,102 +80,113 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-class Packing:
-    """Bins of item numbers with their room; best fit by one bit set of the rooms that occur."""
+class Bin(list):
+    """Item numbers, and the room that they leave. Solutions share bins, so a bin never changes."""
+
+    __slots__ = ("room",)
 
-    def __init__(self, sizes: list[int]) -> None:
-        self.sizes, self.bins, self.room, self.by_room, self.rooms = sizes, [], [], [set() for _ in range(CAPACITY + 1)], 0
+    def __init__(self, items: Iterable[int], room: int) -> None:
+        super().__init__(items)
+        self.room = room
 
-    def _file(self, b: int) -> None:
-        r = self.room[b]
-        self.by_room[r].add(b)
-        self.rooms |= 1 << r
 
-    def _unfile(self, b: int) -> None:
-        r = self.room[b]
-        self.by_room[r].remove(b)
-        if not self.by_room[r]:
-            self.rooms &= ~(1 << r)
+def measured(bins: list[list[int]], sizes: list[int]) -> list[Bin]:
+    return [b if isinstance(b, Bin) else Bin(b, CAPACITY - sum(map(sizes.__getitem__, b))) for b in bins]
 
-    def add_bin(self, items: list[int]) -> None:
-        self.bins.append(list(items))
-        self.room.append(CAPACITY - sum(map(self.sizes.__getitem__, items)))
-        self._file(len(self.bins) - 1)
+
+class Packing:
+    """Bins that items go into; best fit by one bit set of the rooms that occur. Full bins, which are most, aren't filed."""
+
+    def __init__(self, sizes: list[int], bins: list[Bin] = ()) -> None:
+        self.sizes, self.bins, self.by_room, self.rooms = sizes, list(bins), defaultdict(set), 0
+        for k, b in enumerate(self.bins):
+            if b.room:
+                self._file(k, b.room)
+
+    def _file(self, k: int, room: int) -> None:
+        self.by_room[room].add(k)
+        self.rooms |= 1 << room
+
+    def replace(self, k: int, new: Bin) -> None:
+        room = self.bins[k].room
+        self.by_room[room].remove(k)
+        if not self.by_room[room]:
+            self.rooms &= ~(1 << room)
+        self.bins[k] = new
+        if new.room:
+            self._file(k, new.room)
 
     def best_fit(self, items: list[int]) -> None:
         """Each item into the fullest bin that has room for it, else into a new one."""
         for i in items:
-            fits = self.rooms >> self.sizes[i]
+            size = self.sizes[i]
+            fits = self.rooms >> size
             if fits:
-                r = (fits & -fits).bit_length() - 1 + self.sizes[i]
-                b = max(self.by_room[r]) if len(self.by_room[r]) < 8 else next(iter(self.by_room[r]))
-                self._unfile(b)
-                self.bins[b].append(i)
-                self.room[b] -= self.sizes[i]
-                self._file(b)
+                some = self.by_room[(fits & -fits).bit_length() - 1 + size]
+                k = max(some) if len(some) < 8 else next(iter(some))
+                old = self.bins[k]
+                self.replace(k, Bin([*old, i], old.room - size))
             else:
-                self.add_bin([i])
+                self.bins.append(Bin([i], CAPACITY - size))
+                if size < CAPACITY:
+                    self._file(len(self.bins) - 1, CAPACITY - size)
 
 
-def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, float]:
+def fitness(bins: list[Bin]) -> tuple[int, float]:
     """Fewer bins are better, then fuller ones (squared fill)."""
-    return (-len(bins), sum(sum(map(sizes.__getitem__, b)) ** 2 for b in bins) / CAPACITY**2)
+    return (-len(bins), sum([(CAPACITY - b.room) ** 2 for b in bins]) / CAPACITY**2)
 
 
 def exchange(packing: Packing, displaced: list[int]) -> list[int]:
     """Larger displaced items take the places of one or two smaller ones in bins that they fill better. The items that are
     displaced afterwards, largest first."""
     sizes = packing.sizes
-    free = sorted((sizes[i], i) for i in displaced)
-    for b, room in enumerate(packing.room):
-        if not room or not free or len(packing.bins[b]) > 12:
+    free = sorted(displaced, key=lambda i: (sizes[i], i))
+    lengths = [sizes[i] for i in free]
+    for k, own in enumerate(packing.bins):
+        room = own.room
+        if not room or not free or len(own) > 12:
             continue
-        own, best = packing.bins[b], (0, 0, ())
+        best = (0, 0, ())
         for some in (*((i,) for i in own), *combinations(own, 2)):
-            size = sum(sizes[i] for i in some)
-            at = bisect_right(free, (size + room, len(sizes))) - 1
-            if at >= 0 and free[at][0] - size > best[0]:
-                best = (free[at][0] - size, at, some)
+            size = sizes[some[0]] + (sizes[some[1]] if len(some) == 2 else 0)
+            at = bisect_right(lengths, size + room) - 1
+            if at >= 0 and lengths[at] - size > best[0]:
+                best = (lengths[at] - size, at, some)
+                if best[0] == room:
+                    break
         if best[0]:
             gain, at, some = best
-            packing._unfile(b)
-            own.append(free.pop(at)[1])
+            lengths.pop(at)
+            packing.replace(k, Bin([*(i for i in own if i not in some), free.pop(at)], room - gain))
             for i in some:
-                own.remove(i)
-                insort(free, (sizes[i], i))
-            packing.room[b] -= gain
-            packing._file(b)
-    return [i for _, i in sorted(free, key=lambda x: (-x[0], x[1]))]
+                to = bisect_right(lengths, sizes[i])
+                lengths.insert(to, sizes[i])
+                free.insert(to, i)
+    return free[::-1]
 
 
-def crossover(into: list[list[int]], given: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
+def crossover(into: list[list[int]], given: list[list[int]], sizes: list[int], rng: random.Random) -> list[Bin]:
     """The bins of into with well-filled bins of given injected whole; displaced items are exchanged for smaller ones and
     go back by best fit."""
-    ranked = sorted(given, key=lambda b: -sum(map(sizes.__getitem__, b)))
+    into, ranked = measured(into, sizes), sorted(measured(given, sizes), key=ROOM)
     injected = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5] or ranked[:1]
-    taken = {i for b in injected for i in b}
-    out, displaced = Packing(sizes), []
-    for b in injected:
-        out.add_bin(b)
-    for b in into:
-        if taken.isdisjoint(b):
-            out.add_bin(b)
-        else:
-            displaced += [i for i in b if i not in taken]
+    taken = set(chain.from_iterable(injected))
+    untouched = [taken.isdisjoint(b) for b in into]
+    out = Packing(sizes, [*injected, *compress(into, untouched)])
+    displaced = [i for b, whole in zip(into, untouched, strict=True) if not whole for i in b if i not in taken]
     out.best_fit(exchange(out, displaced))
     return out.bins
 
 
-def mutate(bins: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
+def mutate(bins: list[list[int]], sizes: list[int], rng: random.Random) -> list[Bin]:
     """The emptiest bins and a few others are dissolved, their items exchanged and put back by best fit."""
-    ranked = sorted(bins, key=lambda b: sum(map(sizes.__getitem__, b)))
+    bins = measured(bins, sizes)
+    ranked = sorted(bins, key=ROOM, reverse=True)
     n = max(1, len(bins) // 50)
     gone = ranked[:n] + rng.sample(ranked[n:], min(2 * n, len(ranked) - n))
     left = {id(b) for b in gone}
-    out = Packing(sizes)
-    for b in bins:
-        if id(b) not in left:
-            out.add_bin(b)
+    out = Packing(sizes, [b for b in bins if id(b) not in left])
     out.best_fit(exchange(out, [i for b in gone for i in b]))
     return out.bins
 
@@ -183,35 +195,29 @@ def least_bins(sizes: list[int]) -> int:
     return -(-sum(sizes) // CAPACITY)
 
 
-def descending(sizes: list[int], noise: random.Random | None = None) -> list[list[int]]:
+def descending(sizes: list[int], noise: random.Random | None = None) -> list[Bin]:
     """Best fit of the items from the largest on; with noise, of a somewhat disturbed order."""
     p = Packing(sizes)
     p.best_fit(sorted(range(len(sizes)), key=(lambda i: (-sizes[i], i)) if noise is None else (lambda i: (-sizes[i] * noise.uniform(0.8, 1.0), i))))
     return p.bins
 
 
-def evolve(sizes: list[int], known: list[list[list[int]]], seed: int, generations: int = GENERATIONS) -> list[list[int]]:
+def evolve(sizes: list[int], known: list[list[list[int]]], seed: int, generations: int = GENERATIONS) -> list[Bin]:
     """The best of a population after some generations, fewer where a solution has as few bins as can be. known:
     solutions to begin with; best fit is among the first ones."""
     rng, bound = random.Random(seed), least_bins(sizes)
-    scored = lambda bins: (fitness(bins, sizes), bins)
-    population = [scored(b) for b in known or [descending(sizes)]]
-    best = lambda: max(population, key=lambda p: p[0])
-    over = len(best()[1]) - bound
-    if over <= 0:
-        return best()[1]
-    while len(population) < (2 if over == 1 else POPULATION):
-        population.append(scored(mutate(best()[1], sizes, rng) if len(population) % 2 else descending(sizes, rng)))
-    for k in range(generations):
-        over = len(best()[1]) - bound
-        if over <= 0 or (over == 1 and k >= CLOSE):
+    scored = lambda bins: (fitness(bins), bins)
+    population = [scored(measured(b, sizes)) for b in known or [descending(sizes)]]
+    best = lambda: max(population, key=lambda p: p[0])[1]
+    while len(population) < POPULATION and len(best()) > bound:
+        population.append(scored(mutate(best(), sizes, rng) if len(population) % 2 else descending(sizes, rng)))
+    for _ in range(generations):
+        if len(best()) <= bound:
             break
         (_, a), (_, b) = rng.sample(population, 2)
-        children = [scored(mutate(crossover(a, b, sizes, rng), sizes, rng))]
-        if over > 1:
-            children.append(scored(mutate(best()[1], sizes, rng)))
+        children = [scored(mutate(crossover(a, b, sizes, rng), sizes, rng)), scored(mutate(best(), sizes, rng))]
         population = sorted(population + children, key=lambda p: p[0], reverse=True)[:POPULATION]
-    return best()[1]
+    return best()
 
 
 def genome(bins: list[list[int]], n: int) -> bytes:
