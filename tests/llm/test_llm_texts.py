@@ -16,9 +16,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tidewater.llm import packing
 from tidewater.llm.backoff import lm_scores, op6_stupid_backoff
 from tidewater.llm.bpe import decode, digests, encode, op7_byte_bpe, vocabulary
-from tidewater.llm.packing import crossover, evolve, mutate, op4_best_fit_packing, pack, pieces
+from tidewater.llm.packing import Bin, crossover, evolve, mutate, op4_best_fit_packing, pack, pieces
 from tidewater.llm.pii import base_spans, candidates, classifier, op8_pii, pii_spans, redact, reliabilities
 from tidewater.llm.quality import op5_quality_rules, quality_filter, quality_verdicts
 from tidewater.llm.simhash import simhash_dedup
@@ -238,6 +239,25 @@ def test_crossover_keeps_every_item_once():
         assert sorted(i for x in bins for i in x) == list(range(200)) and all(sum(sizes[i] for i in x) <= 1024 for x in bins)
 
 
+def test_a_bin_wants_what_fills_it_better():
+    """The bit set by which the exchange passes over bins holds exactly the sizes that gain in one of them."""
+    rng = random.Random(6)
+    for _ in range(60):
+        sizes = [rng.randint(1, 300) for _ in range(rng.randint(1, 12))]
+        room = rng.randint(0, 200)
+        out = [*sizes, *(a + b for k, a in enumerate(sizes) for b in sizes[k + 1 :])]
+        assert Bin(range(len(sizes)), room).wanted(sizes) == sum(1 << n for n in range(1025) if any(x < n <= x + room for x in out))
+
+
+def test_best_fit_builds_each_bin_once(monkeypatch):
+    """Not once for each item that it takes, which was a good part of the search's time."""
+    made = []
+    monkeypatch.setattr(packing, "Bin", lambda items, room: made.append(room) or Bin(items, room))
+    rng = random.Random(8)
+    bins = packing.descending([rng.randint(1, 400) for _ in range(500)])
+    assert len(made) == len(bins) < 200
+
+
 def best_fit_decreasing(sizes: list[int]) -> int:
     rooms: list[int] = []
     for s in sorted(sizes, reverse=True):

@@ -17,6 +17,7 @@ island, and pieces are dealt by their place in a written table, so a lost task r
 
 from __future__ import annotations
 
+import base64
 import random
 import zlib
 from bisect import bisect_right
@@ -24,7 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, combinations, compress
-from operator import attrgetter
+from operator import attrgetter, not_
 
 import numpy as np
 import public_tokenizers
@@ -33,11 +34,11 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.bpe import portions, vocabulary
+from tidewater.llm.bpe import portions
 from tidewater.llm.common import batch, map_batches, materialize, read_table, spread, texts
 
 CAPACITY = 1024
-END = 2
+END = np.uint32(2)
 ROOM = attrgetter("room")
 SHARD = 8192
 #: Sequences below this share of the capacity are packed again, over all shards.
@@ -53,7 +54,9 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> tiktoken.Encoding:
     """The vocabulary of byte_bpe_50k.json (its ranks are in the .tiktoken file beside it), with its special token."""
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary(path).rank, special_tokens={"<|endoftext|>": 50256})
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -69,11 +72,11 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encode = tokenizer(path).encode_to_numpy
         for b in (s for x in batches for s in portions(x)):
             rows = []
             for doc, t in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
-                ids = np.array([*encode(t, allowed_special="all"), END], "<u4")
+                ids = np.append(encode(t, allowed_special="all"), END).astype("<u4", copy=False)
                 rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids)))]
             yield batch(PIECES, *zip(*rows, strict=True))
 
@@ -81,23 +84,37 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class Bin(list):
-    """Item numbers, and the room that they leave. Solutions share bins, so a bin never changes."""
+    """Item numbers, and the room that they leave. Solutions share bins, so a bin never changes, and what is found out about
+    it (wanted) holds in all of them."""
 
-    __slots__ = ("room",)
+    __slots__ = ("_wanted", "room")
 
     def __init__(self, items: Iterable[int], room: int) -> None:
         super().__init__(items)
         self.room = room
+        self._wanted: int | None = None
+
+    def wanted(self, sizes: list[int]) -> int:
+        """Sizes, as a bit set, of items that would fill it better in the place of one or two of its own."""
+        if self._wanted is None:
+            out, gains = 0, (1 << self.room) - 1
+            if len(self) <= 12:
+                held = [sizes[i] for i in self]
+                for size in chain(held, map(sum, combinations(held, 2))):
+                    out |= gains << (size + 1)
+            self._wanted = out
+        return self._wanted
 
 
 def measured(bins: list[list[int]], sizes: list[int]) -> list[Bin]:
-    return [b if isinstance(b, Bin) else Bin(b, CAPACITY - sum(map(sizes.__getitem__, b))) for b in bins]
+    """bins with their rooms. All of them are lists, or all are measured already."""
+    return bins if bins and isinstance(bins[0], Bin) else [Bin(b, CAPACITY - sum(map(sizes.__getitem__, b))) for b in bins]
 
 
 class Packing:
     """Bins that items go into; best fit by one bit set of the rooms that occur. Full bins, which are most, aren't filed."""
 
-    def __init__(self, sizes: list[int], bins: list[Bin] = ()) -> None:
+    def __init__(self, sizes: list[int], bins: Iterable[Bin] = ()) -> None:
         self.sizes, self.bins, self.by_room, self.rooms = sizes, list(bins), defaultdict(set), 0
         for k, b in enumerate(self.bins):
             if b.room:
@@ -118,36 +135,61 @@ class Packing:
 
     def best_fit(self, items: list[int]) -> None:
         """Each item into the fullest bin that has room for it, else into a new one."""
+        sizes, bins, by_room, rooms = self.sizes, self.bins, self.by_room, self.rooms
+        grown: dict[int, list[int]] = {}
+        rest: dict[int, int] = {}
         for i in items:
-            size = self.sizes[i]
-            fits = self.rooms >> size
+            size = sizes[i]
+            fits = rooms >> size
             if fits:
-                some = self.by_room[(fits & -fits).bit_length() - 1 + size]
+                room = (fits & -fits).bit_length() - 1 + size
+                some = by_room[room]
                 k = max(some) if len(some) < 8 else next(iter(some))
-                old = self.bins[k]
-                self.replace(k, Bin([*old, i], old.room - size))
+                some.remove(k)
+                if not some:
+                    rooms ^= 1 << room
+                left = room - size
+                if k in grown:
+                    grown[k].append(i)
+                else:
+                    grown[k] = [*bins[k], i]
             else:
-                self.bins.append(Bin([i], CAPACITY - size))
-                if size < CAPACITY:
-                    self._file(len(self.bins) - 1, CAPACITY - size)
+                k, left = len(bins), CAPACITY - size
+                bins.append(())
+                grown[k] = [i]
+            rest[k] = left
+            if left:
+                by_room[left].add(k)
+                rooms |= 1 << left
+        for k, own in grown.items():
+            bins[k] = Bin(own, rest[k])
+        self.rooms = rooms
+
+
+def rooms_of(bins: list[Bin]) -> np.ndarray:
+    return np.fromiter(map(ROOM, bins), np.int64, len(bins))
 
 
 def fitness(bins: list[Bin]) -> tuple[int, float]:
     """Fewer bins are better, then fuller ones (squared fill)."""
-    return (-len(bins), sum([(CAPACITY - b.room) ** 2 for b in bins]) / CAPACITY**2)
+    return (-len(bins), int(((CAPACITY - rooms_of(bins)) ** 2).sum()) / CAPACITY**2)
 
 
 def exchange(packing: Packing, displaced: list[int]) -> list[int]:
     """Larger displaced items take the places of one or two smaller ones in bins that they fill better. The items that are
     displaced afterwards, largest first."""
     sizes = packing.sizes
-    free = sorted(displaced, key=lambda i: (sizes[i], i))
+    free = sorted(sorted(displaced), key=sizes.__getitem__)
     lengths = [sizes[i] for i in free]
-    for k, own in enumerate(packing.bins):
-        room = own.room
-        if not room or not free or len(own) > 12:
+    there = 0
+    for n in {*lengths}:
+        there |= 1 << n
+    # full bins aren't filed; of the others only those are looked at that gain by one of the displaced items
+    for k in sorted(chain.from_iterable(packing.by_room.values())):
+        own = packing.bins[k]
+        if not there & own.wanted(sizes):
             continue
-        best = (0, 0, ())
+        room, best = own.room, (0, 0, ())
         for some in (*((i,) for i in own), *combinations(own, 2)):
             size = sizes[some[0]] + (sizes[some[1]] if len(some) == 2 else 0)
             at = bisect_right(lengths, size + room) - 1
@@ -155,26 +197,29 @@ def exchange(packing: Packing, displaced: list[int]) -> list[int]:
                 best = (lengths[at] - size, at, some)
                 if best[0] == room:
                     break
-        if best[0]:
-            gain, at, some = best
-            lengths.pop(at)
-            packing.replace(k, Bin([*(i for i in own if i not in some), free.pop(at)], room - gain))
-            for i in some:
-                to = bisect_right(lengths, sizes[i])
-                lengths.insert(to, sizes[i])
-                free.insert(to, i)
+        gain, at, some = best
+        n = lengths.pop(at)
+        if not (at and lengths[at - 1] == n):  # it was the last of its size
+            there &= ~(1 << n)
+        packing.replace(k, Bin([*(i for i in own if i not in some), free.pop(at)], room - gain))
+        for i in some:
+            to = bisect_right(lengths, sizes[i])
+            lengths.insert(to, sizes[i])
+            free.insert(to, i)
+            there |= 1 << sizes[i]
     return free[::-1]
 
 
 def crossover(into: list[list[int]], given: list[list[int]], sizes: list[int], rng: random.Random) -> list[Bin]:
     """The bins of into with well-filled bins of given injected whole; displaced items are exchanged for smaller ones and
     go back by best fit."""
-    into, ranked = measured(into, sizes), sorted(measured(given, sizes), key=ROOM)
-    injected = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5] or ranked[:1]
+    into, given = measured(into, sizes), measured(given, sizes)
+    ranked = [given[k] for k in np.argsort(rooms_of(given), kind="stable")[: max(1, len(given) // 2)].tolist()]
+    injected = [b for b in ranked if rng.random() < 0.5] or ranked[:1]
     taken = set(chain.from_iterable(injected))
-    untouched = [taken.isdisjoint(b) for b in into]
-    out = Packing(sizes, [*injected, *compress(into, untouched)])
-    displaced = [i for b, whole in zip(into, untouched, strict=True) if not whole for i in b if i not in taken]
+    untouched = [*map(taken.isdisjoint, into)]
+    out = Packing(sizes, chain(injected, compress(into, untouched)))
+    displaced = [i for b in compress(into, map(not_, untouched)) for i in b if i not in taken]
     out.best_fit(exchange(out, displaced))
     return out.bins
 
@@ -182,12 +227,14 @@ def crossover(into: list[list[int]], given: list[list[int]], sizes: list[int], r
 def mutate(bins: list[list[int]], sizes: list[int], rng: random.Random) -> list[Bin]:
     """The emptiest bins and a few others are dissolved, their items exchanged and put back by best fit."""
     bins = measured(bins, sizes)
-    ranked = sorted(bins, key=ROOM, reverse=True)
+    ranked = np.argsort(-rooms_of(bins), kind="stable").tolist()
     n = max(1, len(bins) // 50)
     gone = ranked[:n] + rng.sample(ranked[n:], min(2 * n, len(ranked) - n))
-    left = {id(b) for b in gone}
-    out = Packing(sizes, [b for b in bins if id(b) not in left])
-    out.best_fit(exchange(out, [i for b in gone for i in b]))
+    stays = bytearray(b"\1") * len(bins)
+    for k in gone:
+        stays[k] = 0
+    out = Packing(sizes, compress(bins, stays))
+    out.best_fit(exchange(out, [i for k in gone for i in bins[k]]))
     return out.bins
 
 
@@ -283,7 +330,7 @@ def packed(found: DataFrame, first: int) -> DataFrame:
     state = islands.withColumns({"elite": F.lit(None).cast("binary"), "guest": F.lit(None).cast("binary")})
     for _ in range(EPOCHS):
         # a row is seconds of work and a few KB: a stated number of partitions, which isn't coalesced by bytes
-        state = materialize(state.repartition(3 * ISLANDS * shards, "shard", "island").mapInArrow(_epoch, STATE_SQL), "islands")
+        state = materialize(state.repartition(ISLANDS * shards, "shard", "island").mapInArrow(_epoch, STATE_SQL), "islands")
         elites = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("guest"))
         evolved, state = state, state.join(elites, ["shard", "island"])
     best = evolved.groupBy("shard").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
