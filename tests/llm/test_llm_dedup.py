@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from tidewater.llm.backoff import lm_scores
 from tidewater.llm.bpe import digests
-from tidewater.llm.common import connected_components
+from tidewater.llm.common import connected_components, materialize
 from tidewater.llm.embedding_dedup import embedding_links, op3_embedding_dedup
 from tidewater.llm.packing import pack, pieces
 from tidewater.llm.pii import pii_spans, redact
@@ -200,6 +200,20 @@ def test_simhash(frame, rows, spark, small):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == brute.op9(whole(spark, small))
 
 
+def test_simhash_broadcasts_nothing(frame, rows, monkeypatch):
+    """No table of fingerprints, links or components goes whole through the driver, however small Spark takes it for."""
+    plans = []
+
+    def seen(df, name, clean=False):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name, clean)
+
+    monkeypatch.setattr("tidewater.llm.common.materialize", seen)
+    monkeypatch.setattr("tidewater.llm.simhash.materialize", seen)
+    plans.append(simhash_components(frame(rows))._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 50)] + [(100, 100), (200, 150), (150, 175), (300, 175), (0, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

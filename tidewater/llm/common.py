@@ -151,7 +151,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node on an edge of edges(a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star contraction. Each round's edges are a written table; the neighbours' minima
-    are one as well, so that both sides of each join are plain shuffles whose hot keys adaptive execution can split.
+    are one as well, so that both sides of each join are plain shuffles, whatever size Spark takes the files for, whose hot
+    keys adaptive execution can split.
     Loops and repeated edges are allowed; no edges give no rows.
     """
     spark = edges.sparkSession
@@ -164,9 +165,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(both).withColumn("m", F.least("m", "u"))
-        large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        large = materialize(both.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         low = least(large)
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

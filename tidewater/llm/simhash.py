@@ -62,13 +62,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def links(entries: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids whose fingerprints differ in at most RADIUS bits, from entries(id, fp) with one row per
-    fingerprint. A pair that both segments find comes twice."""
+    fingerprint. A pair that both segments find comes twice. The join is a merge of two shuffles: Spark can't see that a probe
+    becomes 66 rows, and would take them for small enough to send whole through the driver."""
     halves = lambda x: F.array(F.struct(F.lit(0).alias("seg"), (x.bitwiseAND(F.lit(0xFFFFFFFF))).alias("value")), F.struct(F.lit(1).alias("seg"), F.shiftrightunsigned(x, 32).alias("value")))
     table = entries.select("id", "fp", F.explode(halves(F.col("fp"))).alias("h")).select(F.col("id").alias("b"), F.col("fp").alias("fb"), "h.seg", "h.value")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(32)))
     probes = entries.select("id", "fp", F.explode(halves(F.col("fp"))).alias("h")).select(F.col("id").alias("a"), F.col("fp").alias("fa"), "h.seg", "h.value", F.explode(flips).alias("flip"))
     probes = probes.select("a", "fa", "seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-    return probes.join(table, ["seg", "value"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)).select("a", "b")
+    return probes.join(table.hint("merge"), ["seg", "value"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)).select("a", "b")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -77,10 +78,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     prints = materialize(fingerprints(docs), "fingerprints")
     entries = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "entries")
     parts = connected_components(links(entries.select(F.col("fp").alias("id"), "fp")))
-    table = materialize(entries.join(parts, entries.fp == parts.node, "left").select(F.col("fp").alias("of"), "id", F.coalesce("component", "fp").alias("part")), "parts")
+    table = materialize(entries.join(parts.hint("merge"), entries.fp == parts.node, "left").select(F.col("fp").alias("of"), "id", F.coalesce("component", "fp").alias("part")), "parts")
     least = table.groupBy(F.col("part").alias("_part")).agg(F.min("id").alias("component_id"))
-    table = materialize(table.join(least, table.part == least._part).select("of", "part", "component_id"), "components")
-    return prints.join(table, prints.fp == table.of).drop("of")
+    table = materialize(table.join(least.hint("merge"), table.part == least._part).select("of", "part", "component_id"), "components")
+    return prints.join(table.hint("merge"), prints.fp == table.of).drop("of")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
