@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ import pytest
 from tidewater.functions.scan import recurrences, rma
 from tidewater.operators import indicators as ind
 from tidewater.sources.signal_log import SignalLogReader, log_stream
+from tidewater.streaming import indicators
 from tidewater.streaming.delivery import Delivery, as_parquet, delivered, drain
 from tidewater.streaming.indicators import MEANS, STATE, TOLD, live_indicators, told
 from tidewater.streaming.signals import accepted, checked, dead_letters
@@ -50,6 +52,92 @@ def test_live_indicators(spark, tmp_path, files):
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, err_msg=c)
 
 
+class Held:
+    """A state variable in memory, whatever its kind."""
+
+    def __init__(self):
+        self.all, self.one = {}, None
+
+    def getValue(self, key):
+        return self.all.get(key)
+
+    def updateValue(self, key, value):
+        self.all[key] = value
+
+    def removeKey(self, key):
+        del self.all[key]
+
+    def iterator(self):
+        return iter(self.all.items())
+
+    def exists(self):
+        return bool(self.all) or self.one is not None
+
+    def get(self):
+        return self.one
+
+    def put(self, value):
+        self.one = value
+
+    update = put
+
+
+class Handle:
+    """What a processor asks of Spark: state, timers."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def _state(self, name, *schemas):
+        return self.states.setdefault(name, Held())
+
+    getMapState = getListState = getValueState = _state  # noqa: N815
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def passed(self, processor, until):
+        """The watermark goes to until (milliseconds)."""
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: until)
+        for ms in sorted(t for t in self.timers if t <= until):
+            yield from processor.handleExpiredTimer(("x",), now, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))
+            self.timers.remove(ms)
+
+
+def test_a_long_batch_is_held_in_parts(monkeypatch):
+    """A batch of many days in any order: its ticks go to the state while it is read, by the day, and come out as if they
+    were told at once, whatever the watermark's steps."""
+    monkeypatch.setattr(indicators, "GATHERED", 100)
+    monkeypatch.setattr(indicators, "AT_ONCE", 30)
+    rng = np.random.default_rng(3)
+    ts = pd.to_datetime(np.sort(rng.integers(0, 20 * 86_400, 2000)) * 1_000_000 + rng.integers(0, 1000, 2000), unit="us").as_unit("us")
+    rows = pd.DataFrame({"ts": ts, "event_id": np.arange(2000), "price": rng.uniform(1, 9, 2000), "volume": rng.integers(0, 9, 2000).astype(float)})
+    first = rows.drop_duplicates("ts")
+    handle, live, unread = Handle(), indicators.LiveIndicators(("asset",), 1), []
+
+    def chunks(mixed):
+        for k in range(0, len(mixed), 50):
+            waits = sum(len(v[0]) for v in handle.states["waiting"].all.values()) // indicators.TICK.itemsize
+            unread.append(k - waits)
+            yield mixed[k : k + 50]
+
+    live.init(handle)
+    mixed = rows.sample(frac=1.0, random_state=1)
+    late = mixed[mixed["ts"] >= pd.Timestamp("1970-01-08 12:00")]
+    assert sum(map(len, live.handleInputRows(("x",), chunks(pd.concat([mixed.drop(late.index), late[::2]])), None))) == 0
+    assert max(unread) <= 100 and len(handle.timers) >= 20
+    out = list(handle.passed(live, 7 * 86_400_000 + 40_000_000))  # within a day, before any of the late ones
+    list(live.handleInputRows(("x",), chunks(late[1::2]), None))
+    for until in (9 * 86_400_000 + 1234, 9 * 86_400_000 + 5_000_000, 30 * 86_400_000):
+        out += handle.passed(live, until)
+    assert max(map(len, out)) <= 30 and not handle.states["waiting"].all and not handle.states["pieces"].all and not handle.timers
+    got = pd.concat(out, ignore_index=True)
+    want, _ = told(first["price"].to_numpy(), first["volume"].to_numpy(), 0, None, 0.0, np.zeros(len(MEANS)), np.array([]))
+    assert got["ts"].tolist() == first["ts"].tolist() and got["n"].tolist() == list(range(1, len(first) + 1))
+    for c in TOLD:
+        np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-9, err_msg=c)
+
+
 def test_any_split_of_vectors():
     rng = np.random.default_rng(1)
     p, v = rng.uniform(1, 9, 80), rng.uniform(0, 5, 80)
